@@ -39,3 +39,41 @@ register("kpi_consumption_by_department")(lambda l: kpi.kpi_consumption_by_depar
 register("kpi_cycle_time")(lambda l: kpi.kpi_cycle_time(l.fact_grn))
 register("kpi_vendor_lead_time")(lambda l: kpi.kpi_vendor_lead_time(l.fact_grn))
 register("kpi_fill_rate")(lambda l: kpi.kpi_fill_rate(l.fact_po))
+
+# ------------------------------------------------------------------ forecast
+from carelake.functions.expr import r6  # noqa: E402
+from carelake.operators import forecast as fc  # noqa: E402
+
+
+def _matrix(l):
+    return fc.demand_matrix(l.fact_consumption, l.history_end, l.history_months)
+
+
+def _rep(l):
+    return fc.replenishment(l.fact_inventory, l.fact_consumption, l.fact_grn, l.dim_material,
+                            l.history_end, l.history_months, l.horizon)
+
+
+def _fs(l):
+    return fc.forecast_sales(_matrix(l), l.dim_material, l.history_end, l.history_months, l.horizon)
+
+
+register("demand_matrix")(_matrix)
+register("demand_forecast")(lambda l: fc.demand_forecast(_matrix(l), l.history_months, l.horizon))
+register("forecast_sales")(_fs)
+register("demand_next")(lambda l: fc.demand_next(_matrix(l), l.dim_material, l.history_months, l.horizon)
+                        .select("plant", "material", "material_group", r6("demand_forecast").alias("demand_forecast"),
+                                r6("demand_monthly").alias("demand_monthly")))
+register("material_lead_time")(lambda l: fc.material_lead_time(l.fact_grn)
+                               .select("material", r6("lead_time_days").alias("lead_time_days")))
+register("stock_replenishment_and_aging_risk")(_rep)
+register("kpi_fulfillment")(lambda l: fc.kpi_fulfillment(_rep(l)))
+register("kpi_stock_radar")(lambda l: fc.kpi_stock_radar(_rep(l), l.horizon))
+register("kpi_aging_risk_forecast")(lambda l: fc.kpi_aging_risk_forecast(_rep(l)))
+register("forecast_accuracy")(lambda l: fc.forecast_accuracy(_matrix(l), l.dim_material, l.history_months))
+register("sales_forecast_series")(lambda l: fc.forecast_series(_fs(l), "qty"))
+register("cashflow_forecast_series")(lambda l: fc.forecast_series(_fs(l), "cash"))
+register("weekly_forecast")(lambda l: fc.weekly_forecast(_rep(l), "week_1"))
+register("replenishment_summary")(lambda l: fc.replenishment_summary(_rep(l)))
+register("replenishment_top")(lambda l: fc.replenishment_top(_rep(l)))
+register("aging_top")(lambda l: fc.aging_top(_rep(l)))
