@@ -100,3 +100,11 @@ def left_band(x: str, edges: list, labels: list) -> str:
 SNAP = "(SELECT max(snapshot_date) FROM fact_inventory)"
 SPAN = ("(SELECT greatest(date_diff('day', min(posting_date), max(posting_date)), 1) "
         "FROM fact_consumption)")
+
+
+def as_cte(name: str, body: str) -> str:
+    """Turn an oracle body (``SELECT ...`` or ``ctes SELECT ...``) into ``name AS (...)``."""
+    body = body.strip()
+    if body.upper().startswith("SELECT"):
+        return f"{name} AS ({body})"
+    return f"{name} AS (WITH {body})"

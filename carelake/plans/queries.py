@@ -77,3 +77,71 @@ register("weekly_forecast")(lambda l: fc.weekly_forecast(_rep(l), "week_1"))
 register("replenishment_summary")(lambda l: fc.replenishment_summary(_rep(l)))
 register("replenishment_top")(lambda l: fc.replenishment_top(_rep(l)))
 register("aging_top")(lambda l: fc.aging_top(_rep(l)))
+
+# ------------------------------------------------------------------ sales
+from carelake.operators import cookbook as cb  # noqa: E402
+from carelake.operators import marts  # noqa: E402
+from carelake.operators import sales  # noqa: E402
+
+
+def _sales_agg(l):
+    return sales.sales_aggregates(l.sales_line)
+
+
+for _g in sales.GRAINS:
+    register(_g)(lambda l, _g=_g: sales.sales_grain(_sales_agg(l), _g, l.dim_material))
+
+register("sales_by_material_dedup")(lambda l: sales.sales_by_material_dedup(
+    sales.sales_grain(_sales_agg(l), "sales_by_material", l.dim_material)))
+register("revenue_totals")(lambda l: sales.revenue_totals(l.sales_line))
+register("revenue_timeline")(lambda l: sales.revenue_timeline(l.sales_line))
+register("revenue_top_hospitals")(lambda l: sales.revenue_top(l.sales_line, "hospital"))
+register("revenue_by_category")(lambda l: sales.revenue_by_category(l.sales_line, l.dim_material))
+register("revenue_items")(lambda l: sales.revenue_items(
+    sales.sales_grain(_sales_agg(l), "sales_by_material", l.dim_material), "revenue"))
+
+# ------------------------------------------------------------------ marts
+def _price_stats(l):
+    return marts.material_price_stats(l.fact_grn, l.dim_material)
+
+
+def _vendor_stats(l):
+    return marts.material_vendor_price_stats(l.fact_grn, l.dim_material)
+
+
+def _mart_proc(l):
+    return marts.mart_procurement(l.fact_grn, l.dim_material, _price_stats(l), kpi.kpi_vendor_lead_time(l.fact_grn))
+
+
+register("mart_material_price_stats")(_price_stats)
+register("mart_material_vendor_price_stats")(_vendor_stats)
+register("mart_procurement")(_mart_proc)
+
+# ------------------------------------------------------------------ cookbook
+register("sql_revenue_margin")(lambda l: cb.revenue_margin(sales.sales_grain(_sales_agg(l), "sales_totals")))
+register("sql_expiring_by_manufacturer")(lambda l: cb.expiring_by_manufacturer(
+    l.fact_inventory, l.dim_material, kpi.snapshot_of(l.fact_inventory)))
+register("sql_price_deviation")(lambda l: cb.price_deviation(l.fact_grn))
+register("sql_overpay")(lambda l: cb.price_deviation(l.fact_grn, one_directional=True))
+register("sql_price_by_plant")(lambda l: cb.price_by_plant(_mart_proc(l)))
+register("sql_cheapest_vendor")(lambda l: cb.cheapest_vendor(_vendor_stats(l)))
+register("sql_consolidation_saving")(lambda l: cb.consolidation_saving(_vendor_stats(l)))
+register("sql_price_dispersion")(lambda l: cb.price_dispersion(_price_stats(l)))
+register("sql_vendor_inconsistency")(lambda l: cb.vendor_inconsistency(_mart_proc(l)))
+register("sql_capex_split")(lambda l: cb.capex_split(l.fact_po))
+register("sql_median_doh")(lambda l: cb.median_doh(kpi.kpi_doh(l.fact_inventory, l.fact_consumption)))
+register("sql_vendor_spend")(lambda l: cb.vendor_spend(kpi.kpi_vendor_volume(l.fact_po)))
+register("sql_category_spend")(lambda l: cb.category_spend(l.fact_po, l.dim_material))
+register("sql_true_variance")(lambda l: cb.true_variance(kpi.kpi_procurement_variance(l.fact_po)))
+register("sql_dead_stock")(lambda l: cb.dead_stock(l.fact_inventory, l.sales_line, l.fact_po, l.fact_grn,
+                                                   kpi.snapshot_of(l.fact_inventory)))
+register("sql_received_vs_ordered")(lambda l: cb.received_vs_ordered(l.spark, l.fact_po, l.fact_grn))
+register("sql_unit_cost")(lambda l: cb.unit_cost(l.fact_consumption))
+register("inventory_by_ward_class")(lambda l: cb.inventory_by_ward_class(l.fact_inventory, l.dim_sloc))
+register("sql_proxy_margin")(lambda l: cb.proxy_margin(l.fact_grn))
+register("sql_manufacturer_coverage")(lambda l: cb.manufacturer_coverage(l.fact_po, l.dim_material))
+register("sql_out_of_formulary")(lambda l: cb.out_of_formulary(l.fact_inventory))
+register("sql_redistribution")(lambda l: cb.redistribution(l.fact_inventory, l.fact_consumption,
+                                                           kpi.snapshot_of(l.fact_inventory)))
+register("sql_inactive_items")(lambda l: cb.inactive_items(
+    l.dim_material, [l.sales_line, l.fact_po, l.fact_grn, l.fact_consumption]))
