@@ -17,7 +17,8 @@ AGING_LABELS = ["0-30", "31-90", "91-180", "181-365", "365+"]
 HEALTH_TIERS = ["At Risk", "Watch", "Healthy"]
 NEAR_EXPIRY_LABELS = ["Expired", "0-30d", "31-90d", "91-180d"]
 AGING_RISK_LABELS = ["<3 Months", "3-6 Months", "6-12 Months", "1+ Year"]
-UNCATEGORISED_TOKENS = ["", "nan", "none", "null", "uncategorized", "uncategorised"]
+UNCATEGORISED_TOKENS = ["", "nan", "none"]
+UNCAT_LABELS = ["uncategorized", "", "nan", "none"]
 CAPEX_DOC_TYPES = ["1-URGENT"]
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy"]
 SPREADSHEET_EPOCH = "1899-12-30"
@@ -185,11 +186,11 @@ def expiry_slab(days) -> Column:
     """COL-22: (..,-1],(-1,30],(30,90],(90,180],(180,365],(365,..) - day 0 is not expired."""
     d = c(days)
     return (F.when(d.isNull(), F.lit(None).cast("string")).when(d <= -1, "Expired")
-             .when(d <= 30, "0-30 days").when(d <= 90, "31-90 days").when(d <= 180, "91-180 days")
-             .when(d <= 365, "181-365 days").otherwise(">365 days"))
+             .when(d <= 30, "0-30d").when(d <= 90, "31-90d").when(d <= 180, "91-180d")
+             .when(d <= 365, "181-365d").otherwise("365d+"))
 
 
-EXPIRY_SLABS = ["Expired", "0-30 days", "31-90 days", "91-180 days", "181-365 days", ">365 days"]
+EXPIRY_SLABS = ["Expired", "0-30d", "31-90d", "91-180d", "181-365d", "365d+"]
 
 
 def non_moving_reason(consumed) -> Column:
@@ -210,14 +211,14 @@ def cover_months(stock, demand) -> Column:
              .when(c(stock) > 0, F.lit(999.0)).otherwise(F.lit(0.0)))
 
 
-def reorder_status(stock, demand, reorder_qty, aging_days) -> Column:
+def reorder_status(stock, demand_forecast, demand_monthly, reorder_qty, aging_days) -> Column:
     """COL-25: Stock-out / Dead stock / Reorder now / Overstocked / Healthy, in that order."""
-    cover = cover_months(stock, demand)
-    return (F.when((c(stock) <= 0) & (c(demand) > 0), "Stock-out")
-             .when((c(demand) <= 0) & (c(stock) > 0) & (F.coalesce(c(aging_days), F.lit(0)) > 180),
-                   "Dead stock")
-             .when(c(reorder_qty) > 0, "Reorder now")
-             .when(cover > 6, "Overstocked").otherwise("Healthy"))
+    cover = cover_months(stock, demand_monthly)
+    age = F.coalesce(c(aging_days), F.lit(0.0))
+    return (F.when((c(stock) <= 0) & (c(demand_forecast) > 0), "Stock-out")
+             .when((age > 365) & (c(stock) > 0), "Dead stock")
+             .when((c(reorder_qty) > 0) & (cover < 1), "Reorder now")
+             .when((cover > 9) | (age > 180), "Overstocked").otherwise("Healthy"))
 
 
 def aging_risk_label(aging_days) -> Column:

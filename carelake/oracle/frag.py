@@ -69,9 +69,9 @@ def near_expiry_bucket(d: str) -> str:
 
 
 def expiry_slab(d: str) -> str:
-    return (f"(CASE WHEN {d} IS NULL THEN NULL WHEN {d} <= -1 THEN 'Expired' WHEN {d} <= 30 THEN '0-30 days' "
-            f"WHEN {d} <= 90 THEN '31-90 days' WHEN {d} <= 180 THEN '91-180 days' "
-            f"WHEN {d} <= 365 THEN '181-365 days' ELSE '>365 days' END)")
+    return (f"(CASE WHEN {d} IS NULL THEN NULL WHEN {d} <= -1 THEN 'Expired' WHEN {d} <= 30 THEN '0-30d' "
+            f"WHEN {d} <= 90 THEN '31-90d' WHEN {d} <= 180 THEN '91-180d' "
+            f"WHEN {d} <= 365 THEN '181-365d' ELSE '365d+' END)")
 
 
 def fill_category(x: str) -> str:
@@ -108,3 +108,30 @@ def as_cte(name: str, body: str) -> str:
     if body.upper().startswith("SELECT"):
         return f"{name} AS ({body})"
     return f"{name} AS (WITH {body})"
+
+
+def band_sql(src: str, band: str, labels: list, measures: dict, where: str = "") -> str:
+    """Oracle twin of ``band_table``: fixed label skeleton LEFT JOIN a grouped result."""
+    vals = ", ".join("('{}', {})".format(lab.replace("'", "''"), i) for i, lab in enumerate(labels))
+    inner = []
+    outer = []
+    for name, (kind, col) in measures.items():
+        if kind == "sum":
+            inner.append(f"CAST(sum({col}) AS DOUBLE) AS {name}")
+            outer.append(f"round(COALESCE(g.{name}, 0.0), 4) AS {name}")
+        elif kind == "count":
+            inner.append(f"count(*) AS {name}")
+            outer.append(f"COALESCE(g.{name}, 0) AS {name}")
+        elif kind == "nunique":
+            inner.append(f"count(DISTINCT {col}) AS {name}")
+            outer.append(f"COALESCE(g.{name}, 0) AS {name}")
+        elif kind == "avg":
+            inner.append(f"avg({col}) AS {name}")
+            outer.append(f"round(COALESCE(g.{name}, 0.0), 6) AS {name}")
+        elif kind == "median":
+            inner.append(f"median({col}) AS {name}")
+            outer.append(f"round(COALESCE(g.{name}, 0.0), 6) AS {name}")
+    w = f"WHERE {where}" if where else ""
+    return (f"SELECT s.label, CAST(s.ord AS INTEGER) AS ord, {', '.join(outer)} "
+            f"FROM (VALUES {vals}) s(label, ord) LEFT JOIN "
+            f"(SELECT {band} AS b, {', '.join(inner)} FROM {src} {w} GROUP BY 1) g ON g.b = s.label")

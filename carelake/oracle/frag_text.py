@@ -8,5 +8,5 @@ def title_case(s: str) -> str:
 
 def clean_category(s: str, fallback: str = "Uncategorised") -> str:
     tail = f"trim(regexp_replace({s}, '^[^-]*-', ''))"
-    return (f"(CASE WHEN {s} IS NULL OR lower(trim({s})) IN ('', 'nan', 'none', 'null', 'uncategorized', "
-            f"'uncategorised') OR {tail} = '' THEN '{fallback}' ELSE {title_case(tail)} END)")
+    return (f"(CASE WHEN {s} IS NULL OR lower(trim({s})) IN ('', 'nan', 'none') OR {tail} = '' "
+            f"THEN '{fallback}' ELSE {title_case(tail)} END)")

@@ -145,3 +145,50 @@ register("sql_redistribution")(lambda l: cb.redistribution(l.fact_inventory, l.f
                                                            kpi.snapshot_of(l.fact_inventory)))
 register("sql_inactive_items")(lambda l: cb.inactive_items(
     l.dim_material, [l.sales_line, l.fact_po, l.fact_grn, l.fact_consumption]))
+
+# ------------------------------------------------------------------ inventory insights
+from carelake.operators import insights_inventory as ii  # noqa: E402
+
+
+def _hs(l):
+    return kpi.kpi_health_score(l.fact_inventory, l.fact_consumption)
+
+
+def _doh2(l):
+    return kpi.kpi_doh(l.fact_inventory, l.fact_consumption), kpi.kpi_stock_value(l.fact_inventory)
+
+
+def _snap(l):
+    return kpi.snapshot_of(l.fact_inventory)
+
+
+register("monthly_series")(lambda l: ii.monthly_series(
+    kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material), "stock_change"))
+register("inventory_valuation")(lambda l: ii.inventory_valuation(kpi.kpi_stock_value(l.fact_inventory)))
+register("valuation_age")(lambda l: ii.valuation_age(l.fact_inventory))
+register("valuation_categories")(lambda l: ii.valuation_categories(l.fact_inventory))
+register("itr_totals")(lambda l: ii.itr_totals(_hs(l)))
+register("itr_categories")(lambda l: ii.itr_categories(_hs(l)))
+register("itr_bands")(lambda l: ii.itr_bands(_hs(l)))
+register("itr_timeline")(lambda l: ii.itr_timeline(l.fact_consumption))
+register("itr_by_group")(lambda l: ii.itr_by_group(_hs(l)))
+register("doh_bands")(lambda l: ii.doh_bands(*_doh2(l)))
+register("doh_categories")(lambda l: ii.doh_categories(*_doh2(l)))
+register("doh_reorder")(lambda l: ii.doh_reorder(*_doh2(l)))
+register("doh_overstock")(lambda l: ii.doh_overstock(*_doh2(l)))
+register("health_tiers")(lambda l: ii.health_tiers(_hs(l)))
+register("health_bands")(lambda l: ii.health_bands(_hs(l)))
+register("health_categories")(lambda l: ii.health_categories(_hs(l)))
+register("stock_flow_monthly")(lambda l: ii.stock_flow_monthly(
+    kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material)))
+register("stock_risers")(lambda l: ii.stock_risers(kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material)))
+register("non_moving_reasons")(lambda l: ii.non_moving_reasons(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption)))
+register("non_moving_aging")(lambda l: ii.non_moving_aging(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption)))
+register("risk_tiers")(lambda l: ii.risk_tiers(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
+register("risk_matrix")(lambda l: ii.risk_matrix(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
+register("risk_factors")(lambda l: ii.risk_factors(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
+register("expiry_ladder")(lambda l: ii.expiry_ladder(l.fact_inventory, _snap(l)))
+register("near_expiry_buckets")(lambda l: ii.near_expiry_buckets(kpi.kpi_near_expiry(l.fact_inventory)))
+register("expiry_calendar")(lambda l: ii.expiry_calendar(kpi.kpi_near_expiry(l.fact_inventory)))
+register("expiry_items")(lambda l: ii.expiry_items(l.fact_inventory, _snap(l)))
+register("inventory_aging_top")(lambda l: ii.inventory_aging_top(kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption)))
