@@ -192,3 +192,44 @@ register("near_expiry_buckets")(lambda l: ii.near_expiry_buckets(kpi.kpi_near_ex
 register("expiry_calendar")(lambda l: ii.expiry_calendar(kpi.kpi_near_expiry(l.fact_inventory)))
 register("expiry_items")(lambda l: ii.expiry_items(l.fact_inventory, _snap(l)))
 register("inventory_aging_top")(lambda l: ii.inventory_aging_top(kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption)))
+
+# ------------------------------------------------------------------ procurement insights
+from carelake.operators import insights_procurement as ip  # noqa: E402
+from carelake.operators.forecast import history_slots  # noqa: E402
+
+
+def _pv(l):
+    return kpi.kpi_purchase_value(l.fact_po)
+
+
+def _vv(l):
+    return kpi.kpi_vendor_volume(l.fact_po)
+
+
+def _window(l):
+    s = history_slots(l.history_end, l.history_months)
+    return s[0], s[-1]
+
+
+register("procurement_totals")(lambda l: ip.procurement_totals(
+    l.spark, _pv(l), _vv(l), kpi.kpi_cycle_time(l.fact_grn), kpi.kpi_fill_rate(l.fact_po),
+    kpi.kpi_purchase_by_location(l.fact_po), kpi.kpi_vendor_lead_time(l.fact_grn), l.fact_grn))
+register("open_po_by_category")(lambda l: ip.open_po_by_category(l.fact_po))
+register("procurement_savings")(lambda l: ip.procurement_savings(l.fact_grn))
+register("purchase_categories")(lambda l: ip.purchase_categories(_pv(l)))
+register("purchase_vendors")(lambda l: ip.purchase_vendors(_pv(l), _vv(l)))
+register("variance_timeline")(lambda l: ip.variance_timeline(_pv(l)))
+register("variance_totals")(lambda l: ip.variance_totals(_pv(l)))
+register("vendor_concentration")(lambda l: ip.vendor_concentration(_vv(l)))
+register("vendor_pareto")(lambda l: ip.vendor_pareto(_vv(l)))
+register("location_share")(lambda l: ip.location_share(kpi.kpi_purchase_by_location(l.fact_po)))
+register("cycle_timeline")(lambda l: ip.cycle_timeline(kpi.kpi_cycle_time(l.fact_grn), *_window(l)))
+register("cycle_plants")(lambda l: ip.cycle_plants(kpi.kpi_cycle_time(l.fact_grn), *_window(l)))
+register("lead_time_dist")(lambda l: ip.lead_time_dist(kpi.kpi_vendor_lead_time(l.fact_grn)))
+register("lead_time_slow")(lambda l: ip.lead_time_slow(kpi.kpi_vendor_lead_time(l.fact_grn)))
+register("fill_rate_plants")(lambda l: ip.fill_rate_plants(kpi.kpi_fill_rate(l.fact_po)))
+register("fill_rate_dist")(lambda l: ip.fill_rate_dist(kpi.kpi_fill_rate(l.fact_po)))
+register("purchase_month_matrix")(lambda l: ip.purchase_month_matrix(kpi.kpi_monthly_purchase_value(l.fact_po, l.dim_material)))
+register("margin_month_matrix")(lambda l: ip.margin_month_matrix(
+    kpi.kpi_monthly_purchase_value(l.fact_po, l.dim_material), l.fact_grn, l.dim_material))
+register("vendor_margin")(lambda l: ip.vendor_margin(l.fact_grn))
