@@ -31,30 +31,6 @@ SQL = {
                round(sum(revenue), 4) AS revenue, round(sum(cost), 4) AS cost, round(sum(qty), 4) AS qty,
                sum(lines) AS lines
         FROM bym GROUP BY 1""",
-    "revenue_totals": f"""SELECT {money('COALESCE(sum(revenue), 0)')} AS revenue, {money('COALESCE(sum(cost), 0)')} AS cost,
-        {money('COALESCE(sum(revenue) - sum(cost), 0)')} AS margin,
-        {r6('CASE WHEN sum(revenue) > 0 THEN CAST(sum(revenue) - sum(cost) AS DOUBLE) / CAST(sum(revenue) AS DOUBLE) * 100 END')} AS margin_pct,
-        {money("COALESCE(sum(revenue) FILTER (WHERE patient_type = 'IP'), 0)")} AS ip_revenue,
-        {money("COALESCE(sum(revenue) FILTER (WHERE patient_type = 'OP'), 0)")} AS op_revenue,
-        {r6("CASE WHEN sum(revenue) > 0 THEN CAST(COALESCE(sum(revenue) FILTER (WHERE patient_type = 'IP'), 0) AS DOUBLE) / CAST(sum(revenue) AS DOUBLE) * 100 END")} AS ip_share_pct,
-        {r6("CASE WHEN sum(revenue) > 0 THEN CAST(COALESCE(sum(revenue) FILTER (WHERE patient_type = 'OP'), 0) AS DOUBLE) / CAST(sum(revenue) AS DOUBLE) * 100 END")} AS op_share_pct
-        FROM sales_line""",
-    "revenue_timeline": f"""SELECT strftime(sale_date, '%Y-%m') AS month,
-        {money("COALESCE(sum(revenue) FILTER (WHERE patient_type = 'IP'), 0)")} AS ip_revenue,
-        {money("COALESCE(sum(revenue) FILTER (WHERE patient_type = 'OP'), 0)")} AS op_revenue,
-        {money('sum(revenue)')} AS revenue, {money('sum(cost)')} AS cost,
-        {r6('CASE WHEN sum(revenue) > 0 THEN CAST(sum(revenue) - sum(cost) AS DOUBLE) / CAST(sum(revenue) AS DOUBLE) * 100 END')} AS margin_pct
-        FROM sales_line GROUP BY 1""",
-    "revenue_top_hospitals": f"""t AS (SELECT hospital, sum(revenue) AS r, sum(cost) AS c FROM sales_line
-                 WHERE hospital IS NOT NULL GROUP BY hospital ORDER BY r DESC, hospital LIMIT 10)
-        SELECT hospital, {money('r')} AS revenue, {money('r - c')} AS margin,
-               {r6('CASE WHEN r > 0 THEN CAST(r - c AS DOUBLE) / CAST(r AS DOUBLE) * 100 END')} AS margin_pct FROM t""",
-    "revenue_by_category": f"""SELECT {clean_category('dm.material_group')} AS category, {money('sum(revenue)')} AS revenue,
-        {money('sum(cost)')} AS cost, count(DISTINCT s.material) AS items
-        FROM sales_line s LEFT JOIN dim_material dm USING (material) GROUP BY 1""",
-    "revenue_items": BY_MAT + f""" SELECT *, round(revenue - cost, 4) AS margin,
-        {r6('CASE WHEN revenue > 0 THEN (revenue - cost) / revenue * 100 END')} AS margin_pct
-        FROM bym ORDER BY revenue DESC NULLS LAST, material LIMIT 50""",
 }
 
 RAW = """raw AS (SELECT *, CAST(net_price AS DOUBLE) AS price FROM fact_grn
@@ -210,3 +186,54 @@ SQL.update({
                {money('sum(i.qty)')} AS stock_qty, count(DISTINCT i.material) AS sku_count
         FROM fact_inventory i LEFT JOIN ds ON i.plant = ds.plant AND i.sloc = ds.sloc GROUP BY 1""",
 })
+
+
+GR = BY_MAT + f""",
+st AS (SELECT patient_type, {M4} FROM sales_line GROUP BY patient_type),
+sm AS (SELECT patient_type, strftime(sale_date, '%Y-%m') AS month, {M4} FROM sales_line GROUP BY ALL),
+sh AS (SELECT hospital, {M4} FROM sales_line GROUP BY hospital),
+smf AS (SELECT manufacturer, {M4} FROM sales_line WHERE manufacturer IS NOT NULL GROUP BY ALL)"""
+
+
+def _pt(col, pt):
+    return f"COALESCE(sum({col}) FILTER (WHERE patient_type = '{pt}'), 0)"
+
+
+IPR, OPR, IPC, OPC = _pt("revenue", "IP"), _pt("revenue", "OP"), _pt("cost", "IP"), _pt("cost", "OP")
+
+
+def _top(src, key, n, extra=""):
+    return f"""SELECT {key}, {extra} revenue, round(revenue - cost, 4) AS margin, qty,
+        {r6('CASE WHEN revenue <> 0 THEN (revenue - cost) / revenue * 100 ELSE 0.0 END')} AS margin_pct
+        FROM {src} ORDER BY revenue DESC, {key} LIMIT {n}"""
+
+
+SQL.update({
+    "revenue_totals": GR + f""" SELECT round({IPR} + {OPR}, 4) AS revenue, round({IPC} + {OPC}, 4) AS cost,
+        round(({IPR} + {OPR}) - ({IPC} + {OPC}), 4) AS margin,
+        {r6(f"CASE WHEN ({IPR} + {OPR}) <> 0 THEN (({IPR} + {OPR}) - ({IPC} + {OPC})) / ({IPR} + {OPR}) * 100 ELSE 0.0 END")} AS margin_pct,
+        round({IPR}, 4) AS ip_revenue, round({OPR}, 4) AS op_revenue, round({IPR} - {IPC}, 4) AS ip_margin,
+        round({OPR} - {OPC}, 4) AS op_margin,
+        {r6(f"CASE WHEN ({IPR} + {OPR}) <> 0 THEN {IPR} / ({IPR} + {OPR}) * 100 ELSE 0.0 END")} AS ip_share,
+        {r6(f"CASE WHEN ({IPR} + {OPR}) <> 0 THEN {OPR} / ({IPR} + {OPR}) * 100 ELSE 0.0 END")} AS op_share,
+        round(sum(qty), 4) AS qty, sum(lines) AS lines,
+        (SELECT count(DISTINCT material) FROM bym) AS materials, (SELECT count(*) FROM smf) AS manufacturers,
+        (SELECT count(*) FROM sh) AS hospitals,
+        (SELECT {money('sum(amount_lc)')} FROM fact_consumption) AS internal_cost,
+        (SELECT count(DISTINCT month) FROM sm) AS months FROM st""",
+    "revenue_timeline": GR + f""" SELECT month, round({IPR}, 4) AS ip_revenue, round({OPR}, 4) AS op_revenue,
+        round({IPR} + {OPR}, 4) AS revenue, round({IPR} - {IPC}, 4) AS ip_margin, round({OPR} - {OPC}, 4) AS op_margin,
+        round(({IPR} + {OPR}) - ({IPC} + {OPC}), 4) AS margin FROM sm GROUP BY month""",
+    "revenue_top_hospitals": GR + " " + _top("sh", "hospital", 8),
+    "revenue_top_manufacturers": GR + " " + _top("smf", "manufacturer", 10),
+    "revenue_top_items": GR + ", ti AS (" + _top("bym", "material", 12, "material_desc, material_group,") + ") SELECT * REPLACE ("
+    + clean_category("material_group") + " AS material_group) FROM ti",
+    "revenue_by_category": GR + f""", gc AS (SELECT {clean_category('material_group')} AS g, sum(revenue) AS r, sum(cost) AS c
+            FROM bym GROUP BY 1)
+        SELECT g AS "group", round(r, 4) AS revenue, round(r - c, 4) AS margin,
+               {r6('CASE WHEN r <> 0 THEN (r - c) / r * 100 ELSE 0.0 END')} AS margin_pct FROM gc ORDER BY r DESC, g LIMIT 8""",
+    "revenue_items": GR + f""" SELECT material, material_desc, {clean_category('material_group')} AS "group", revenue,
+        round(revenue - cost, 4) AS margin,
+        {r6('CASE WHEN revenue > 0 THEN (revenue - cost) / revenue * 100 ELSE 0.0 END')} AS margin_pct, qty
+        FROM bym ORDER BY revenue DESC, material LIMIT 400""",
+})

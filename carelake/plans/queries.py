@@ -93,12 +93,19 @@ for _g in sales.GRAINS:
 
 register("sales_by_material_dedup")(lambda l: sales.sales_by_material_dedup(
     sales.sales_grain(_sales_agg(l), "sales_by_material", l.dim_material)))
-register("revenue_totals")(lambda l: sales.revenue_totals(l.sales_line))
-register("revenue_timeline")(lambda l: sales.revenue_timeline(l.sales_line))
-register("revenue_top_hospitals")(lambda l: sales.revenue_top(l.sales_line, "hospital"))
-register("revenue_by_category")(lambda l: sales.revenue_by_category(l.sales_line, l.dim_material))
-register("revenue_items")(lambda l: sales.revenue_items(
-    sales.sales_grain(_sales_agg(l), "sales_by_material", l.dim_material), "revenue"))
+def _grain(l, g):
+    return sales.sales_grain(_sales_agg(l), g, l.dim_material)
+
+
+register("revenue_totals")(lambda l: sales.revenue_totals(
+    _grain(l, "sales_totals"), _grain(l, "sales_by_material"), _grain(l, "sales_by_manufacturer"),
+    _grain(l, "sales_by_hospital"), _grain(l, "sales_monthly"), l.fact_consumption))
+register("revenue_timeline")(lambda l: sales.revenue_timeline(_grain(l, "sales_monthly")))
+register("revenue_top_hospitals")(lambda l: sales.revenue_top(_grain(l, "sales_by_hospital"), "hospital", 8))
+register("revenue_top_manufacturers")(lambda l: sales.revenue_top(_grain(l, "sales_by_manufacturer"), "manufacturer", 10))
+register("revenue_top_items")(lambda l: sales.revenue_top(_grain(l, "sales_by_material"), "material", 12))
+register("revenue_by_category")(lambda l: sales.revenue_by_category(_grain(l, "sales_by_material")))
+register("revenue_items")(lambda l: sales.revenue_items(_grain(l, "sales_by_material"), "revenue"))
 
 # ------------------------------------------------------------------ marts
 def _price_stats(l):
@@ -233,3 +240,41 @@ register("purchase_month_matrix")(lambda l: ip.purchase_month_matrix(kpi.kpi_mon
 register("margin_month_matrix")(lambda l: ip.margin_month_matrix(
     kpi.kpi_monthly_purchase_value(l.fact_po, l.dim_material), l.fact_grn, l.dim_material))
 register("vendor_margin")(lambda l: ip.vendor_margin(l.fact_grn))
+
+# ------------------------------------------------------------------ consumption / forecast / summary insights
+from carelake.operators import insights_consumption as ic  # noqa: E402
+
+
+def _uc(l):
+    return kpi.kpi_units_consumed(l.fact_consumption, l.dim_material)
+
+
+def _dp(l):
+    return kpi.kpi_consumption_by_department(l.fact_consumption, l.dim_costcenter)
+
+
+register("revenue_distribution")(lambda l: ic.revenue_distribution(_uc(l)))
+register("consumption_timeline")(lambda l: ic.consumption_timeline(_uc(l)))
+register("consumption_categories")(lambda l: ic.consumption_categories(_uc(l)))
+register("consumption_departments")(lambda l: ic.consumption_departments(_dp(l)))
+register("units_top")(lambda l: ic.units_top(_uc(l)))
+register("units_month_matrix")(lambda l: ic.units_month_matrix(_uc(l)))
+register("department_pareto")(lambda l: ic.department_pareto(_dp(l)))
+register("forecast_timeline")(lambda l: ic.forecast_timeline(_fs(l), kind="qty"))
+register("reorder_top")(lambda l: ic.reorder_top(_rep(l)))
+register("demand_top_items")(lambda l: ic.demand_top_items(_fs(l), l.dim_material))
+register("demand_categories")(lambda l: ic.demand_categories(_fs(l), l.dim_material))
+register("cashflow_timeline")(lambda l: ic.forecast_timeline(_fs(l), kind="cash", cumulative=True))
+register("cashflow_top_items")(lambda l: ic.cashflow_top_items(_fs(l), l.dim_material))
+register("replenishment_spectrum")(lambda l: ic.replenishment_spectrum(_rep(l)))
+register("reorder_by_category")(lambda l: ic.reorder_by_category(_rep(l)))
+register("aging_ladder")(lambda l: ic.aging_ladder(_rep(l)))
+register("risk_items")(lambda l: ic.risk_items(_rep(l)))
+register("stock_age_mix")(lambda l: ic.stock_age_mix(kpi.kpi_aging_distribution(l.fact_inventory)))
+register("dashboard_summary")(lambda l: ic.dashboard_summary(
+    l.spark, kpi.kpi_stock_value(l.fact_inventory), kpi.kpi_aging_distribution(l.fact_inventory),
+    kpi.kpi_doh(l.fact_inventory, l.fact_consumption), _hs(l), _uc(l),
+    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption), _pv(l), _rep(l), kpi.kpi_near_expiry(l.fact_inventory),
+    kpi.kpi_fill_rate(l.fact_po)))
+register("period_change")(lambda l: ic.period_change(ic.monthly_plant_cost(l.fact_consumption)))
+register("age_card")(lambda l: ic.age_card(l.fact_inventory))
