@@ -278,3 +278,65 @@ register("dashboard_summary")(lambda l: ic.dashboard_summary(
     kpi.kpi_fill_rate(l.fact_po)))
 register("period_change")(lambda l: ic.period_change(ic.monthly_plant_cost(l.fact_consumption)))
 register("age_card")(lambda l: ic.age_card(l.fact_inventory))
+
+# ------------------------------------------------------------------ generic surface (GEN-*)
+from carelake.operators import catalog as cat  # noqa: E402
+from carelake.operators import generic as gen  # noqa: E402
+from carelake.plans.warehouse import Warehouse  # noqa: E402
+from carelake.schemas import PORTFOLIOS, REGISTRY  # noqa: E402
+
+STOCK_CHANGE_CONTRACT = {"year": "year", "month": "period", "material": "materialId", "material_desc": "materialName",
+                         "material_group": "materialGroup", "stock_change": "stockChange"}
+ADHOC_TEXT = ("SELECT vendor_name, sum(vendor_value) AS spend, count(DISTINCT plant) AS plants "
+              "FROM kpi_vendor_volume GROUP BY vendor_name ORDER BY spend DESC")
+
+
+def _adhoc(l):
+    wh = Warehouse(l)
+    gen.register_views({k: wh[k] for k in ("kpi_vendor_volume", "kpi_purchase_value", "dim_material")})
+    return gen.adhoc_sql(l.spark, ADHOC_TEXT)
+
+
+register("gen_query")(lambda l: gen.gen_query(Warehouse(l)["kpi_units_consumed"]))
+register("gen_chart_series")(lambda l: gen.chart_series(Warehouse(l)["kpi_units_consumed"], group_by="year,month"))
+register("gen_summarize")(lambda l: gen.summarize(Warehouse(l)["kpi_stock_value"]))
+register("table_filter")(lambda l: gen.apply_filters(Warehouse(l)["kpi_purchase_value"],
+                                                     [("purchase_value", "1000,"), ("vendor_name", "supplier#0000000")]))
+register("table_global_search")(lambda l: gen.apply_filters(Warehouse(l)["kpi_stock_value"], global_filter="GEAR"))
+register("table_page")(lambda l: gen.paginate(Warehouse(l)["kpi_stock_change"], sort_field="stockChange",
+                                              sort_order="desc", page=1, page_size=25,
+                                              columns=list(STOCK_CHANGE_CONTRACT), rename=STOCK_CHANGE_CONTRACT,
+                                              col_map={v: k for k, v in STOCK_CHANGE_CONTRACT.items()}))
+register("portfolio_summary")(lambda l: gen.portfolio_summary(
+    {k: Warehouse(l)[REGISTRY[k][0]] for k in PORTFOLIOS["procurement"]}, PORTFOLIOS["procurement"]))
+register("adhoc_sql")(_adhoc)
+
+# ------------------------------------------------------------------ analyst catalogue (CAT-*)
+def _wh(l):
+    return Warehouse(l)
+
+
+for _dim in ["manufacturer", "hospital", "category", "material", "month"]:
+    register(f"cat_revenue_{_dim}")(lambda l, _d=_dim: cat.revenue(_wh(l), _d, "revenue", 10))
+
+
+def _cat_proc(l, view, dim):
+    w = _wh(l)
+    return cat.procurement(w["kpi_vendor_volume"], w["kpi_purchase_value"], w["kpi_purchase_by_location"],
+                           l.fact_po, l.fact_grn, view, dim, 10)
+
+
+for _name, _view, _dim in [("vendors", "vendors", "vendor"), ("category", "spend", "category"),
+                           ("location", "spend", "location"), ("month", "spend", "month"),
+                           ("open_po", "open_po", "vendor"), ("savings", "savings", "vendor")]:
+    register(f"cat_procurement_{_name}")(lambda l, _v=_view, _d=_dim: _cat_proc(l, _v, _d))
+for _view in ["stock_value", "doh", "aging", "non_moving", "health"]:
+    register(f"cat_inventory_{_view}")(lambda l, _v=_view: cat.inventory(_wh(l), _v, 10))
+register("cat_expiry")(lambda l: cat.expiry(ii.inventory_expiry(l.fact_inventory, _snap(l))))
+register("cat_stock_risk")(lambda l: cat.stock_risk(_wh(l)["stock_replenishment_and_aging_risk"]))
+register("cat_stock_risk_reorder")(lambda l: cat.stock_risk(_wh(l)["stock_replenishment_and_aging_risk"], "reorder"))
+register("cat_forecast")(lambda l: cat.forecast(_wh(l)["kpi_stock_radar"]))
+register("cat_forecast_fulfillment")(lambda l: cat.forecast_fulfillment(_wh(l)["kpi_fulfillment"]))
+register("cat_overview")(lambda l: cat.overview(l.spark, _wh(l)["sales_totals"], _wh(l)["kpi_stock_value"],
+                                                _wh(l)["kpi_purchase_value"],
+                                                ii.inventory_expiry(l.fact_inventory, _snap(l))))
