@@ -1,6 +1,8 @@
 """Registration of every operator as a named query over the test tables."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from carelake.operators import dims, kpi
 from carelake.plans.registry import register
 
@@ -340,3 +342,62 @@ register("cat_forecast_fulfillment")(lambda l: cat.forecast_fulfillment(_wh(l)["
 register("cat_overview")(lambda l: cat.overview(l.spark, _wh(l)["sales_totals"], _wh(l)["kpi_stock_value"],
                                                 _wh(l)["kpi_purchase_value"],
                                                 ii.inventory_expiry(l.fact_inventory, _snap(l))))
+
+# ------------------------------------------------------------------ re-aimed helpers (RE-*)
+from carelake.operators import reaimed as re_  # noqa: E402
+from carelake.plans.registry import register_raw  # noqa: E402
+from carelake.sources.fixtures import read_table  # noqa: E402
+
+FOOTPRINT_TABLES = ["fact_consumption", "fact_inventory", "fact_grn", "fact_po", "sales_line", "sales_by_material",
+                    "kpi_stock_value", "kpi_units_consumed", "kpi_monthly_purchase_value",
+                    "stock_replenishment_and_aging_risk"]
+PROFILE_TABLES = ["fact_consumption", "fact_inventory", "dim_plant", "dim_sloc", "kpi_stock_value", "kpi_vendor_volume",
+                  "sales_by_hospital"]
+
+
+def _vendor_spend(l):
+    return _wh(l)["kpi_vendor_volume"].groupBy("vendor_name").agg(F.sum("vendor_value").alias("spend"))
+
+
+register("top_n_other")(lambda l: re_.top_n_other(_vendor_spend(l), "vendor_name", "spend", cap=re_.CAT_CAPS["pie"]))
+register("heat_matrix")(lambda l: re_.heat_matrix(_wh(l)["kpi_stock_value"], "material_group", "plant", "stock_value_cost"))
+register("hierarchy_rollup")(lambda l: re_.hierarchy_rollup(_wh(l)["kpi_stock_value"], "material_group", "material",
+                                                            "stock_value_cost"))
+register("box_stats")(lambda l: re_.box_stats(l.fact_grn, "plant", "net_price"))
+register("histogram_bins")(lambda l: re_.histogram_bins(l.fact_grn, "net_price"))
+
+
+def _entity_sources(l):
+    w = _wh(l)
+    return {"item": (w["sales_by_material"], "material_desc", False),
+            "category": (l.dim_material, "material_group", True),
+            "manufacturer": (l.dim_material, "manufacturer_desc", False),
+            "vendor": (l.dim_vendor, "vendor_name", False),
+            "hospital": (w["sales_by_hospital"], "hospital", False)}
+
+
+register("entity_search")(lambda l: re_.entity_search(_entity_sources(l), "e"))
+register("item_footprint")(lambda l: re_.item_footprint(l.dim_material, {t: _wh(l)[t] for t in FOOTPRINT_TABLES}, "gear"))
+register("catalog_profile")(lambda l: re_.catalog_profile(l.spark, {t: _wh(l)[t] for t in PROFILE_TABLES}))
+register("nonzero_fraction")(lambda l: re_.nonzero_fraction(_wh(l)["kpi_stock_value"]))
+
+
+@register_raw("cosine_topk")
+def _cosine(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return re_.cosine_topk(emb, re_.label_exemplars(emb))
+
+
+@register_raw("intent_tags")
+def _intent(spark, sf_dir):
+    return re_.intent_tags(read_table(spark, sf_dir, "conversations"))
+
+
+@register_raw("followup_turns")
+def _followup(spark, sf_dir):
+    return re_.followup_turns(read_table(spark, sf_dir, "conversations"))
+
+
+@register_raw("scope_carry")
+def _scope(spark, sf_dir):
+    return re_.scope_carry(read_table(spark, sf_dir, "conversations"))

@@ -43,6 +43,10 @@ SCHEMAS = {
     "kpi_stock_radar": "struct<plant:string,material_id:string,material_desc:string,material_group:string,closing_stock:double,demand_forecast:double,aging_days:double,aging_risk:string,replenishment_quantity:double,coverage_months:double,radar_status:string>",
     "kpi_aging_risk_forecast": "struct<plant:string,material_id:string,material_desc:string,material_group:string,closing_stock:double,demand_monthly:double,aging_days:double,projected_aging_days:double,will_stagnate:boolean,aging_risk_forecast:string>",
     "forecast_accuracy": "struct<metric:string,value:double>",
+    "sales_totals": "struct<patient_type:string,revenue:double,cost:double,qty:double,lines:bigint>",
+    "sales_monthly": "struct<patient_type:string,month:string,revenue:double,cost:double,qty:double,lines:bigint>",
+    "sales_by_hospital": "struct<hospital:string,revenue:double,cost:double,qty:double,lines:bigint>",
+    "sales_by_manufacturer": "struct<manufacturer:string,revenue:double,cost:double,qty:double,lines:bigint>",
 }
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
