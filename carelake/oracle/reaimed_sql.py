@@ -133,3 +133,41 @@ def _profile_sql() -> str:
 
 
 SQL["catalog_profile"] = _profile_sql()
+
+# ------------------------------------------------------------------ streaming oracles
+from carelake.oracle.sales_sql import SQL as _S  # noqa: E402
+
+SQL["stream_sales_monthly"] = _S["sales_monthly"]
+SQL["stream_daily_totals"] = """SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS events,
+    round(sum(value), 4) AS value_sum, count(*) FILTER (WHERE event_type = 'error') AS errors
+    FROM events GROUP BY 1"""
+
+# ------------------------------------------------------------------ sources (SRC-*)
+Q4, M6 = "DECIMAL(18,4)", "DECIMAL(24,6)"
+SQL["fact_grn"] = "SELECT * FROM fact_grn"
+SQL["fact_po"] = "SELECT * FROM fact_po"
+SQL["src_consumption"] = f"""SELECT * REPLACE (CAST(qty AS {Q4}) AS qty, CAST(amount_lc AS {M6}) AS amount_lc)
+    FROM fact_consumption WHERE mvt = '201' AND posting_date IS NOT NULL AND qty > 0"""
+SQL["src_inventory"] = f"""SELECT * REPLACE (CAST(NULL AS VARCHAR) AS hsn, CAST(qty AS {Q4}) AS qty,
+    CAST(total_cost AS {M6}) AS total_cost, CAST(total_mrp AS {M6}) AS total_mrp,
+    CAST(moving_avg_price AS {M6}) AS moving_avg_price) FROM fact_inventory"""
+SQL["src_grn"] = f"""SELECT * REPLACE (CAST(gr_qty AS {Q4}) AS gr_qty, CAST(base_price AS {M6}) AS base_price,
+    CAST(net_price AS {M6}) AS net_price, CAST(unit_mrp AS {M6}) AS unit_mrp,
+    CAST(total_amount_wo_tax AS {M6}) AS total_amount_wo_tax) FROM fact_grn"""
+SQL["src_po"] = f"""SELECT * REPLACE (CAST(po_qty AS {Q4}) AS po_qty, CAST(open_qty AS {Q4}) AS open_qty,
+    CAST(net_price AS {M6}) AS net_price, CAST(total_value_wo_tax AS {M6}) AS total_value_wo_tax,
+    CAST(total_value_tax AS {M6}) AS total_value_tax) FROM fact_po"""
+SQL["sales_line_loaded"] = f"""SELECT * REPLACE (CAST(qty AS {Q4}) AS qty, CAST(revenue AS {M6}) AS revenue,
+    CAST(cost AS {M6}) AS cost) FROM sales_line"""
+SQL["sales_file_audit"] = """SELECT patient_type, 'ym=' || strftime(sale_date, '%Y-%m') AS source, count(*) AS seen,
+    count(*) AS kept FROM sales_line GROUP BY ALL"""
+SQL["dq_report"] = """SELECT 'fact_consumption_rows' AS metric, count(*) AS value FROM fact_consumption
+    UNION ALL SELECT 'fact_inventory_rows', count(*) FROM fact_inventory
+    UNION ALL SELECT 'fact_grn_rows', count(*) FROM fact_grn
+    UNION ALL SELECT 'fact_po_rows', count(*) FROM fact_po
+    UNION ALL SELECT 'dim_plant_count', count(*) FROM dim_plant
+    UNION ALL SELECT 'dim_material_count', count(*) FROM dim_material
+    UNION ALL SELECT 'dim_vendor_count', count(*) FROM dim_vendor
+    UNION ALL SELECT 'dim_costcenter_count', count(*) FROM dim_costcenter
+    UNION ALL SELECT 'consumption_rows_' || strftime(posting_date, '%Y-%m'), count(*) FROM fact_consumption GROUP BY 1
+    UNION ALL SELECT 'months_with_consumption', count(DISTINCT strftime(posting_date, '%Y-%m')) FROM fact_consumption"""

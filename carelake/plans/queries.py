@@ -401,3 +401,64 @@ def _followup(spark, sf_dir):
 @register_raw("scope_carry")
 def _scope(spark, sf_dir):
     return re_.scope_carry(read_table(spark, sf_dir, "conversations"))
+
+# ------------------------------------------------------------------ streaming (STR-*)
+from carelake.streaming import incremental as stream  # noqa: E402
+
+register("stream_sales_monthly")(lambda l: stream.stream_sales_monthly(l.spark, l.sales_line))
+
+
+@register_raw("stream_daily_totals")
+def _daily(spark, sf_dir):
+    return stream.stream_daily_totals(spark, read_table(spark, sf_dir, "events"))
+
+# ------------------------------------------------------------------ raw-extract loaders (SRC-*)
+from carelake.sources import landing, loaders  # noqa: E402
+from carelake.streaming.incremental import work_dir  # noqa: E402
+
+register("fact_grn")(lambda l: l.fact_grn)
+register("fact_po")(lambda l: l.fact_po)
+
+
+def _land_and_load(l, name, extract, loader, partition_by=None):
+    path = landing.write_csv(extract(getattr(l, name)), work_dir(l.spark, f"raw-{name}"), partition_by)
+    raw = loaders.read_raw(l.spark, path)
+    return loader(raw.drop(partition_by) if partition_by else raw)
+
+
+register("src_consumption")(lambda l: _land_and_load(l, "fact_consumption", landing.consumption_extract,
+                                                     loaders.load_consumption))
+register("src_inventory")(lambda l: _land_and_load(l, "fact_inventory", landing.inventory_extract, loaders.load_inventory))
+register("src_grn")(lambda l: _land_and_load(l, "fact_grn", landing.grn_extract, loaders.load_grn, "ym"))
+register("src_po")(lambda l: _land_and_load(l, "fact_po", landing.po_extract, loaders.load_po, "ym"))
+
+
+def _sales_landing(l):
+    """IP / OP sales files with drifting headers + one file lacking a required column."""
+    base = work_dir(l.spark, "raw-sales")
+    ip = l.sales_line.where(F.col("patient_type") == "IP")
+    op = l.sales_line.where(F.col("patient_type") == "OP")
+    landing.write_csv(landing.sales_extract(ip, landing.IP_HEADERS, "yyyy-MM-dd HH:mm:ss"), f"{base}/ip", "ym")
+    landing.write_csv(landing.sales_extract(op, landing.OP_HEADERS, "dd.MM.yyyy"), f"{base}/op", "ym")
+    landing.write_csv(landing.sales_extract(op, landing.OP_HEADERS, "dd.MM.yyyy").drop("TOTALMRP"), f"{base}/op_bad")
+    files = [("IP", f"{base}/ip"), ("OP", f"{base}/op"), ("OP", f"{base}/op_bad")]
+    raw, skipped = sales.read_sales_files(l.spark, files)
+    return raw, skipped
+
+
+def _window_of(l):
+    s = history_slots(l.history_end, l.history_months)
+    import datetime as _dt
+    return s[0], l.snapshot_date if l.snapshot_date >= s[-1] else _dt.date(s[-1].year, s[-1].month, 28)
+
+
+register("sales_line_loaded")(lambda l: sales.canonical_sales_lines(_sales_landing(l)[0], _window_of(l)))
+register("sales_file_audit")(lambda l: sales.sales_file_audit(_sales_landing(l)[0], _window_of(l), by="folder"))
+
+from carelake.sources.quality import dq_report  # noqa: E402
+
+register("dq_report")(lambda l: dq_report(
+    {"fact_consumption": l.fact_consumption, "fact_inventory": l.fact_inventory, "fact_grn": l.fact_grn,
+     "fact_po": l.fact_po},
+    {"dim_plant": l.dim_plant, "dim_material": l.dim_material, "dim_vendor": l.dim_vendor,
+     "dim_costcenter": l.dim_costcenter}, l.fact_consumption))
