@@ -18,7 +18,9 @@ class Warehouse(Mapping):
         l = lake
         rep = lambda: fc.replenishment(l.fact_inventory, l.fact_consumption, l.fact_grn, l.dim_material,
                                        l.history_end, l.history_months, l.horizon)
-        matrix = lambda: fc.demand_matrix(l.fact_consumption, l.history_end, l.history_months)
+        self.matrix = None
+        matrix = lambda: (self.matrix if self.matrix is not None
+                          else fc.demand_matrix(l.fact_consumption, l.history_end, l.history_months))
         agg = lambda: sales.sales_aggregates(l.sales_line)
         self._builders = {
             "fact_consumption": lambda: l.fact_consumption, "fact_inventory": lambda: l.fact_inventory,

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.functions.expr import calendar_columns
+from carelake.schemas import SCHEMAS, columns_of
 
 # Fixed values of the fixture derivation (FIXTURES.md section 3).
 SNAPSHOT_DATE = _dt.date(2001, 5, 31)
@@ -255,7 +256,13 @@ class Lake:
     def from_curated(cls, spark: SparkSession, curated_dir: str, **params) -> "Lake":
         names = ["fact_consumption", "fact_inventory", "fact_grn", "fact_po", "sales_line"]
         lake = cls(spark, **params)
-        lake.tables = {n: spark.read.parquet(f"{curated_dir.rstrip('/')}/{n}") for n in names}
+        base = curated_dir.rstrip("/")
+        # partition columns come back last and as INT; restore the contract column order
+        order = {n: [c for c, _ in columns_of(n)] for n in names if n in SCHEMAS}
+        lake.tables = {}
+        for n in names:
+            df = spark.read.parquet(f"{base}/{n}")
+            lake.tables[n] = df.select(*order[n]) if n in order else df
         return lake
 
     def __getattr__(self, name):
