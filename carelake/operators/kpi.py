@@ -74,9 +74,13 @@ def kpi_inventory_aging(inv: DataFrame, cons: DataFrame) -> DataFrame:
     a2 = (inv.groupBy(*KEY4)
              .agg(money(F.sum("qty")).alias("closing_stock_quantity"),
                   money(F.sum("total_cost")).alias("closing_stock_value"),
-                  r6(_weighted_age(inv)).alias("aging_days")))
-    return (a2.join(last_sale(cons), "material", "left")
-              .join(last_purchase(inv), "material", "left")
+                  r6(_weighted_age(inv)).alias("aging_days"),
+                  F.max("grn_date").alias("_lp")))
+    # last receipt per material across plants: a window over the aggregated rows instead
+    # of a second inventory scan (NULL material never matches, as in a keyed lookup)
+    lp = F.when(F.col("material").isNotNull(), F.max("_lp").over(Window.partitionBy("material")))
+    return (a2.withColumn("last_purchase_date", lp).drop("_lp")
+              .join(last_sale(cons), "material", "left")
               .withColumn("age_since_last_sale_days", F.datediff(snap, "last_sale_date"))
               .withColumn("age_since_last_purchase_days", F.datediff(snap, "last_purchase_date"))
               .withColumn("aging_category", aging_bucket("aging_days")))

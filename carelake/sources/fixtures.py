@@ -57,8 +57,10 @@ def base_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "nation").where(F.col("n_nationkey") < N_PLANTS).select(
         "n_nationkey", "n_name")
 
-    line = (li.join(o, li.l_orderkey == o.o_orderkey)
-              .join(c, o.o_custkey == c.c_custkey)
+    # orders x customer first (shuffled by customer key), then ONE shuffle of lineitem by
+    # order key: the largest table crosses the network once.
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    line = (li.join(oc, li.l_orderkey == oc.o_orderkey)
               .join(F.broadcast(p), p.p_partkey == li.l_partkey % N_MATERIALS)
               .join(F.broadcast(s), s.s_suppkey == li.l_suppkey % N_VENDORS)
               .join(F.broadcast(n), n.n_nationkey == c.c_nationkey % N_PLANTS))
