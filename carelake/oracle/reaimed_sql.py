@@ -171,3 +171,13 @@ SQL["dq_report"] = """SELECT 'fact_consumption_rows' AS metric, count(*) AS valu
     UNION ALL SELECT 'dim_costcenter_count', count(*) FROM dim_costcenter
     UNION ALL SELECT 'consumption_rows_' || strftime(posting_date, '%Y-%m'), count(*) FROM fact_consumption GROUP BY 1
     UNION ALL SELECT 'months_with_consumption', count(DISTINCT strftime(posting_date, '%Y-%m')) FROM fact_consumption"""
+
+# ------------------------------------------------------------------ DIM-07 / SQL-02
+SQL["material_options"] = "SELECT material, material_desc, material_group FROM dim_material"
+SQL["group_options"] = """SELECT DISTINCT material_group FROM dim_material
+    WHERE material_group IS NOT NULL AND material_group NOT IN ('nan', '')"""
+SQL["vendor_options"] = VV + """ SELECT DISTINCT vendor_name FROM vv
+    WHERE vendor_name IS NOT NULL AND vendor_name NOT IN ('nan', '')"""
+SQL["sql_top_manufacturers"] = GR + """ SELECT manufacturer, revenue, round(revenue - cost, 4) AS margin,
+    round(CASE WHEN revenue > 0 THEN (revenue - cost) / revenue * 100 END, 6) AS margin_pct
+    FROM smf ORDER BY revenue DESC, manufacturer LIMIT 10"""

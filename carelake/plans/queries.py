@@ -462,3 +462,9 @@ register("dq_report")(lambda l: dq_report(
      "fact_po": l.fact_po},
     {"dim_plant": l.dim_plant, "dim_material": l.dim_material, "dim_vendor": l.dim_vendor,
      "dim_costcenter": l.dim_costcenter}, l.fact_consumption))
+
+# ------------------------------------------------------------------ option lists (DIM-07) and SQL-02
+register("material_options")(lambda l: dims.material_options(l.dim_material))
+register("group_options")(lambda l: dims.group_options(l.dim_material))
+register("vendor_options")(lambda l: dims.vendor_options(kpi.kpi_vendor_volume(l.fact_po)))
+register("sql_top_manufacturers")(lambda l: cb.top_manufacturers(_grain(l, "sales_by_manufacturer")))
