@@ -32,16 +32,16 @@ INV_ATTRS = ["material_desc", "material_group", "major_group_desc", "minor_group
 
 def dim_material(inventory: DataFrame, consumption: DataFrame) -> DataFrame:
     """DIM-02: consumption descriptions outer-joined to inventory attributes."""
-    inv = (inventory.where(F.col("material").isNotNull())
-                    .groupBy("material")
-                    .agg(F.min(F.struct(*INV_ATTRS)).alias("a"))
-                    .select("material", *[F.col(f"a.{x}").alias(x if x != "material_desc" else "desc_inv")
-                                          for x in INV_ATTRS]))
-    cons = (consumption.where(F.col("material").isNotNull())
-                       .groupBy("material").agg(F.min("material_desc").alias("desc_cons")))
-    return (cons.join(inv, "material", "full_outer")
-                .select("material", F.coalesce("desc_cons", "desc_inv").alias("material_desc"),
-                        *[x for x in INV_ATTRS if x != "material_desc"]))
+    attrs = F.struct(*INV_ATTRS)
+    none_attrs = F.lit(None).cast(inventory.select(attrs.alias("a")).schema["a"].dataType)
+    # outer join of the two sources as union + ONE groupBy (min ignores the other side's NULLs)
+    both = (consumption.where(F.col("material").isNotNull())
+                       .select("material", F.col("material_desc").alias("desc_cons"), none_attrs.alias("a"))
+            .unionByName(inventory.where(F.col("material").isNotNull())
+                                  .select("material", F.lit(None).cast("string").alias("desc_cons"), attrs.alias("a"))))
+    g = both.groupBy("material").agg(F.min("desc_cons").alias("desc_cons"), F.min("a").alias("a"))
+    return g.select("material", F.coalesce("desc_cons", F.col("a.material_desc")).alias("material_desc"),
+                    *[F.col(f"a.{x}").alias(x) for x in INV_ATTRS if x != "material_desc"])
 
 
 def dim_sloc(inventory: DataFrame) -> DataFrame:

@@ -176,13 +176,13 @@ def kpi_near_expiry(inv: DataFrame) -> DataFrame:
 def kpi_stock_change(grn: DataFrame, cons: DataFrame, dim_material: DataFrame) -> DataFrame:
     """KPI-A6: inflow (GRN) - outflow (consumption) per plant x material x month."""
     k = ["plant", "material", "year", "month"]
-    inflow = grn.groupBy(*k).agg(F.sum("gr_qty").alias("inflow")).alias("i")
-    outflow = cons.groupBy(*k).agg(F.sum("qty").alias("outflow")).alias("o")
-    # null-safe full outer join: NULL keys (capex lines) keep their own rows
-    m = inflow.join(outflow, [F.col(f"i.{x}").eqNullSafe(F.col(f"o.{x}")) for x in k], "full_outer").select(
-        *[F.coalesce(F.col(f"i.{x}"), F.col(f"o.{x}")).alias(x) for x in k],
-        F.coalesce("inflow", F.lit(0)).alias("inflow"),
-        F.coalesce("outflow", F.lit(0)).alias("outflow"))
+    # JON-04 as union + ONE groupBy: identical to a full outer join of the two per-key sums
+    # with missing sides = 0, NULL keys (capex lines) group together, and a single shuffle
+    # replaces two aggregations plus a null-safe join (which would re-shuffle both sides).
+    zero = F.lit(0).cast("decimal(12,2)")
+    flows = (grn.select(*k, F.col("gr_qty").alias("inflow"), zero.alias("outflow"))
+                .unionByName(cons.select(*k, zero.alias("inflow"), F.col("qty").alias("outflow"))))
+    m = flows.groupBy(*k).agg(F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"))
     meta = material_meta(dim_material)
     return (m.join(meta, "material", "left")
              .select("year", "month", "plant", "material", "material_desc",

@@ -13,9 +13,26 @@ from carelake.sources.fixtures import Lake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+# Serving mode (opt-in): the curated facts of a table folder are derived once per session and
+# persisted (MEMORY_AND_DISK, lineage kept), like a warehouse serving many queries from
+# one curated layer. Off by default: each query then derives its inputs from the tables.
+_SERVING: dict = {"on": False, "lakes": {}}
+
+
+def serving_mode(on: bool = True) -> None:
+    _SERVING["on"] = on
+
 
 def lake_of(spark: SparkSession, sf_dir: str) -> Lake:
-    return Lake.from_testdata(spark, sf_dir)
+    if not _SERVING["on"]:
+        return Lake.from_testdata(spark, sf_dir)
+    key = (id(spark), sf_dir)
+    if key not in _SERVING["lakes"]:
+        from pyspark import StorageLevel
+        lake = Lake.from_testdata(spark, sf_dir)
+        lake.tables = {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in lake.tables.items()}
+        _SERVING["lakes"][key] = lake
+    return _SERVING["lakes"][key]
 
 
 def register(name: str):
