@@ -468,3 +468,23 @@ register("material_options")(lambda l: dims.material_options(l.dim_material))
 register("group_options")(lambda l: dims.group_options(l.dim_material))
 register("vendor_options")(lambda l: dims.vendor_options(kpi.kpi_vendor_volume(l.fact_po)))
 register("sql_top_manufacturers")(lambda l: cb.top_manufacturers(_grain(l, "sales_by_manufacturer")))
+
+# ------------------------------------------------------------------ remaining insight sub-blocks
+from carelake.operators import insights_extra as ix  # noqa: E402
+
+register("valuation_totals")(lambda l: ix.valuation_totals(l.fact_inventory))
+register("doh_totals")(lambda l: ix.doh_totals(ii._doh_frame(*_doh2(l), None)))
+register("health_totals")(lambda l: ix.health_totals(_hs(l)))
+register("non_moving_categories")(lambda l: ix.group_value_top(
+    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption), "closing_stock_value", 12, qty="closing_stock_quantity"))
+register("risk_categories")(lambda l: ix.group_value_top(
+    kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption), "closing_stock_value", 10,
+    where=F.col("risk_level") == "High"))
+register("near_expiry_categories")(lambda l: ix.group_value_top(kpi.kpi_near_expiry(l.fact_inventory), "total_cost", 10))
+register("lead_time_totals")(lambda l: ix.lead_time_totals(kpi.kpi_vendor_lead_time(l.fact_grn)))
+register("purchase_top_skus")(lambda l: ix.purchase_top_skus(kpi.kpi_monthly_purchase_value(l.fact_po, l.dim_material)))
+register("consumption_totals")(lambda l: ix.consumption_totals(_uc(l), _dp(l)))
+register("units_scatter")(lambda l: ix.units_scatter(_uc(l)))
+register("department_month_matrix")(lambda l: ix.department_month_matrix(_dp(l)))
+register("forecast_status_counts")(lambda l: ix.forecast_status_counts(
+    _wh(l)["kpi_stock_radar"], _wh(l)["kpi_aging_risk_forecast"]))
