@@ -83,7 +83,10 @@ def kpi_inventory_aging(inv: DataFrame, cons: DataFrame) -> DataFrame:
               .join(last_sale(cons), "material", "left")
               .withColumn("age_since_last_sale_days", F.datediff(snap, "last_sale_date"))
               .withColumn("age_since_last_purchase_days", F.datediff(snap, "last_purchase_date"))
-              .withColumn("aging_category", aging_bucket("aging_days")))
+              .withColumn("aging_category", aging_bucket("aging_days"))
+              .select(*KEY4, "closing_stock_quantity", "closing_stock_value", "aging_days", "last_sale_date",
+                      "last_purchase_date", "age_since_last_sale_days", "age_since_last_purchase_days",
+                      "aging_category"))
 
 
 def _cons_by(cons: DataFrame, measure: str, alias: str) -> DataFrame:

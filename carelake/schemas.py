@@ -19,7 +19,7 @@ SCHEMAS = {
     "dim_costcenter": "struct<cost_ctr:string,department_name:string>",
     "kpi_stock_value": "struct<plant:string,material:string,material_desc:string,material_group:string,stock_qty:double,stock_value_cost:double,stock_value_mrp:double>",
     "kpi_aging_distribution": "struct<plant:string,material_group:string,aging_bucket:string,stock_value:double,stock_qty:double,sku_count:bigint>",
-    "kpi_inventory_aging": "struct<material:string,plant:string,material_desc:string,material_group:string,closing_stock_quantity:double,closing_stock_value:double,aging_days:double,last_sale_date:date,last_purchase_date:date,age_since_last_sale_days:int,age_since_last_purchase_days:int,aging_category:string>",
+    "kpi_inventory_aging": "struct<plant:string,material:string,material_desc:string,material_group:string,closing_stock_quantity:double,closing_stock_value:double,aging_days:double,last_sale_date:date,last_purchase_date:date,age_since_last_sale_days:int,age_since_last_purchase_days:int,aging_category:string>",
     "kpi_doh": "struct<plant:string,material:string,material_desc:string,material_group:string,stock_qty:double,consumption_qty:double,avg_daily_consumption:double,doh_days:double>",
     "kpi_health_score": "struct<plant:string,material:string,material_desc:string,material_group:string,closing_stock_value:double,aging_days:double,consumption_cost:double,turnover_annualized:double,health_score:double,health_tier:string>",
     "kpi_non_moving": "struct<plant:string,material:string,material_desc:string,material_group:string,closing_stock_quantity:double,closing_stock_value:double,aging_days:double,last_sale_date:date,reason:string>",

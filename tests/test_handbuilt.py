@@ -138,3 +138,44 @@ def test_adhoc_sql_is_read_only(spark):
     with pytest.raises(ValueError):
         gen.adhoc_sql(spark, "SELECT 1; SELECT 2")
     assert gen.adhoc_sql(spark, "SELECT 1 AS one", cap=5).first().one == 1
+
+
+def test_reserved_word_aliasing_and_views(spark):
+    df = spark.createDataFrame([("a", "g", 1)], "desc string, group string, `2024` int")
+    out = gen.safe_columns(df)
+    assert out.columns == ["material_desc", "material_group", "c_2024"]
+    assert gen.register_views({"ok_table": df, "bad-name": df}) == ["ok_table"]
+    assert spark.sql("SELECT material_group FROM ok_table").first()[0] == "g"
+
+
+def test_clean_output_nan_and_dates(spark):
+    df = spark.createDataFrame([(float("nan"), 1.234567, dt.date(2026, 5, 31))], "a double, b double, d date")
+    r = gen.clean_output(df).first()
+    assert r.a is None and r.b == 1.2346 and r.d == "2026-05-31"
+
+
+def test_resolve_plant(spark):
+    dp = spark.createDataFrame([("P01", "City Hospital"), ("P02", "P02")], "plant string, plant_name string")
+    assert gen.resolve_plant(dp, "City Hospital") == "P01"
+    assert gen.resolve_plant(dp, "P02") == "P02"
+    assert gen.resolve_plant(dp, "ALL") is None and gen.resolve_plant(dp, "unknown") is None
+
+
+def test_contract_and_chart_series(spark):
+    df = spark.createDataFrame([(2026, "May", "m1", 2.0), (2026, "April", "m1", 3.0), (2026, "May", "m2", 6.0)],
+                               "year int, month string, material string, units double")
+    c = gen.contract(df, ["year", "month", "units"], {"month": "period"}, {"src": "kpi"})
+    assert c.columns == ["year", "period", "units"]
+    cs = gen.chart_series(df, group_by="year,month").collect()
+    assert [(r.month, r.units) for r in cs] == [("April", 3.0), ("May", 8.0)]
+    top = gen.chart_series(df, group_by="material", measures="units", top=1).collect()
+    assert [(r.material, r.units) for r in top] == [("m2", 6.0)]
+
+
+def test_curated_partition_pruning(spark, lake, tmp_path):
+    from carelake.plans.pipeline import write_table
+    out = str(tmp_path / "fc")
+    write_table(lake.fact_consumption, out, ["year", "month_num"])
+    plan = spark.read.parquet(out).where((F.col("year") == 2001) & (F.col("month_num") == 3))._jdf \
+        .queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month_num" in plan
