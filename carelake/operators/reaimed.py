@@ -204,10 +204,12 @@ def cosine_topk(emb: DataFrame, exemplars: DataFrame, vec: str = "embedding", ke
     before it is shipped as ONE array via a scalar subquery; rows are then scored
     locally with higher-order functions - no join, no pair explosion.
     """
-    n = exemplars.count()
-    if n > max_exemplars:
-        raise ValueError(f"{n} exemplars exceed the broadcast bound {max_exemplars}")
-    ex = exemplars.select(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))).scalar()
+    # one scalar subquery builds the exemplar array; its size is checked in the same plan
+    # (raise_error) so the exemplars are computed once and never shipped past the bound
+    arr = F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))
+    ex = exemplars.select(F.when(F.size(arr) <= max_exemplars, arr)
+                          .otherwise(F.raise_error(F.lit(f"exemplar set exceeds the broadcast bound {max_exemplars}")))
+                          ).scalar()
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
