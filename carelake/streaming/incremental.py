@@ -48,6 +48,19 @@ def run_available_now(stream: DataFrame, out_path: str, ckpt_path: str, mode: st
 
 
 # ------------------------------------------------------------------ STR-01
+def sales_monthly_query(spark: SparkSession, landing: str, schema, files_per_trigger: int = 2) -> DataFrame:
+    """The streaming aggregate over a sales landing folder (patient x 'YYYY-MM')."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+                 .groupBy("patient_type", F.col("ym").alias("month"))
+                 .agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"), F.sum("qty").alias("qty"),
+                      F.count(F.lit(1)).alias("lines")))
+
+
+def read_sales_result(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).select("patient_type", "month", money("revenue").alias("revenue"),
+                                          money("cost").alias("cost"), money("qty").alias("qty"), "lines")
+
+
 def stream_sales_monthly(spark: SparkSession, sales_line: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     """STR-01: sales lines arrive as monthly files; patient x month aggregates are kept
     incrementally. The result equals the batch SAL-02 ``sales_monthly`` grain."""
@@ -55,14 +68,10 @@ def stream_sales_monthly(spark: SparkSession, sales_line: DataFrame, files_per_t
     landing = f"{base}/landing"
     land_files(sales_line.withColumn("ym", F.date_format("sale_date", "yyyy-MM")), landing, "ym")
     schema = spark.read.parquet(landing).schema
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
-              .groupBy("patient_type", F.col("ym").alias("month"))
-              .agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost"), F.sum("qty").alias("qty"),
-                   F.count(F.lit(1)).alias("lines")))
     out = f"{base}/result"
-    run_available_now(s, out, f"{base}/_checkpoint", "complete")
-    return spark.read.parquet(out).select("patient_type", "month", money("revenue").alias("revenue"),
-                                          money("cost").alias("cost"), money("qty").alias("qty"), "lines")
+    run_available_now(sales_monthly_query(spark, landing, schema, files_per_trigger), out,
+                      f"{base}/_checkpoint", "complete")
+    return read_sales_result(spark, out)
 
 
 # ------------------------------------------------------------------ STR-02
