@@ -239,6 +239,15 @@ def left_closed_band(x, edges: list, labels: list) -> Column:
     return expr
 
 
+DATE_LABELS = {"month": "MMM", "month_year": "MMM yyyy", "day": "dd MMM yyyy", "short": "MM/dd/yy",
+               "month_yy": "MMM yy"}
+
+
+def date_label(d, style: str = "month") -> Column:
+    """COL-31: date labels 'Jun', 'Jun 2026', '05 Jun 2026', '06/01/26' (and 'Jun 26')."""
+    return F.date_format(c(d), DATE_LABELS[style])
+
+
 def is_capex(doc_type, material) -> Column:
     """COL-32: capital/service document type, or a line without material."""
     return F.coalesce(c(doc_type).isin(CAPEX_DOC_TYPES), F.lit(False)) | c(material).isNull()

@@ -155,3 +155,19 @@ def load_po(raw: DataFrame) -> DataFrame:
 def read_card_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-12: small CSV card sources with an explicit schema."""
     return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """SRC-07: sorted file listing for a glob on any Hadoop file system (metadata only)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stats = fs.globStatus(path) or []
+    return sorted(str(st.getPath().toString()) for st in stats if st.isFile())
+
+
+def sales_sources(spark: SparkSession, root: str, ip_dir: str = "IP Sales", op_dir: str = "OP Sales",
+                  ext: str = "csv") -> list[tuple[str, str]]:
+    """SRC-07: (patient type, file) pairs - patient type taken from the folder name."""
+    out = [("IP", f) for f in list_files(spark, f"{root.rstrip('/')}/{ip_dir}/*.{ext}")]
+    return out + [("OP", f) for f in list_files(spark, f"{root.rstrip('/')}/{op_dir}/*.{ext}")]

@@ -179,3 +179,20 @@ def test_curated_partition_pruning(spark, lake, tmp_path):
     plan = spark.read.parquet(out).where((F.col("year") == 2001) & (F.col("month_num") == 3))._jdf \
         .queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "month_num" in plan
+
+
+def test_sorted_listing_and_patient_from_path(spark, tmp_path):
+    from carelake.sources.loaders import sales_sources
+    for d, names in (("IP Sales", ["b.csv", "a.csv"]), ("OP Sales", ["c.csv"])):
+        (tmp_path / d).mkdir()
+        for n in names:
+            (tmp_path / d / n).write_text("x\n1\n")
+    got = [(p, f.rsplit("/", 1)[-1]) for p, f in sales_sources(spark, str(tmp_path))]
+    assert got == [("IP", "a.csv"), ("IP", "b.csv"), ("OP", "c.csv")]
+
+
+def test_date_labels(spark):
+    from carelake.functions.expr import date_label
+    df = spark.createDataFrame([(dt.date(2026, 6, 5),)], "d date")
+    r = df.select(*[date_label("d", s).alias(s) for s in ("month", "month_year", "day", "short")]).first()
+    assert (r.month, r.month_year, r.day, r.short) == ("Jun", "Jun 2026", "05 Jun 2026", "06/05/26")
