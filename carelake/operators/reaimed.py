@@ -54,7 +54,7 @@ def heat_matrix(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
 def hierarchy_rollup(df: DataFrame, parent: str, leaf: str, value: str) -> DataFrame:
     """RE-03: parent and leaf totals in one pass (ROLLUP + grouping_id)."""
     return (df.rollup(parent, leaf)
-              .agg(F.round(F.sum(value), 4).alias(value), F.grouping_id(parent, leaf).alias("level")))
+              .agg(F.round(F.sum(value), 4).alias(value), F.grouping_id(parent, leaf).cast("int").alias("level")))
 
 
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:

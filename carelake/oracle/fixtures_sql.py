@@ -25,7 +25,7 @@ line AS (
 ),
 fact_consumption AS (
   SELECT material_code AS material, p_name AS material_desc, plant, sloc, '201' AS mvt,
-         'CC' || CAST(o_custkey % 40 AS VARCHAR) AS cost_ctr, q AS qty, q * net_price AS amount_lc,
+         'CC' || CAST(o_custkey % 40 AS VARCHAR) AS cost_ctr, q AS qty, CAST(q * net_price AS DECIMAL(24,6)) AS amount_lc,
          'EA' AS uom, sdate AS posting_date, CAST(year(sdate) AS INTEGER) AS year,
          CAST(month(sdate) AS INTEGER) AS month_num, strftime(sdate, '%B') AS month
   FROM line
@@ -40,7 +40,7 @@ fact_grn AS (
          CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS gr_no,
          q AS gr_qty, CAST(mrp_base AS DECIMAL(18,4)) AS base_price, net_price,
          CAST(CASE WHEN l_tax > 0.02 THEN mrp_base * 1.25 ELSE 0 END AS DECIMAL(18,4)) AS unit_mrp,
-         q * net_price AS total_amount_wo_tax,
+         CAST(q * net_price AS DECIMAL(24,6)) AS total_amount_wo_tax,
          CAST(date_diff('day', odate, sdate) AS INTEGER) AS po_to_gr_tat,
          CAST(date_diff('day', odate, sdate) + l_linenumber AS INTEGER) AS pr_to_gr_tat,
          CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS major_group,
@@ -59,7 +59,8 @@ fact_po AS (
          CAST(CASE WHEN o_orderstatus = 'O' THEN q
                    WHEN o_orderstatus = 'P' THEN CAST(floor(q / 4) AS DECIMAL(12,2))
                    ELSE 0 END AS DECIMAL(12,2)) AS open_qty,
-         net_price, q * net_price AS total_value_wo_tax, q * net_price * 1.12 AS total_value_tax,
+         net_price, CAST(q * net_price AS DECIMAL(24,6)) AS total_value_wo_tax,
+         CAST(CAST(q * net_price AS DECIMAL(24,6)) * 1.12 AS DECIMAL(26,8)) AS total_value_tax,
          CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS major_group,
          p_type AS minor_group, odate AS po_date, odate + 14 AS delivery_date,
          odate AS posting_date, CAST(year(odate) AS INTEGER) AS year,
@@ -72,7 +73,8 @@ fact_inventory AS (
          material_code AS material, p_name AS material_desc,
          'HSN' || CAST(p_partkey % 50 AS VARCHAR) AS hsn,
          CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS batch,
-         q AS qty, 'EA' AS uom, q * net_price AS total_cost, q * mrp_base * 1.25 AS total_mrp,
+         q AS qty, 'EA' AS uom, CAST(q * net_price AS DECIMAL(24,6)) AS total_cost,
+         CAST(q * mrp_base * 1.25 AS DECIMAL(24,6)) AS total_mrp,
          net_price AS moving_avg_price,
          CAST(date_diff('day', sdate, DATE '2001-05-31') AS INTEGER) AS aging_days,
          p_brand AS manufacturer_desc, string_split(p_name, ' ')[-1] AS generic_name,
@@ -87,7 +89,7 @@ fact_inventory AS (
 ),
 sales_line AS (
   SELECT sdate AS sale_date, material_code AS material, p_name AS material_desc, q AS qty,
-         q * mrp_base * 1.25 AS revenue, q * net_price AS cost, p_brand AS manufacturer,
+         CAST(q * mrp_base * 1.25 AS DECIMAL(24,6)) AS revenue, CAST(q * net_price AS DECIMAL(24,6)) AS cost, p_brand AS manufacturer,
          plant AS hospital, CASE WHEN l_returnflag = 'A' THEN 'IP' ELSE 'OP' END AS patient_type,
          CAST(year(sdate) AS INTEGER) AS year, CAST(month(sdate) AS INTEGER) AS month_num,
          strftime(sdate, '%B') AS month

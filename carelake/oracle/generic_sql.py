@@ -64,7 +64,7 @@ SQL = {
     "cat_revenue_month": GR + f""", c AS (SELECT month, round(sum(revenue), 4) AS revenue, round(sum(cost), 4) AS cost,
             round(sum(qty), 4) AS qty FROM sm GROUP BY month)
         SELECT strftime(CAST(month || '-01' AS DATE), '%b %y') AS name, month, {MARGINS} FROM c""",
-    "cat_procurement_vendors": VV + f""", v AS (SELECT vendor_name, sum(vendor_value) AS s, sum(po_lines) AS po_lines FROM vv GROUP BY 1)
+    "cat_procurement_vendors": VV + f""", v AS (SELECT vendor_name, sum(vendor_value) AS s, CAST(sum(po_lines) AS BIGINT) AS po_lines FROM vv GROUP BY 1)
         SELECT vendor_name AS name, round(s, 4) AS spend,
                {r6('CASE WHEN (SELECT sum(vendor_value) FROM vv) > 0 THEN s / (SELECT sum(vendor_value) FROM vv) * 100 ELSE 0.0 END')} AS share_pct,
                po_lines FROM v ORDER BY s DESC, vendor_name NULLS LAST LIMIT 10""",
@@ -86,7 +86,7 @@ SQL = {
         g2 AS (SELECT *, CASE WHEN daily > 0 THEN q / daily END AS doh FROM g WHERE daily > 0)
         SELECT name, round_even(doh, 1) AS doh_days FROM g2 ORDER BY doh DESC, name LIMIT 10""",
     "cat_inventory_aging": as_cte("ad", K["kpi_aging_distribution"]) + """ SELECT aging_bucket AS name,
-        round(sum(stock_value), 4) AS value, sum(sku_count) AS skus,
+        round(sum(stock_value), 4) AS value, CAST(sum(sku_count) AS BIGINT) AS skus,
         CASE aging_bucket WHEN '0-30' THEN 0 WHEN '31-90' THEN 1 WHEN '91-180' THEN 2 WHEN '181-365' THEN 3
                           WHEN '365+' THEN 4 ELSE 5 END AS ord FROM ad GROUP BY aging_bucket""",
     "cat_inventory_non_moving": as_cte("nm", K["kpi_non_moving"]) + """ SELECT material_desc AS name,

@@ -17,7 +17,7 @@ vt AS (SELECT year, month, ord, round(value, 4) AS value,
               round(CASE WHEN prev IS NULL THEN 0.0 ELSE value - prev END, 4) AS delta,
               round(CASE WHEN prev IS NULL OR prev = 0 THEN 0.0 ELSE (value - prev) / prev * 100 END, 6) AS pct,
               prev IS NULL AS first FROM vt0)"""
-VS = """vg AS (SELECT vendor_name, sum(vendor_value) AS value, sum(po_lines) AS lines, sum(vendor_qty) AS qty FROM vv
+VS = """vg AS (SELECT vendor_name, sum(vendor_value) AS value, CAST(sum(po_lines) AS BIGINT) AS lines, sum(vendor_qty) AS qty FROM vv
            WHERE vendor_name IS NOT NULL GROUP BY 1),
 vs0 AS (SELECT *, CASE WHEN sum(value) OVER () > 0 THEN value / sum(value) OVER () * 100 ELSE 0.0 END AS share,
                row_number() OVER (ORDER BY value DESC, vendor_name) AS rk FROM vg),
@@ -47,7 +47,7 @@ SQL = {
                      (SELECT first(value) FROM r WHERE rk = 1) AS b, (SELECT first(value) FROM r WHERE rk = 2) AS a)
         SELECT round(COALESCE(spend, 0.0), 4) AS spend,
                (SELECT count(DISTINCT vendor_name) FROM vv WHERE vendor_name IS NOT NULL) AS vendors,
-               (SELECT COALESCE(sum(po_lines), 0) FROM pv) AS po_lines,
+               (SELECT CAST(COALESCE(sum(po_lines), 0) AS BIGINT) FROM pv) AS po_lines,
                {r6('CASE WHEN gl > 0 THEN po_w / gl ELSE 0.0 END')} AS avg_po_gr,
                {r6('CASE WHEN gl > 0 THEN pr_w / gl ELSE 0.0 END')} AS avg_pr_gr,
                {r6('CASE WHEN llg > 0 THEN med_w / llg ELSE 0.0 END')} AS median_lead,
@@ -73,10 +73,10 @@ SQL = {
         SELECT material, material_desc AS "desc", {clean_category('grp')} AS "group", {r6('median')} AS median, {r6('pmax')} AS max,
                lines, {money('qty')} AS qty, {r6('over')} AS over,
                {r6('CASE WHEN median <> 0 THEN (pmax - median) / median * 100 ELSE 0.0 END')} AS spread_pct FROM opp""",
-    "purchase_categories": PV + """ SELECT category AS name, round(sum(purchase_value), 4) AS value, sum(po_lines) AS lines,
+    "purchase_categories": PV + """ SELECT category AS name, round(sum(purchase_value), 4) AS value, CAST(sum(po_lines) AS BIGINT) AS lines,
         lower(trim(category)) IN ('uncategorized', '', 'nan', 'none') AS uncat FROM pv GROUP BY category
         ORDER BY sum(purchase_value) DESC, category NULLS LAST LIMIT 12""",
-    "purchase_vendors": PV + ", " + VV + f""", vg AS (SELECT vendor_name, sum(vendor_value) AS v, sum(po_lines) AS lines FROM vv
+    "purchase_vendors": PV + ", " + VV + f""", vg AS (SELECT vendor_name, sum(vendor_value) AS v, CAST(sum(po_lines) AS BIGINT) AS lines FROM vv
             WHERE vendor_name IS NOT NULL GROUP BY 1 ORDER BY v DESC, vendor_name LIMIT 8)
         SELECT vendor_name AS name, round(v, 4) AS value,
                {r6('CASE WHEN (SELECT sum(purchase_value) FROM pv) > 0 THEN v / (SELECT sum(purchase_value) FROM pv) * 100 ELSE 0.0 END')} AS share,
@@ -108,7 +108,7 @@ SQL = {
     "cycle_plants": CT + f""", c AS (SELECT * FROM ct WHERE {WIN}),
         pp AS (SELECT plant, sum(avg_po_to_gr_tat * gr_lines) AS po_w, sum(gr_lines) AS gl FROM c GROUP BY plant),
         pp2 AS (SELECT *, CASE WHEN gl > 0 THEN COALESCE(po_w, 0.0) / gl ELSE 0.0 END AS po FROM pp)
-        SELECT plant, {r6('po')} AS po, gl AS lines FROM pp2
+        SELECT plant, {r6('po')} AS po, CAST(gl AS BIGINT) AS lines FROM pp2
         WHERE gl >= 20 OR (SELECT count(*) FROM pp2 WHERE gl >= 20) = 0 ORDER BY po DESC, plant LIMIT 8""",
     "lead_time_dist": LT + " " + band_sql(
         "lt", "(CASE WHEN median_lead_time_days IS NULL OR median_lead_time_days <= -1 THEN NULL "

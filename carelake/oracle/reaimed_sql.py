@@ -1,5 +1,6 @@
-"""Oracles for RE-* (DuckDB; regexes use explicit Unicode letter classes where the
-reference relies on Unicode word boundaries)."""
+"""Oracles for RE-*, STR-*, SRC-* and DIM-07 (DuckDB). Regex oracles pass the patterns
+to RE2 with the 'i' option; RE2's \\b is ASCII-only where Java's is Unicode-aware, so the
+two regex queries are also tested against Python ``re`` directly (tests/test_handbuilt.py)."""
 from carelake.oracle.forecast_sql import REP
 from carelake.oracle.frag import as_cte
 from carelake.oracle.frag_text import clean_category

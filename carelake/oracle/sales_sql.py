@@ -29,7 +29,7 @@ SQL = {
                arg_max(material_desc, {'l': length(material_desc), 'd': material_desc}) AS material_desc,
                COALESCE(max(NULLIF(material_group, '')), '') AS material_group,
                round(sum(revenue), 4) AS revenue, round(sum(cost), 4) AS cost, round(sum(qty), 4) AS qty,
-               sum(lines) AS lines
+               CAST(sum(lines) AS BIGINT) AS lines
         FROM bym GROUP BY 1""",
 }
 
@@ -216,7 +216,7 @@ SQL.update({
         round({OPR} - {OPC}, 4) AS op_margin,
         {r6(f"CASE WHEN ({IPR} + {OPR}) <> 0 THEN {IPR} / ({IPR} + {OPR}) * 100 ELSE 0.0 END")} AS ip_share,
         {r6(f"CASE WHEN ({IPR} + {OPR}) <> 0 THEN {OPR} / ({IPR} + {OPR}) * 100 ELSE 0.0 END")} AS op_share,
-        round(sum(qty), 4) AS qty, sum(lines) AS lines,
+        round(sum(qty), 4) AS qty, CAST(sum(lines) AS BIGINT) AS lines,
         (SELECT count(DISTINCT material) FROM bym) AS materials, (SELECT count(*) FROM smf) AS manufacturers,
         (SELECT count(*) FROM sh) AS hospitals,
         (SELECT {money('sum(amount_lc)')} FROM fact_consumption) AS internal_cost,

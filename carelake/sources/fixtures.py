@@ -31,6 +31,7 @@ N_MATERIALS = 200
 N_VENDORS = 10
 N_PLANTS = 8
 SLOC_DESCS = ["IP PHARMACY", "OP PHARMACY", "IP/OP STORE", "OT STORE", "MAIN STORE"]
+MONEY = "decimal(24,6)"   # line values: quantity x price, exact
 
 
 def _d(x: _dt.date) -> Column:
@@ -109,7 +110,7 @@ def fact_consumption(line: DataFrame) -> DataFrame:
         F.lit("201").alias("mvt"),
         F.concat(F.lit("CC"), (F.col("o_custkey") % 40).cast("string")).alias("cost_ctr"),
         F.col("q").alias("qty"),
-        (F.col("q") * F.col("net_price")).alias("amount_lc"),
+        (F.col("q") * F.col("net_price")).cast(MONEY).alias("amount_lc"),
         F.lit("EA").alias("uom"),
         F.col("sdate").alias("posting_date"),
         *calendar_columns("sdate"),
@@ -132,7 +133,7 @@ def fact_grn(line: DataFrame) -> DataFrame:
         "net_price",
         F.when(F.col("l_tax") > 0.02, F.col("mrp_base") * F.lit(1.25).cast("decimal(3,2)"))
          .otherwise(F.lit(0).cast("decimal(3,2)")).cast("decimal(18,4)").alias("unit_mrp"),
-        (F.col("q") * F.col("net_price")).alias("total_amount_wo_tax"),
+        (F.col("q") * F.col("net_price")).cast(MONEY).alias("total_amount_wo_tax"),
         tat.alias("po_to_gr_tat"),
         (tat + F.col("l_linenumber")).alias("pr_to_gr_tat"),
         F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string"))
@@ -150,7 +151,7 @@ def fact_po(line: DataFrame) -> DataFrame:
     open_qty = (F.when(F.col("o_orderstatus") == "O", F.col("q"))
                  .when(F.col("o_orderstatus") == "P", F.floor(F.col("q") / 4).cast("decimal(12,2)"))
                  .otherwise(F.lit(0).cast("decimal(12,2)")))
-    value = F.col("q") * F.col("net_price")
+    value = (F.col("q") * F.col("net_price")).cast(MONEY)
     return line.where(F.col("odate") >= _d(PROCUREMENT_START)).select(
         "plant", "plant_name", "sloc",
         _null_material(F.col("material_code")).alias("material"),
@@ -163,7 +164,7 @@ def fact_po(line: DataFrame) -> DataFrame:
         open_qty.cast("decimal(12,2)").alias("open_qty"),
         "net_price",
         value.alias("total_value_wo_tax"),
-        (value * F.lit(1.12).cast("decimal(3,2)")).alias("total_value_tax"),
+        (value * F.lit(1.12).cast("decimal(3,2)")).cast("decimal(26,8)").alias("total_value_tax"),
         F.when(F.col("p_size") % 10 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("p_brand")).alias("major_group"),
         F.col("p_type").alias("minor_group"),
@@ -189,8 +190,8 @@ def fact_inventory(line: DataFrame) -> DataFrame:
                     F.col("l_linenumber").cast("string")).alias("batch"),
         F.col("q").alias("qty"),
         F.lit("EA").alias("uom"),
-        (F.col("q") * F.col("net_price")).alias("total_cost"),
-        (F.col("q") * F.col("mrp_base") * F.lit(1.25).cast("decimal(3,2)")).alias("total_mrp"),
+        (F.col("q") * F.col("net_price")).cast(MONEY).alias("total_cost"),
+        (F.col("q") * F.col("mrp_base") * F.lit(1.25).cast("decimal(3,2)")).cast(MONEY).alias("total_mrp"),
         F.col("net_price").alias("moving_avg_price"),
         F.datediff(_d(SNAPSHOT_DATE), F.col("sdate")).alias("aging_days"),
         F.col("p_brand").alias("manufacturer_desc"),
@@ -217,8 +218,8 @@ def sales_line(line: DataFrame) -> DataFrame:
         F.col("material_code").alias("material"),
         F.col("p_name").alias("material_desc"),
         F.col("q").alias("qty"),
-        (F.col("q") * F.col("mrp_base") * F.lit(1.25).cast("decimal(3,2)")).alias("revenue"),
-        (F.col("q") * F.col("net_price")).alias("cost"),
+        (F.col("q") * F.col("mrp_base") * F.lit(1.25).cast("decimal(3,2)")).cast(MONEY).alias("revenue"),
+        (F.col("q") * F.col("net_price")).cast(MONEY).alias("cost"),
         F.col("p_brand").alias("manufacturer"),
         F.col("plant").alias("hospital"),
         F.when(F.col("l_returnflag") == "A", F.lit("IP")).otherwise(F.lit("OP")).alias("patient_type"),
