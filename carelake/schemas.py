@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
 
 SCHEMAS = {
-    "fact_consumption": "struct<material:string,material_desc:string,plant:string,sloc:string,mvt:string,cost_ctr:string,qty:decimal(12,2),amount_lc:decimal(31,6),uom:string,posting_date:date,year:int,month_num:int,month:string>",
-    "fact_inventory": "struct<plant:string,sloc:string,sloc_desc:string,material:string,material_desc:string,hsn:string,batch:string,qty:decimal(12,2),uom:string,total_cost:decimal(31,6),total_mrp:decimal(29,6),moving_avg_price:decimal(18,4),aging_days:int,manufacturer_desc:string,generic_name:string,formulary:string,material_type:string,material_group:string,major_group_desc:string,minor_group_desc:string,expiry_date:date,grn_date:date,snapshot_date:date>",
-    "sales_line": "struct<sale_date:date,material:string,material_desc:string,qty:decimal(12,2),revenue:decimal(29,6),cost:decimal(31,6),manufacturer:string,hospital:string,patient_type:string,year:int,month_num:int,month:string>",
+    "fact_consumption": "struct<material:string,material_desc:string,plant:string,sloc:string,mvt:string,cost_ctr:string,qty:decimal(12,2),amount_lc:decimal(24,6),uom:string,posting_date:date,year:int,month_num:int,month:string>",
+    "fact_inventory": "struct<plant:string,sloc:string,sloc_desc:string,material:string,material_desc:string,hsn:string,batch:string,qty:decimal(12,2),uom:string,total_cost:decimal(24,6),total_mrp:decimal(24,6),moving_avg_price:decimal(18,4),aging_days:int,manufacturer_desc:string,generic_name:string,formulary:string,material_type:string,material_group:string,major_group_desc:string,minor_group_desc:string,expiry_date:date,grn_date:date,snapshot_date:date>",
+    "sales_line": "struct<sale_date:date,material:string,material_desc:string,qty:decimal(12,2),revenue:decimal(24,6),cost:decimal(24,6),manufacturer:string,hospital:string,patient_type:string,year:int,month_num:int,month:string>",
     "dim_plant": "struct<plant:string,plant_name:string>",
     "dim_material": "struct<material:string,material_desc:string,material_group:string,major_group_desc:string,minor_group_desc:string,generic_name:string,manufacturer_desc:string,formulary:string,material_type:string>",
     "dim_sloc": "struct<plant:string,sloc:string,sloc_desc:string,ip_op_class:string>",
@@ -43,8 +43,8 @@ SCHEMAS = {
     "kpi_stock_radar": "struct<plant:string,material_id:string,material_desc:string,material_group:string,closing_stock:double,demand_forecast:double,aging_days:double,aging_risk:string,replenishment_quantity:double,coverage_months:double,radar_status:string>",
     "kpi_aging_risk_forecast": "struct<plant:string,material_id:string,material_desc:string,material_group:string,closing_stock:double,demand_monthly:double,aging_days:double,projected_aging_days:double,will_stagnate:boolean,aging_risk_forecast:string>",
     "forecast_accuracy": "struct<metric:string,value:double>",
-    "fact_grn": "struct<plant:string,sloc:string,material:string,material_desc:string,vendor_code:string,vendor_name:string,po_no:string,gr_no:string,gr_qty:decimal(12,2),base_price:decimal(18,4),net_price:decimal(18,4),unit_mrp:decimal(18,4),total_amount_wo_tax:decimal(31,6),po_to_gr_tat:int,pr_to_gr_tat:int,major_group:string,minor_group:string,po_date:date,gr_date:date,expiry_date:date,posting_date:date,year:int,month_num:int,month:string>",
-    "fact_po": "struct<plant:string,plant_name:string,sloc:string,material:string,material_desc:string,vendor_code:string,vendor_name:string,po_no:string,doc_type:string,po_qty:decimal(12,2),open_qty:decimal(12,2),net_price:decimal(18,4),total_value_wo_tax:decimal(31,6),total_value_tax:decimal(35,8),major_group:string,minor_group:string,po_date:date,delivery_date:date,posting_date:date,year:int,month_num:int,month:string>",
+    "fact_grn": "struct<plant:string,sloc:string,material:string,material_desc:string,vendor_code:string,vendor_name:string,po_no:string,gr_no:string,gr_qty:decimal(12,2),base_price:decimal(18,4),net_price:decimal(18,4),unit_mrp:decimal(18,4),total_amount_wo_tax:decimal(24,6),po_to_gr_tat:int,pr_to_gr_tat:int,major_group:string,minor_group:string,po_date:date,gr_date:date,expiry_date:date,posting_date:date,year:int,month_num:int,month:string>",
+    "fact_po": "struct<plant:string,plant_name:string,sloc:string,material:string,material_desc:string,vendor_code:string,vendor_name:string,po_no:string,doc_type:string,po_qty:decimal(12,2),open_qty:decimal(12,2),net_price:decimal(18,4),total_value_wo_tax:decimal(24,6),total_value_tax:decimal(26,8),major_group:string,minor_group:string,po_date:date,delivery_date:date,posting_date:date,year:int,month_num:int,month:string>",
     "sales_totals": "struct<patient_type:string,revenue:double,cost:double,qty:double,lines:bigint>",
     "sales_monthly": "struct<patient_type:string,month:string,revenue:double,cost:double,qty:double,lines:bigint>",
     "sales_by_hospital": "struct<hospital:string,revenue:double,cost:double,qty:double,lines:bigint>",
