@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions.expr import median_of
+
 
 def for_plant(df: DataFrame, plant: str | None) -> DataFrame:
     """FLT-01 on a resolved plant code: None / 'ALL' means every plant."""
@@ -32,7 +34,7 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
             elif kind == "avg":
                 e = F.coalesce(F.avg(F.when(hit, F.col(col))), F.lit(0.0)).cast("double")
             elif kind == "median":
-                e = F.coalesce(F.median(F.when(hit, F.col(col))), F.lit(0.0)).cast("double")
+                e = F.coalesce(median_of(F.when(hit, F.col(col))), F.lit(0.0)).cast("double")
             else:
                 raise ValueError(kind)
             aggs.append(e.alias(f"{name}__{i}"))

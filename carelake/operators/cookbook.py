@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import CAPEX_DOC_TYPES, money, r6
+from carelake.functions.expr import median_of, CAPEX_DOC_TYPES, money, r6
 from carelake.operators.marts import BAND, PRICE_FLOOR, STABLE_N, _raw_prices, clean_band
 
 
@@ -44,7 +44,7 @@ def expiring_by_manufacturer(inv: DataFrame, dim_material: DataFrame, snapshot,
 def _clean_with_median(grn: DataFrame) -> DataFrame:
     raw = _raw_prices(grn)
     clean = clean_band(raw, ["material"])
-    med = (clean.groupBy("material").agg(F.median("price").alias("med_price"), F.count(F.lit(1)).alias("n"))
+    med = (clean.groupBy("material").agg(median_of("price").alias("med_price"), F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") >= STABLE_N))
     return clean.join(med, "material")
 
@@ -67,7 +67,7 @@ def price_by_plant(mart_proc: DataFrame, material: str | None = None) -> DataFra
     if material:
         df = df.where(F.col("material") == material)
     return (df.groupBy("material", "plant")
-              .agg(r6(F.median("unit_price")).alias("unit_price"), F.round(F.sum("qty"), 4).alias("qty"),
+              .agg(r6(median_of("unit_price")).alias("unit_price"), F.round(F.sum("qty"), 4).alias("qty"),
                    F.bool_or("is_price_outlier").alias("looks_anomalous")))
 
 
@@ -131,7 +131,7 @@ def price_lookup(price_stats: DataFrame, pattern: str) -> DataFrame:
 
 def median_doh(doh: DataFrame) -> DataFrame:
     """SQL-11: median days of cover over rows with a positive cover."""
-    return doh.where(F.col("doh_days") > 0).agg(r6(F.median("doh_days")).alias("median_doh"))
+    return doh.where(F.col("doh_days") > 0).agg(r6(median_of("doh_days")).alias("median_doh"))
 
 
 def vendor_spend(vendor_volume: DataFrame, n: int = 10) -> DataFrame:
@@ -186,7 +186,7 @@ def unit_cost(cons: DataFrame) -> DataFrame:
                .where(F.col("rate") >= PRICE_FLOOR))
     clean = clean_band(raw, ["material"], "rate")
     return (clean.groupBy("material")
-                 .agg(r6(F.median("rate")).alias("median_unit_cost"), F.count(F.lit(1)).alias("clean_n"),
+                 .agg(r6(median_of("rate")).alias("median_unit_cost"), F.count(F.lit(1)).alias("clean_n"),
                       money(F.sum("qty")).alias("qty"), money(F.sum("amount_lc")).alias("cost"))
                  .where(F.col("clean_n") >= STABLE_N))
 

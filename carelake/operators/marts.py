@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import r6
+from carelake.functions.expr import median_of, r6
 
 BAND = 8.0
 PRICE_FLOOR = 10
@@ -24,7 +24,7 @@ def _raw_prices(grn: DataFrame) -> DataFrame:
 
 def clean_band(raw: DataFrame, keys: list[str], value: str = "price") -> DataFrame:
     """FLT-09: keep rows within an 8x band of their key's first-pass median."""
-    p1 = raw.groupBy(*keys).agg(F.median(value).alias("_m1"))
+    p1 = raw.groupBy(*keys).agg(median_of(value).alias("_m1"))
     return (raw.join(p1, keys)
                .where(F.col(value).between(F.col("_m1") / BAND, F.col("_m1") * BAND)).drop("_m1"))
 
@@ -35,7 +35,7 @@ def material_price_stats(grn: DataFrame, dim_material: DataFrame) -> DataFrame:
     rawstat = raw.groupBy("material").agg(F.count(F.lit(1)).alias("raw_n"), F.min("price").alias("raw_min_price"),
                                           F.max("price").alias("raw_max_price"))
     cleanstat = clean_band(raw, ["material"]).groupBy("material").agg(
-        F.median("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
+        median_of("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
         F.min("price").alias("clean_min_price"), F.max("price").alias("clean_max_price"))
     dm = dim_material.select("material", "material_desc", F.col("material_group").alias("category"))
     return (rawstat.join(cleanstat, "material", "left").join(dm, "material", "left")
@@ -56,7 +56,7 @@ def material_vendor_price_stats(grn: DataFrame, dim_material: DataFrame) -> Data
     keys = ["material", "vendor_name"]
     raw = _raw_prices(grn)
     st = clean_band(raw, keys).groupBy(*keys).agg(
-        F.median("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
+        median_of("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
         F.sum("gr_qty").alias("total_qty"), F.sum("total_amount_wo_tax").alias("total_value"))
     dm = dim_material.select("material", "material_desc", F.col("material_group").alias("category"))
     return (st.join(dm, "material", "left")

@@ -196,3 +196,15 @@ def test_date_labels(spark):
     df = spark.createDataFrame([(dt.date(2026, 6, 5),)], "d date")
     r = df.select(*[date_label("d", s).alias(s) for s in ("month", "month_year", "day", "short")]).first()
     assert (r.month, r.month_year, r.day, r.short) == ("Jun", "Jun 2026", "05 Jun 2026", "06/05/26")
+
+
+def test_median_switch_exact_and_approximate(spark):
+    from carelake.functions import expr as X
+    df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
+    try:
+        assert df.agg(X.median_of("v")).first()[0] == 50.5
+        X.exact_medians(False)
+        approx = df.agg(X.median_of("v")).first()[0]
+        assert approx in (50.0, 51.0)
+    finally:
+        X.exact_medians(True)
