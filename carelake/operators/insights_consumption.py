@@ -241,24 +241,32 @@ def dashboard_summary(spark: SparkSession, sv: DataFrame, agedist: DataFrame, do
     """INS-35 executive scalars, one scalar subquery each (no cross join)."""
     sv, agedist, doh, hs, uc, nm, pv, rep, ne, fr = (for_plant(x, plant) for x in
                                                      (sv, agedist, doh, hs, uc, nm, pv, rep, ne, fr))
-    value = sv.select(F.sum("stock_value_cost")).scalar()
-    mrp = sv.select(F.sum("stock_value_mrp")).scalar()
+    # one struct-valued scalar subquery per source table (each read once), fields unpacked below
+    s_sv = sv.select(F.struct(F.sum("stock_value_cost").alias("value"), F.sum("stock_value_mrp").alias("mrp"),
+                              F.sum("stock_qty").alias("qty"), F.countDistinct("material").alias("skus"))).scalar()
+    s_uc = uc.select(F.struct(F.sum("consumption_cost").alias("cost"), F.sum("total_units").alias("units"))).scalar()
+    s_pv = pv.select(F.struct(F.sum("purchase_value").alias("value"),
+                              F.countDistinct("vendor_name").alias("vendors"))).scalar()
+    s_rep = rep.select(F.struct(F.count_if(F.col("replenishment_quantity") > 0).alias("n"),
+                                F.sum("replenishment_quantity").alias("qty"))).scalar()
+    s_ne = ne.select(F.struct(F.countDistinct("material").alias("skus"), F.sum("total_cost").alias("value"))).scalar()
+    value, mrp = s_sv["value"], s_sv["mrp"]
     return spark.range(1).select(
         F.round(F.coalesce(value, F.lit(0.0)), 2).alias("stock_value"),
         F.round(F.coalesce(mrp, F.lit(0.0)), 2).alias("stock_mrp"),
-        F.round(sv.select(F.sum("stock_qty")).scalar(), 0).alias("current_stock"),
-        F.round(uc.select(F.sum("consumption_cost")).scalar(), 2).alias("consumption_cost"),
+        F.round(s_sv["qty"], 0).alias("current_stock"),
+        F.round(s_uc["cost"], 2).alias("consumption_cost"),
         F.when(mrp != 0, F.bround((F.lit(1.0) - value / mrp) * 100, 1)).otherwise(F.lit(0.0)).alias("margin"),
         F.bround(F.coalesce(doh.select(F.avg("doh_days")).scalar(), F.lit(0.0)), 1).alias("days_on_hand"),
         F.bround(F.coalesce(hs.select(F.avg("turnover_annualized")).scalar(), F.lit(0.0)), 2).alias("current_itr"),
-        sv.select(F.countDistinct("material")).scalar().alias("sku_count"),
-        F.round(pv.select(F.sum("purchase_value")).scalar(), 2).alias("purchase_value"),
-        pv.select(F.countDistinct("vendor_name")).scalar().alias("vendor_count"),
-        F.round(uc.select(F.sum("total_units")).scalar(), 4).alias("units_consumed"),
-        rep.select(F.count_if(F.col("replenishment_quantity") > 0)).scalar().alias("materials_needing"),
-        F.round(rep.select(F.sum("replenishment_quantity")).scalar(), 2).alias("total_qty_to_order"),
-        ne.select(F.countDistinct("material")).scalar().alias("near_expiry_skus"),
-        F.round(ne.select(F.sum("total_cost")).scalar(), 2).alias("near_expiry_value"),
+        s_sv["skus"].alias("sku_count"),
+        F.round(s_pv["value"], 2).alias("purchase_value"),
+        s_pv["vendors"].alias("vendor_count"),
+        F.round(s_uc["units"], 4).alias("units_consumed"),
+        s_rep["n"].alias("materials_needing"),
+        F.round(s_rep["qty"], 2).alias("total_qty_to_order"),
+        s_ne["skus"].alias("near_expiry_skus"),
+        F.round(s_ne["value"], 2).alias("near_expiry_value"),
         nm.select(F.countDistinct("material")).scalar().alias("non_moving_skus"),
         F.bround(fr.select(F.avg("fill_rate_pct")).scalar(), 1).alias("avg_fill_rate_pct"))
 
