@@ -71,13 +71,8 @@ def ranked(df: DataFrame, n: int, *order: Column, rank_col: str = "rank") -> Dat
 def key_month_grid(rows: DataFrame, key: str, months: DataFrame, ym: str = "ym") -> DataFrame:
     """SET-06 skeleton: every (key, month) pair for the keys in ``rows`` and the months in ``months``.
 
-    Built with pivot + unpivot (the month list is resolved by the pivot itself), so the
-    grid needs no cross join; ``rows`` is a top-k slice, so the grid is k x months.
+    The month list is one bounded scalar subquery (distinct months, partial aggregation)
+    exploded against the top-k keys: no join of any kind builds the grid.
     """
-    carrier = months.select(F.lit(None).cast(rows.schema[key].dataType).alias(key), F.col(ym), F.lit(0).alias("_n"))
-    keyed = rows.select(key, F.lit(None).cast("string").alias(ym), F.lit(0).alias("_n"))
-    wide = keyed.unionByName(carrier).groupBy(key).pivot(ym).agg(F.count("_n"))
-    cols = [c for c in wide.columns if c not in (key, "null")]
-    keys = rows.select(F.col(key).alias("_k")).distinct()
-    wide = wide.join(keys, wide[key].eqNullSafe(keys["_k"]), "left_semi")
-    return wide.unpivot(key, cols, ym, "_c").drop("_c")
+    arr = months.select(F.array_sort(F.collect_set(F.col(ym)))).scalar()
+    return rows.select(key, arr.alias("_months")).select(key, F.explode("_months").alias(ym))
