@@ -68,9 +68,14 @@ def last_purchase(inv: DataFrame) -> DataFrame:
     return inv.groupBy("material").agg(F.max("grn_date").alias("last_purchase_date"))
 
 
-def kpi_inventory_aging(inv: DataFrame, cons: DataFrame) -> DataFrame:
+def _snap(inv: DataFrame, snapshot: Column | None) -> Column:
+    """The run's snapshot date: the given parameter, else max(snapshot_date) of the data."""
+    return snapshot if snapshot is not None else snapshot_of(inv)
+
+
+def kpi_inventory_aging(inv: DataFrame, cons: DataFrame, snapshot: Column | None = None) -> DataFrame:
     """KPI-A2: closing stock, qty-weighted age, days since last issue / receipt."""
-    snap = snapshot_of(inv)
+    snap = _snap(inv, snapshot)
     a2 = (inv.groupBy(*KEY4)
              .agg(money(F.sum("qty")).alias("closing_stock_quantity"),
                   money(F.sum("total_cost")).alias("closing_stock_value"),
@@ -141,19 +146,19 @@ def consumed_flag(df: DataFrame, cons: DataFrame, name: str = "consumed") -> Dat
               .withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit"))
 
 
-def kpi_non_moving(inv: DataFrame, cons: DataFrame) -> DataFrame:
+def kpi_non_moving(inv: DataFrame, cons: DataFrame, snapshot: Column | None = None) -> DataFrame:
     """KPI-A9: not consumed anywhere in the window, or qty-weighted age > 180."""
-    a2 = kpi_inventory_aging(inv, cons)
+    a2 = kpi_inventory_aging(inv, cons, snapshot)
     a9 = consumed_flag(a2, cons, "consumed_in_window")
     return (a9.where(~F.col("consumed_in_window") | (F.col("aging_days") > 180))
               .select(*KEY4, "closing_stock_quantity", "closing_stock_value", "aging_days",
                       "last_sale_date", non_moving_reason("consumed_in_window").alias("reason")))
 
 
-def kpi_risk_classification(inv: DataFrame, cons: DataFrame) -> DataFrame:
+def kpi_risk_classification(inv: DataFrame, cons: DataFrame, snapshot: Column | None = None) -> DataFrame:
     """KPI-A10: High / Medium / Low with the nearest batch expiry."""
-    snap = snapshot_of(inv)
-    a2 = kpi_inventory_aging(inv, cons).select(*KEY4, "closing_stock_quantity",
+    snap = _snap(inv, snapshot)
+    a2 = kpi_inventory_aging(inv, cons, snap).select(*KEY4, "closing_stock_quantity",
                                                "closing_stock_value", "aging_days")
     exp = (inv.where(F.col("plant").isNotNull() & F.col("material").isNotNull())
               .groupBy("plant", "material").agg(F.min("expiry_date").alias("nearest_expiry")))
@@ -163,9 +168,9 @@ def kpi_risk_classification(inv: DataFrame, cons: DataFrame) -> DataFrame:
     return a10.withColumn("risk_level", risk_level("days_to_expiry", "aging_days", "consumed"))
 
 
-def kpi_near_expiry(inv: DataFrame) -> DataFrame:
+def kpi_near_expiry(inv: DataFrame, snapshot: Column | None = None) -> DataFrame:
     """KPI-E1: batch rows expiring within 180 days (or expired)."""
-    snap = snapshot_of(inv)
+    snap = _snap(inv, snapshot)
     return (inv.where(F.col("expiry_date").isNotNull())
                .withColumn("days_to_expiry", F.datediff("expiry_date", snap))
                .where(F.col("days_to_expiry") <= 180)

@@ -21,12 +21,12 @@ register("plant_domains")(lambda lake: dims.plant_domains(
 # ------------------------------------------------------------------ KPI
 register("kpi_stock_value")(lambda l: kpi.kpi_stock_value(l.fact_inventory))
 register("kpi_aging_distribution")(lambda l: kpi.kpi_aging_distribution(l.fact_inventory))
-register("kpi_inventory_aging")(lambda l: kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption))
+register("kpi_inventory_aging")(lambda l: kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption, l.snapshot_col))
 register("kpi_doh")(lambda l: kpi.kpi_doh(l.fact_inventory, l.fact_consumption))
 register("kpi_health_score")(lambda l: kpi.kpi_health_score(l.fact_inventory, l.fact_consumption))
-register("kpi_non_moving")(lambda l: kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption))
-register("kpi_risk_classification")(lambda l: kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption))
-register("kpi_near_expiry")(lambda l: kpi.kpi_near_expiry(l.fact_inventory))
+register("kpi_non_moving")(lambda l: kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col))
+register("kpi_risk_classification")(lambda l: kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col))
+register("kpi_near_expiry")(lambda l: kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col))
 register("kpi_stock_change")(lambda l: kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material))
 register("kpi_stock_change_by_group")(lambda l: kpi.kpi_stock_change_by_group(
     kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material)))
@@ -129,7 +129,7 @@ register("mart_procurement")(_mart_proc)
 # ------------------------------------------------------------------ cookbook
 register("sql_revenue_margin")(lambda l: cb.revenue_margin(sales.sales_grain(_sales_agg(l), "sales_totals")))
 register("sql_expiring_by_manufacturer")(lambda l: cb.expiring_by_manufacturer(
-    l.fact_inventory, l.dim_material, kpi.snapshot_of(l.fact_inventory)))
+    l.fact_inventory, l.dim_material, l.snapshot_col))
 register("sql_price_deviation")(lambda l: cb.price_deviation(l.fact_grn))
 register("sql_overpay")(lambda l: cb.price_deviation(l.fact_grn, one_directional=True))
 register("sql_price_by_plant")(lambda l: cb.price_by_plant(_mart_proc(l)))
@@ -143,7 +143,7 @@ register("sql_vendor_spend")(lambda l: cb.vendor_spend(kpi.kpi_vendor_volume(l.f
 register("sql_category_spend")(lambda l: cb.category_spend(l.fact_po, l.dim_material))
 register("sql_true_variance")(lambda l: cb.true_variance(kpi.kpi_procurement_variance(l.fact_po)))
 register("sql_dead_stock")(lambda l: cb.dead_stock(l.fact_inventory, l.sales_line, l.fact_po, l.fact_grn,
-                                                   kpi.snapshot_of(l.fact_inventory)))
+                                                   l.snapshot_col))
 register("sql_received_vs_ordered")(lambda l: cb.received_vs_ordered(l.spark, l.fact_po, l.fact_grn))
 register("sql_unit_cost")(lambda l: cb.unit_cost(l.fact_consumption))
 register("inventory_by_ward_class")(lambda l: cb.inventory_by_ward_class(l.fact_inventory, l.dim_sloc))
@@ -151,7 +151,7 @@ register("sql_proxy_margin")(lambda l: cb.proxy_margin(l.fact_grn))
 register("sql_manufacturer_coverage")(lambda l: cb.manufacturer_coverage(l.fact_po, l.dim_material))
 register("sql_out_of_formulary")(lambda l: cb.out_of_formulary(l.fact_inventory))
 register("sql_redistribution")(lambda l: cb.redistribution(l.fact_inventory, l.fact_consumption,
-                                                           kpi.snapshot_of(l.fact_inventory)))
+                                                           l.snapshot_col))
 register("sql_inactive_items")(lambda l: cb.inactive_items(
     l.dim_material, [l.sales_line, l.fact_po, l.fact_grn, l.fact_consumption]))
 
@@ -168,7 +168,7 @@ def _doh2(l):
 
 
 def _snap(l):
-    return kpi.snapshot_of(l.fact_inventory)
+    return l.snapshot_col
 
 
 register("monthly_series")(lambda l: ii.monthly_series(
@@ -191,16 +191,16 @@ register("health_categories")(lambda l: ii.health_categories(_hs(l)))
 register("stock_flow_monthly")(lambda l: ii.stock_flow_monthly(
     kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material)))
 register("stock_risers")(lambda l: ii.stock_risers(kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material)))
-register("non_moving_reasons")(lambda l: ii.non_moving_reasons(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption)))
-register("non_moving_aging")(lambda l: ii.non_moving_aging(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption)))
-register("risk_tiers")(lambda l: ii.risk_tiers(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
-register("risk_matrix")(lambda l: ii.risk_matrix(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
-register("risk_factors")(lambda l: ii.risk_factors(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption)))
+register("non_moving_reasons")(lambda l: ii.non_moving_reasons(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
+register("non_moving_aging")(lambda l: ii.non_moving_aging(kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
+register("risk_tiers")(lambda l: ii.risk_tiers(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
+register("risk_matrix")(lambda l: ii.risk_matrix(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
+register("risk_factors")(lambda l: ii.risk_factors(kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
 register("expiry_ladder")(lambda l: ii.expiry_ladder(l.fact_inventory, _snap(l)))
-register("near_expiry_buckets")(lambda l: ii.near_expiry_buckets(kpi.kpi_near_expiry(l.fact_inventory)))
-register("expiry_calendar")(lambda l: ii.expiry_calendar(kpi.kpi_near_expiry(l.fact_inventory)))
+register("near_expiry_buckets")(lambda l: ii.near_expiry_buckets(kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col)))
+register("expiry_calendar")(lambda l: ii.expiry_calendar(kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col)))
 register("expiry_items")(lambda l: ii.expiry_items(l.fact_inventory, _snap(l)))
-register("inventory_aging_top")(lambda l: ii.inventory_aging_top(kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption)))
+register("inventory_aging_top")(lambda l: ii.inventory_aging_top(kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
 
 # ------------------------------------------------------------------ procurement insights
 from carelake.operators import insights_procurement as ip  # noqa: E402
@@ -276,7 +276,7 @@ register("stock_age_mix")(lambda l: ic.stock_age_mix(kpi.kpi_aging_distribution(
 register("dashboard_summary")(lambda l: ic.dashboard_summary(
     l.spark, kpi.kpi_stock_value(l.fact_inventory), kpi.kpi_aging_distribution(l.fact_inventory),
     kpi.kpi_doh(l.fact_inventory, l.fact_consumption), _hs(l), _uc(l),
-    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption), _pv(l), _rep(l), kpi.kpi_near_expiry(l.fact_inventory),
+    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col), _pv(l), _rep(l), kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col),
     kpi.kpi_fill_rate(l.fact_po)))
 register("period_change")(lambda l: ic.period_change(ic.monthly_plant_cost(l.fact_consumption)))
 register("age_card")(lambda l: ic.age_card(l.fact_inventory))
@@ -476,11 +476,11 @@ register("valuation_totals")(lambda l: ix.valuation_totals(l.fact_inventory))
 register("doh_totals")(lambda l: ix.doh_totals(ii._doh_frame(*_doh2(l), None)))
 register("health_totals")(lambda l: ix.health_totals(_hs(l)))
 register("non_moving_categories")(lambda l: ix.group_value_top(
-    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption), "closing_stock_value", 12, qty="closing_stock_quantity"))
+    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col), "closing_stock_value", 12, qty="closing_stock_quantity"))
 register("risk_categories")(lambda l: ix.group_value_top(
-    kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption), "closing_stock_value", 10,
+    kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col), "closing_stock_value", 10,
     where=F.col("risk_level") == "High"))
-register("near_expiry_categories")(lambda l: ix.group_value_top(kpi.kpi_near_expiry(l.fact_inventory), "total_cost", 10))
+register("near_expiry_categories")(lambda l: ix.group_value_top(kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col), "total_cost", 10))
 register("lead_time_totals")(lambda l: ix.lead_time_totals(kpi.kpi_vendor_lead_time(l.fact_grn)))
 register("purchase_top_skus")(lambda l: ix.purchase_top_skus(kpi.kpi_monthly_purchase_value(l.fact_po, l.dim_material)))
 register("consumption_totals")(lambda l: ix.consumption_totals(_uc(l), _dp(l)))

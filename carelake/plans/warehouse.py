@@ -29,12 +29,12 @@ class Warehouse(Mapping):
             "dim_vendor": lambda: l.dim_vendor, "dim_costcenter": lambda: l.dim_costcenter,
             "kpi_stock_value": lambda: kpi.kpi_stock_value(l.fact_inventory),
             "kpi_aging_distribution": lambda: kpi.kpi_aging_distribution(l.fact_inventory),
-            "kpi_inventory_aging": lambda: kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption),
+            "kpi_inventory_aging": lambda: kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption, l.snapshot_col),
             "kpi_doh": lambda: kpi.kpi_doh(l.fact_inventory, l.fact_consumption),
             "kpi_health_score": lambda: kpi.kpi_health_score(l.fact_inventory, l.fact_consumption),
-            "kpi_non_moving": lambda: kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption),
-            "kpi_risk_classification": lambda: kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption),
-            "kpi_near_expiry": lambda: kpi.kpi_near_expiry(l.fact_inventory),
+            "kpi_non_moving": lambda: kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col),
+            "kpi_risk_classification": lambda: kpi.kpi_risk_classification(l.fact_inventory, l.fact_consumption, l.snapshot_col),
+            "kpi_near_expiry": lambda: kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col),
             "kpi_stock_change": lambda: kpi.kpi_stock_change(l.fact_grn, l.fact_consumption, l.dim_material),
             "kpi_stock_change_by_group": lambda: kpi.kpi_stock_change_by_group(self["kpi_stock_change"]),
             "kpi_purchase_value": lambda: kpi.kpi_purchase_value(l.fact_po),

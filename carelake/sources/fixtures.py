@@ -236,7 +236,7 @@ class Lake:
     """
     spark: SparkSession
     tables: dict = field(default_factory=dict)
-    snapshot_date: _dt.date = SNAPSHOT_DATE
+    snapshot_date: _dt.date | None = SNAPSHOT_DATE      # None: max(snapshot_date) of the data
     history_end: _dt.date = _dt.date(SNAPSHOT_DATE.year, SNAPSHOT_DATE.month, 1)
     history_months: int = 6
     horizon: int = 3
@@ -268,6 +268,13 @@ class Lake:
             lake.tables[n] = df.select(*order[n]) if n in order else df
         return lake
 
+    @property
+    def snapshot_col(self) -> Column:
+        """Snapshot date of the run: the parameter when set, else max(snapshot_date) of the data."""
+        if self.snapshot_date is not None:
+            return F.lit(self.snapshot_date)
+        return self.fact_inventory.select(F.max("snapshot_date")).scalar()
+
     def __getattr__(self, name):
         tables = self.__dict__.get("tables", {})
         if name in tables:
