@@ -258,6 +258,10 @@ class Lake:
     @classmethod
     def from_curated(cls, spark: SparkSession, curated_dir: str, **params) -> "Lake":
         names = ["fact_consumption", "fact_inventory", "fact_grn", "fact_po", "sales_line"]
+        # run parameters default to the data: snapshot -> max(snapshot_date) (lazy scalar),
+        # history end -> month of the last posting (one-row aggregate, needed for the fixed
+        # month slots of the demand matrix)
+        params.setdefault("snapshot_date", None)
         lake = cls(spark, **params)
         base = curated_dir.rstrip("/")
         # partition columns come back last and as INT; restore the contract column order
@@ -266,6 +270,10 @@ class Lake:
         for n in names:
             df = spark.read.parquet(f"{base}/{n}")
             lake.tables[n] = df.select(*order[n]) if n in order else df
+        if "history_end" not in params:
+            last = lake.tables["fact_consumption"].agg(F.max("posting_date")).first()[0]
+            if last is not None:
+                lake.history_end = _dt.date(last.year, last.month, 1)
         return lake
 
     @property

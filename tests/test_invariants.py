@@ -91,3 +91,17 @@ def test_stream_restarts_from_checkpoint(spark, lake):
     exp = sorted(tuple(r) for r in E.queries()["sales_monthly"](spark, SF_SMALL).select(
         "patient_type", "month", "revenue", "cost", "qty", "lines").collect())
     assert got == exp
+
+
+def test_curated_lake_derives_run_parameters(spark, lake):
+    import datetime as dt
+
+    from carelake.plans.pipeline import build_curated
+    from carelake.sources.fixtures import Lake
+    from carelake.streaming.incremental import work_dir
+    out = work_dir(spark, "params-test")
+    build_curated(lake, out)
+    cur = Lake.from_curated(spark, f"{out}/curated")
+    assert cur.snapshot_date is None and cur.history_end == dt.date(2001, 5, 1)
+    snap = spark.range(1).select(cur.snapshot_col.alias("s")).first().s
+    assert snap == dt.date(2001, 5, 31)
