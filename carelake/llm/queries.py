@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import quality, simhash, toxicity
+from carelake.llm import packing, quality, simhash, toxicity
 from carelake.llm.common import table
 
 
@@ -31,5 +31,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op6_quality, op7_simhash)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op6_quality, op7_simhash, op10_packing)}
 ORACLES: dict[str, str] = {}
