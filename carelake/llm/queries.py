@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import decontaminate, embeddings, packing, quality, simhash, toxicity
+from carelake.llm import decontaminate, embeddings, packing, quality, simhash, suffixes, toxicity
 from carelake.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join(F.sort_array(names), ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = suffixes.removed(table(spark, sf_dir, "documents"), length=400)
+    return r.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality.held_out)
@@ -47,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op6_quality, op7_simhash, op9_embeddings, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_suffixes, op6_quality, op7_simhash, op9_embeddings, op10_packing)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
