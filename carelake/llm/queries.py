@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import decontaminate, embeddings, packing, quality, simhash, suffixes, toxicity
+from carelake.llm import decontaminate, embeddings, lm, packing, quality, simhash, suffixes, toxicity
 from carelake.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lm.score(table(spark, sf_dir, "documents"))
+    return r.select(F.col("id").alias("doc_id"), "n_words", F.round("log_score", 5).alias("log_score"),
+                    F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality.held_out)
@@ -53,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_suffixes, op6_quality, op7_simhash, op9_embeddings, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_suffixes, op5_lm_scoring, op6_quality, op7_simhash, op9_embeddings, op10_packing)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -74,4 +80,22 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM words LEFT JOIN cover USING (r) LEFT JOIN named USING (r)""",
+    "op5_lm_scoring": f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+tokens AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w2,
+                  CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w3,
+                  CASE WHEN i > 1 THEN w[i - 1] END AS h1, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS h2
+           FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+c1 AS (SELECT w1 AS g, count(*) AS n FROM tokens GROUP BY 1), c2 AS (SELECT w2 AS g, count(*) AS n FROM tokens GROUP BY 1),
+c3 AS (SELECT w3 AS g, count(*) AS n FROM tokens GROUP BY 1),
+scored AS (
+  SELECT r, CASE WHEN c3.n >= 2 THEN ln(c3.n / hh.n)
+                 WHEN c2.n >= 2 THEN ln(c2.n / h.n) + least(i - 2, 1) * ln(0.4)
+                 ELSE ln(c1.n / (SELECT count(*) FROM tokens)) + least(i - 1, 2) * ln(0.4) END AS s
+  FROM tokens t JOIN c1 ON t.w1 = c1.g LEFT JOIN c2 ON t.w2 = c2.g LEFT JOIN c3 ON t.w3 = c3.g
+  LEFT JOIN c1 h ON t.h1 = h.g LEFT JOIN c2 hh ON t.h2 = hh.g),
+sums AS (SELECT r, sum(s) AS s FROM scored GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 5) AS log_score,
+       round(s / nullif(len(w), 0), 6) AS mean_log_score
+FROM words LEFT JOIN sums USING (r)""",
 }

@@ -56,7 +56,8 @@ class Hasher:
     def __init__(self, most: int):
         self.up, self.down = _powers(_RADIX, most), _powers(pow(_RADIX, -1, 1 << 64), most)
 
-    def __call__(self, a: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    def __call__(self, a: np.ndarray, size, at: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of a[at:at + size], of every start if ``at`` is None; ``size`` may be an array."""
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + 1) * self.up[:len(a)])))
         if at is None:
             n = len(a) - size + 1
