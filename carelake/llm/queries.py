@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import decontaminate, embeddings, lm, packing, quality, simhash, suffixes, toxicity
+from carelake.llm import chat, decontaminate, embeddings, lm, packing, quality, simhash, suffixes, toxicity, urls
 from carelake.llm.common import table
 
 
@@ -17,6 +17,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are all pages, fetched at a time that follows from their id; the list entries are the
+    events about a page: errors and purchases add and remove its domain on the block list,
+    clicks add the page itself, sign-ups and views add and remove its first folder on the allow list."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.timestamp_seconds(
+        F.lit(1704067200) + F.col("page_id") * 7919 % 2592000).alias("fetched_at"))
+    of = table(spark, sf_dir, "events").join(pages.select("page_id", "url"), F.col("event_id") == F.col("page_id"))
+    h, segs, kind = urls.host(F.col("url")), urls.segments(F.col("url")), F.col("event_type")
+    entries = of.select(
+        F.col("event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("effective_at"),
+        F.when(kind.isin("signup", "view"), "allow").otherwise("block").alias("list_name"),
+        kind.isin("error", "click", "signup").alias("adds"),
+        F.when(kind.isin("error", "purchase"), F.concat(F.lit("d:"), h))
+         .when(kind == "click", urls.prefix_key(h, segs, F.size(segs)))
+         .otherwise(urls.prefix_key(h, segs, F.lit(1))).alias("key"))
+    r = urls.evaluate(captures, entries)
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return r.select(F.col("id").alias("page_id"), "url", F.date_format("fetched_at", stamp).alias("fetched_at"), "host",
+                    "verdict", "entry_id", F.col("list").alias("list_name"), "key",
+                    F.date_format("valid_from", stamp).alias("valid_from"), F.date_format("valid_to", stamp).alias("valid_to"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.filter("items", lambda i: i != "\0")
@@ -51,6 +74,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = chat.rotate(table(spark, sf_dir, "conversations"))
+    ranges = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    return r.withColumn("mask", F.array_join(ranges, ","))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -59,7 +88,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_suffixes, op5_lm_scoring, op6_quality, op7_simhash, op9_embeddings, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_suffixes, op5_lm_scoring, op6_quality, op7_simhash, op8_chat, op9_embeddings, op10_packing, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -98,4 +132,47 @@ sums AS (SELECT r, sum(s) AS s FROM scored GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 5) AS log_score,
        round(s / nullif(len(w), 0), 6) AS mean_log_score
 FROM words LEFT JOIN sums USING (r)""",
+    "op8_chat": """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS said, CAST(floor(turn / 64) AS BIGINT) AS part,
+                  row_number() OVER (PARTITION BY conv_id, CAST(floor(turn / 64) AS BIGINT) ORDER BY turn, role, text) AS k
+           FROM conversations),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
+cells AS (
+  SELECT t.conv_id, perspective, part, k, said, role = perspective AS mine,
+         '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+                      ELSE 'user name=' || coalesce(role, 'unknown') END || '|>' || chr(10) AS head
+  FROM t JOIN people p ON t.conv_id = p.conv_id),
+placed AS (SELECT *, coalesce(sum(length(head) + length(said) + 9) OVER (PARTITION BY conv_id, perspective, part ORDER BY k
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM cells)
+SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (mine) AS INTEGER) AS n_trained,
+       string_agg(head || said || chr(10) || '<|end|>' || chr(10), '' ORDER BY k) AS text,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(said) AS BIGINT), ',' ORDER BY k) FILTER (mine), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part""",
+    "op2_url_filters": r"""
+WITH p AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds(page_id * 7919 % 2592000) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs
+  FROM pages),
+e AS (
+  SELECT event_id AS entry_id, ts AS valid_from, CASE WHEN event_type IN ('signup', 'view') THEN 'allow' ELSE 'block' END AS list_name,
+         event_type IN ('error', 'click', 'signup') AS adds,
+         CASE WHEN event_type IN ('error', 'purchase') THEN 'd:' || host
+              WHEN event_type = 'click' THEN 'p:' || array_to_string(list_concat([host], segs), '/')
+              ELSE 'p:' || array_to_string(list_concat([host], segs[1:1]), '/') END AS key
+  FROM events JOIN p ON event_id = page_id),
+v AS (SELECT *, lead(valid_from) OVER (PARTITION BY list_name, key ORDER BY valid_from, entry_id) AS valid_to FROM e),
+asks AS (
+  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS key
+  FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)
+  UNION ALL
+  SELECT page_id, fetched, 'p:' || array_to_string(list_concat([host], segs[1:i]), '/')
+  FROM (SELECT *, unnest(range(0, len(segs) + 1)) AS i FROM p)),
+hits AS (
+  SELECT a.page_id, v.*, row_number() OVER (PARTITION BY a.page_id ORDER BY list_name, length(v.key) DESC, v.key DESC) AS k
+  FROM asks a JOIN v ON a.key = v.key AND v.valid_from <= a.fetched AND (v.valid_to IS NULL OR a.fetched < v.valid_to) WHERE adds)
+SELECT p.page_id, url, strftime(fetched, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at, host,
+       CASE WHEN list_name IS NULL THEN 'keep' ELSE list_name END AS verdict, entry_id, list_name, key,
+       strftime(valid_from, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S.%f') AS valid_to
+FROM p LEFT JOIN hits h ON p.page_id = h.page_id AND k = 1""",
 }
