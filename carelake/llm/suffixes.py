@@ -347,7 +347,7 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
     """(kept bytes, number of maximal removed runs)."""
     kept, at, runs = [], 0, 0
     top = -1
-    for s in sorted((s["lo"], s["hi"]) for s in spans or []):
+    for s in sorted((s["lo"], s["hi"]) for s in (spans if spans is not None else ())):
         if s[0] > top:
             runs += 1
             kept.append(text[at:s[0]])
