@@ -100,6 +100,17 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
     return n
 
 
+def joined_spans(ka, kb, lo, hi) -> list[np.ndarray]:
+    """Overlapping and touching spans of a text as one; spans of a text that begin later end later."""
+    order = np.lexsort((hi, lo, kb, ka))
+    ka, kb, lo, hi = (np.asarray(x, np.int64)[order] for x in (ka, kb, lo, hi))
+    new = np.ones(len(ka), bool)
+    new[1:] = (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(ka) - 1]))[:len(first)]
+    return [ka[first], kb[first], lo[first], hi[last]]
+
+
 class Run:
     """Records of a task: equal ones once, then sorted, front-coded and cut into ranges."""
 
@@ -124,7 +135,7 @@ class Run:
         """(range, kind, blob): kind 0 holds spans, 1 front-coded records."""
         pack = zstandard.ZstdCompressor(level=1).compress
         if self.spans[0]:
-            yield abs(self.spans[0][0]) % self.ranges, 0, pack(pickle.dumps([np.array(c, np.int64) for c in self.spans]))
+            yield abs(self.spans[0][0]) % self.ranges, 0, pack(pickle.dumps(joined_spans(*self.spans)))
         rows = sorted(((r[0] + z[off:], z[:off], *r[1:]) for (off, z), r in self.records.items()), key=lambda r: r[0])
         self.records.clear()
         at = 0
@@ -237,7 +248,7 @@ class Groups:
         self.windows += len(h)
         self.rows, self.bytes = [], 0
 
-    def spans(self) -> dict | None:
+    def spans(self) -> list | None:
         """Spans of repeated windows of all collected groups."""
         self.hash()
         if not self.keys:
@@ -253,8 +264,8 @@ class Groups:
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)))[:len(owner)]
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:] - 1, [len(owner) - 1]))[:len(first)]
-        out = {"ka": np.array(self.ka, np.int64)[owner[first]], "kb": np.array(self.kb, np.int64)[owner[first]],
-               "lo": start[first], "hi": start[last] + self.length}
+        out = joined_spans(np.array(self.ka, np.int64)[owner[first]], np.array(self.kb, np.int64)[owner[first]],
+                           start[first], start[last] + self.length)
         self.reset()
         return out
 
@@ -287,7 +298,7 @@ def _merged_spans(length: int):
         groups = Groups(length)
 
         def batch(cols):
-            return pa.RecordBatch.from_arrays([pa.array(cols[f.name]) for f in _SPANS], schema=_SPANS)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_SPANS)
         pending = None       # a record is a group's first only when a second follows
         for same, k, payload in merge([read_run(b) for b in blobs]):
             if same >= 8 + GRAM:
