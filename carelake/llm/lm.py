@@ -33,7 +33,7 @@ from carelake.llm.common import written
 from carelake.llm.suffixes import Hasher
 
 HASH_BITS = 56
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
 CHUNK = 1 << 18          # bytes hashed at a time; longer unbroken runs are cut there
 IS_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
@@ -83,7 +83,7 @@ def ngrams(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]
 def request(block: list, order: int) -> tuple:
     """(n-gram hashes per order, sorted distinct hashes, their counts) of a block."""
     _, lengths, distinct, numbers = block
-    words = distinct[numbers]
+    words = distinct[np.frombuffer(numbers, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()]
     grams = ngrams(words, np.repeat(np.cumsum(lengths) - lengths, lengths), order)
     keys, counts = np.unique(np.concatenate(grams), return_counts=True)
     return (grams, keys[1:], counts[1:]) if len(keys) and keys[0] == 0 else (grams, keys, counts)
@@ -110,8 +110,12 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
         def emit():
             words = np.concatenate(texts)
-            distinct, numbers = np.unique(words, return_inverse=True)
-            data = pack([ids, np.array([len(t) for t in texts]), distinct, numbers.astype(np.uint32)])
+            distinct, numbers, n = np.unique(words, return_inverse=True, return_counts=True)
+            rank = np.argsort(-n, kind="stable")      # frequent words get small numbers, whose high bytes are zero
+            number = np.empty(len(rank), np.uint32)
+            number[rank] = np.arange(len(rank), dtype=np.uint32)
+            data = pack([ids, np.array([len(t) for t in texts]), distinct[rank],
+                         number[numbers].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()])
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((serial, len(words), data), out)], schema=out)
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
