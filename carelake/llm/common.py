@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from carelake.session import ensure_checkpoint_dir
 
-KEY = ["_ka", "_kb"]
+KEY = ["__llm_ka", "__llm_kb"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,18 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` plus (_ka, _kb): two independent 64-bit hashes of (id, text) name a row.
+    """``docs`` plus (__llm_ka, __llm_kb): two independent 64-bit hashes of (id, text) name a row.
 
-    They are never null, so joins on them are plain equi-joins; rows with the same id
+    Column names that begin with ``__llm_`` are reserved. The keys are never null, so joins on them are plain equi-joins; rows with the same id
     and the same text (repeated rows) share a key and get the same result.
     """
     i, t = F.col(id_col), F.col(text_col)
-    return docs.select("*", F.xxhash64(i, t, i.isNull(), t.isNull()).alias("_ka"),
-                       F.xxhash64(F.lit(7), t, i, t.isNull(), i.isNull()).alias("_kb"))
+    return docs.select("*", F.xxhash64(i, t, i.isNull(), t.isNull()).alias("__llm_ka"),
+                       F.xxhash64(F.lit(7), t, i, t.isNull(), i.isNull()).alias("__llm_kb"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, _ka, _kb) of ``docs``, whatever other columns it has."""
+    """(id, text, __llm_ka, __llm_kb) of ``docs``, whatever other columns it has."""
     pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return with_key(pair, "id", "text")
 

@@ -50,7 +50,7 @@ def _at(i: Column, length: int, *seed: Column) -> Column:
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
          max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(id, _ka, _kb, n_words, spans, items) per row; spans are sorted word ranges [start, end)
+    """(id, __llm_ka, __llm_kb, n_words, spans, items) per row; spans are sorted word ranges [start, end)
     of verified windows, items the benchmark items whose windows occur."""
     win = benchmark_windows(bench, n)
     sizes = {r["len"]: r["c"] for r in win.groupBy("len").agg(F.count("*").alias("c")).collect()}    # at most n rows
@@ -112,11 +112,11 @@ def clean_documents(docs: DataFrame, bench: DataFrame, n: int = 13, share: int =
 def without_spans(docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """``docs`` with the hit words, and what separates them from the next word, cut out of the text."""
-    spans = hits(docs, bench, n, id_col, text_col).where(F.size("spans") > 0).select(*KEY, "spans").dropDuplicates(KEY)
+    spans = hits(docs, bench, n, id_col, text_col).where(F.size("spans") > 0).select(*KEY, F.col("spans").alias("__llm_spans")).dropDuplicates(KEY)
     rows = with_key(docs, id_col, text_col).join(spans, KEY, "left")
     t = F.col(text_col)
     head = F.regexp_extract(t, "^" + SEPARATOR.replace("\\x60", "\\x40\\x5B-\\x60", 1), 0)
     kept = F.filter(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda w, i: ~F.exists(
-        F.col("spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
+        F.col("__llm_spans"), lambda s: (s["start"] <= i) & (i < s["end"])))
     cut = F.concat(head, F.array_join(kept, ""))
-    return rows.withColumn(text_col, F.when(F.col("spans").isNull(), t).otherwise(cut)).drop(*KEY, "spans")
+    return rows.withColumn(text_col, F.when(F.col("__llm_spans").isNull(), t).otherwise(cut)).drop(*KEY, "__llm_spans")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from carelake.llm.common import written
 from carelake.llm.suffixes import Hasher
 
-HASH_BITS = 56
+HASH_BITS = 52
 BLOCK_WORDS = 1_500_000
 CHUNK = 1 << 18          # bytes hashed at a time; longer unbroken runs are cut there
 IS_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])

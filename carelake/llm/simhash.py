@@ -53,12 +53,12 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, _ka, _kb, fp BIGINT) per row."""
+    """(id, __llm_ka, __llm_kb, fp BIGINT) per row."""
     def run(batch):
-        yield {"id": batch.column("id"), "_ka": batch.column("_ka"), "_kb": batch.column("_kb"),
+        yield {"id": batch.column("id"), "__llm_ka": batch.column("__llm_ka"), "__llm_kb": batch.column("__llm_kb"),
                "fp": np.array([fingerprint(t, shingle) for t in text_bytes(batch)], np.int64)}
     rows = keyed(docs, id_col, text_col).withColumn("id", F.col("id").cast("bigint"))
-    return arrow_map(rows, run, "id bigint, _ka bigint, _kb bigint, fp bigint")
+    return arrow_map(rows, run, "id bigint, __llm_ka bigint, __llm_kb bigint, fp bigint")
 
 
 def keep_masks(radius: int) -> list[int]:
@@ -100,7 +100,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, _ka, _kb, fp, component_id) per row; component_id is the least id reachable."""
+    """(id, __llm_ka, __llm_kb, fp, component_id) per row; component_id is the least id reachable."""
     rows = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     comp = connected_components(links(classes.select("fp"), max_bits))
@@ -119,5 +119,5 @@ def one_per_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
     # groups without any id have no component id: their fingerprint stands for it
     unit = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")]
     least = g.select(*unit, F.struct(F.col("id").isNull(), "id", *KEY).alias("r")).groupBy(
-        "component_id", "_fp").agg(F.min("r").alias("r")).select("r._ka", "r._kb")
+        "component_id", "_fp").agg(F.min("r").alias("r")).select("r.__llm_ka", "r.__llm_kb")
     return with_key(docs, id_col, text_col).join(least, KEY).dropDuplicates(KEY).drop(*KEY)

@@ -348,10 +348,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 
 def _joined(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    spans = repeated_spans(docs, length, id_col, text_col).groupBy("ka", "kb").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_spans"))      # a text has at most one span per window
-    marked = with_key(docs, id_col, text_col)
-    return marked.join(spans, (F.col("_ka") == F.col("ka")) & (F.col("_kb") == F.col("kb")), "left").drop("ka", "kb", *KEY)
+    spans = repeated_spans(docs, length, id_col, text_col).groupBy(F.col("ka").alias(KEY[0]), F.col("kb").alias(KEY[1])).agg(
+        F.collect_list(F.struct("lo", "hi")).alias("__llm_spans"))      # a text has at most one span per window
+    return with_key(docs, id_col, text_col).join(spans, KEY, "left").drop(*KEY)
 
 
 def _cut(text: bytes, spans: list | None) -> tuple[bytes, int]:
@@ -378,7 +377,7 @@ def removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
                 pa.array([n for _, n in cut], pa.int64()), pa.array([c for c, _ in cut], pa.binary())],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
     rows = _joined(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), length, "id", "text")
-    return rows.select("id", F.col("text").cast("binary"), "_spans").mapInArrow(
+    return rows.select("id", F.col("text").cast("binary"), "__llm_spans").mapInArrow(
         run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
@@ -392,5 +391,5 @@ def cut_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_c
     cut.__annotations__ = {"text": pd.Series, "spans": pd.Series, "return": pd.Series}
     rows = _joined(docs, length, id_col, text_col)
     t = F.col(text_col)
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), t).otherwise(
-        pandas_udf(cut, "string")(t.cast("binary"), F.col("_spans")))).drop("_spans")
+    return rows.withColumn(text_col, F.when(F.col("__llm_spans").isNull(), t).otherwise(
+        pandas_udf(cut, "string")(t.cast("binary"), F.col("__llm_spans")))).drop("__llm_spans")

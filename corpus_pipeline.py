@@ -21,7 +21,7 @@ from carelake.llm.common import table, written
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), quality.held_out)
-    return quality.score(docs, model, "_quality").where("_quality >= 0.7").select(*docs.columns)
+    return quality.score(docs, model, "__llm_quality").where("__llm_quality >= 0.7").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
