@@ -19,8 +19,8 @@ NEAR_EXPIRY_LABELS = ["Expired", "0-30d", "31-90d", "91-180d"]
 AGING_RISK_LABELS = ["<3 Months", "3-6 Months", "6-12 Months", "1+ Year"]
 UNCATEGORISED_TOKENS = ["", "nan", "none"]
 UNCAT_LABELS = ["uncategorized", "", "nan", "none"]
-CAPEX_DOC_TYPES = ["1-URGENT"]
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "dd-MM-yyyy"]
+CAPEX_DOC_TYPES = ["Service PO", "Dom Capital PO", "CMC", "AMC", "Imp capital PO"]
+DATE_FORMATS = ["yyyy-M-d", "d.M.yyyy", "d-M-yyyy", "M/d/yyyy"]      # slash dates are month-first
 SPREADSHEET_EPOCH = "1899-12-30"
 Z_95 = 1.645
 
@@ -54,15 +54,20 @@ def month_index(label) -> Column:
 
 
 def parse_fixed_date(x, fmt: str = "dd.MM.yyyy") -> Column:
-    """COL-05: fixed-format text date -> DATE, unparseable -> NULL."""
-    return F.try_to_timestamp(c(x).cast("string"), F.lit(fmt)).cast("date")
+    """COL-05: fixed-format text date, a time of day after it or not -> DATE, unparseable -> NULL."""
+    return F.try_to_timestamp(_date_part(x), F.lit(fmt)).cast("date")
+
+
+def _date_part(x) -> Column:
+    """Text up to the first blank or 'T' after a digit (``2026-05-31 00:00:00``)."""
+    return F.regexp_replace(F.trim(c(x).cast("string")), r"(?<=\d)[T ].*$", "")
 
 
 def parse_any_date(x) -> Column:
     """COL-06: several text formats, else a spreadsheet serial day number."""
     s = F.trim(c(x).cast("string"))
-    parsed = [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS]
-    serial = F.when(s.rlike(r"^\d{1,6}(\.0+)?$"),
+    parsed = [F.try_to_timestamp(_date_part(x), F.lit(f)).cast("date") for f in DATE_FORMATS]
+    serial = F.when(s.rlike(r"^\d{1,6}(\.\d+)?$"),
                     F.date_add(F.lit(SPREADSHEET_EPOCH).cast("date"),
                                s.try_cast("double").cast("int")))
     return F.coalesce(*parsed, serial)
@@ -94,7 +99,7 @@ def ip_op_class(desc) -> Column:
 
 def title_case(x) -> Column:
     """COL-10: title case that restarts after any non-letter (``J&J``, ``O'Neil``)."""
-    parts = F.regexp_extract_all(c(x), F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), 1)
+    parts = F.regexp_extract_all(c(x), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
 
 
@@ -248,9 +253,9 @@ def date_label(d, style: str = "month") -> Column:
     return F.date_format(c(d), DATE_LABELS[style])
 
 
-def is_capex(doc_type, material) -> Column:
-    """COL-32: capital/service document type, or a line without material."""
-    return F.coalesce(c(doc_type).isin(CAPEX_DOC_TYPES), F.lit(False)) | c(material).isNull()
+def is_capex(doc_type, material, types: list = CAPEX_DOC_TYPES) -> Column:
+    """COL-32: one of the capital/service document types, or a line without material."""
+    return F.coalesce(c(doc_type).isin(types), F.lit(False)) | c(material).isNull()
 
 
 def margin_pct(mrp, cost) -> Column:

@@ -80,6 +80,8 @@ def procurement(vv: DataFrame, pv: DataFrame, loc: DataFrame, po: DataFrame, grn
 def inventory(k: dict, view: str = "stock_value", top_n_: int = 10, plant: str | None = None) -> DataFrame:
     """CAT-03: stock value, days of cover, aging, non-moving, health, expiry."""
     view = (view or "stock_value").lower().strip()
+    if view == "expiry":
+        return expiry(for_plant(k["fact_inventory_expiry"], plant))
     if view == "stock_value":
         sv = for_plant(k["kpi_stock_value"], plant).withColumn("name", clean_category("material_group"))
         g = sv.groupBy("name").agg(F.round(F.sum("stock_value_cost"), 4).alias("value"),
@@ -106,7 +108,7 @@ def inventory(k: dict, view: str = "stock_value", top_n_: int = 10, plant: str |
         return hs.groupBy("health_tier").agg(F.countDistinct("material").alias("skus"),
                                              F.round(F.sum("closing_stock_value"), 4).alias("value")).withColumnRenamed(
             "health_tier", "name")
-    return inventory(k, "stock_value", top_n_, plant)
+    raise ValueError(f"unknown inventory view: {view}")
 
 
 def expiry(inv_expiry: DataFrame) -> DataFrame:

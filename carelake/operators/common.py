@@ -56,6 +56,11 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
     return out.select("label", "ord", *[fmt(n) for n in names])
 
 
+def first_rows(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """All rows, or the first ``limit`` in the given order."""
+    return df if limit is None else top_n(df, limit, *order)
+
+
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """TOP-02: ordered limit (TakeOrderedAndProject: per-partition top-n, then merge)."""
     return df.orderBy(*order).limit(n)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import median_of, CAPEX_DOC_TYPES, money, r6
+from carelake.functions.expr import median_of, CAPEX_DOC_TYPES, is_capex, money, r6
 from carelake.operators.marts import BAND, PRICE_FLOOR, STABLE_N, _raw_prices, clean_band
 
 
@@ -116,9 +116,9 @@ def vendor_inconsistency(mart_proc: DataFrame, min_lines: int = 20, n: int = 10)
                      .orderBy(F.desc("flagged"), "vendor_name").limit(n))
 
 
-def capex_split(po: DataFrame) -> DataFrame:
-    """SQL-09 / COL-32."""
-    t = F.when(F.col("doc_type").isin(CAPEX_DOC_TYPES) | F.col("material").isNull(), "Capex/Service").otherwise("Supply")
+def capex_split(po: DataFrame, types: list = CAPEX_DOC_TYPES) -> DataFrame:
+    """SQL-09 / COL-32; ``types`` are the document types that are capital or service orders."""
+    t = F.when(is_capex("doc_type", "material", types), "Capex/Service").otherwise("Supply")
     return po.groupBy(t.alias("spend_type")).agg(F.count(F.lit(1)).alias("lines"),
                                                  money(F.sum("total_value_wo_tax")).alias("value"))
 

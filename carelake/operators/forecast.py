@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelake.operators.common import first_rows
 from carelake.functions.expr import (median_of, Z_95, aging_risk_label, clip, money, r6, radar_status,
                                      round_half_even)
 
@@ -215,12 +216,13 @@ def kpi_aging_risk_forecast(rep: DataFrame) -> DataFrame:
 
 
 def forecast_accuracy(matrix: DataFrame, dim_material: DataFrame, months: int = 6,
-                      folds: tuple = (4, 5)) -> DataFrame:
+                      folds: tuple | None = None) -> DataFrame:
     """FC-10: rolling-origin back-test -> (metric, value) rows.
 
     series -> groupBy(material_group) -> one global agg: no join of one-row frames and
     no driver round trip; the final ``stack`` turns the row into metric rows.
     """
+    folds = folds or (months - 2, months - 1)      # the last two months of the history
     g = F.coalesce(F.col("material_group"), F.lit(""))
     s = matrix.join(dim_material.select("material", "material_group"), "material", "left").withColumn("g", g)
     for k in folds:
@@ -287,28 +289,27 @@ WEEK_DAYS = {"week_1": 7, "week_2": 14, "week_3": 21, "week_4": 28}
 
 
 def weekly_forecast(rep: DataFrame, week: str = "week_1", plant: str | None = None,
-                    limit: int = 250) -> DataFrame:
-    """FC-12: plants collapsed per material; 7/14/21/28-day demand and cash; ranked top-k."""
+                    limit: int | None = None) -> DataFrame:
+    """FC-12: plants collapsed per material; 7/14/21/28-day demand and cash; all rows, or the first ``limit``."""
     df = rep
     if plant and plant.upper() != "ALL":
         df = df.where(F.col("plant") == plant)
     df = df.withColumn("aging_risk", F.coalesce("aging_risk", F.lit("0")))
     agg = df.groupBy("material_id").agg(
         F.min("material_desc").alias("material_desc"),
-        F.sum("closing_stock").alias("closing_stock"),
-        F.sum("closing_stock_value").alias("closing_stock_value"),
-        F.sum("demand_forecast").alias("demand_forecast"),
-        F.sum("demand_monthly").alias("demand_monthly"),
-        F.sum("replenishment_quantity").alias("replenishment_quantity"),
+        F.round(F.sum("closing_stock"), 6).alias("closing_stock"),
+        F.round(F.sum("closing_stock_value"), 6).alias("closing_stock_value"),
+        F.round(F.sum("demand_forecast"), 6).alias("demand_forecast"),
+        F.round(F.sum("demand_monthly"), 6).alias("demand_monthly"),
+        F.round(F.sum("replenishment_quantity"), 6).alias("replenishment_quantity"),
         F.mode("aging_risk", True).alias("aging_risk"))
     frac = WEEK_DAYS.get(week, 7) / 30.0
     unit = F.when(F.col("closing_stock") != 0, F.col("closing_stock_value") / F.col("closing_stock")
                   ).otherwise(F.lit(0.0))
     base = F.when(F.col("demand_monthly") > 0, F.col("demand_monthly")).otherwise(F.col("demand_forecast"))
     wk = F.bround(base * frac, 0)
-    return (agg.withColumn("unit_cost", unit).withColumn("wk_demand", wk)
-               .orderBy(F.desc("replenishment_quantity"), F.desc("demand_forecast"), F.asc("material_id"))
-               .limit(limit)
+    return (first_rows(agg.withColumn("unit_cost", unit).withColumn("wk_demand", wk), limit,
+                       F.desc("replenishment_quantity"), F.desc("demand_forecast"), F.asc("material_id"))
                .select(F.col("material_id").alias("material"),
                        F.col("material_desc").alias("material_name"),
                        F.bround("replenishment_quantity", 0).alias("order_quantity"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.expr import (AGING_RISK_LABELS, UNCAT_LABELS, clean_category, cover_months, money,
                                      month_index, r6, reorder_status)
-from carelake.operators.common import band_table, for_plant, key_month_grid, top_n
+from carelake.operators.common import band_table, first_rows, for_plant, key_month_grid, top_n
 
 
 def _uncat(c: Column) -> Column:
@@ -205,7 +205,7 @@ def aging_ladder(rep: DataFrame, plant: str | None = None) -> DataFrame:
 
 
 def risk_items(rep: DataFrame, plant: str | None = None, status: str | None = None, aging: str | None = None,
-               kind: str | None = None, limit: int = 200) -> DataFrame:
+               kind: str | None = None, limit: int | None = None) -> DataFrame:
     """INS-34 item list behind any reorder / aging cut."""
     rp = replen_frame(rep, plant)
     if status:
@@ -217,7 +217,7 @@ def risk_items(rep: DataFrame, plant: str | None = None, status: str | None = No
     elif kind == "aging":
         rp = rp.where((F.col("aging_days") > 180) & (F.col("closing_stock_value") > 0))
     by = "reorder_value" if (kind == "order_now" or status in ("Stock-out", "Reorder now")) else "closing_stock_value"
-    return (top_n(rp, limit, F.desc(by), "material_id", "plant")
+    return (first_rows(rp, limit, F.desc(by), "material_id", "plant")
             .select(F.col("material_id").alias("material"), "plant", F.col("material_desc").alias("desc"),
                     clean_category("material_group").alias("group"), "status", F.col("closing_stock").alias("stock"),
                     F.col("closing_stock_value").alias("stock_value"), "demand_monthly", r6("cover").alias("cover"),

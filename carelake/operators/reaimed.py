@@ -47,8 +47,8 @@ def top_n_other(df: DataFrame, label: str, value: str, cap: int = 8, additive: b
 
 
 def heat_matrix(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """RE-02: row x column matrix (pivot); empty cells stay NULL."""
-    return df.groupBy(row).pivot(col).agg(F.round(F.sum(value), 4))
+    """RE-02: the cells (row, column, value) of a matrix; cells without rows are absent."""
+    return df.groupBy(row, col).agg(F.round(F.sum(value), 4).alias(value))
 
 
 def hierarchy_rollup(df: DataFrame, parent: str, leaf: str, value: str) -> DataFrame:

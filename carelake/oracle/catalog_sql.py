@@ -17,4 +17,5 @@ def all_sql() -> dict:
                     insights_extra_sql.SQL]:
         for k, v in mod_sql.items():
             out[k] = with_fixtures(v)
+    out["cat_inventory_expiry"] = out["cat_expiry"]      # the inventory catalogue's expiry view is the ladder
     return out

@@ -156,9 +156,9 @@ for _key, _cols in (("sales_forecast_series", ("sales_quantity", "lower_bound_sa
     SQL[_key] = _body
 
 SQL["weekly_forecast"] = REP + """,
-    a AS (SELECT material_id, min(material_desc) AS material_desc, sum(closing_stock) AS closing_stock,
-                 sum(closing_stock_value) AS closing_stock_value, sum(demand_forecast) AS demand_forecast,
-                 sum(demand_monthly) AS demand_monthly, sum(replenishment_quantity) AS replenishment_quantity
+    a AS (SELECT material_id, min(material_desc) AS material_desc, round(sum(closing_stock), 6) AS closing_stock,
+                 round(sum(closing_stock_value), 6) AS closing_stock_value, round(sum(demand_forecast), 6) AS demand_forecast,
+                 round(sum(demand_monthly), 6) AS demand_monthly, round(sum(replenishment_quantity), 6) AS replenishment_quantity
           FROM rep GROUP BY material_id),
     md AS (SELECT material_id, aging_risk FROM (
              SELECT material_id, aging_risk, row_number() OVER (PARTITION BY material_id ORDER BY count(*) DESC, aging_risk) AS rn
@@ -167,12 +167,15 @@ SQL["weekly_forecast"] = REP + """,
                  CASE WHEN closing_stock <> 0 THEN closing_stock_value / closing_stock ELSE 0.0 END AS unit_cost,
                  round_even(CASE WHEN demand_monthly > 0 THEN demand_monthly ELSE demand_forecast END * (7 / 30.0), 0) AS wk
           FROM a JOIN md USING (material_id)
-          ORDER BY replenishment_quantity DESC, demand_forecast DESC, material_id LIMIT 250)
+          ORDER BY replenishment_quantity DESC, demand_forecast DESC, material_id)
     SELECT material_id AS material, material_desc AS material_name, round_even(replenishment_quantity, 0) AS order_quantity,
            round_even(demand_forecast, 0) AS demand_forecast, round_even(demand_forecast * unit_cost, 2) AS cash_flow_prediction,
            round_even(closing_stock, 0) AS stock, round_even(closing_stock_value, 2) AS stock_value, aging_risk AS aging,
            wk AS demand_forecast_week, round_even(wk * unit_cost, 2) AS cash_flow_prediction_week FROM b"""
 
+for _w, _days in (("week_2", 14), ("week_3", 21), ("week_4", 28)):
+    SQL[f"weekly_forecast_{_w}"] = SQL["weekly_forecast"].replace("* (7 / 30.0)", f"* ({_days} / 30.0)")
+
 SQL["replenishment_summary"] = REP + """ SELECT count(*) AS total_materials,
     round(sum(closing_stock), 4) AS total_closing_stock, round(sum(replenishment_quantity), 4) AS total_replenishment_needed,
     count(*) FILTER (WHERE replenishment_quantity > 0) AS materials_needing_replenishment,

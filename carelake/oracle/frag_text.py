@@ -2,7 +2,7 @@
 
 
 def title_case(s: str) -> str:
-    return (f"array_to_string(list_transform(regexp_extract_all({s}, '[A-Za-z]+|[^A-Za-z]+'), "
+    return (f"array_to_string(list_transform(regexp_extract_all({s}, '\\p{{L}}+|\\P{{L}}+'), "
             f"lambda x: upper(x[1]) || lower(x[2:])), '')")
 
 

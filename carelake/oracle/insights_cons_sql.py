@@ -114,7 +114,7 @@ SQL = {
     "risk_items": RF + f""" SELECT material_id AS material, plant, material_desc AS "desc",
         {clean_category('material_group')} AS "group", status, closing_stock AS stock, closing_stock_value AS stock_value,
         demand_monthly, {r6('cover')} AS cover, replenishment_quantity AS reorder_qty, {r6('reorder_value')} AS reorder_value,
-        CAST(trunc(aging_days) AS INTEGER) AS aging_days FROM rf ORDER BY closing_stock_value DESC, material_id, plant LIMIT 200""",
+        CAST(trunc(aging_days) AS INTEGER) AS aging_days FROM rf ORDER BY closing_stock_value DESC, material_id, plant""",
     "stock_age_mix": as_cte("ad", K["kpi_aging_distribution"]) + " " + band_sql(
         "ad", "(CASE WHEN aging_bucket = '0-30' THEN 'fresh' WHEN aging_bucket = '31-90' THEN 'aging' "
               "WHEN aging_bucket IN ('91-180', '181-365') THEN 'problem' WHEN aging_bucket = '365+' THEN 'deadStock' END)",

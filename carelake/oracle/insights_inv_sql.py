@@ -122,7 +122,10 @@ SQL = {
         SELECT CAST(period AS DATE) AS period, strftime(period, '%b %y') AS label, value, count FROM g""",
     "expiry_items": IE + f""" SELECT material, material_desc, batch, plant, {money('qty')} AS qty, {money('total_cost')} AS value,
         {money('total_mrp')} AS mrp, dte AS days, expiry_date AS expiry, slab FROM ie2
-        ORDER BY total_cost DESC, material, batch, plant LIMIT 500""",
+        ORDER BY total_cost DESC, material, batch, plant""",
+    "expiry_items_search": IE + f""" SELECT material, material_desc, batch, plant, {money('qty')} AS qty, {money('total_cost')} AS value,
+        {money('total_mrp')} AS mrp, dte AS days, expiry_date AS expiry, slab FROM ie2
+        WHERE plant = 'P03' AND slab = 'Expired' AND (contains(lower(material_desc), '1') OR contains(material, '1'))""",
     "inventory_aging_top": AG + """, t AS (SELECT * FROM ag ORDER BY closing_stock_value DESC, material, plant LIMIT 50)
         SELECT CAST(row_number() OVER (ORDER BY closing_stock_value DESC, material, plant) AS INTEGER) AS rank, material,
                material_desc, plant, age_since_last_sale_days, age_since_last_purchase_days, aging_days, aging_category,

@@ -30,8 +30,8 @@ SQL = {
         SELECT CASE WHEN n <= 8 OR rn < 8 THEN vendor_name ELSE 'Other (' || CAST(n - 7 AS VARCHAR) || ' more)' END AS vendor_name,
                CAST(CASE WHEN n <= 8 OR rn < 8 THEN rn ELSE 8 END AS INTEGER) AS rn, round(sum(spend), 4) AS spend
         FROM r GROUP BY 1, 2""",
-    "heat_matrix": SV + """ PIVOT (SELECT material_group, plant, stock_value_cost FROM sv) ON plant
-        USING round(sum(stock_value_cost), 4) GROUP BY material_group""",
+    "heat_matrix": SV + """ SELECT material_group, plant, round(sum(stock_value_cost), 4) AS stock_value_cost
+        FROM sv GROUP BY material_group, plant""",
     "hierarchy_rollup": SV + """ SELECT material_group, material, round(sum(stock_value_cost), 4) AS stock_value_cost,
         CAST(grouping(material_group, material) AS INTEGER) AS level FROM sv GROUP BY ROLLUP (material_group, material)""",
     "box_stats": """b AS (SELECT plant, min(CAST(net_price AS DOUBLE)) AS mn,

@@ -235,5 +235,5 @@ SQL.update({
     "revenue_items": GR + f""" SELECT material, material_desc, {clean_category('material_group')} AS "group", revenue,
         round(revenue - cost, 4) AS margin,
         {r6('CASE WHEN revenue > 0 THEN (revenue - cost) / revenue * 100 ELSE 0.0 END')} AS margin_pct, qty
-        FROM bym ORDER BY revenue DESC, material LIMIT 400""",
+        FROM bym ORDER BY revenue DESC, material""",
 })

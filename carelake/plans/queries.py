@@ -76,6 +76,8 @@ register("forecast_accuracy")(lambda l: fc.forecast_accuracy(_matrix(l), l.dim_m
 register("sales_forecast_series")(lambda l: fc.forecast_series(_fs(l), "qty"))
 register("cashflow_forecast_series")(lambda l: fc.forecast_series(_fs(l), "cash"))
 register("weekly_forecast")(lambda l: fc.weekly_forecast(_rep(l), "week_1"))
+for _w in ["week_2", "week_3", "week_4"]:
+    register(f"weekly_forecast_{_w}")(lambda l, _w=_w: fc.weekly_forecast(_rep(l), _w))
 register("replenishment_summary")(lambda l: fc.replenishment_summary(_rep(l)))
 register("replenishment_top")(lambda l: fc.replenishment_top(_rep(l)))
 register("aging_top")(lambda l: fc.aging_top(_rep(l)))
@@ -84,6 +86,7 @@ register("aging_top")(lambda l: fc.aging_top(_rep(l)))
 from carelake.operators import cookbook as cb  # noqa: E402
 from carelake.operators import marts  # noqa: E402
 from carelake.operators import sales  # noqa: E402
+from carelake.sources.fixtures import CAPEX_DOC_TYPES  # noqa: E402
 
 
 def _sales_agg(l):
@@ -137,7 +140,7 @@ register("sql_cheapest_vendor")(lambda l: cb.cheapest_vendor(_vendor_stats(l)))
 register("sql_consolidation_saving")(lambda l: cb.consolidation_saving(_vendor_stats(l)))
 register("sql_price_dispersion")(lambda l: cb.price_dispersion(_price_stats(l)))
 register("sql_vendor_inconsistency")(lambda l: cb.vendor_inconsistency(_mart_proc(l)))
-register("sql_capex_split")(lambda l: cb.capex_split(l.fact_po))
+register("sql_capex_split")(lambda l: cb.capex_split(l.fact_po, CAPEX_DOC_TYPES))
 register("sql_median_doh")(lambda l: cb.median_doh(kpi.kpi_doh(l.fact_inventory, l.fact_consumption)))
 register("sql_vendor_spend")(lambda l: cb.vendor_spend(kpi.kpi_vendor_volume(l.fact_po)))
 register("sql_category_spend")(lambda l: cb.category_spend(l.fact_po, l.dim_material))
@@ -200,6 +203,7 @@ register("expiry_ladder")(lambda l: ii.expiry_ladder(l.fact_inventory, _snap(l))
 register("near_expiry_buckets")(lambda l: ii.near_expiry_buckets(kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col)))
 register("expiry_calendar")(lambda l: ii.expiry_calendar(kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col)))
 register("expiry_items")(lambda l: ii.expiry_items(l.fact_inventory, _snap(l)))
+register("expiry_items_search")(lambda l: ii.expiry_items(l.fact_inventory, _snap(l), slab="Expired", q="1", plant="P03"))
 register("inventory_aging_top")(lambda l: ii.inventory_aging_top(kpi.kpi_inventory_aging(l.fact_inventory, l.fact_consumption, l.snapshot_col)))
 
 # ------------------------------------------------------------------ procurement insights
@@ -332,6 +336,7 @@ for _name, _view, _dim in [("vendors", "vendors", "vendor"), ("category", "spend
                            ("location", "spend", "location"), ("month", "spend", "month"),
                            ("open_po", "open_po", "vendor"), ("savings", "savings", "vendor")]:
     register(f"cat_procurement_{_name}")(lambda l, _v=_view, _d=_dim: _cat_proc(l, _v, _d))
+register("cat_inventory_expiry")(lambda l: cat.inventory({"fact_inventory_expiry": ii.inventory_expiry(l.fact_inventory, _snap(l))}, "expiry"))
 for _view in ["stock_value", "doh", "aging", "non_moving", "health"]:
     register(f"cat_inventory_{_view}")(lambda l, _v=_view: cat.inventory(_wh(l), _v, 10))
 register("cat_expiry")(lambda l: cat.expiry(ii.inventory_expiry(l.fact_inventory, _snap(l))))
@@ -348,6 +353,7 @@ from carelake.operators import reaimed as re_  # noqa: E402
 from carelake.plans.registry import register_raw  # noqa: E402
 from carelake.sources.fixtures import read_table  # noqa: E402
 
+
 FOOTPRINT_TABLES = ["fact_consumption", "fact_inventory", "fact_grn", "fact_po", "sales_line", "sales_by_material",
                     "kpi_stock_value", "kpi_units_consumed", "kpi_monthly_purchase_value",
                     "stock_replenishment_and_aging_risk"]

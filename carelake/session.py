@@ -43,11 +43,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint directory.
 
-    The deployment names it in ``spark.checkpoint.dir``; only when it is unset (local
-    tests) do we create one of our own.
+    The deployment names it in ``spark.checkpoint.dir``. Where it is unset, a session that is
+    one local process gets a folder of its own; on a cluster that is an error, as no
+    folder of one machine can be read by the others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="carelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

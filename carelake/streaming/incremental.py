@@ -31,18 +31,14 @@ def land_files(df: DataFrame, path: str, partition_by: str, fmt: str = "parquet"
     df.write.mode("overwrite").partitionBy(partition_by).format(fmt).save(path)
 
 
-def run_available_now(stream: DataFrame, out_path: str, ckpt_path: str, mode: str = "complete",
-                      max_wait_s: int = 600) -> None:
+def run_available_now(stream: DataFrame, out_path: str, ckpt_path: str, mode: str = "complete") -> None:
     """Run a streaming aggregate to completion with an idempotent overwrite per batch."""
     def write_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(out_path)
 
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt_path)
                .foreachBatch(write_batch).trigger(availableNow=True).start())
-    q.awaitTermination(max_wait_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 

@@ -37,13 +37,31 @@ def test_title_case_restarts_after_non_letters(spark, s, t):
     assert one(spark, X.title_case("x"), s, "string") == t
 
 
+@pytest.mark.parametrize("s,d", [("2026-05-31 00:00:00", dt.date(2026, 5, 31)), ("2026-05-31T08:00:00", dt.date(2026, 5, 31)),
+                                 ("2026-05-31", dt.date(2026, 5, 31)), ("31/05/2026", None)])
+def test_loader_dates_may_carry_a_time(spark, s, d):
+    assert one(spark, X.parse_fixed_date("x", "yyyy-MM-dd"), s, "string") == d
+
+
+def test_title_case_keeps_accented_words_whole(spark):
+    assert one(spark, X.title_case("x"), "éCLAIR d'ÉTÉ", "string") == "Éclair D'Été"
+
+
+def test_capex_types_are_a_parameter(spark):
+    df = spark.createDataFrame([("Service PO", "m"), ("1-URGENT", "m"), ("x", None)], "t string, m string")
+    assert [r[0] for r in df.select(X.is_capex("t", "m")).collect()] == [True, False, True]
+    assert [r[0] for r in df.select(X.is_capex("t", "m", ["1-URGENT"])).collect()] == [False, True, True]
+
+
 @pytest.mark.parametrize("s,t", [("100301.0", "100301"), (" 100301 ", "100301"), ("218766", "218766"), (None, None)])
 def test_normalize_id(spark, s, t):
     assert one(spark, X.normalize_id("x"), s, "string") == t
 
 
 @pytest.mark.parametrize("s,d", [("31.05.2026", dt.date(2026, 5, 31)), ("2026-05-31 10:00:00", dt.date(2026, 5, 31)),
-                                 ("46173", dt.date(2026, 5, 31)), ("not a date", None), (None, None)])
+                                 ("46173", dt.date(2026, 5, 31)), ("46173.5", dt.date(2026, 5, 31)), ("05/06/2026", dt.date(2026, 5, 6)),
+                                 ("05/31/2026", dt.date(2026, 5, 31)), ("31.05.2026 10:00:00", dt.date(2026, 5, 31)),
+                                 ("not a date", None), (None, None)])
 def test_parse_any_date_and_serial(spark, s, d):
     assert one(spark, X.parse_any_date("x"), s, "string") == d
 

@@ -33,7 +33,7 @@ def test_no_cross_join_in_guarded_queries(spark):
 
 @pytest.mark.parametrize("name,pushed", [("kpi_inventory_aging", "EqualTo(l_linestatus,O)"),
                                          ("fact_consumption", "Not(EqualTo(l_returnflag,R))"),
-                                         ("kpi_purchase_value", "GreaterThanOrEqual(o_orderdate")])
+                                         ("sales_monthly", "GreaterThanOrEqual(l_shipdate")])
 def test_filters_reach_parquet_scan(spark, name, pushed):
     import contextlib
     import io
