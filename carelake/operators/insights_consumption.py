@@ -204,25 +204,68 @@ def aging_ladder(rep: DataFrame, plant: str | None = None) -> DataFrame:
                       {"value": ("sum", "closing_stock_value"), "count": ("count", None)})
 
 
+def _board_cut(status: str | None, aging: str | None, kind: str | None):
+    """The cut a board element stands for; the most specific argument given decides."""
+    kinds = {"order_now": F.col("replenishment_quantity") > 0,
+             "aging": (F.col("aging_days") > 180) & (F.col("closing_stock_value") > 0)}
+    cuts = [F.col("status") == status if status else None, F.col("aging_risk") == aging if aging else None,
+            kinds.get(kind)]
+    return next((c for c in cuts if c is not None), F.lit(True))
+
+
+def _board_columns() -> list:
+    return [F.col("material_id").alias("material"), "plant", F.col("material_desc").alias("desc"),
+            clean_category("material_group").alias("group"), "status", F.col("closing_stock").alias("stock"),
+            F.col("closing_stock_value").alias("stock_value"), "demand_monthly", r6("cover").alias("cover"),
+            F.col("replenishment_quantity").alias("reorder_qty"), r6("reorder_value").alias("reorder_value"),
+            F.col("aging_days").cast("int").alias("aging_days")]
+
+
 def risk_items(rep: DataFrame, plant: str | None = None, status: str | None = None, aging: str | None = None,
                kind: str | None = None, limit: int | None = None) -> DataFrame:
     """INS-34 item list behind any reorder / aging cut."""
-    rp = replen_frame(rep, plant)
-    if status:
-        rp = rp.where(F.col("status") == status)
-    elif aging:
-        rp = rp.where(F.col("aging_risk") == aging)
-    elif kind == "order_now":
-        rp = rp.where(F.col("replenishment_quantity") > 0)
-    elif kind == "aging":
-        rp = rp.where((F.col("aging_days") > 180) & (F.col("closing_stock_value") > 0))
-    by = "reorder_value" if (kind == "order_now" or status in ("Stock-out", "Reorder now")) else "closing_stock_value"
-    return (first_rows(rp, limit, F.desc(by), "material_id", "plant")
-            .select(F.col("material_id").alias("material"), "plant", F.col("material_desc").alias("desc"),
-                    clean_category("material_group").alias("group"), "status", F.col("closing_stock").alias("stock"),
-                    F.col("closing_stock_value").alias("stock_value"), "demand_monthly", r6("cover").alias("cover"),
-                    F.col("replenishment_quantity").alias("reorder_qty"), r6("reorder_value").alias("reorder_value"),
-                    F.col("aging_days").cast("int").alias("aging_days")))
+    urgent = kind == "order_now" or status in REORDER_STATUSES[:2]
+    rows = replen_frame(rep, plant).where(_board_cut(status, aging, kind))
+    return (first_rows(rows, limit, F.desc("reorder_value" if urgent else "closing_stock_value"), "material_id", "plant")
+            .select(*_board_columns()))
+
+
+def item_risk(rep: DataFrame, material: str, plant: str | None = None) -> DataFrame:
+    """INS-34 one item's reorder and aging status, a row per plant that holds or needs it."""
+    return (replen_frame(rep, plant).where(F.col("material_id") == str(material))
+            .select(*_board_columns(), r6("demand_forecast").alias("demand_forecast"), "safe_stock",
+                    F.col("aging_risk").alias("bucket"), r6("unit_cost").alias("unit_cost")))
+
+
+def reorder_totals(rep: DataFrame, plant: str | None = None) -> DataFrame:
+    """INS-33 totals of the reorder board in one pass."""
+    need, aged = F.col("replenishment_quantity") > 0, F.col("aging_days") > 180
+    value = F.col("closing_stock_value")
+    return replen_frame(rep, plant).agg(
+        F.count_if(need).alias("reorder_skus"), F.round(F.sum("reorder_value"), 2).alias("reorder_value"),
+        F.round(F.sum("replenishment_quantity"), 4).alias("reorder_qty"),
+        F.count_if(F.col("status") == "Stock-out").alias("stockout_skus"), F.count_if(aged).alias("aging_skus"),
+        F.round(F.coalesce(F.sum(F.when(aged, value)), F.lit(0.0)), 2).alias("aging_value"),
+        F.count_if(F.col("status") == "Healthy").alias("healthy_skus"), F.count(F.lit(1)).alias("total_skus"),
+        F.round(F.sum(value), 2).alias("stock_value"))
+
+
+def department_totals(dp: DataFrame, plant: str | None = None) -> DataFrame:
+    """INS-29 cost, quantity, departments, top shares, departments to reach 80 % and HHI
+    (the window runs on one row per cost centre)."""
+    g = for_plant(dp, plant).groupBy("cost_ctr").agg(F.sum("consumption_cost").alias("v"),
+                                                     F.sum("consumption_qty").alias("q"))
+    total = g.select(F.sum("v")).scalar()
+    s = g.withColumn("share", F.when(total > 0, F.col("v") / total * 100).otherwise(F.lit(0.0)))
+    w = Window.orderBy(F.desc("v"), F.asc("cost_ctr"))
+    s = (s.withColumn("rk", F.row_number().over(w))
+          .withColumn("cum", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    lead = lambda k: r6(F.coalesce(F.sum(F.when(F.col("rk") <= k, F.col("share"))), F.lit(0.0)))
+    return s.agg(F.round(F.sum("v"), 4).alias("cost"), F.round(F.sum("q"), 4).alias("qty"),
+                 F.count(F.lit(1)).alias("departments"), F.min_by("cost_ctr", "rk").alias("top_dept"),
+                 lead(1).alias("top1"), lead(5).alias("top5"), lead(10).alias("top10"),
+                 (F.count_if(F.col("cum") <= 80) + 1).alias("n80"),
+                 r6(F.sum(F.col("share") * F.col("share"))).alias("hhi"))
 
 
 # ------------------------------------------------------------------ INS-35..37

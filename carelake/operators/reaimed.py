@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from carelake.functions.expr import clean_category, r6
+from carelake.operators.common import first_rows, top_n
 
 # Cosine routing parameters and the deterministic intent-lock patterns.
 TOP_K = 4
@@ -112,6 +113,24 @@ def entity_search(sources: dict, q: str, mtype: str | None = None, limit: int =
     return allp.orderBy("i", "ti").limit(limit).select("type", "label", F.col("i").alias("round"))
 
 
+def entity_browse(sources: dict, limit: int = 18, cap: int = 6) -> DataFrame:
+    """RE-05 without a query: the most important labels of each type, interleaved round-robin.
+
+    ``sources`` maps type -> (DataFrame of label and weight, is_category). Each type is an
+    ordered limit; labels that clean to the same text keep the heavier one.
+    """
+    parts = []
+    for ti, (t, (df, is_cat)) in enumerate(sources.items()):
+        top = top_n(df.where(F.col("label") != ""), cap, F.desc_nulls_last("weight"), "label")
+        shown = top.withColumn("label", clean_category("label") if is_cat else F.col("label"))
+        once = shown.groupBy(F.lower("label").alias("k")).agg(F.max_by("label", "weight").alias("label"),
+                                                              F.max("weight").alias("weight"))
+        parts.append(once.select(F.lit(t).alias("type"), F.lit(ti).alias("ti"), "label", "weight"))
+    w = Window.partitionBy("type").orderBy(F.desc_nulls_last("weight"), "label")
+    mixed = reduce(lambda a, b: a.unionByName(b), parts).withColumn("round", F.row_number().over(w))
+    return mixed.orderBy("round", "ti").limit(limit).select("type", "label", "round")
+
+
 def code_variants(codes: DataFrame, col: str = "material") -> DataFrame:
     """COL-30: 'x' and 'x.0' forms of each code."""
     c = F.col(col).cast("string")
@@ -121,14 +140,14 @@ def code_variants(codes: DataFrame, col: str = "material") -> DataFrame:
                  .where(F.col("code").isNotNull()).distinct())
 
 
-def item_footprint(dim_material: DataFrame, tables: dict, q: str, limit: int = 8) -> DataFrame:
-    """RE-06: match an item by code or name, then count its rows in every material-keyed table."""
+def item_footprint(dim_material: DataFrame, tables: dict, q: str, limit: int | None = None) -> DataFrame:
+    """RE-06: match items by code or name, then count their rows in every material-keyed table."""
     qq = q.strip()
     ql = qq.lower()
     m = dim_material.where((F.col("material") == qq) | F.lower("material_desc").contains(ql))
     order = [F.when(F.col("material") == qq, 0).when(F.lower("material_desc").startswith(ql), 1).otherwise(2),
              F.length("material_desc"), "material"]
-    matched = m.orderBy(*order).limit(limit).select("material")
+    matched = first_rows(m, limit, *order).select("material")
     codes = code_variants(matched)
     parts = []
     for name in sorted(tables):
@@ -141,6 +160,7 @@ def item_footprint(dim_material: DataFrame, tables: dict, q: str, limit: int = 8
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+# Column-name patterns of the time and key roles.
 _TIME = r"(?i)(^month$|^month_num$|^year$|^week$|^quarter$|_date$|^date$|snapshot|posting|^period$)"
 _ID = (r"(?i)(^material$|^material_id$|^plant$|^sloc$|^hsn$|^batch$|vendor_code|vendor_name|cost_ctr|^hospital$|"
        r"^manufacturer$|manufacturer_desc|^patient$|po_no|gr_no|^generic_name$|_code$|_id$|_no$)")

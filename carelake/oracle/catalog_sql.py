@@ -9,12 +9,12 @@ FACT_SQL = {
 
 
 def all_sql() -> dict:
-    from carelake.oracle import (forecast_sql, generic_sql, insights_cons_sql, insights_inv_sql, insights_proc_sql,
+    from carelake.oracle import (branches_sql, forecast_sql, generic_sql, insights_cons_sql, insights_inv_sql, insights_proc_sql,
                                  insights_extra_sql, kpi_sql, reaimed_sql, sales_sql)
     out = {}
     for mod_sql in [FACT_SQL, kpi_sql.SQL, forecast_sql.SQL, sales_sql.SQL, insights_inv_sql.SQL, insights_proc_sql.SQL,
                     insights_cons_sql.SQL, generic_sql.SQL, reaimed_sql.SQL,
-                    insights_extra_sql.SQL]:
+                    insights_extra_sql.SQL, branches_sql.SQL]:
         for k, v in mod_sql.items():
             out[k] = with_fixtures(v)
     out["cat_inventory_expiry"] = out["cat_expiry"]      # the inventory catalogue's expiry view is the ladder

@@ -54,7 +54,7 @@ SQL = {
     "portfolio_summary": _ctes + " " + " UNION ALL ".join(
         summary_sql(f"t{i}", REGISTRY[k][0], k) for i, k in enumerate(_portfolio)),
     "adhoc_sql": VV + """ SELECT vendor_name, sum(vendor_value) AS spend, count(DISTINCT plant) AS plants FROM vv
-        GROUP BY vendor_name ORDER BY spend DESC LIMIT 501""",
+        GROUP BY vendor_name""",
     "cat_revenue_manufacturer": GR + f" SELECT manufacturer AS name, {MARGINS} FROM smf ORDER BY revenue DESC, name LIMIT 10",
     "cat_revenue_hospital": GR + f" SELECT hospital AS name, {MARGINS} FROM sh ORDER BY revenue DESC, name LIMIT 10",
     "cat_revenue_category": GR + f""", c AS (SELECT {clean_category('material_group')} AS name, round(sum(revenue), 4) AS revenue,

@@ -128,9 +128,9 @@ SQL = {
         SELECT * FROM (SELECT 'best' AS kind, plant, {r6('comp')} AS comp, ordered_qty, greatest(open_qty, 0.0) AS open_qty
                        FROM frc ORDER BY comp DESC NULLS LAST, plant LIMIT 8)""",
     "fill_rate_dist": FR + ", " + FRC + " " + band_sql(
-        "frc", "(CASE WHEN comp >= 99.5 AND comp < 200.0 THEN '100%' WHEN comp >= 95.0 AND comp < 99.5 THEN '95–99%' "
+        "frc", "(CASE WHEN comp >= 99.5 THEN '100%' WHEN comp >= 95.0 AND comp < 99.5 THEN '95–99%' "
                "WHEN comp >= 85.0 AND comp < 95.0 THEN '85–95%' WHEN comp >= 70.0 AND comp < 85.0 THEN '70–85%' "
-               "WHEN comp >= -1.0 AND comp < 70.0 THEN '<70%' END)",
+               "WHEN comp < 70.0 THEN '<70%' END)",
         ["100%", "95–99%", "85–95%", "70–85%", "<70%"], {"plants": ("count", None)}, where="ordered_qty > 0"),
     "purchase_month_matrix": MM + """ SELECT grid.name, grid.ym, round(CAST(COALESCE(c.v, 0.0) AS DOUBLE), 4) AS value
         FROM grid LEFT JOIN cells c ON c.material_group IS NOT DISTINCT FROM grid.name AND c.ym = grid.ym""",

@@ -97,9 +97,7 @@ _FP = {"fact_consumption": "fact_consumption", "fact_inventory": "fact_inventory
        "fact_po": "fact_po", "sales_line": "sales_line", "sales_by_material": "bym", "kpi_stock_value": "sv",
        "kpi_units_consumed": "uc", "kpi_monthly_purchase_value": "mp", "stock_replenishment_and_aging_risk": "rep"}
 SQL["item_footprint"] = REP + ", " + GR + ", " + SV + ", " + UC + ", " + MP + """,
-    matched AS (SELECT material FROM dim_material WHERE material = 'gear' OR contains(lower(material_desc), 'gear')
-                ORDER BY CASE WHEN material = 'gear' THEN 0 WHEN starts_with(lower(material_desc), 'gear') THEN 1 ELSE 2 END,
-                         length(material_desc), material LIMIT 8),
+    matched AS (SELECT material FROM dim_material WHERE material = 'gear' OR contains(lower(material_desc), 'gear')),
     codes AS (SELECT DISTINCT code FROM (SELECT material AS code FROM matched UNION ALL
               SELECT CASE WHEN material LIKE '%.0' THEN left(material, length(material) - 2)
                           WHEN regexp_matches(material, '^[0-9]+$') THEN material || '.0' END FROM matched)

@@ -494,3 +494,54 @@ register("units_scatter")(lambda l: ix.units_scatter(_uc(l)))
 register("department_month_matrix")(lambda l: ix.department_month_matrix(_dp(l)))
 register("forecast_status_counts")(lambda l: ix.forecast_status_counts(
     _wh(l)["kpi_stock_radar"], _wh(l)["kpi_aging_risk_forecast"]))
+
+# ------------------------------------------------------------------ filters, drills and lookups
+register("gen_query_region")(lambda l: gen.gen_query(
+    gen.region_filter(_wh(l)["kpi_units_consumed"], l.dim_plant, "NATION_3"), material_group="MEDIUM"))
+register("gen_query_materials")(lambda l: gen.gen_query(_wh(l)["kpi_stock_change"], plant="P03", material="1, 2,30"))
+register("gen_chart_top")(lambda l: gen.chart_series(_wh(l)["kpi_units_consumed"], group_by="material_group",
+                                                     measures="consumption_cost", top=3))
+register("kpi_stock_value_region")(lambda l: gen.region_filter(_wh(l)["kpi_stock_value"], l.dim_plant, "P05"))
+for _key, _grain_name, _one in [("manufacturer", "sales_by_material_mfr", "Brand#17"),
+                                ("hospital", "sales_by_material_hospital", "P03")]:
+    register(f"revenue_items_{_key}")(lambda l, _k=_key, _g=_grain_name, _v=_one: sales.revenue_items(
+        _grain(l, _g), "margin", **{_k: _v}))
+register("revenue_items_category")(lambda l: sales.revenue_items(_grain(l, "sales_by_material"), group="Medium"))
+for _name, _cut in [("order_now", {"kind": "order_now"}), ("aging", {"kind": "aging"}),
+                    ("dead_stock", {"status": "Dead stock"}), ("bucket", {"aging": "6-12 Months", "plant": "P03"})]:
+    register(f"risk_items_{_name}")(lambda l, _c=_cut: ic.risk_items(_rep(l), **_c))
+register("item_risk")(lambda l: ic.item_risk(_rep(l), "30"))
+register("reorder_totals")(lambda l: ic.reorder_totals(_rep(l)))
+register("reorder_order_now")(lambda l: ic.risk_items(_rep(l), kind="order_now", limit=8))
+register("reorder_aged")(lambda l: ic.risk_items(_rep(l), kind="aging", limit=8))
+register("department_totals")(lambda l: ic.department_totals(_dp(l)))
+register("completion_totals")(lambda l: ip.completion_totals(kpi.kpi_fill_rate(l.fact_po)))
+register("completion_plants")(lambda l: ip.completion_plants(kpi.kpi_fill_rate(l.fact_po)))
+register("cycle_totals")(lambda l: ip.cycle_totals(kpi.kpi_cycle_time(l.fact_grn), *_window(l)))
+register("location_diversity")(lambda l: ip.location_diversity(kpi.kpi_purchase_by_location(l.fact_po)))
+register("location_totals")(lambda l: ip.location_totals(kpi.kpi_purchase_by_location(l.fact_po)))
+for _p in ["inventory", "consumption", "forecasting"]:
+    register(f"portfolio_{_p}")(lambda l, _p=_p: gen.portfolio_summary(
+        {k: _wh(l)[REGISTRY[k][0]] for k in PORTFOLIOS[_p]}, PORTFOLIOS[_p]))
+
+
+def _browse_sources(l):
+    named = lambda df, label, weight: df.select(F.col(label).alias("label"), weight.cast("double").alias("weight"))
+    groups = l.dim_material.groupBy("material_group").agg(F.count(F.lit(1)).alias("n"))
+    return {"item": (named(_grain(l, "sales_by_material"), "material_desc", F.col("revenue")), False),
+            "category": (named(groups, "material_group", F.col("n")), True),
+            "manufacturer": (named(_grain(l, "sales_by_manufacturer"), "manufacturer", F.col("revenue")), False),
+            "vendor": (named(_vendor_spend(l), "vendor_name", F.col("spend")), False),
+            "hospital": (named(_grain(l, "sales_by_hospital"), "hospital", F.col("revenue")), False)}
+
+
+register("entity_browse")(lambda l: re_.entity_browse(_browse_sources(l)))
+
+
+def _mixed_grain(l, name):
+    return sales.sales_grain(sales.sales_aggregates(sales.with_spreadsheet_keys(l.sales_line)), name, l.dim_material)
+
+
+for _name, _grain_name, _extra in [("plain", "sales_by_material", ()), ("mfr", "sales_by_material_mfr", ("manufacturer",)),
+                                   ("hospital", "sales_by_material_hospital", ("hospital",))]:
+    register(f"sales_dedup_{_name}")(lambda l, _g=_grain_name, _e=_extra: sales.sales_by_material_dedup(_mixed_grain(l, _g), _e))

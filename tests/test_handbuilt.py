@@ -156,9 +156,10 @@ def test_clean_output_nan_and_dates(spark):
 
 def test_resolve_plant(spark):
     dp = spark.createDataFrame([("P01", "City Hospital"), ("P02", "P02")], "plant string, plant_name string")
-    assert gen.resolve_plant(dp, "City Hospital") == "P01"
-    assert gen.resolve_plant(dp, "P02") == "P02"
-    assert gen.resolve_plant(dp, "ALL") is None and gen.resolve_plant(dp, "unknown") is None
+    kept = lambda region: sorted(r.plant for r in gen.region_filter(dp.select("plant"), dp, region).collect())
+    every = sorted(r.plant for r in dp.collect())
+    assert kept("City Hospital") == ["P01"] and kept("P02") == ["P02"]
+    assert kept("ALL") == kept("unknown") == kept(None) == every
 
 
 def test_contract_and_chart_series(spark):
