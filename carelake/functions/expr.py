@@ -268,20 +268,13 @@ def any_of(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols, F.lit(False))
 
 
-# Exact medians by default (oracle parity). At scale a single hot group keeps a large
-# value -> count map in one task; ``exact_medians(False)`` switches every median in the
-# library to a bounded-memory approximate percentile.
-_MEDIAN = {"exact": True, "accuracy": 10000}
+def median_of(x, accuracy: int | None = None) -> Column:
+    """AGG-03 median as DOUBLE: exact, or approximate in bounded memory where ``accuracy`` is given.
 
-
-def exact_medians(on: bool = True, accuracy: int = 10000) -> None:
-    _MEDIAN["exact"], _MEDIAN["accuracy"] = on, accuracy
-
-
-def median_of(x) -> Column:
-    """AGG-03 median: exact (default) or approximate (``exact_medians(False)``), as DOUBLE."""
+    For small frames; detail rows with hot keys go through ``common.key_medians``.
+    """
     v = c(x).cast("double")
-    return F.median(v) if _MEDIAN["exact"] else F.percentile_approx(v, 0.5, _MEDIAN["accuracy"])
+    return F.median(v) if accuracy is None else F.percentile_approx(v, 0.5, accuracy)
 
 
 def r6(x) -> Column:

@@ -1,7 +1,7 @@
 """Small building blocks shared by the insight operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.expr import median_of
@@ -68,11 +68,41 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def ranked(df: DataFrame, n: int, *order: Column, rank_col: str = "rank") -> DataFrame:
     """WIN-09: top-n with a 1-based rank column (the window runs on the n kept rows only)."""
-    from pyspark.sql import Window
     top = df.orderBy(*order).limit(n)
     return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
+def key_medians(df: DataFrame, keys: list[str], value: str, name: str, count: str = "n") -> DataFrame:
+    """Exact median of ``value`` and row count per key. Rows are first counted per (key, value),
+    which spreads a hot key over tasks; what meets in one task is a key's distinct values."""
+    seen = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    return seen.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(0.5), F.col("__n")).alias(name),
+                                   F.sum("__n").alias(count))
+
+
+def running_shares(df: DataFrame, value: str, label: str) -> DataFrame:
+    """WIN-04: ``share`` of the total in percent, rank ``rk`` and running share ``cum`` by (value
+    descending, label ascending, null values last), for any number of rows. Rows fall into
+    buckets by magnitude (64 an octave); a window over the bucket totals gives each bucket
+    what lies before it, and every bucket is ranked on its own."""
+    total = df.select(F.sum(value)).scalar()
+    v = F.col(value).cast("double")
+    step = F.floor(F.log2(F.abs(v)) * 64) + F.lit(100_000)
+    bucket = F.when(v > 0, step).when(v < 0, -step).when(v == 0, F.lit(0)).otherwise(F.lit(-1_000_000))
+    rows = (df.withColumn("share", F.when(total > 0, F.col(value) / total * 100).otherwise(F.lit(0.0)))
+              .withColumn("__b", bucket))
+    before = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"), F.sum("share").alias("__s"))
+                  .select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"),
+                          F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s")))
+    inside = Window.partitionBy("__b").orderBy(F.desc(value), F.asc(label))
+    so_far = F.sum("share").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (rows.join(starts, "__b")
+                .withColumn("rk", F.col("__n") + F.row_number().over(inside))
+                .withColumn("cum", F.col("__s") + F.coalesce(so_far, F.lit(0.0)))
+                .drop("__b", "__n", "__s"))
+
+
 def key_month_grid(rows: DataFrame, key: str, months: DataFrame, ym: str = "ym") -> DataFrame:
     """SET-06 skeleton: every (key, month) pair for the keys in ``rows`` and the months in ``months``.
 

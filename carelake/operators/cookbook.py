@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.functions.expr import median_of, CAPEX_DOC_TYPES, is_capex, money, r6
+from carelake.operators.common import key_medians
 from carelake.operators.marts import BAND, PRICE_FLOOR, STABLE_N, _raw_prices, clean_band
 
 
@@ -44,8 +45,7 @@ def expiring_by_manufacturer(inv: DataFrame, dim_material: DataFrame, snapshot,
 def _clean_with_median(grn: DataFrame) -> DataFrame:
     raw = _raw_prices(grn)
     clean = clean_band(raw, ["material"])
-    med = (clean.groupBy("material").agg(median_of("price").alias("med_price"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") >= STABLE_N))
+    med = key_medians(clean, ["material"], "price", "med_price").where(F.col("n") >= STABLE_N)
     return clean.join(med, "material")
 
 
@@ -66,9 +66,11 @@ def price_by_plant(mart_proc: DataFrame, material: str | None = None) -> DataFra
     df = mart_proc.where(F.col("material").isNotNull())
     if material:
         df = df.where(F.col("material") == material)
-    return (df.groupBy("material", "plant")
-              .agg(r6(median_of("unit_price")).alias("unit_price"), F.round(F.sum("qty"), 4).alias("qty"),
-                   F.bool_or("is_price_outlier").alias("looks_anomalous")))
+    prices = df.groupBy("material", "plant", "unit_price").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("qty").alias("q"), F.bool_or("is_price_outlier").alias("out"))
+    return (prices.groupBy("material", "plant")
+                  .agg(r6(F.percentile("unit_price", F.lit(0.5), F.col("n"))).alias("unit_price"),
+                       F.round(F.sum("q"), 4).alias("qty"), F.bool_or("out").alias("looks_anomalous")))
 
 
 def cheapest_vendor(vendor_stats: DataFrame, material: str | None = None) -> DataFrame:
@@ -185,9 +187,11 @@ def unit_cost(cons: DataFrame) -> DataFrame:
                .withColumn("rate", F.col("amount_lc").cast("double") / F.col("qty").cast("double"))
                .where(F.col("rate") >= PRICE_FLOOR))
     clean = clean_band(raw, ["material"], "rate")
-    return (clean.groupBy("material")
-                 .agg(r6(median_of("rate")).alias("median_unit_cost"), F.count(F.lit(1)).alias("clean_n"),
-                      money(F.sum("qty")).alias("qty"), money(F.sum("amount_lc")).alias("cost"))
+    rates = clean.groupBy("material", "rate").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("q"),
+                                                  F.sum("amount_lc").alias("c"))
+    return (rates.groupBy("material")
+                 .agg(r6(F.percentile("rate", F.lit(0.5), F.col("n"))).alias("median_unit_cost"),
+                      F.sum("n").alias("clean_n"), money(F.sum("q")).alias("qty"), money(F.sum("c")).alias("cost"))
                  .where(F.col("clean_n") >= STABLE_N))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.expr import (AGING_RISK_LABELS, UNCAT_LABELS, clean_category, cover_months, money,
                                      month_index, r6, reorder_status)
-from carelake.operators.common import band_table, first_rows, for_plant, key_month_grid, top_n
+from carelake.operators.common import band_table, first_rows, for_plant, key_month_grid, running_shares, top_n
 
 
 def _uncat(c: Column) -> Column:
@@ -74,11 +74,7 @@ def units_month_matrix(uc: DataFrame, plant: str | None = None, k: int = 8) -> D
 def department_pareto(dp: DataFrame, plant: str | None = None, n: int = 24) -> DataFrame:
     """INS-29 cost-centre Pareto (running share on the aggregated frame)."""
     g = for_plant(dp, plant).groupBy("cost_ctr").agg(F.sum("consumption_cost").alias("v"), F.sum("consumption_qty").alias("q"))
-    tot = F.sum("v").over(Window.partitionBy())
-    w = Window.orderBy(F.desc("v"), F.asc("cost_ctr"))
-    s = (g.withColumn("share", F.when(tot > 0, F.col("v") / tot * 100).otherwise(F.lit(0.0)))
-          .withColumn("rk", F.row_number().over(w))
-          .withColumn("cum", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    s = running_shares(g, "v", "cost_ctr")
     return s.where(F.col("rk") <= n).select(F.col("cost_ctr").alias("code"), F.round("v", 4).alias("value"),
                                             F.round("q", 4).alias("qty"), r6("share").alias("share"), r6("cum").alias("cum"), "rk")
 
@@ -251,15 +247,10 @@ def reorder_totals(rep: DataFrame, plant: str | None = None) -> DataFrame:
 
 
 def department_totals(dp: DataFrame, plant: str | None = None) -> DataFrame:
-    """INS-29 cost, quantity, departments, top shares, departments to reach 80 % and HHI
-    (the window runs on one row per cost centre)."""
+    """INS-29 cost, quantity, departments, top shares, departments to reach 80 % and HHI."""
     g = for_plant(dp, plant).groupBy("cost_ctr").agg(F.sum("consumption_cost").alias("v"),
                                                      F.sum("consumption_qty").alias("q"))
-    total = g.select(F.sum("v")).scalar()
-    s = g.withColumn("share", F.when(total > 0, F.col("v") / total * 100).otherwise(F.lit(0.0)))
-    w = Window.orderBy(F.desc("v"), F.asc("cost_ctr"))
-    s = (s.withColumn("rk", F.row_number().over(w))
-          .withColumn("cum", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    s = running_shares(g, "v", "cost_ctr")
     lead = lambda k: r6(F.coalesce(F.sum(F.when(F.col("rk") <= k, F.col("share"))), F.lit(0.0)))
     return s.agg(F.round(F.sum("v"), 4).alias("cost"), F.round(F.sum("q"), 4).alias("qty"),
                  F.count(F.lit(1)).alias("departments"), F.min_by("cost_ctr", "rk").alias("top_dept"),

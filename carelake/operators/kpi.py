@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import (median_of, aging_bucket, fill_category, health_score, health_tier,
+from carelake.functions.expr import (aging_bucket, fill_category, health_score, health_tier,
                                      month_index, money, near_expiry_bucket, non_moving_reason,
                                      plausible_days, r6, risk_level, safe_div)
 
@@ -294,11 +294,15 @@ def kpi_cycle_time(grn: DataFrame) -> DataFrame:
 
 def kpi_vendor_lead_time(grn: DataFrame, min_lines: int = 3) -> DataFrame:
     """KPI-E3: mean and exact median lead time per vendor, >= 3 receipt lines."""
-    return (clean_tat(grn).groupBy("vendor_name")
-                          .agg(r6(F.avg("po_to_gr_tat")).alias("avg_lead_time_days"),
-                               r6(median_of("po_to_gr_tat")).alias("median_lead_time_days"),
-                               F.count("gr_no").alias("gr_lines"))
-                          .where(F.col("gr_lines") >= min_lines))
+    days = F.col("po_to_gr_tat")
+    counted = clean_tat(grn).groupBy("vendor_name", days).agg(F.count(F.lit(1)).alias("n"),
+                                                              F.count("gr_no").alias("lines"))
+    known = F.sum(F.when(days.isNotNull(), F.col("n")))
+    return (counted.groupBy("vendor_name")
+                   .agg(r6(F.sum(days * F.col("n")) / known).alias("avg_lead_time_days"),
+                        r6(F.percentile(days, F.lit(0.5), F.col("n"))).alias("median_lead_time_days"),
+                        F.sum("lines").alias("gr_lines"))
+                   .where(F.col("gr_lines") >= min_lines))
 
 
 def kpi_fill_rate(po: DataFrame) -> DataFrame:

@@ -1,16 +1,16 @@
 """MRT-02..04: outlier-clean price statistics and the enriched receipt line.
 
 Two-pass clean (FLT-09): a first median per key, then keep rows inside median/8 ..
-median*8. The per-key medians are an aggregate (one row per key) joined back to the
-lines; Spark broadcasts them when AQE measures them small, otherwise it shuffles -
-the hot-key side never has to be collected into one group by a window.
+median*8. The marts first aggregate the lines to (key, price, count, sums); both passes run
+on that frame, so no line is shuffled twice and a hot key is spread by its prices.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import median_of, r6
+from carelake.functions.expr import r6
+from carelake.operators.common import key_medians
 
 BAND = 8.0
 PRICE_FLOOR = 10
@@ -22,21 +22,28 @@ def _raw_prices(grn: DataFrame) -> DataFrame:
                      & (F.col("gr_qty") > 0)).withColumn("price", F.col("net_price").cast("double"))
 
 
+def _in_band(value: str, median: str):
+    return F.col(value).between(F.col(median) / BAND, F.col(median) * BAND)
+
+
 def clean_band(raw: DataFrame, keys: list[str], value: str = "price") -> DataFrame:
     """FLT-09: keep rows within an 8x band of their key's first-pass median."""
-    p1 = raw.groupBy(*keys).agg(median_of(value).alias("_m1"))
+    p1 = key_medians(raw, keys, value, "_m1", "_n1")
     return (raw.join(p1, keys)
-               .where(F.col(value).between(F.col("_m1") / BAND, F.col("_m1") * BAND)).drop("_m1"))
+               .where(_in_band(value, "_m1")).drop("_m1", "_n1"))
 
 
 def material_price_stats(grn: DataFrame, dim_material: DataFrame) -> DataFrame:
     """MRT-02 (q ``mart_material_price_stats``)."""
-    raw = _raw_prices(grn)
-    rawstat = raw.groupBy("material").agg(F.count(F.lit(1)).alias("raw_n"), F.min("price").alias("raw_min_price"),
-                                          F.max("price").alias("raw_max_price"))
-    cleanstat = clean_band(raw, ["material"]).groupBy("material").agg(
-        median_of("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
-        F.min("price").alias("clean_min_price"), F.max("price").alias("clean_max_price"))
+    prices = _raw_prices(grn).groupBy("material", "price").agg(F.count(F.lit(1)).alias("n"))
+    rawstat = prices.groupBy("material").agg(F.sum("n").alias("raw_n"), F.min("price").alias("raw_min_price"),
+                                             F.max("price").alias("raw_max_price"),
+                                             F.percentile("price", F.lit(0.5), F.col("n")).alias("m"))
+    cleanstat = (prices.join(rawstat.select("material", "m"), "material").where(_in_band("price", "m"))
+                 .groupBy("material").agg(
+                     F.percentile("price", F.lit(0.5), F.col("n")).alias("clean_median_price"),
+                     F.sum("n").alias("clean_n"), F.min("price").alias("clean_min_price"),
+                     F.max("price").alias("clean_max_price")))
     dm = dim_material.select("material", "material_desc", F.col("material_group").alias("category"))
     return (rawstat.join(cleanstat, "material", "left").join(dm, "material", "left")
                    .select("material", "material_desc", "category",
@@ -54,10 +61,12 @@ def material_price_stats(grn: DataFrame, dim_material: DataFrame) -> DataFrame:
 def material_vendor_price_stats(grn: DataFrame, dim_material: DataFrame) -> DataFrame:
     """MRT-03 (q ``mart_material_vendor_price_stats``)."""
     keys = ["material", "vendor_name"]
-    raw = _raw_prices(grn)
-    st = clean_band(raw, keys).groupBy(*keys).agg(
-        median_of("price").alias("clean_median_price"), F.count(F.lit(1)).alias("clean_n"),
-        F.sum("gr_qty").alias("total_qty"), F.sum("total_amount_wo_tax").alias("total_value"))
+    prices = _raw_prices(grn).groupBy(*keys, "price").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gr_qty").alias("qty"), F.sum("total_amount_wo_tax").alias("amount"))
+    first = prices.groupBy(*keys).agg(F.percentile("price", F.lit(0.5), F.col("n")).alias("m"))
+    st = prices.join(first, keys).where(_in_band("price", "m")).groupBy(*keys).agg(
+        F.percentile("price", F.lit(0.5), F.col("n")).alias("clean_median_price"), F.sum("n").alias("clean_n"),
+        F.sum("qty").alias("total_qty"), F.sum("amount").alias("total_value"))
     dm = dim_material.select("material", "material_desc", F.col("material_group").alias("category"))
     return (st.join(dm, "material", "left")
               .select("material", "material_desc", "category", "vendor_name",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from carelake.functions.expr import clean_category, r6
-from carelake.operators.common import first_rows, top_n
+from carelake.operators.common import first_rows, ranked, top_n
 
 # Cosine routing parameters and the deterministic intent-lock patterns.
 TOP_K = 4
@@ -34,17 +34,17 @@ CAT_CAPS = {"bar": 14, "grouped_bar": 12, "stacked_bar": 12, "pie": 8, "donut":
 def top_n_other(df: DataFrame, label: str, value: str, cap: int = 8, additive: bool = True) -> DataFrame:
     """RE-01: keep the top cap-1 rows and fold the tail into 'Other (k more)' for additive
     measures; plain top-cap for ratios; untouched at <= cap rows. ``df`` is aggregated."""
-    w = Window.orderBy(F.desc_nulls_last(value), F.asc(label))
-    n = df.select(F.count(F.lit(1))).scalar()
-    r = df.withColumn("rn", F.row_number().over(w))
+    order = [F.desc_nulls_last(value), F.asc(label)]
+    head = ranked(df.select(label, value), cap, *order, rank_col="rn")
     if not additive:
-        return r.where(F.col("rn") <= cap).select(label, value, "rn")
-    tail = n - (cap - 1)
-    lab = F.when((n <= cap) | (F.col("rn") < cap), F.col(label)).otherwise(
-        F.format_string("Other (%d more)", tail))
-    rk = F.when((n <= cap) | (F.col("rn") < cap), F.col("rn")).otherwise(F.lit(cap))
-    return (r.groupBy(lab.alias(label), rk.alias("rn"))
-             .agg(F.round(F.sum(value), 4).alias(value)))
+        return head
+    n = df.select(F.count(F.lit(1))).scalar()
+    kept = head.where((F.col("rn") < cap) | (n <= cap)).select(F.collect_list(F.struct(label, "rn"))).scalar()
+    at = F.try_element_at(F.filter("kept", lambda k: k[label].eqNullSafe(F.col(label))), F.lit(1))["rn"]
+    rows = df.select(label, value, kept.alias("kept")).select(label, value, at.alias("rn"))   # ``cap`` entries at most
+    lab = F.when(F.col("rn").isNull(), F.format_string("Other (%d more)", n - (cap - 1))).otherwise(F.col(label))
+    return (rows.groupBy(lab.alias(label), F.coalesce("rn", F.lit(cap)).alias("rn"))
+                .agg(F.round(F.sum(value), 4).alias(value)))
 
 
 def heat_matrix(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
@@ -61,14 +61,17 @@ def hierarchy_rollup(df: DataFrame, parent: str, leaf: str, value: str) -> DataF
 def box_stats(df: DataFrame, group: str, value: str, exact: bool = True) -> DataFrame:
     """RE-04: five-number summary per group (exact percentiles by default; approximate
     percentiles are the opt-in for very large groups)."""
-    v = F.col(value).cast("double")
-    if exact:
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    v, quarts = F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    rows = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
+    if exact:    # counted per (group, value) first, which spreads a large group over tasks
+        rows = rows.groupBy(group, "v").agg(F.count(F.lit(1)).alias("k"))
+        q = F.percentile(v, quarts, F.col("k"))
     else:
-        q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
-    return (df.where(F.col(group).isNotNull()).groupBy(group)
-              .agg(F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-                   F.count(v).alias("n"))
+        rows, q = rows.withColumn("k", F.lit(1)), F.percentile_approx(v, quarts, 10000)
+    n = F.coalesce(F.sum(F.when(v.isNotNull(), F.col("k"))), F.lit(0))
+    return (rows.groupBy(group)
+              .agg(F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"),
+                   F.when(n > 0, F.sum(v * F.col("k")) / n).alias("mean"), n.alias("n"))
               .select(group, r6("min").alias("min"), r6(F.col("q")[0]).alias("q1"), r6(F.col("q")[1]).alias("median"),
                       r6(F.col("q")[2]).alias("q3"), r6("max").alias("max"), r6("mean").alias("mean"), "n"))
 

@@ -5,7 +5,9 @@
 * The KPI stage re-reads the curated tables from the shared output folder: the
   written table cuts the lineage (an executor lost during the KPI stage never forces
   the fact derivation to rerun) - no localCheckpoint, no machine-local folder.
-* The six-month demand matrix is written once and every forecast table reads it.
+* The six-month demand matrix and the sales aggregate (by grain) are written once; the
+  forecast tables and the seven grains read them. Tables made from other KPI tables read
+  the written ones.
 """
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from carelake.operators import forecast as fc
+from carelake.operators import sales
 from carelake.plans.warehouse import Warehouse
 from carelake.sources.fixtures import Lake
 from carelake.sources.quality import dq_report
@@ -62,8 +65,11 @@ def build_kpis(spark: SparkSession, out: str, params: dict) -> dict:
     out = out.rstrip("/")
     cur = Lake.from_curated(spark, f"{out}/curated", **params)
     wh = Warehouse(cur)
+    write_table(sales.sales_aggregates(cur.sales_line), f"{out}/kpi/sales_aggregates", ["grain"])
+    wh.sales = spark.read.parquet(f"{out}/kpi/sales_aggregates")
     for t in KPI_TABLES + SALES_TABLES + MART_TABLES:
         write_table(wh[t], f"{out}/kpi/{t}")
+        wh._cache[t] = spark.read.parquet(f"{out}/kpi/{t}")
     # the demand matrix is computed once and reused by every forecast table
     write_table(fc.demand_matrix(cur.fact_consumption, cur.history_end, cur.history_months), f"{out}/kpi/demand_matrix")
     wh.matrix = spark.read.parquet(f"{out}/kpi/demand_matrix")

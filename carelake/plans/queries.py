@@ -89,17 +89,14 @@ from carelake.operators import sales  # noqa: E402
 from carelake.sources.fixtures import CAPEX_DOC_TYPES  # noqa: E402
 
 
-def _sales_agg(l):
-    return sales.sales_aggregates(l.sales_line)
+def _grain(l, g):
+    return sales.sales_grain(sales.grain_aggregate(l.sales_line, g), g, l.dim_material)
 
 
 for _g in sales.GRAINS:
-    register(_g)(lambda l, _g=_g: sales.sales_grain(_sales_agg(l), _g, l.dim_material))
+    register(_g)(lambda l, _g=_g: _grain(l, _g))
 
-register("sales_by_material_dedup")(lambda l: sales.sales_by_material_dedup(
-    sales.sales_grain(_sales_agg(l), "sales_by_material", l.dim_material)))
-def _grain(l, g):
-    return sales.sales_grain(_sales_agg(l), g, l.dim_material)
+register("sales_by_material_dedup")(lambda l: sales.sales_by_material_dedup(_grain(l, "sales_by_material")))
 
 
 register("revenue_totals")(lambda l: sales.revenue_totals(
@@ -130,7 +127,7 @@ register("mart_material_vendor_price_stats")(_vendor_stats)
 register("mart_procurement")(_mart_proc)
 
 # ------------------------------------------------------------------ cookbook
-register("sql_revenue_margin")(lambda l: cb.revenue_margin(sales.sales_grain(_sales_agg(l), "sales_totals")))
+register("sql_revenue_margin")(lambda l: cb.revenue_margin(_grain(l, "sales_totals")))
 register("sql_expiring_by_manufacturer")(lambda l: cb.expiring_by_manufacturer(
     l.fact_inventory, l.dim_material, l.snapshot_col))
 register("sql_price_deviation")(lambda l: cb.price_deviation(l.fact_grn))
@@ -539,7 +536,7 @@ register("entity_browse")(lambda l: re_.entity_browse(_browse_sources(l)))
 
 
 def _mixed_grain(l, name):
-    return sales.sales_grain(sales.sales_aggregates(sales.with_spreadsheet_keys(l.sales_line)), name, l.dim_material)
+    return sales.sales_grain(sales.grain_aggregate(sales.with_spreadsheet_keys(l.sales_line), name), name, l.dim_material)
 
 
 for _name, _grain_name, _extra in [("plain", "sales_by_material", ()), ("mfr", "sales_by_material_mfr", ("manufacturer",)),

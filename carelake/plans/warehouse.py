@@ -21,7 +21,8 @@ class Warehouse(Mapping):
         self.matrix = None
         matrix = lambda: (self.matrix if self.matrix is not None
                           else fc.demand_matrix(l.fact_consumption, l.history_end, l.history_months))
-        agg = lambda: sales.sales_aggregates(l.sales_line)
+        self.sales = None          # all grains, when a build has written them
+        agg = lambda g: self.sales if self.sales is not None else sales.grain_aggregate(l.sales_line, g)
         self._builders = {
             "fact_consumption": lambda: l.fact_consumption, "fact_inventory": lambda: l.fact_inventory,
             "fact_grn": lambda: l.fact_grn, "fact_po": lambda: l.fact_po, "sales_line": lambda: l.sales_line,
@@ -62,7 +63,7 @@ class Warehouse(Mapping):
                                                                self["kpi_vendor_lead_time"]),
         }
         for g in sales.GRAINS:
-            self._builders[g] = (lambda _g=g: sales.sales_grain(agg(), _g, l.dim_material))
+            self._builders[g] = (lambda _g=g: sales.sales_grain(agg(_g), _g, l.dim_material))
 
     def __getitem__(self, name):
         if name not in self._cache:

@@ -52,13 +52,13 @@ PO_COLUMNS = {
 
 
 def read_raw(spark: SparkSession, paths: list[str] | str, fmt: str = "csv") -> DataFrame:
-    """SRC-06/07: read one or many extract files (sorted), headers stripped, unioned by name."""
-    paths = sorted([paths] if isinstance(paths, str) else paths)
-    frames = []
-    for p in paths:
-        r = spark.read.option("header", True) if fmt == "csv" else spark.read
-        df = r.format(fmt).load(p)
-        frames.append(df.toDF(*[c.strip() for c in df.columns]))
+    """SRC-06/07: read one or many extract files, headers stripped; files with one header are
+    one read, different headers are unioned by name."""
+    reader = spark.read.option("header", True).format(fmt) if fmt == "csv" else spark.read.format(fmt)
+    alike: dict = {}
+    for p in sorted([paths] if isinstance(paths, str) else paths):
+        alike.setdefault(tuple(reader.load(p).columns), []).append(p)
+    frames = [reader.load(ps).toDF(*[c.strip() for c in header]) for header, ps in alike.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -199,13 +199,37 @@ def test_date_labels(spark):
     assert (r.month, r.month_year, r.day, r.short) == ("Jun", "Jun 2026", "05 Jun 2026", "06/05/26")
 
 
-def test_median_switch_exact_and_approximate(spark):
+def test_median_exact_and_approximate(spark):
     from carelake.functions import expr as X
     df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
-    try:
-        assert df.agg(X.median_of("v")).first()[0] == 50.5
-        X.exact_medians(False)
-        approx = df.agg(X.median_of("v")).first()[0]
-        assert approx in (50.0, 51.0)
-    finally:
-        X.exact_medians(True)
+    assert df.agg(X.median_of("v")).first()[0] == 50.5
+    assert df.agg(X.median_of("v", accuracy=10000)).first()[0] in (50.0, 51.0)
+
+
+def test_key_medians_equal_plain_medians(spark):
+    from carelake.operators.common import key_medians
+    rows = [("a", 1.0), ("a", 1.0), ("a", 1.0), ("a", 9.0), ("b", 2.0), ("b", 4.0), ("c", None), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.m, r.n) for r in key_medians(df, ["k"], "v", "m").collect()}
+    assert got == {"a": (1.0, 4), "b": (3.0, 2), "c": (None, 1), None: (5.0, 1)}
+
+
+def test_running_shares_over_buckets(spark):
+    from carelake.operators.common import running_shares
+    values = [50.0, 25.0, 10.0, 10.0, 4.0, 1.0, 0.0, -2.0, None]
+    df = spark.createDataFrame([(f"n{i}", v) for i, v in enumerate(values)], "name string, v double")
+    got = running_shares(df, "v", "name").orderBy("rk").collect()
+    assert [r.name for r in got] == [f"n{i}" for i in range(9)] and [r.rk for r in got] == list(range(1, 10))
+    total = sum(v for v in values if v is not None)
+    run = 0.0
+    for r, v in zip(got, values):
+        run += (v or 0.0) / total * 100
+        assert abs(r.cum - run) < 1e-9
+
+
+def test_top_n_other_ties_and_missing_labels(spark):
+    from carelake.operators.reaimed import top_n_other
+    df = spark.createDataFrame([("a", 5.0), (None, 5.0), ("b", 2.0), ("c", 1.0), ("d", None)], "k string, v double")
+    got = sorted((r.rn, r.k, r.v) for r in top_n_other(df, "k", "v", 3).collect() if r.rn != 1)
+    assert got == [(2, "a", 5.0), (3, "Other (3 more)", 3.0)]
+    assert top_n_other(df, "k", "v", 5).count() == 5

@@ -84,10 +84,10 @@ def test_stream_restarts_from_checkpoint(spark, lake):
     first, second = months[:3], months[3:]
     sl.where(F.col("ym").isin(first)).write.mode("append").partitionBy("ym").parquet(landing)
     schema = spark.read.parquet(landing).schema
-    inc.run_available_now(inc.sales_monthly_query(spark, landing, schema), out, ckpt)
+    inc.run_available_now(inc.sales_monthly_query(spark, landing, schema), out, ckpt, "update")
     assert {r.month for r in inc.read_sales_result(spark, out).collect()} == set(first)
     sl.where(F.col("ym").isin(second)).write.mode("append").partitionBy("ym").parquet(landing)
-    inc.run_available_now(inc.sales_monthly_query(spark, landing, schema), out, ckpt)
+    inc.run_available_now(inc.sales_monthly_query(spark, landing, schema), out, ckpt, "update")
     got = sorted(tuple(r) for r in inc.read_sales_result(spark, out).collect())
     exp = sorted(tuple(r) for r in E.queries()["sales_monthly"](spark, SF_SMALL).select(
         "patient_type", "month", "revenue", "cost", "qty", "lines").collect())
