@@ -152,8 +152,8 @@ def plausible_days(x, lo: int = 0, hi: int = 365) -> Column:
 
 
 def round_half_even(x, scale: int) -> Column:
-    """COL-17."""
-    return F.bround(c(x).cast("double"), scale)
+    """COL-17: ties to even on the scaled DOUBLE (the rule of numpy and of the SQL oracle)."""
+    return F.rint(c(x).cast("double") * F.lit(10.0 ** scale)) / F.lit(10.0 ** scale)
 
 
 # ---------------------------------------------------------------- COL-19..29
@@ -162,7 +162,7 @@ def health_score(aging_days, turnover, consumption_cost) -> Column:
     aging_score = (F.lit(1.0) - clip(c(aging_days).cast("double"), 0, 365) / 365.0) * 100.0
     turn_score = clip(c(turnover).cast("double"), 0, 6) / 6.0 * 100.0
     move_score = F.when(c(consumption_cost) > 0, F.lit(100.0)).otherwise(F.lit(0.0))
-    return F.bround(0.4 * aging_score + 0.4 * turn_score + 0.2 * move_score, 1)
+    return round_half_even(0.4 * aging_score + 0.4 * turn_score + 0.2 * move_score, 1)
 
 
 def health_tier(score) -> Column:

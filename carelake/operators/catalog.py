@@ -10,7 +10,7 @@ import inspect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import EXPIRY_SLABS, aging_bucket_rank, clean_category, month_index, r6
+from carelake.functions.expr import EXPIRY_SLABS, aging_bucket_rank, clean_category, month_index, r6, round_half_even
 from carelake.operators.common import band_table, for_plant, top_n
 
 
@@ -91,7 +91,7 @@ def inventory(k: dict, view: str = "stock_value", top_n_: int = 10, plant: str |
         d = for_plant(k["kpi_doh"], plant).withColumn("name", clean_category("material_group"))
         g = (d.groupBy("name").agg(F.sum("stock_qty").alias("q"), F.sum("avg_daily_consumption").alias("daily"))
               .withColumn("doh", F.when(F.col("daily") > 0, F.col("q") / F.col("daily"))).where(F.col("doh").isNotNull()))
-        return top_n(g, top_n_, F.desc("doh"), "name").select("name", F.bround("doh", 1).alias("doh_days"))
+        return top_n(g, top_n_, F.desc("doh"), "name").select("name", round_half_even("doh", 1).alias("doh_days"))
     if view == "aging":
         ag = for_plant(k["kpi_aging_distribution"], plant)
         return (ag.groupBy("aging_bucket").agg(F.round(F.sum("stock_value"), 4).alias("value"),
@@ -140,7 +140,7 @@ def forecast(radar: DataFrame, plant: str | None = None) -> DataFrame:
 
 def forecast_fulfillment(ful: DataFrame, plant: str | None = None) -> DataFrame:
     """CAT-06 (decision D7): mean fulfilment, returned separately from the radar mix."""
-    return for_plant(ful, plant).agg(F.bround(F.avg("fulfillment_rate"), 1).alias("fulfillment_pct"),
+    return for_plant(ful, plant).agg(round_half_even(F.avg("fulfillment_rate"), 1).alias("fulfillment_pct"),
                                      F.count(F.lit(1)).alias("skus"))
 
 

@@ -19,8 +19,18 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
 
     ``measures`` maps output name -> (kind, column) with kind in sum / count / nunique.
     Conditional aggregation runs as ONE partial-aggregated pass; ``stack`` then turns
-    the single row into len(labels) rows in label order (column ``ord``).
+    the single row into len(labels) rows in label order (column ``ord``). Distinct counts of
+    one column are first grouped by (band, column), so that no row is copied per label.
     """
+    shown, distinct = measures, {col for kind, col in measures.values() if kind == "nunique"}
+    if len(distinct) == 1 and all(kind in ("sum", "count", "nunique") for kind, _ in measures.values()):
+        key = distinct.pop()
+        parts = [(F.count(F.lit(1)) if kind == "count" else F.sum(col)).alias(f"__{name}")
+                 for name, (kind, col) in measures.items() if kind != "nunique"]
+        df = df.groupBy(band.alias("__band"), F.col(key).alias("__key")).agg(*parts)
+        band = F.col("__band")
+        measures = {name: ("seen", "__key") if kind == "nunique" else ("total" if kind == "count" else kind, f"__{name}")
+                    for name, (kind, _) in measures.items()}
     aggs = []
     for i, lab in enumerate(labels):
         hit = band == F.lit(lab)
@@ -29,6 +39,10 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
                 e = F.coalesce(F.sum(F.when(hit, F.col(col))), F.lit(0)).cast("double")
             elif kind == "count":
                 e = F.count_if(F.coalesce(hit, F.lit(False)))
+            elif kind == "total":
+                e = F.coalesce(F.sum(F.when(hit, F.col(col))), F.lit(0))
+            elif kind == "seen":
+                e = F.count_if(F.coalesce(hit & F.col(col).isNotNull(), F.lit(False)))
             elif kind == "nunique":
                 e = F.count_distinct(F.when(hit, F.col(col)))
             elif kind == "avg":
@@ -47,7 +61,7 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
     expr = f"stack({len(labels)}, {', '.join(parts)}) AS (label, ord, {', '.join(names)})"
     out = row.selectExpr(expr)
     def fmt(n):
-        kind = measures[n][0]
+        kind = shown[n][0]
         if kind == "sum":
             return F.round(F.col(n), 4).alias(n)
         if kind in ("avg", "median"):

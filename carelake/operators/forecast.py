@@ -254,11 +254,11 @@ def forecast_accuracy(matrix: DataFrame, dim_material: DataFrame, months: int =
     mae = mean_over_folds(lambda k: F.col(f"err{k}") / F.col("n"))
 
     def acc(m):
-        return F.bround(F.greatest(F.lit(0.0), F.lit(100.0) - m), 1)
+        return round_half_even(F.greatest(F.lit(0.0), F.lit(100.0) - m), 1)
 
     row = tot.select(acc(agg).alias("m1"), acc(cat).alias("m2"), acc(sku).alias("m3"),
-                     F.bround(mae, 2).alias("m4"),
-                     F.bround(F.col("n_int") / F.col("n") * 100.0, 1).alias("m5"),
+                     round_half_even(mae, 2).alias("m4"),
+                     round_half_even(F.col("n_int") / F.col("n") * 100.0, 1).alias("m5"),
                      F.col("n").cast("double").alias("m6"))
     return row.selectExpr(
         "stack(6, 'Aggregate Forecast Accuracy %', m1, 'Weighted Forecast Accuracy %', m2, "
@@ -307,19 +307,19 @@ def weekly_forecast(rep: DataFrame, week: str = "week_1", plant: str | None = No
     unit = F.when(F.col("closing_stock") != 0, F.col("closing_stock_value") / F.col("closing_stock")
                   ).otherwise(F.lit(0.0))
     base = F.when(F.col("demand_monthly") > 0, F.col("demand_monthly")).otherwise(F.col("demand_forecast"))
-    wk = F.bround(base * frac, 0)
+    wk = round_half_even(base * frac, 0)
     return (first_rows(agg.withColumn("unit_cost", unit).withColumn("wk_demand", wk), limit,
                        F.desc("replenishment_quantity"), F.desc("demand_forecast"), F.asc("material_id"))
                .select(F.col("material_id").alias("material"),
                        F.col("material_desc").alias("material_name"),
-                       F.bround("replenishment_quantity", 0).alias("order_quantity"),
-                       F.bround("demand_forecast", 0).alias("demand_forecast"),
-                       F.bround(F.col("demand_forecast") * F.col("unit_cost"), 2).alias("cash_flow_prediction"),
-                       F.bround("closing_stock", 0).alias("stock"),
-                       F.bround("closing_stock_value", 2).alias("stock_value"),
+                       round_half_even("replenishment_quantity", 0).alias("order_quantity"),
+                       round_half_even("demand_forecast", 0).alias("demand_forecast"),
+                       round_half_even(F.col("demand_forecast") * F.col("unit_cost"), 2).alias("cash_flow_prediction"),
+                       round_half_even("closing_stock", 0).alias("stock"),
+                       round_half_even("closing_stock_value", 2).alias("stock_value"),
                        F.col("aging_risk").alias("aging"),
                        F.col("wk_demand").alias("demand_forecast_week"),
-                       F.bround(F.col("wk_demand") * F.col("unit_cost"), 2).alias("cash_flow_prediction_week")))
+                       round_half_even(F.col("wk_demand") * F.col("unit_cost"), 2).alias("cash_flow_prediction_week")))
 
 
 def replenishment_summary(rep: DataFrame, plant: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.expr import (AGING_RISK_LABELS, UNCAT_LABELS, clean_category, cover_months, money,
-                                     month_index, r6, reorder_status)
+                                     month_index, r6, round_half_even, reorder_status)
 from carelake.operators.common import band_table, first_rows, for_plant, key_month_grid, running_shares, top_n
 
 
@@ -290,9 +290,9 @@ def dashboard_summary(spark: SparkSession, sv: DataFrame, agedist: DataFrame, do
         F.round(F.coalesce(mrp, F.lit(0.0)), 2).alias("stock_mrp"),
         F.round(s_sv["qty"], 0).alias("current_stock"),
         F.round(s_uc["cost"], 2).alias("consumption_cost"),
-        F.when(mrp != 0, F.bround((F.lit(1.0) - value / mrp) * 100, 1)).otherwise(F.lit(0.0)).alias("margin"),
-        F.bround(F.coalesce(doh.select(F.avg("doh_days")).scalar(), F.lit(0.0)), 1).alias("days_on_hand"),
-        F.bround(F.coalesce(hs.select(F.avg("turnover_annualized")).scalar(), F.lit(0.0)), 2).alias("current_itr"),
+        F.when(mrp != 0, round_half_even((F.lit(1.0) - value / mrp) * 100, 1)).otherwise(F.lit(0.0)).alias("margin"),
+        round_half_even(F.coalesce(doh.select(F.avg("doh_days")).scalar(), F.lit(0.0)), 1).alias("days_on_hand"),
+        round_half_even(F.coalesce(hs.select(F.avg("turnover_annualized")).scalar(), F.lit(0.0)), 2).alias("current_itr"),
         s_sv["skus"].alias("sku_count"),
         F.round(s_pv["value"], 2).alias("purchase_value"),
         s_pv["vendors"].alias("vendor_count"),
@@ -302,7 +302,7 @@ def dashboard_summary(spark: SparkSession, sv: DataFrame, agedist: DataFrame, do
         s_ne["skus"].alias("near_expiry_skus"),
         F.round(s_ne["value"], 2).alias("near_expiry_value"),
         nm.select(F.countDistinct("material")).scalar().alias("non_moving_skus"),
-        F.bround(fr.select(F.avg("fill_rate_pct")).scalar(), 1).alias("avg_fill_rate_pct"))
+        round_half_even(fr.select(F.avg("fill_rate_pct")).scalar(), 1).alias("avg_fill_rate_pct"))
 
 
 def period_change(series: DataFrame, key: str = "plant", value: str = "value") -> DataFrame:
@@ -320,12 +320,12 @@ def period_change(series: DataFrame, key: str = "plant", value: str = "value") -
                .withColumn("mn", F.min(value).over(wall)).withColumn("sm", F.sum(value).over(wall))
                .withColumn("n", F.count(F.lit(1)).over(wall)))
     cur = s.where(F.col("rk") == 1)
-    chg = F.when(F.col("lb1") != 0, F.bround((F.col(value) - F.col("lb1")) / F.col("lb1") * 100, 2))
+    chg = F.when(F.col("lb1") != 0, round_half_even((F.col(value) - F.col("lb1")) / F.col("lb1") * 100, 2))
     return cur.select(key, F.round(value, 4).alias("current"), F.round("lb1", 4).alias("previous"),
                       chg.alias("change_pct"), F.when(chg >= 0, "up").when(chg < 0, "down").alias("direction"),
                       F.round("lb1", 4).alias("lookback_1"), F.round("lb2", 4).alias("lookback_2"),
-                      F.round("lb3", 4).alias("lookback_3"), F.bround("mn", 2).alias("min_value"),
-                      F.bround(F.when(F.col("n") > 1, (F.col("sm") - F.col(value)) / (F.col("n") - 1)), 2)
+                      F.round("lb3", 4).alias("lookback_3"), round_half_even("mn", 2).alias("min_value"),
+                      round_half_even(F.when(F.col("n") > 1, (F.col("sm") - F.col(value)) / (F.col("n") - 1)), 2)
                       .alias("mean_prior"))
 
 

@@ -140,8 +140,8 @@ SQL = {
             WHERE g.unit_mrp > 0 AND g.net_price > 0 AND g.gr_qty > 0 GROUP BY 1, 2)
         SELECT grid.name, grid.ym, CASE WHEN g.mv > 0 THEN round_even((g.mv - g.cv) / g.mv * 100, 1) END AS margin_pct
         FROM grid LEFT JOIN g ON grid.name = g.grp AND grid.ym = g.ym""",
-    "vendor_margin": f"""g AS (SELECT vendor_name, year, month, sum(gr_qty) AS vol, avg(CAST(net_price AS DOUBLE)) AS uc,
-            avg(CAST(unit_mrp AS DOUBLE)) AS um FROM fact_grn GROUP BY ALL)
+    "vendor_margin": f"""g AS (SELECT vendor_name, year, month, sum(gr_qty) AS vol, CAST(sum(net_price) AS DOUBLE) / count(net_price) AS uc,
+            CAST(sum(unit_mrp) AS DOUBLE) / count(unit_mrp) AS um FROM fact_grn GROUP BY ALL)
         SELECT vendor_name, year, month, {money('vol')} AS grn_volume, round_even(uc, 2) AS unit_cost,
                round_even(um, 2) AS unit_mrp,
                round_even(CASE WHEN um > 0 THEN (um - uc) / um * 100 ELSE 0.0 END, 1) AS margin FROM g""",

@@ -218,6 +218,12 @@ def sales_line(line: DataFrame) -> DataFrame:
     )
 
 
+def facts_of(line: DataFrame) -> dict[str, DataFrame]:
+    """The curated facts derived from one joined line."""
+    return {"fact_consumption": fact_consumption(line), "fact_inventory": fact_inventory(line),
+            "fact_grn": fact_grn(line), "fact_po": fact_po(line), "sales_line": sales_line(line)}
+
+
 @dataclass
 class Lake:
     """The curated layer as lazy DataFrames plus the run parameters.
@@ -231,18 +237,13 @@ class Lake:
     history_end: _dt.date = _dt.date(SNAPSHOT_DATE.year, SNAPSHOT_DATE.month, 1)
     history_months: int = 6
     horizon: int = 3
+    line: DataFrame | None = None       # the joined line that the facts are derived from
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Lake":
         line = base_line(spark, sf_dir)
         lake = cls(spark)
-        lake.tables = {
-            "fact_consumption": fact_consumption(line),
-            "fact_inventory": fact_inventory(line),
-            "fact_grn": fact_grn(line),
-            "fact_po": fact_po(line),
-            "sales_line": sales_line(line),
-        }
+        lake.line, lake.tables = line, facts_of(line)
         lake.sf_dir = sf_dir
         return lake
 
