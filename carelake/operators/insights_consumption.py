@@ -76,7 +76,8 @@ def department_pareto(dp: DataFrame, plant: str | None = None, n: int = 24) -> D
     g = for_plant(dp, plant).groupBy("cost_ctr").agg(F.sum("consumption_cost").alias("v"), F.sum("consumption_qty").alias("q"))
     s = running_shares(g, "v", "cost_ctr")
     return s.where(F.col("rk") <= n).select(F.col("cost_ctr").alias("code"), F.round("v", 4).alias("value"),
-                                            F.round("q", 4).alias("qty"), r6("share").alias("share"), r6("cum").alias("cum"), "rk")
+                                            F.round("q", 4).alias("qty"), r6("share").alias("share"), r6("cum").alias("cum"),
+                                            F.col("rk").cast("int").alias("rk"))
 
 
 # ------------------------------------------------------------------ INS-30..32
