@@ -387,7 +387,8 @@ def cut_texts(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_c
     from pyspark.sql.functions import pandas_udf
 
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
+        # Spark runs the UDF on every row, also where the WHEN branch below decides
+        return pd.Series([None if t is None else _cut(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)], dtype=object)
     cut.__annotations__ = {"text": pd.Series, "spans": pd.Series, "return": pd.Series}
     rows = _joined(docs, length, id_col, text_col)
     t = F.col(text_col)

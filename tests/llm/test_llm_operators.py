@@ -123,6 +123,19 @@ def test_suffix_removal_matches_brute_force(docs, local):
     assert suffixes.removed(none_of(docs)).count() == 0
 
 
+def test_cut_texts_collects_null_empty_and_cut_texts(docs, local):
+    seen = Counter(b[p:p + 400] for _, t in local for b in [(t or "").encode()] for p in range(len(b) - 399))
+    want = Counter()
+    for i, t in local:
+        b = (t or "").encode()
+        m = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            m[p:p + 400] |= seen[b[p:p + 400]] > 1
+        want[(i, None if t is None else np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore"))] += 1
+    got = Counter((r["doc_id"], r["text"]) for r in suffixes.cut_texts(docs).collect())
+    assert got == want and any(t is None for _, t in got) and any(t == "" for _, t in got)
+
+
 def test_merge_never_loses_order():
     rng = np.random.default_rng(2)
     runs = []
