@@ -22,6 +22,12 @@ Groups. Records whose merged common prefix covers the gram share an anchor. Insi
 group the windows at one offset are equal or not as their hashes are; windows found twice
 leave as spans. Spans are gathered per text and cut out in one join with the texts.
 
+Hot grams. A short line that many texts share is the anchor of many different records, and a
+group meets in one task. So the records of every gram are counted first, equal ones of a run
+once; a gram with more than ``HOT`` of them sends no records. Its windows travel as rows
+(gram, hash at offset) instead, each at most once a run, and what occurs in two rows repeats.
+A group is thus at most ``HOT`` records and one a run, as runs count a gram from two on.
+
 Defined results: null, empty and short texts lose nothing; repeated rows are copies of each
 other, so they lose what copies lose; null ids are allowed; an empty table gives an
 empty result. Where a cut leaves part of a character, ``cut_texts`` drops that part too,
@@ -35,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.llm.common import KEY, keyed, with_key
@@ -43,6 +49,7 @@ from carelake.llm.common import KEY, keyed, with_key
 GRAM = 32
 BLOCK = 1 << 18          # bytes of a text hashed at a time
 RUN_BYTES = 40 << 20     # record bytes sorted as one run
+HOT = 1 << 13            # records of one gram that may meet in one task
 _RADIX, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -101,11 +108,14 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
 
 
 def joined_spans(ka, kb, lo, hi) -> list[np.ndarray]:
-    """Overlapping and touching spans of a text as one; spans of a text that begin later end later."""
+    """Overlapping and touching spans of a text as one."""
     order = np.lexsort((hi, lo, kb, ka))
     ka, kb, lo, hi = (np.asarray(x, np.int64)[order] for x in (ka, kb, lo, hi))
     new = np.ones(len(ka), bool)
-    new[1:] = (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1]) | (lo[1:] > hi[:-1])
+    new[1:] = (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])
+    step = np.cumsum(new) * (hi.max(initial=0) + 1)
+    hi = np.maximum.accumulate(hi + step) - step         # the furthest end so far in a text
+    new[1:] |= lo[1:] > hi[:-1]
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:] - 1, [len(ka) - 1]))[:len(first)]
     return [ka[first], kb[first], lo[first], hi[last]]
@@ -219,12 +229,15 @@ class Groups:
 
     def reset(self) -> None:
         self.keys, self.owner, self.start = [], [], []
-        self.ka, self.kb, self.copies, self.windows = [], [], [], 0
+        self.ka, self.kb, self.copies, self.groups, self.windows = [], [], [], [], 0
 
     def add(self, k: bytes, payload: tuple) -> None:
         head, ka, kb, p, n = payload
-        self.rows.append((self.group, len(head), head + k[8:], ka, kb, p, n))
-        self.bytes += len(head) + len(k)
+        self.put(self.group, len(head), head + k[8:], ka, kb, p, n)
+
+    def put(self, group: int, off: int, z: bytes, ka: int, kb: int, p: int, n: int) -> None:
+        self.rows.append((group, off, z, ka, kb, p, n))
+        self.bytes += len(z)
         if self.bytes > 1 << 19:
             self.hash()
 
@@ -245,6 +258,7 @@ class Groups:
         self.ka += ka
         self.kb += kb
         self.copies += n
+        self.groups += group
         self.windows += len(h)
         self.rows, self.bytes = [], 0
 
@@ -255,8 +269,28 @@ class Groups:
             return None
         keys, owner, start = map(np.concatenate, (self.keys, self.owner, self.start))
         order = np.argsort(keys)
-        same = keys[order][1:] == keys[order][:-1]
-        twice = np.zeros(len(keys), bool)
+        out = self.twice(owner, start, order, keys[order][1:] == keys[order][:-1])
+        self.reset()
+        return out
+
+    def first_windows(self) -> tuple[list, list]:
+        """Of all collected groups, named by their grams: spans of repeated windows, and (gram, hash,
+        ka, kb, start) of one window each."""
+        self.hash()
+        keys, owner, start = map(np.concatenate, (self.keys, self.owner, self.start))
+        gram = np.array(self.groups, np.uint64)[owner]
+        order = np.lexsort((keys, gram))
+        same = (keys[order][1:] == keys[order][:-1]) & (gram[order][1:] == gram[order][:-1])
+        at = order[np.concatenate(([True], ~same))]
+        one = [gram[at].view(np.int64), keys[at].view(np.int64), np.array(self.ka, np.int64)[owner[at]],
+               np.array(self.kb, np.int64)[owner[at]], start[at]]
+        out = self.twice(owner, start, order, same)
+        self.reset()
+        return out, one
+
+    def twice(self, owner, start, order, same) -> list:
+        """Spans of the windows that equal a neighbour in ``order``."""
+        twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
         twice &= np.array(self.copies)[owner] == 1       # spans of copies have left with their run
@@ -264,35 +298,130 @@ class Groups:
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)))[:len(owner)]
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:] - 1, [len(owner) - 1]))[:len(first)]
-        out = joined_spans(np.array(self.ka, np.int64)[owner[first]], np.array(self.kb, np.int64)[owner[first]],
-                           start[first], start[last] + self.length)
-        self.reset()
-        return out
+        return joined_spans(np.array(self.ka, np.int64)[owner[first]], np.array(self.kb, np.int64)[owner[first]],
+                            start[first], start[last] + self.length)
 
 
 _BLOBS = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _SPANS = pa.schema([("ka", pa.int64()), ("kb", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-def _sorted_runs(length: int, ranges: int):
+_COUNTS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+_WINDOWS = pa.schema([("sure", pa.bool_()), ("gram", pa.int64()), ("hash", pa.int64()), *_SPANS])
+
+
+def _rows(schema: pa.Schema, cols: list, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(cols[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i:i + most], f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """(ka, kb, text, its bytes as an array, anchors of a block) of all texts."""
+    hasher = Hasher(BLOCK + length)
+    for b in batches:
+        for ka, kb, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            text = text.as_buffer().to_pybytes() if text.is_valid else b""
+            a = np.frombuffer(text, np.uint8)
+            for part in anchors(a, length, hasher):
+                yield ka, kb, text, a, part
+
+
+def _gram_counts(length: int):
+    """(gram, different records) of the grams that a run's worth of records holds more than once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, cols, held = Hasher(BLOCK + length), [], 0
+
+        def flush():
+            gram, record = (np.concatenate(c) for c in zip(*cols))
+            order = np.lexsort((record, gram))
+            gram, record = gram[order], record[order]
+            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (record[1:] != record[:-1])))
+            gram, n = np.unique(gram[new], return_counts=True)
+            return _rows(_COUNTS, [gram[n > 1].view(np.int64), n[n > 1]])
+        for _, _, _, a, (at, first, last, grams) in _anchored(batches, length):
+            size, lo = last - first + length, first[0]
+            record = hasher(a[lo:last[-1] + length], size, first - lo)
+            cols.append((grams, record ^ (at - first).astype(np.uint64) * np.uint64(_RADIX)))
+            held += int(size.sum())
+            if held > RUN_BYTES:
+                yield from flush()
+                cols, held = [], 0
+        if cols:
+            yield from flush()
+    return run
+
+
+def hot_grams(texts: DataFrame, length: int) -> np.ndarray:
+    """Sorted hashes of the grams with more than ``HOT`` different records: one in ``HOT`` anchors at most."""
+    rows = texts.mapInArrow(_gram_counts(length), "gram bigint, n bigint").groupBy("gram").agg(
+        F.sum("n").alias("n")).where(F.col("n") > HOT).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
+
+
+def _is_hot(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(grams), bool)
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+
+
+def _sorted_runs(length: int, ranges: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now = Hasher(BLOCK + length), Run(ranges)
+        now = Run(ranges)
 
         def flush():
             for row in now.blobs():
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOBS)], schema=_BLOBS)
-        for b in batches:
-            for ka, kb, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = text.as_buffer().to_pybytes() if text.is_valid else b""
-                for part in anchors(np.frombuffer(text, np.uint8), length, hasher):
-                    now.add(ka, kb, text, length, *part)
-                    if now.bytes > RUN_BYTES:
-                        yield from flush()
-                        now = Run(ranges)
+        for ka, kb, text, _, part in _anchored(batches, length):
+            keep = ~_is_hot(part[3], hot)
+            now.add(ka, kb, text, length, *(c[keep] for c in part))
+            if now.bytes > RUN_BYTES:
+                yield from flush()
+                now = Run(ranges)
+        yield from flush()
+    return run
+
+
+def _hot_windows(length: int, hot: np.ndarray):
+    """Windows of hot anchors: ``sure`` rows are spans of windows that repeat inside a run, the others
+    are one window each, once a run."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, groups = Run(1), Groups(length)
+
+        def sure(cols):
+            return _rows(_WINDOWS, [np.ones(len(cols[0]), bool), cols[0], cols[2], *cols])
+
+        def flush():
+            if now.spans[0]:
+                yield from sure(joined_spans(*now.spans))
+            for (off, z), (gram, *rest) in now.records.items():
+                groups.put(int.from_bytes(gram), off, z, *rest)
+            if now.records:
+                spans, one = groups.first_windows()
+                yield from sure(spans)
+                yield from _rows(_WINDOWS, [np.zeros(len(one[0]), bool), *one, one[4] + length])
+        for ka, kb, text, _, part in _anchored(batches, length):
+            keep = _is_hot(part[3], hot)
+            if keep.any():
+                now.add(ka, kb, text, length, *(c[keep] for c in part))
+                if now.bytes > RUN_BYTES >> 2:
+                    yield from flush()
+                    now = Run(1)
         yield from flush()
     return run
 
 
+def _joined_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from _rows(_SPANS, joined_spans(*(c.to_numpy(zero_copy_only=False) for c in b.columns)))
+
+
+def _hot_spans(texts: DataFrame, length: int, hot: np.ndarray, n: int) -> DataFrame:
+    rows = texts.mapInArrow(_hot_windows(length, hot), "sure boolean, gram bigint, hash bigint, ka bigint, kb bigint, lo bigint, hi bigint")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("sure", "gram", "hash")))     # at most one row a run
+    return rows.where("sure or n > 1").select("ka", "kb", "lo", "hi").repartition(n, "ka", "kb").sortWithinPartitions(
+        "ka", "kb", "lo").mapInArrow(_joined_batches, "ka bigint, kb bigint, lo bigint, hi bigint")
+
+
 def _merged_spans(length: int):
     def resolve(blobs: list) -> Iterator[pa.RecordBatch]:
         groups = Groups(length)
@@ -342,9 +471,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, id_col, text_col).where(F.octet_length("text") >= length).select(
         *KEY, F.col("text").cast("binary"))
-    runs = texts.mapInArrow(_sorted_runs(length, n * ranges_per_partition), "range int, kind int, blob binary")
-    return runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(
+    hot = hot_grams(texts, length)
+    runs = texts.mapInArrow(_sorted_runs(length, n * ranges_per_partition, hot), "range int, kind int, blob binary")
+    spans = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(
         _merged_spans(length), "ka bigint, kb bigint, lo bigint, hi bigint")
+    return spans.unionByName(_hot_spans(texts, length, hot, n)) if len(hot) else spans
 
 
 def _joined(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:

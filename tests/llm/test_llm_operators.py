@@ -1,12 +1,15 @@
 """Every training-data operator on small hand-made frames: brute force, edge cases, clashing columns."""
 import hashlib
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from carelake.llm import chat, components, decontaminate, embeddings, lm, packing, quality, simhash, suffixes, toxicity, urls
@@ -136,6 +139,42 @@ def test_cut_texts_collects_null_empty_and_cut_texts(docs, local):
     assert got == want and any(t is None for _, t in got) and any(t == "" for _, t in got)
 
 
+@pytest.mark.parametrize("run_bytes", [20000, suffixes.RUN_BYTES])
+def test_hot_grams_leave_small_groups_and_the_same_result(spark, monkeypatch, run_bytes):
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    monkeypatch.setattr(suffixes, "RUN_BYTES", run_bytes)
+    footer, long = prose(40, 900)[:200], prose(120, 901)[:450]
+    rows = [(i, prose(90, 1000 + i) + footer + prose(90, 2000 + i)) for i in range(90)]
+    rows += [(100 + i, prose(30, 3000 + i) + long + prose(30, 4000 + i)) for i in range(40)]
+    rows += [(200 + i, rows[3][1]) for i in range(5)] + [(300, rows[7][1][100:900]), (7, rows[7][1]), (301, None), (302, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    texts = suffixes.keyed(docs).select(*suffixes.KEY, F.col("text").cast("binary"))
+    hot = suffixes.hot_grams(texts, 400)
+    assert len(hot)
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame(
+        [(i, 0, t.encode()) for i, (_, t) in enumerate(rows) if t], columns=["ka", "kb", "text"]), preserve_index=False)
+    largest, runs = {}, {}
+    for name, grams in (("whole", hot[:0]), ("cut", hot)):
+        sizes, runs[name] = Counter(), 0
+        for out in suffixes._sorted_runs(400, 1, grams)(iter([batch])):
+            if out.column(1)[0].as_py() == 1:
+                runs[name] += 1
+                blob = pickle.loads(zstandard.ZstdDecompressor().decompress(out.column(2)[0].as_py()))
+                sizes.update(k[:8] for _, k, _ in suffixes.read_run(blob))
+        largest[name] = max(sizes.values())
+    assert largest["whole"] > 60 and largest["cut"] <= 20 + runs["whole"]
+    seen = Counter(b[p:p + 400] for _, t in rows for b in [(t or "").encode()] for p in range(len(b) - 399))
+    want = Counter()
+    for i, t in rows:
+        b = (t or "").encode()
+        m = np.zeros(len(b), bool)
+        for p in range(len(b) - 399):
+            m[p:p + 400] |= seen[b[p:p + 400]] > 1
+        want[(i, len(b), int(m.sum()), np.frombuffer(b, np.uint8)[~m].tobytes())] += 1
+    got = Counter((r["id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffixes.removed(docs).collect())
+    assert got == want
+
+
 def test_merge_never_loses_order():
     rng = np.random.default_rng(2)
     runs = []
