@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm import chat, decontaminate, embeddings, lm, packing, quality, simhash, suffixes, toxicity, urls
+from carelake.llm import (alignment, chat, decontaminate, embeddings, lm, packing, periodic, quality, simhash, suffixes,
+                          token_counts, toxicity, urls)
 from carelake.llm.common import table
 
 
@@ -88,12 +89,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=1024).withColumnRenamed("id", "doc_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents repeat a period, which follows from their id, from a word that does too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    tail = docs.select("*", F.floor(crc / 10).alias("g"), F.when(crc % 10 == 0, words).alias("w")).select(
+        "*", F.when(F.size("w") > 0, F.size("w")).alias("n")).select("*", (F.col("g") % F.col("n")).alias("a")).select(
+        "*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    moved = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(
+        i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    r = periodic.periodic_runs(tail.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda x: F.struct(
+        (-x["length"]).alias("l"), x["start"].alias("start"), x["period"].alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return r.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), longest["start"].alias("start"),
+        (-longest["l"]).alias("length"), longest["period"].alias("period"),
+        F.floor(F.lit(-1000) * longest["l"] / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_suffixes, op5_lm_scoring, op6_quality, op7_simhash, op8_chat, op9_embeddings, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_decontamination, op4_suffixes, op5_lm_scoring, op6_quality, op7_simhash, op8_chat, op9_embeddings, op10_packing, op11_token_counts, op12_periodic_runs, op13_alignment, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
