@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import median_of
+from carelake.operators.order_stats import medians
 
 
 def for_plant(df: DataFrame, plant: str | None) -> DataFrame:
@@ -47,8 +47,8 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
                 e = F.count_distinct(F.when(hit, F.col(col)))
             elif kind == "avg":
                 e = F.coalesce(F.avg(F.when(hit, F.col(col))), F.lit(0.0)).cast("double")
-            elif kind == "median":
-                e = F.coalesce(median_of(F.when(hit, F.col(col))), F.lit(0.0)).cast("double")
+            elif kind == "median":      # filled in below
+                e = F.lit(0.0)
             else:
                 raise ValueError(kind)
             aggs.append(e.alias(f"{name}__{i}"))
@@ -60,6 +60,11 @@ def band_table(df: DataFrame, band: Column, labels: list[str], measures: dict) -
         parts.append(f"'{esc}', {i}, " + ", ".join(f"`{n}__{i}`" for n in names))
     expr = f"stack({len(labels)}, {', '.join(parts)}) AS (label, ord, {', '.join(names)})"
     out = row.selectExpr(expr)
+    for name, (kind, col) in shown.items():
+        if kind == "median":
+            half = medians(df.select(band.alias("label"), F.col(col).alias("__of")).where(F.col("label").isin(labels)),
+                           ["label"], F.col("__of"), "__median")
+            out = out.join(half, "label", "left").withColumn(name, F.coalesce("__median", F.lit(0.0))).drop("__median")
     def fmt(n):
         kind = shown[n][0]
         if kind == "sum":

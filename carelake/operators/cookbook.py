@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import median_of, CAPEX_DOC_TYPES, is_capex, money, r6
+from carelake.functions.expr import CAPEX_DOC_TYPES, is_capex, money, r6
 from carelake.operators.common import key_medians
+from carelake.operators.order_stats import medians
 from carelake.operators.marts import BAND, PRICE_FLOOR, STABLE_N, _raw_prices, clean_band
 
 
@@ -133,7 +134,8 @@ def price_lookup(price_stats: DataFrame, pattern: str) -> DataFrame:
 
 def median_doh(doh: DataFrame) -> DataFrame:
     """SQL-11: median days of cover over rows with a positive cover."""
-    return doh.where(F.col("doh_days") > 0).agg(r6(median_of("doh_days")).alias("median_doh"))
+    d = F.col("doh_days")
+    return medians(doh, [], F.when(d > 0, d), "m").agg(r6(F.max("m")).alias("median_doh"))
 
 
 def vendor_spend(vendor_volume: DataFrame, n: int = 10) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelake.operators.common import first_rows
-from carelake.functions.expr import (median_of, Z_95, aging_risk_label, clip, money, r6, radar_status,
+from carelake.operators.order_stats import median
+from carelake.functions.expr import (Z_95, aging_risk_label, clip, money, r6, radar_status,
                                      round_half_even)
 
 MA_WINDOW = 3
@@ -154,7 +155,7 @@ def replenishment(inv: DataFrame, cons: DataFrame, grn: DataFrame, dim_material:
                .groupBy("plant", "material").agg(F.stddev_pop("qty").alias("demand_std")))
     lead = material_lead_time(grn)
     # portfolio fallback: exact median of the per-material means (a scalar subquery)
-    med = lead.select(median_of("lead_time_days")).scalar()
+    med = median(lead, F.col("lead_time_days"))
     lead_days = F.coalesce(F.col("lead_time_days"), med, F.lit(default_lead_days))
     df = (stock.join(dn, ["plant", "material"], "full_outer")
                .join(vol, ["plant", "material"], "left")

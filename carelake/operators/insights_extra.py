@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import median_of, month_index, r6
+from carelake.functions.expr import month_index, r6
 from carelake.operators.common import for_plant, key_month_grid, top_n
+from carelake.operators.order_stats import median
 
 
 def valuation_totals(inv: DataFrame, plant: str | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def doh_totals(doh_frame: DataFrame) -> DataFrame:
     v = F.col("stock_value_cost")
     return doh_frame.agg(
         F.count(F.lit(1)).alias("total_skus"), F.count(d).alias("moving_skus"), F.count_if(d.isNull()).alias("nonmoving_skus"),
-        r6(F.coalesce(median_of(d), F.lit(0.0))).alias("median_doh"), r6(F.coalesce(F.avg(d), F.lit(0.0))).alias("mean_doh"),
+        r6(F.coalesce(median(doh_frame, d), F.lit(0.0))).alias("median_doh"), r6(F.coalesce(F.avg(d), F.lit(0.0))).alias("mean_doh"),
         F.round(F.sum(v), 4).alias("total_value"),
         F.round(F.coalesce(F.sum(F.when((d >= 0) & (d < 30), v)), F.lit(0.0)), 4).alias("risk_value"),
         F.count_if((d >= 0) & (d < 30)).alias("risk_count"),
@@ -39,7 +40,7 @@ def health_totals(hs: DataFrame, plant: str | None = None) -> DataFrame:
     """INS-07 totals: mean / median score, SKUs, value, moving and fresh shares."""
     d = for_plant(hs, plant)
     return d.agg(r6(F.coalesce(F.avg("health_score"), F.lit(0.0))).alias("avg_score"),
-                 r6(F.coalesce(median_of("health_score"), F.lit(0.0))).alias("median_score"),
+                 r6(F.coalesce(median(d, F.col("health_score")), F.lit(0.0))).alias("median_score"),
                  F.count(F.lit(1)).alias("total_skus"), F.round(F.sum("closing_stock_value"), 4).alias("total_value"),
                  r6(F.coalesce(F.avg(F.when(F.col("consumption_cost") > 0, 1.0).otherwise(0.0)), F.lit(0.0))).alias("moving_pct"),
                  r6(F.coalesce(F.avg(F.when(F.col("aging_days") <= 90, 1.0).otherwise(0.0)), F.lit(0.0))).alias("fresh_pct"))
