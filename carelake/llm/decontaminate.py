@@ -6,8 +6,9 @@ words, but not none, is one window). The distinct windows form a hash set that i
 broadcast when it has at most ``MAX_BROADCAST`` windows, a number that is counted first;
 beyond that the windows are joined by a shuffle on the hash, in which AQE may split
 frequent n-grams. One scan explodes the start positions of a document inside its row,
-hashes the window there, probes the set, and compares the words of what it finds, so only
-verified hits are shuffled, next to one row per document.
+hashes the windows there, probes the set, and compares the words of what it finds, so only
+verified hits are shuffled, next to one row per document. Short items add window lengths; their
+hashes are taken in the same scan, up to ``PASS_WORDS`` words, and in at most two more beyond.
 
 Defined results: null, empty and wordless texts have no words and no hits; repeated rows
 each get their own row; a null id stays a null id; benchmark items with a null id count
@@ -26,6 +27,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST = 200_000      # windows of at most some hundred bytes each
+PASS_WORDS = 40              # words that one generated method hashes at a start
 
 
 def words(text: Column) -> Column:
@@ -48,6 +50,37 @@ def _at(i: Column, length: int, *seed: Column) -> Column:
     return F.xxhash64(*seed, *[F.get("words", i + k) for k in range(length)])
 
 
+def _passes(lengths: list[int]) -> list[list[int]]:
+    """``lengths`` in groups whose hashes fit one compiled method: at most ``PASS_WORDS`` words a group."""
+    out: list[list[int]] = []
+    for m in lengths:
+        if out and sum(out[-1]) + m <= PASS_WORDS:
+            out[-1].append(m)
+        else:
+            out.append([m])
+    return out
+
+
+def _starts(base: DataFrame, lengths: list[int], words_verify: bool) -> DataFrame:
+    """A row (i, m, _h[, _h2]) for every start i and length m that fit, and one with i = -1 for the document.
+
+    Both explodes and what follows stay in generated code, where ``words`` is read in place and
+    not copied from row to row, so the bytes grow with the words and not with their square.
+    """
+    rows = base.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(
+        F.col("n_words") - lengths[0], F.lit(-1)))).alias("i"))
+    i, seeds = F.col("i"), [()] if words_verify else [(), (F.lit(1),)]
+
+    def probe(m: int) -> list:
+        return [F.when(i >= 0, _at(i, m, *seed)).alias(name) for seed, name in zip(seeds, ("_h", "_h2"))]
+    if len(lengths) == 1:
+        return rows.select("*", F.lit(lengths[0]).alias("m"), *probe(lengths[0]))
+    each = [F.when((i >= 0) & (i + m <= F.col("n_words")) | ((i < 0) & F.lit(k == 0)), F.struct(F.lit(m).alias("m"), *probe(m)))
+            for k, m in enumerate(lengths)]
+    return rows.select("*", F.explode(F.array(*each)).alias("e")).where("e is not null").select(
+        *rows.columns, "e.*")
+
+
 def hits(docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
          max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(id, __llm_ka, __llm_kb, n_words, spans, items) per row; spans are sorted word ranges [start, end)
@@ -57,28 +90,21 @@ def hits(docs: DataFrame, bench: DataFrame, n: int = 13, id_col: str = "doc_id",
     lengths = sorted(sizes) or [n]
     base = keyed(docs, id_col, text_col).select("id", *KEY, words(F.col("text")).alias("words"))
     base = base.withColumn("n_words", F.size("words"))
-    # start -1 is the row that stands for the document itself
-    rows = base.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(
-        F.col("n_words") - lengths[0], F.lit(-1)))).alias("i"))
-    if len(lengths) > 1:
-        fits = F.filter(F.array(*map(F.lit, lengths)), lambda m: (F.col("i") + m <= F.col("n_words")) & (F.col("i") >= 0))
-        rows = rows.select("*", F.explode(F.when(F.col("i") < 0, F.array(F.lit(lengths[0]))).otherwise(fits)).alias("m"))
-    else:
-        rows = rows.withColumn("m", F.lit(lengths[0]))
-
-    def probe(*seed):
-        h = F.lit(None).cast("bigint")
-        for m in lengths:
-            h = F.when((F.col("i") >= 0) & (F.col("m") == m), _at(F.col("i"), m, *seed)).otherwise(h)
-        return h
-    if sum(sizes.values()) <= max_broadcast:
-        found = rows.withColumn("_h", probe()).join(F.broadcast(win), (F.col("_h") == F.col("h")) & (F.col("m") == F.col("len")),
-                                                    "left")
-        found = found.where((F.col("i") < 0) | (F.slice("words", F.col("i") + 1, F.col("m")) == F.col("window")))
-    else:      # words do not travel with every start: a second hash of the window verifies
-        thin = rows.select("id", *KEY, "n_words", "i", "m", probe().alias("_h"), probe(F.lit(1)).alias("_h2"))
-        found = thin.join(win.drop("window"), (F.col("_h") == F.col("h")) & (F.col("m") == F.col("len")), "left")
-        found = found.where((F.col("i") < 0) | (F.col("_h2") == F.col("h2")))
+    small = sum(sizes.values()) <= max_broadcast
+    found = None
+    for k, some in enumerate(_passes(lengths)):
+        rows = _starts(base, some, small)
+        if k:      # the first pass has the row of the document itself
+            rows = rows.where("i >= 0")
+        if small:
+            got = rows.join(F.broadcast(win), (F.col("_h") == F.col("h")) & (F.col("m") == F.col("len")), "left")
+            got = got.where((F.col("i") < 0) | (F.slice("words", F.col("i") + 1, F.col("m")) == F.col("window")))
+        else:      # words do not travel with every start: a second hash of the window verifies
+            thin = rows.select("id", *KEY, "n_words", "i", "m", "_h", "_h2")
+            got = thin.join(win.drop("window"), (F.col("_h") == F.col("h")) & (F.col("m") == F.col("len")), "left")
+            got = got.where((F.col("i") < 0) | (F.col("_h2") == F.col("h2")))
+        got = got.select("id", *KEY, "n_words", "i", "m", "items")
+        found = got if found is None else found.unionByName(got)
     span = F.when(F.col("i") >= 0, F.struct(F.col("i").alias("start"), (F.col("i") + F.col("m")).alias("end")))
     per = found.select("id", *KEY, "n_words", "i", span.alias("span"), "items").groupBy(*KEY).agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.count_if(F.col("i") < 0).alias("copies"),
