@@ -85,6 +85,20 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def leaders_and_count(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
+    """One row: ``n`` rows of ``df`` (one per key), and ``top``, the sum of the ``k`` largest values.
+
+    Both come from one pass: the leaders of every hash bucket, ``k`` at most, meet in the last step.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(64))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc_nulls_last(value), key))
+    rows = df.select(bucket.alias("__b"), key, value).withColumn("__r", rank)
+    part = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("__r") <= k, F.col(value))).alias("vs"))
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("vs")), asc=False), 1, k)
+    total = F.aggregate(best, F.lit(0.0), lambda a, v: a + v)
+    return part.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when(F.size(best) > 0, total).alias("top"))
+
+
 def ranked(df: DataFrame, n: int, *order: Column, rank_col: str = "rank") -> DataFrame:
     """WIN-09: top-n with a 1-based rank column (the window runs on the n kept rows only)."""
     top = df.orderBy(*order).limit(n)

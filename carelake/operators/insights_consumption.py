@@ -270,12 +270,11 @@ def stock_age_mix(agedist: DataFrame, plant: str | None = None) -> DataFrame:
                       {"value": ("sum", "stock_value")})
 
 
-def dashboard_summary(spark: SparkSession, sv: DataFrame, agedist: DataFrame, doh: DataFrame, hs: DataFrame,
-                      uc: DataFrame, nm: DataFrame, pv: DataFrame, rep: DataFrame, ne: DataFrame, fr: DataFrame,
+def dashboard_summary(spark: SparkSession, sv: DataFrame, doh: DataFrame, hs: DataFrame, uc: DataFrame,
+                      nm: DataFrame, pv: DataFrame, rep: DataFrame, ne: DataFrame, fr: DataFrame,
                       plant: str | None = None) -> DataFrame:
     """INS-35 executive scalars, one scalar subquery each (no cross join)."""
-    sv, agedist, doh, hs, uc, nm, pv, rep, ne, fr = (for_plant(x, plant) for x in
-                                                     (sv, agedist, doh, hs, uc, nm, pv, rep, ne, fr))
+    sv, doh, hs, uc, nm, pv, rep, ne, fr = (for_plant(x, plant) for x in (sv, doh, hs, uc, nm, pv, rep, ne, fr))
     # one struct-valued scalar subquery per source table (each read once), fields unpacked below
     s_sv = sv.select(F.struct(F.sum("stock_value_cost").alias("value"), F.sum("stock_value_mrp").alias("mrp"),
                               F.sum("stock_qty").alias("qty"), F.countDistinct("material").alias("skus"))).scalar()

@@ -87,7 +87,12 @@ def mart_procurement(grn: DataFrame, dim_material: DataFrame, price_stats: DataF
                             F.col("median_lead_time_days").alias("vendor_median_lead_time_days"))
     price = F.col("net_price").cast("double")
     med = F.col("material_median_price")
-    return (grn.join(dm, "material", "left").join(ps, "material", "left").join(lt, "vendor_name", "left")
+    # one join with all that is known of a material; lines without one (capital goods, services) get
+    # spread keys that match nothing, instead of meeting in the task of the null key
+    about = dm.join(ps, "material", "left").withColumnRenamed("material", "_material")
+    nowhere = F.concat(F.lit("\0"), F.xxhash64("po_no", "gr_no").cast("string"))
+    lines = grn.withColumn("_key", F.coalesce(F.col("material"), nowhere))
+    return (lines.join(about, F.col("_key") == F.col("_material"), "left").join(lt, "vendor_name", "left")
                .select("plant", "material", "material_desc", "category", "material_type", "manufacturer_desc",
                        "generic_name", "vendor_code", "vendor_name", "po_no", "gr_no",
                        F.col("gr_qty").cast("double").alias("qty"), price.alias("unit_price"),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carelake.operators import forecast as fc
 from carelake.operators import sales
+from carelake.plans.store import Store, StoredWarehouse
 from carelake.plans.warehouse import Warehouse
 from carelake.sources.fixtures import Lake, facts_of
 from carelake.sources.quality import dq_report
@@ -87,9 +88,23 @@ def build_kpis(spark: SparkSession, out: str, params: dict) -> dict:
     return {"kpi": f"{out}/kpi"}
 
 
+def output_paths(out: str) -> dict[str, str]:
+    """Folder of every table that a full build leaves behind."""
+    out = out.rstrip("/")
+    return {"line": f"{out}/work/line", **{t: f"{out}/curated/{t}" for t in [*FACT_PARTITIONS, *DIMS]},
+            **{t: f"{out}/kpi/{t}" for t in KPI_TABLES + SALES_TABLES + MART_TABLES + FORECAST_TABLES}}
+
+
 def build(spark: SparkSession, lake: Lake, out: str, stage: str = "all") -> dict:
-    """SRC-15: ``stage`` = curated | kpi | all. Failures propagate (no swallowed stage)."""
+    """SRC-15: ``stage`` = curated | kpi | all. Failures propagate (no swallowed stage).
+
+    A full build of source tables is recorded in the manifest of ``out`` (plans.store), so that
+    queries whose session names that folder read its tables.
+    """
     timings, result = {}, {}
+    catalogue = StoredWarehouse(lake, Store(spark, out)) if stage == "all" and lake.inputs and lake.line is not None else None
+    if catalogue is not None:
+        catalogue.take_back(list(output_paths(out).values()))
     params = dict(snapshot_date=lake.snapshot_date, history_end=lake.history_end,
                   history_months=lake.history_months, horizon=lake.horizon)
     if stage in ("curated", "all"):
@@ -100,6 +115,8 @@ def build(spark: SparkSession, lake: Lake, out: str, stage: str = "all") -> dict
         t0 = time.time()
         result.update(build_kpis(spark, out, params))
         timings["kpi_s"] = round(time.time() - t0, 2)
+    if catalogue is not None:
+        catalogue.adopt(output_paths(out))
     result["timings"] = timings
     return result
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from carelake.operators import dims, kpi
 from carelake.plans.registry import register
+from carelake.plans.store import built_warehouse, open_warehouse
 
 # ------------------------------------------------------------------ facts / dims
 for _name in ["fact_consumption", "fact_inventory", "sales_line"]:
@@ -118,13 +119,16 @@ def _vendor_stats(l):
     return marts.material_vendor_price_stats(l.fact_grn, l.dim_material)
 
 
-def _mart_proc(l):
-    return marts.mart_procurement(l.fact_grn, l.dim_material, _price_stats(l), kpi.kpi_vendor_lead_time(l.fact_grn))
+def _mart_proc(l, w=None):
+    w = w or open_warehouse(l)
+    return marts.mart_procurement(w["fact_grn"], w["dim_material"], w["mart_material_price_stats"], w["kpi_vendor_lead_time"])
 
 
 register("mart_material_price_stats")(_price_stats)
 register("mart_material_vendor_price_stats")(_vendor_stats)
 register("mart_procurement")(_mart_proc)
+register("mart_procurement_stored")(lambda l: _mart_proc(l, built_warehouse(l, [
+    "fact_grn", "mart_material_price_stats", "kpi_vendor_lead_time"])))
 
 # ------------------------------------------------------------------ cookbook
 register("sql_revenue_margin")(lambda l: cb.revenue_margin(_grain(l, "sales_totals")))
@@ -221,9 +225,16 @@ def _window(l):
     return s[0], s[-1]
 
 
-register("procurement_totals")(lambda l: ip.procurement_totals(
-    l.spark, _pv(l), _vv(l), kpi.kpi_cycle_time(l.fact_grn), kpi.kpi_fill_rate(l.fact_po),
-    kpi.kpi_purchase_by_location(l.fact_po), kpi.kpi_vendor_lead_time(l.fact_grn), l.fact_grn))
+PROCUREMENT_TABLES = ["kpi_purchase_value", "kpi_vendor_volume", "kpi_cycle_time", "kpi_fill_rate", "kpi_purchase_by_location",
+                      "kpi_vendor_lead_time", "fact_grn"]
+register("procurement_totals")(lambda l: _procurement_totals(open_warehouse(l)))
+register("procurement_totals_stored")(lambda l: _procurement_totals(built_warehouse(l, PROCUREMENT_TABLES)))
+
+
+def _procurement_totals(w):
+    return ip.procurement_totals(w.lake.spark, *[w[t] for t in PROCUREMENT_TABLES])
+
+
 register("open_po_by_category")(lambda l: ip.open_po_by_category(l.fact_po))
 register("procurement_savings")(lambda l: ip.procurement_savings(l.fact_grn))
 register("purchase_categories")(lambda l: ip.purchase_categories(_pv(l)))
@@ -274,11 +285,16 @@ register("reorder_by_category")(lambda l: ic.reorder_by_category(_rep(l)))
 register("aging_ladder")(lambda l: ic.aging_ladder(_rep(l)))
 register("risk_items")(lambda l: ic.risk_items(_rep(l)))
 register("stock_age_mix")(lambda l: ic.stock_age_mix(kpi.kpi_aging_distribution(l.fact_inventory)))
-register("dashboard_summary")(lambda l: ic.dashboard_summary(
-    l.spark, kpi.kpi_stock_value(l.fact_inventory), kpi.kpi_aging_distribution(l.fact_inventory),
-    kpi.kpi_doh(l.fact_inventory, l.fact_consumption), _hs(l), _uc(l),
-    kpi.kpi_non_moving(l.fact_inventory, l.fact_consumption, l.snapshot_col), _pv(l), _rep(l), kpi.kpi_near_expiry(l.fact_inventory, l.snapshot_col),
-    kpi.kpi_fill_rate(l.fact_po)))
+DASHBOARD_TABLES = ["kpi_stock_value", "kpi_doh", "kpi_health_score", "kpi_units_consumed", "kpi_non_moving",
+                    "kpi_purchase_value", "stock_replenishment_and_aging_risk", "kpi_near_expiry", "kpi_fill_rate"]
+register("dashboard_summary")(lambda l: _dashboard(open_warehouse(l)))
+register("dashboard_summary_stored")(lambda l: _dashboard(built_warehouse(l, DASHBOARD_TABLES)))
+
+
+def _dashboard(w):
+    return ic.dashboard_summary(w.lake.spark, *[w[t] for t in DASHBOARD_TABLES])
+
+
 register("period_change")(lambda l: ic.period_change(ic.monthly_plant_cost(l.fact_consumption)))
 register("age_card")(lambda l: ic.age_card(l.fact_inventory))
 
@@ -316,7 +332,7 @@ register("adhoc_sql")(_adhoc)
 
 # ------------------------------------------------------------------ analyst catalogue (CAT-*)
 def _wh(l):
-    return Warehouse(l)
+    return open_warehouse(l)
 
 
 for _dim in ["manufacturer", "hospital", "category", "material", "month"]:

@@ -27,6 +27,7 @@ SNAPSHOT_DATE = _dt.date(2001, 5, 31)
 WINDOW_START = _dt.date(2000, 12, 1)
 CAPEX_DOC_TYPES = ["1-URGENT"]      # order priorities that stand for capital / service orders
 SLOC_DESCS = ["IP PHARMACY", "OP PHARMACY", "IP/OP STORE", "OT STORE", "MAIN STORE"]
+SOURCE_TABLES = ["lineitem", "orders", "part", "supplier", "customer", "nation"]
 MONEY = "decimal(24,6)"   # line values: quantity x price, exact
 
 
@@ -238,6 +239,7 @@ class Lake:
     history_months: int = 6
     horizon: int = 3
     line: DataFrame | None = None       # the joined line that the facts are derived from
+    inputs: dict = field(default_factory=dict)      # table -> path of what the facts are made of
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "Lake":
@@ -245,6 +247,7 @@ class Lake:
         lake = cls(spark)
         lake.line, lake.tables = line, facts_of(line)
         lake.sf_dir = sf_dir
+        lake.inputs = {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES}
         return lake
 
     @classmethod
