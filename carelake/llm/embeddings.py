@@ -11,8 +11,8 @@ vector of a spanning star, never the pairs, and equal vectors are one class from
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 those with a null group, link with nothing; vectors of unequal length never link; a null
-id has no links and is its own (null) component; repeated ids are separate vectors of one
-component; an empty table gives an empty result; other columns are ignored.
+id has no links and is its own (null) component; repeated ids are separate vectors, each
+with the links and the component of its own vector; an empty table gives an empty result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -49,21 +49,22 @@ def _classes(vectors: DataFrame, id_col: str, vec_col: str, group_col: str) -> D
 
 def _sign(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("c", pa.int64()), ("g", pa.string()), ("v", pa.binary()), ("sig", pa.list_(pa.int32()))])
+        out = pa.schema([("c", pa.int64()), ("members", pa.int64()), ("g", pa.string()), ("v", pa.binary()), ("sig", pa.list_(pa.int32()))])
         for b in batches:
-            ids, groups = b.column(0).to_pylist(), b.column(1).to_pylist()
-            lists = b.column(2)
+            ids, members, groups = (b.column(i).to_pylist() for i in range(3))
+            lists = b.column(3)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             rows = []
             for dim in np.unique(np.diff(ends)):      # vectors of unequal length have their own planes
                 at = np.flatnonzero(np.diff(ends) == dim)
                 m = flat[ends[at][:, None] + np.arange(dim)[None, :]]
                 m = m / np.abs(m).max(1, keepdims=True)
-                rows += [(ids[i], f"{dim}:{groups[i]}", m[k].astype("<f8").tobytes(), s)
+                rows += [(ids[i], members[i], f"{dim}:{groups[i]}", m[k].astype("<f8").tobytes(), s)
                          for k, (i, s) in enumerate(zip(at, signatures(m)))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), out)]
                                              if rows else [pa.array([], f.type) for f in out], schema=out)
-    return classes.select("c", F.col("g").cast("string"), "v").mapInArrow(run, "c bigint, g string, v binary, sig array<int>")
+    return classes.select("c", "members", F.col("g").cast("string"), "v").mapInArrow(
+        run, "c bigint, members bigint, g string, v binary, sig array<int>")
 
 
 def _link_task(threshold: float):
@@ -112,9 +113,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                     group_col: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) per row of ``vectors``."""
     usable = _classes(vectors, id_col, vec_col, group_col)
-    classes = usable.groupBy("g", "v").agg(F.min("id").alias("c"), F.count("*").alias("members"))
-    signed = written(_sign(classes.select("c", "g", "v")).join(
-        classes.select("c", "members", F.lit(0).alias("_z")).groupBy("c").agg(F.max("members").alias("members")), "c"), "signed")
+    # a class has a number of its own, which is fixed once it is written: ids may repeat on other vectors
+    classes = written(usable.groupBy("g", "v").agg(F.min("id").alias("least"), F.count("*").alias("members"))
+                      .withColumn("c", F.monotonically_increasing_id()), "vector-classes")
+    signed = written(_sign(classes), "signed")
     keys = signed.select("c", "g", F.posexplode("sig").alias("t", "key"))
     shared = keys.groupBy("g", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select(
         "g", "t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -129,9 +131,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         _link_task(threshold), "c bigint, found bigint, other bigint"), "vector-links")
     comp = connected_components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")))
     n = found.groupBy("c").agg(F.sum("found").alias("found"))
-    of = classes.join(n, "c", "left").join(comp, F.col("c") == F.col("node"), "left").select(
-        "g", "v", (F.coalesce("found", F.lit(0)) + F.col("members") - 1).cast("bigint").alias("n_links"),
-        F.coalesce("component", "c").alias("component_id"))
+    linked = classes.join(n, "c", "left").join(comp, F.col("c") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "c"))
+    # components are named by their least id
+    names = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = linked.join(names, "component").select(
+        "g", "v", (F.coalesce("found", F.lit(0)) + F.col("members") - 1).cast("bigint").alias("n_links"), "component_id")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(group_col).alias("g"),
                           F.col(vec_col).cast("array<double>").alias("v"))
     out = rows.join(of, (rows.id.isNotNull()) & (rows.g == of.g) & (rows.v == of.v), "left").select(
