@@ -19,13 +19,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures are all pages, fetched at a time that follows from their id; the list entries are the
-    events about a page: errors and purchases add and remove its domain on the block list,
+    """Captures are all pages, fetched at a time that follows from their id; all events are list entries
+    about a page, dealt round by their id: errors and purchases add and remove its domain on the block list,
     clicks add the page itself, sign-ups and views add and remove its first folder on the allow list."""
     pages = table(spark, sf_dir, "pages")
+    about = F.col("event_id") % pages.select(F.count(F.lit(1))).scalar()
     captures = pages.select("page_id", "url", F.timestamp_seconds(
         F.lit(1704067200) + F.col("page_id") * 7919 % 2592000).alias("fetched_at"))
-    of = table(spark, sf_dir, "events").join(pages.select("page_id", "url"), F.col("event_id") == F.col("page_id"))
+    of = table(spark, sf_dir, "events").withColumn("about", about).join(
+        pages.select("page_id", "url"), F.col("about") == F.col("page_id"))
     h, segs, kind = urls.host(F.col("url")), urls.segments(F.col("url")), F.col("event_type")
     entries = of.select(
         F.col("event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("effective_at"),
@@ -190,7 +192,7 @@ e AS (
          CASE WHEN event_type IN ('error', 'purchase') THEN 'd:' || host
               WHEN event_type = 'click' THEN 'p:' || array_to_string(list_concat([host], segs), '/')
               ELSE 'p:' || array_to_string(list_concat([host], segs[1:1]), '/') END AS key
-  FROM events JOIN p ON event_id = page_id),
+  FROM events JOIN p ON event_id % (SELECT count(*) FROM pages) = page_id),
 v AS (SELECT *, lead(valid_from) OVER (PARTITION BY list_name, key ORDER BY valid_from, entry_id) AS valid_to FROM e),
 asks AS (
   SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[i:], '.') AS key
