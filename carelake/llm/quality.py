@@ -4,10 +4,10 @@ The UTF-8 bytes of a text are cut into overlapping chunks of ``CHUNK`` bytes tha
 it whole. Learned filters over ``WIDTH`` bytes are max-pooled inside every chunk; a hidden
 layer turns the pooled values (and how full the chunk is) into chunk features; the
 largest and the mean feature over all chunks give one probability through a logistic
-layer. It is trained with Adam on a bounded, documented sample of labelled rows (``rows``
-per class; at most ``train_chunks`` evenly spread chunks of a sampled text are used for
-the gradient). Scoring covers every byte, without a shuffle, in blocks of bounded size;
-two table look-ups of byte pairs replace the four taps of a filter.
+layer. It is trained with Adam, a fixed number of steps, on whole texts of a bounded,
+documented sample of labelled rows (``rows`` per class). Training and scoring cover every byte
+in blocks of bounded size, scoring without a shuffle; two table look-ups of byte pairs
+replace the four taps of a filter.
 
 Defined results: null and empty texts score as one empty chunk; without both classes
 among the training rows every score is the smoothed rate of label 1; rows keep all
@@ -50,7 +50,10 @@ class ByteCNN:
                   "out": r.normal(0, 0.3, 2 * HIDDEN).astype(np.float32), "bias": np.zeros(1, np.float32)}
 
     def pooled(self, x: np.ndarray, windows: np.ndarray):
-        """Largest filter value of each chunk and where it was."""
+        """Largest filter value of each chunk and where it was, PER_BLOCK chunks at a time."""
+        if len(x) > PER_BLOCK:
+            each = [self.pooled(x[s:s + PER_BLOCK], windows[s:s + PER_BLOCK]) for s in range(0, len(x), PER_BLOCK)]
+            return np.concatenate([z for z, _ in each]), np.concatenate([at for _, at in each])
         k = self.p["K"]
         c = k[0][x[:, :STEP]]
         for i in range(1, WIDTH):
@@ -59,14 +62,15 @@ class ByteCNN:
         at = c.argmax(1)
         return np.take_along_axis(c, at[:, None, :], 1)[:, 0, :] + self.p["c"], at
 
-    def fit(self, docs: list, y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.01):
+    def fit(self, docs: list, y: np.ndarray, steps: int, batch: int = 32, rate: float = 0.01):
+        """``steps`` batches of the shuffled texts, round after round."""
         r = np.random.default_rng(5)
         adam = Adam(self.p, rate)
-        for _ in range(epochs):
-            order = r.permutation(len(docs))
-            for s in range(0, len(order), batch):
-                part = order[s:s + batch]
-                adam.step(self._grads([docs[i] for i in part], y[part]))
+        rounds = -(-steps * batch // len(docs))
+        order = np.concatenate([r.permutation(len(docs)) for _ in range(rounds)])
+        for s in range(0, steps * batch, batch):
+            part = order[s:s + batch]
+            adam.step(self._grads([docs[i] for i in part], y[part]))
         return self
 
     def _grads(self, docs: list, y: np.ndarray) -> dict:
@@ -124,29 +128,19 @@ def score_texts(texts, model: dict) -> np.ndarray:
     return scores
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = 1000, train_chunks: int = 12,
-          epochs: int = 10, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = 1000, steps: int = 630, label: str = "quality",
+          id_col: str = "doc_id", text_col: str = "text") -> dict:
     """The scoring tables. ``held_out(id column)`` names rows whose labels are never read;
     ``rows`` bounds the training rows of each class."""
     got = bounded_sample(docs, labels, label, held_out, rows, id_col, text_col)
     y = np.array([r["_y"] for r in got], np.int64)
     if len(set(y.tolist())) < 2:
         return {"rate": float((y.sum() + 0.5) / (len(y) + 1))}
-    model = fit_rows([r["_text"] for r in got], y, train_chunks, epochs)
+    model = ByteCNN().fit([chunks_of(r["_text"]) for r in got], y, steps).tables()
     model["bias"] += prior_shift(got)      # the sample is balanced, the labels are not
     return model
 
 
-def fit_rows(texts: list, y: np.ndarray, train_chunks: int = 12, epochs: int = 10) -> dict:
-    docs = []
-    for t in texts:
-        x, win = chunks_of(t)
-        pick = np.unique(np.linspace(0, len(x) - 1, min(train_chunks, len(x))).astype(int))
-        docs.append((x[pick], win[pick]))
-    # small samples get as many steps as large ones
-    return ByteCNN().fit(docs, y, max(epochs, -(-epochs * 1000 // max(len(docs), 100)))).tables()
-
-
 def score(docs: DataFrame, model: dict, out_col: str = "score", text_col: str = "text") -> DataFrame:
     """``docs`` with ``out_col``, the probability of the label; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
