@@ -34,7 +34,7 @@ from carelake.llm.suffixes import Hasher
 
 HASH_BITS = 52
 BLOCK_WORDS = 1_500_000
-CHUNK = 1 << 18          # bytes hashed at a time; longer unbroken runs are cut there
+CHUNK = 1 << 18          # bytes hashed at a time, up to the last word that ends there
 IS_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 
 
@@ -53,8 +53,13 @@ def word_hashes(text: bytes, hasher: Hasher) -> np.ndarray:
         to = min(at + CHUNK, len(a))
         if to < len(a):
             gaps = np.flatnonzero(~IS_WORD[a[at:to]])
+            while not len(gaps) and to < len(a):      # a word longer than a chunk stays one word
+                gaps = np.flatnonzero(~IS_WORD[a[to:to + CHUNK]])[:1] + (to - at)
+                to = min(to + CHUNK, len(a))
             to = at + int(gaps[-1]) + 1 if len(gaps) else to
         part = a[at:to]
+        if len(part) > CHUNK:
+            hasher = Hasher(len(part))
         step = np.diff(np.concatenate(([0], IS_WORD[part].view(np.int8), [0])))
         start = np.flatnonzero(step == 1)
         parts.append(hasher(part, np.flatnonzero(step == -1) - start, start))
