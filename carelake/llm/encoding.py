@@ -8,7 +8,8 @@ version, then go through ``tiktoken``, which gives the same ids in a third of th
 Cuts. Between a character that is no white space and white space, no token of these files goes
 on: the split patterns keep white space only in front of a word, and a lookahead sees the
 same on both sides; no piece of a sentence model has the space sign behind another
-character (looked up when it is loaded). Files of another kind are never cut.
+character (looked up when it is loaded), so a single space between other characters
+begins a piece there. Files of another kind are never cut.
 """
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 
-_BEFORE_SPACE = {"json": re.compile(r"(?<=\S)(?=[ \t\n\r])"), "model": re.compile(r"(?<=\S)(?= )")}
+_BEFORE_SPACE = {"json": re.compile(r"(?<=\S)(?=[ \t\n\r])"), "model": re.compile(r"(?<=[^\s▁])(?= [^\s▁])")}
 SPACE_SIGN = "▁"
 
 
