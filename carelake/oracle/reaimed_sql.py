@@ -180,3 +180,10 @@ SQL["vendor_options"] = VV + """ SELECT DISTINCT vendor_name FROM vv
 SQL["sql_top_manufacturers"] = GR + """ SELECT manufacturer, revenue, round(revenue - cost, 4) AS margin,
     round(CASE WHEN revenue > 0 THEN (revenue - cost) / revenue * 100 END, 6) AS margin_pct
     FROM smf ORDER BY revenue DESC, manufacturer LIMIT 10"""
+# one event in 50 arrives in a second wave; it is late if its day ended before the watermark of the first
+SQL["stream_daily_late"] = """e AS (SELECT *, event_id % 50 = 0 AS second, CAST(date_trunc('day', ts) AS DATE) AS day FROM events),
+wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 7 DAY AS w FROM e WHERE NOT second),
+m AS (SELECT *, second AND day + INTERVAL 1 DAY <= (SELECT w FROM wm) AS late FROM e)
+SELECT day, count(*) FILTER (NOT late) AS events, round(sum(value) FILTER (NOT late), 4) AS value_sum,
+       count(*) FILTER (NOT late AND event_type = 'error') AS errors, count(*) FILTER (late) AS late
+FROM m GROUP BY day"""

@@ -431,6 +431,11 @@ register("stream_sales_monthly")(lambda l: stream.stream_sales_monthly(l.spark,
 def _daily(spark, sf_dir):
     return stream.stream_daily_totals(spark, read_table(spark, sf_dir, "events"))
 
+
+@register_raw("stream_daily_late")
+def _daily_late(spark, sf_dir):
+    return stream.stream_daily_late(spark, read_table(spark, sf_dir, "events"))
+
 # ------------------------------------------------------------------ raw-extract loaders (SRC-*)
 from carelake.sources import landing, loaders  # noqa: E402
 from carelake.streaming.incremental import work_dir  # noqa: E402
