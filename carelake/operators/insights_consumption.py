@@ -335,6 +335,17 @@ def monthly_plant_cost(cons: DataFrame) -> DataFrame:
                 .agg(F.sum("amount_lc").cast("double").alias("value")))
 
 
+def period_card(long: DataFrame, key: str = "Location") -> DataFrame:
+    """INS-37 year card per location: the latest period of a card file, the one before, % change."""
+    w = Window.partitionBy(key).orderBy(F.desc("period"))
+    rows = long.where(F.col("value").isNotNull()).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= 2)
+    now, before = (F.max(F.when(F.col("rk") == k, F.struct("period", "value"))) for k in (1, 2))
+    g = rows.groupBy(F.col(key).alias("location")).agg(now.alias("n"), before.alias("b"))
+    change = F.when(F.col("b.value") != 0, (F.col("n.value") - F.col("b.value")) / F.col("b.value") * 100)
+    return g.select("location", F.col("n.period").alias("period"), F.round("n.value", 4).alias("value"),
+                    F.round("b.value", 4).alias("previous_value"), round_half_even(change, 2).alias("change_pct"))
+
+
 AGE_CARD = [("fresh", "<3 Months"), ("aging", "3+ Months"), ("problem", "6+ Months"), ("dead_stock", "1+ Year")]
 
 

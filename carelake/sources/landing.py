@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions.expr import SPREADSHEET_EPOCH
 from carelake.sources.loaders import CONSUMPTION_COLUMNS, GRN_COLUMNS, INVENTORY_COLUMNS, PO_COLUMNS
 
 
@@ -71,3 +72,23 @@ def sales_extract(sales_line: DataFrame, headers: dict, date_fmt: str) -> DataFr
         F.concat(F.lower("hospital"), F.lit("-"), F.monotonically_increasing_id().cast("string")).alias(headers["inv"]),
         F.lower("hospital").alias(headers["loc"]),
         F.date_format("sale_date", "yyyy-MM").alias("ym"))
+
+
+def mixed_dates(df: DataFrame, mapping: dict, spoilt: dict | None = None) -> DataFrame:
+    """An extract whose dates come in four forms, row by row: ISO, month-first with slashes, dotted,
+    spreadsheet serial. ``spoilt``: date column -> rows whose text is no date."""
+    turn = F.pmod(F.xxhash64(*df.columns), F.lit(4))
+    dates = {k for k in mapping if k.endswith("_date") and k in df.columns}
+    forms = {k: (F.when(turn == 0, F.date_format(k, "yyyy-MM-dd")).when(turn == 1, F.date_format(k, "MM/dd/yyyy"))
+                  .when(turn == 2, F.date_format(k, "dd.MM.yyyy")).otherwise(F.date_diff(F.col(k), F.lit(SPREADSHEET_EPOCH).cast("date")).cast("string")))
+             for k in dates}
+    for k, bad in (spoilt or {}).items():
+        forms[k] = F.when(bad, F.lit("n/a")).otherwise(forms[k])
+    return _as_raw(df.select(*[forms[c].alias(c) if c in dates else F.col(c) for c in df.columns]), mapping)
+
+
+def card_extract(monthly: DataFrame, key: str) -> DataFrame:
+    """A card file: one row per key, one column per financial year (April to March)."""
+    start = F.when(F.col("month_num") >= 4, F.col("year")).otherwise(F.col("year") - 1)
+    period = F.concat(start.cast("string"), F.lit("-"), (start + 1).cast("string"))
+    return monthly.withColumn("_period", period).groupBy(F.col(key).alias("Location")).pivot("_period").agg(F.sum("value"))

@@ -3,7 +3,8 @@
 Each loader is ``select`` of typed, trimmed columns over a multi-file read: headers
 are normalised (SRC-06), alternates fall back to NULL when absent (SRC-02), monthly
 files are unioned by name (SRC-03/04), and values never raise (N1: ``try_cast`` /
-``try_to_timestamp``).
+``try_to_timestamp``). Dates may come in any form, also mixed in one column (text, with
+slashes, dotted, spreadsheet serials); ``date_rejects`` counts what fits none.
 """
 from __future__ import annotations
 
@@ -12,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.functions.expr import calendar_columns, normalize_id, parse_fixed_date
+from carelake.functions.expr import calendar_columns, normalize_id, parse_any_date, parse_fixed_date
+from carelake.sources.headers import list_landed, read_by_header, unpivot_periods
 
 QTY = "decimal(18,4)"
 MONEY = "decimal(24,6)"
@@ -54,11 +56,11 @@ PO_COLUMNS = {
 def read_raw(spark: SparkSession, paths: list[str] | str, fmt: str = "csv") -> DataFrame:
     """SRC-06/07: read one or many extract files, headers stripped; files with one header are
     one read, different headers are unioned by name."""
-    reader = spark.read.option("header", True).format(fmt) if fmt == "csv" else spark.read.format(fmt)
-    alike: dict = {}
-    for p in sorted([paths] if isinstance(paths, str) else paths):
-        alike.setdefault(tuple(reader.load(p).columns), []).append(p)
-    frames = [reader.load(ps).toDF(*[c.strip() for c in header]) for header, ps in alike.items()]
+    paths = [paths] if isinstance(paths, str) else sorted(paths)
+    if fmt != "csv":
+        df = spark.read.option("mergeSchema", "true").format(fmt).load(paths)
+        return df.toDF(*[c.strip() for c in df.columns])
+    frames = [df.drop("file_path") for *_, df in read_by_header(spark, {"": paths})]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -75,8 +77,19 @@ def _num(df, cands, t=QTY):
     return pick(df, cands).try_cast(t)
 
 
-def _date(df, cands, fmt="yyyy-MM-dd"):
-    return parse_fixed_date(pick(df, cands), fmt)
+def _date(df, cands, fmt=None):
+    """A date in any form, value by value, or in one given format (COL-05/06)."""
+    return parse_any_date(pick(df, cands)) if fmt is None else parse_fixed_date(pick(df, cands), fmt)
+
+
+def date_rejects(raw: DataFrame, columns: dict) -> DataFrame:
+    """(column_name, present, rejected): date texts of an extract, and those that no form fits."""
+    names = [k for k in columns if k.endswith("_date")]
+    text = {k: pick(raw, columns[k]) for k in names}
+    aggs = [x for k in names for x in (F.count(text[k]).alias(f"p_{k}"),
+                                       F.count_if(text[k].isNotNull() & parse_any_date(text[k]).isNull()).alias(f"r_{k}"))]
+    stacked = ", ".join(f"'{k}', p_{k}, r_{k}" for k in names)
+    return raw.agg(*aggs).selectExpr(f"stack({len(names)}, {stacked}) AS (column_name, present, rejected)")
 
 
 def load_consumption(raw: DataFrame) -> DataFrame:
@@ -152,22 +165,23 @@ def load_po(raw: DataFrame) -> DataFrame:
     return df.withColumn("posting_date", F.col("po_date")).select("*", *calendar_columns("po_date"))
 
 
-def read_card_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-12: small CSV card sources with an explicit schema."""
-    return spark.read.option("header", True).schema(schema).csv(path)
+# Headers of card files that name a period.
+CARD_PERIODS = r"^\d{4}-\d{4}$|^[A-Z][a-z]+ \d{4}( Revenue)?$"
+
+
+def read_card(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """SRC-12: a card file with one column per year or month, as (keys, period, value) rows; the
+    period columns are found in the header of each file."""
+    frames = [unpivot_periods(df.drop("file_path"), keys, CARD_PERIODS) for *_, df in read_by_header(spark, {"": [path]})]
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """SRC-07: sorted file listing for a glob on any Hadoop file system (metadata only)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stats = fs.globStatus(path) or []
-    return sorted(str(st.getPath().toString()) for st in stats if st.isFile())
+def sales_folders(root: str, ip_dir: str = "IP Sales", op_dir: str = "OP Sales") -> dict[str, list[str]]:
+    """SRC-07: patient type -> landing folder."""
+    return {"IP": [f"{root.rstrip('/')}/{ip_dir}"], "OP": [f"{root.rstrip('/')}/{op_dir}"]}
 
 
-def sales_sources(spark: SparkSession, root: str, ip_dir: str = "IP Sales", op_dir: str = "OP Sales",
-                  ext: str = "csv") -> list[tuple[str, str]]:
-    """SRC-07: (patient type, file) pairs - patient type taken from the folder name."""
-    out = [("IP", f) for f in list_files(spark, f"{root.rstrip('/')}/{ip_dir}/*.{ext}")]
-    return out + [("OP", f) for f in list_files(spark, f"{root.rstrip('/')}/{op_dir}/*.{ext}")]
+def sales_sources(spark: SparkSession, root: str, ext: str = "csv") -> list[tuple[str, str]]:
+    """SRC-07: sorted (patient type, file) pairs of a landing zone."""
+    listed = list_landed(spark, sales_folders(root), ext).select("tag", "path").orderBy("tag", "path")
+    return [(r["tag"], r["path"]) for r in listed.collect()]
