@@ -18,7 +18,7 @@ from carelake.operators.common import first_rows, ranked, top_n
 # Cosine routing parameters and the deterministic intent-lock patterns.
 TOP_K = 4
 MIN_SIM = 0.32
-MAX_EXEMPLARS = 4096
+EXEMPLAR_BLOCK = 4096      # vectors that are held together
 INTENT_LOCKS = {
     "price_dispersion": r"(?i)\b(overpay|over-?pay|overpaying|paying too much|price (inconsisten|leakage|dispersion|swing|variation)|inconsistent price)",
     "genuine_supply": r"(?i)\b(genuine|actual|real)\b.{0,25}\bsupply\b|\bsupply\b.{0,25}\bexcluding\b.{0,15}\b(capital|capex|service)|exclud\w*\b.{0,15}\b(capital|capex|service)",
@@ -152,15 +152,20 @@ def item_footprint(dim_material: DataFrame, tables: dict, q: str, limit: int | N
              F.length("material_desc"), "material"]
     matched = first_rows(m, limit, *order).select("material")
     codes = code_variants(matched)
-    parts = []
-    for name in sorted(tables):
-        df = tables[name]
-        mcol = "material" if "material" in df.columns else ("material_id" if "material_id" in df.columns else None)
-        if mcol is None or name.startswith("mart_"):
-            continue
-        hits = df.join(codes, df[mcol].cast("string") == codes["code"], "left_semi")
-        parts.append(hits.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    # every table is reduced to (code, rows) in its own pass; the tagged union meets the codes once
+    keyed = {n: key for n in sorted(tables) if (key := material_key(tables[n].columns)) and not n.startswith("mart_")}
+    parts = [tables[n].groupBy(F.col(key).cast("string").alias("code")).agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(n).alias("table_name"), "code", "rows") for n, key in keyed.items()]
+    # the codes are distinct; a semi-join would be pushed back into every arm
+    counts = reduce(lambda a, b: a.unionByName(b), parts).join(codes, "code")
+    names = dim_material.sparkSession.createDataFrame([(n,) for n in keyed], "table_name string")      # tables without a hit count 0
+    return names.join(counts.groupBy("table_name").agg(F.sum("rows").alias("rows")), "table_name", "left").select(
+        "table_name", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def material_key(columns: list[str]) -> str | None:
+    """The column that names the item of a table."""
+    return next((c for c in ("material", "material_id") if c in columns), None)
 
 
 # Column-name patterns of the time and key roles.
@@ -204,8 +209,7 @@ def catalog_profile(spark: SparkSession, tables: dict) -> DataFrame:
             meta.append((name, f.name, st, role))
     md = spark.createDataFrame(meta, "table_name string, column_name string, short_type string, role string")
     counts = reduce(lambda a, b: a.unionByName(b),
-                    [df.select(F.lit(n).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"))
-                     for n, df in tables.items()])
+                    [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()])
     return md.join(counts, "table_name", "left")
 
 
@@ -219,39 +223,38 @@ def label_exemplars(emb: DataFrame, vec: str = "embedding", label: str = "label"
 
 
 def cosine_topk(emb: DataFrame, exemplars: DataFrame, vec: str = "embedding", key: str = "vec_id",
-                label: str = "label", k: int = TOP_K, min_sim: float = MIN_SIM,
-                max_exemplars: int = MAX_EXEMPLARS) -> DataFrame:
+                label: str = "label", k: int = TOP_K, min_sim: float = MIN_SIM, block: int = EXEMPLAR_BLOCK) -> DataFrame:
     """RE-08: top-k exemplars per row by cosine similarity (>= min_sim; zero norm -> 0).
 
-    The exemplar set is bounded (one per label) and checked against ``max_exemplars``
-    before it is shipped as ONE array via a scalar subquery; rows are then scored
-    locally with higher-order functions - no join, no pair explosion.
+    Exemplars are gathered into blocks of about ``block`` vectors, and every row meets every block
+    once: its k best of a block are a state of at most k entries, and the states of all
+    blocks merge into the k best of all, so any number of exemplars gives the same plan.
+    The vectors of the rows go to a block's tasks by (block, salt); a single block needs no merge.
     """
-    # one scalar subquery builds the exemplar array; its size is checked in the same plan
-    # (raise_error) so the exemplars are computed once and never shipped past the bound
-    arr = F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))
-    ex = exemplars.select(F.when(F.size(arr) <= max_exemplars, arr)
-                          .otherwise(F.raise_error(F.lit(f"exemplar set exceeds the broadcast bound {max_exemplars}")))
-                          ).scalar()
-
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
+    n_blocks = max(1, -(-exemplars.count() // block))
+    entry = F.struct(F.col(label).alias("l"), F.col("centroid").alias("c"), F.sqrt(dot(F.col("centroid"), F.col("centroid"))).alias("nc"))
+    held = exemplars.groupBy(F.pmod(F.xxhash64(label, "centroid"), F.lit(n_blocks)).alias("b")).agg(F.collect_list(entry).alias("ex"))
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    # the exemplar array is projected once as a column; higher-order functions then read it
-    scored = (emb.select(key, v.alias("v"), ex.alias("ex"))
-                 .withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v")))))
-    sims = F.transform(F.col("ex"), lambda e: F.struct(
-        F.when((F.col("nv") == 0) | (F.sqrt(dot(e["c"], e["c"])) == 0), F.lit(0.0))
-         .otherwise(dot(F.col("v"), e["c"]) / (F.col("nv") * F.sqrt(dot(e["c"], e["c"])))).alias("sim"),
+    rows = emb.select(key, v.alias("v"), F.monotonically_increasing_id().alias("_row")).withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v"))))
+    if n_blocks == 1:
+        met = rows.withColumn("b", F.lit(0)).join(F.broadcast(held), "b")      # at most ``block`` vectors
+    else:
+        salts = F.lit(int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        met = (rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("_row"), salts).alias("s"))
+                   .join(held.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s")), ["b", "s"]))
+    # ascending (-similarity, exemplar) is the order of the ranks
+    sims = F.transform("ex", lambda e: F.struct(
+        F.when((F.col("nv") == 0) | (e["nc"] == 0), F.lit(0.0)).otherwise(-dot(F.col("v"), e["c"]) / (F.col("nv") * e["nc"])).alias("d"),
         e["l"].alias("exemplar")))
-    ranked = F.slice(F.array_sort(sims, lambda a, b: F.when(a["sim"] > b["sim"], -1).when(a["sim"] < b["sim"], 1)
-                                  .otherwise(F.when(a["exemplar"] < b["exemplar"], -1)
-                                             .when(a["exemplar"] > b["exemplar"], 1).otherwise(0))), 1, k)
-    out = scored.select(key, F.posexplode(ranked).alias("pos", "m"))
-    return (out.where(F.col("m.sim") >= min_sim)
-               .select(key, (F.col("pos") + 1).alias("rank"), F.col("m.exemplar").alias("exemplar"),
-                       r6("m.sim").alias("similarity")))
+    best = met.select(key, "_row", F.slice(F.array_sort(F.filter(sims, lambda m: -m["d"] >= min_sim)), 1, k).alias("best"))
+    if n_blocks > 1:
+        best = best.where(F.size("best") > 0).groupBy("_row").agg(
+            F.first(key).alias(key), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    return best.select(key, F.posexplode("best").alias("pos", "m")).select(
+        key, (F.col("pos") + 1).alias("rank"), F.col("m.exemplar").alias("exemplar"), r6(-F.col("m.d")).alias("similarity"))
 
 
 # ------------------------------------------------------------------ RE-09..11

@@ -18,6 +18,43 @@ def all_sql() -> dict:
         for k, v in mod_sql.items():
             out[k] = with_fixtures(v)
     out["cat_inventory_expiry"] = out["cat_expiry"]      # the inventory catalogue's expiry view is the ladder
+    out.update(_whole_catalogue(out))
     for name in ("dashboard_summary", "procurement_totals", "mart_procurement"):      # the same rows, read from stored tables
         out[f"{name}_stored"] = out[name]
     return out
+
+
+def _whole_catalogue(sql: dict) -> dict:
+    """Queries over every table of the catalogue, each table as the oracle that it has itself."""
+    from carelake.operators.reaimed import _ID, _TIME
+    from carelake.plans.pipeline import DIMS, FACT_PARTITIONS, FORECAST_TABLES, KPI_TABLES, MART_TABLES, SALES_TABLES
+    tables = [*FACT_PARTITIONS, *DIMS, *KPI_TABLES, *SALES_TABLES, *MART_TABLES, *FORECAST_TABLES]
+    by_id = {"forecast_sales", "stock_replenishment_and_aging_risk", "kpi_fulfillment", "kpi_stock_radar", "kpi_aging_risk_forecast"}
+    keyed = sorted(by_id | {"fact_consumption", "fact_inventory", "fact_grn", "fact_po", "sales_line", "dim_material", "kpi_stock_value",
+                            "kpi_inventory_aging", "kpi_doh", "kpi_health_score", "kpi_non_moving", "kpi_risk_classification",
+                            "kpi_near_expiry", "kpi_stock_change", "kpi_monthly_purchase_value", "kpi_units_consumed",
+                            "sales_by_material", "sales_by_material_mfr", "sales_by_material_hospital"})
+    counts = "\n UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({sql[t]}) WHERE "
+                                  f"CAST({'material_id' if t in by_id else 'material'} AS VARCHAR) IN (SELECT code FROM codes)" for t in keyed)
+    footprint = f"""WITH matched AS (SELECT material FROM ({sql['dim_material']}) WHERE material = 'gear' OR contains(lower(material_desc), 'gear')),
+codes AS (SELECT DISTINCT code FROM (SELECT material AS code FROM matched UNION ALL
+          SELECT CASE WHEN material LIKE '%.0' THEN left(material, length(material) - 2)
+                      WHEN regexp_matches(material, '^[0-9]+$') THEN material || '.0' END FROM matched) WHERE code IS NOT NULL)
+{counts}"""
+    columns = "\n UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type FROM (DESCRIBE {sql[t]})" for t in tables)
+    sizes = "\n UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM ({sql[t]})" for t in tables)
+    profile = f"""WITH cols AS ({columns}), sizes AS ({sizes}),
+short AS (SELECT *, CASE WHEN column_type = 'VARCHAR' THEN 'text' WHEN column_type = 'BOOLEAN' THEN 'bool'
+                         WHEN column_type LIKE 'DECIMAL%' OR column_type IN ('DOUBLE', 'FLOAT') THEN 'num'
+                         WHEN column_type = 'DATE' OR column_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'int' END AS short_type FROM cols)
+SELECT table_name, column_name, short_type, CASE WHEN regexp_matches(column_name, '{_TIME}') OR short_type = 'date' THEN 'time'
+       WHEN short_type = 'text' OR regexp_matches(column_name, '{_ID}') THEN 'dim' ELSE 'measure' END AS role, rows
+FROM short JOIN sizes USING (table_name)"""
+    join = f"""WITH pv AS ({sql['kpi_purchase_value']}), sv AS ({sql['kpi_stock_value']}), fr AS ({sql['kpi_fill_rate']}), dp AS ({sql['dim_plant']}),
+spend AS (SELECT plant, sum(purchase_value) AS spend, count(DISTINCT vendor_name) AS vendors FROM pv GROUP BY plant),
+stock AS (SELECT plant, sum(stock_value_cost) AS stock FROM sv GROUP BY plant)
+SELECT plant, plant_name, round(spend, 4) AS spend, vendors, round(stock, 4) AS stock FROM dp LEFT JOIN spend USING (plant) LEFT JOIN stock USING (plant)
+WHERE plant IN (SELECT plant FROM fr WHERE ordered_qty > 0)"""
+    capped = f"""WITH s AS (SELECT material, round(sum(stock_value_cost), 4) AS stock FROM ({sql['kpi_stock_value']}) GROUP BY material)
+SELECT *, (SELECT count(*) > 40 FROM s) AS truncated FROM s ORDER BY stock DESC, material LIMIT 40"""
+    return {"item_footprint_all": footprint, "catalog_profile_all": profile, "adhoc_sql_join": join, "adhoc_sql_capped": capped}

@@ -310,10 +310,20 @@ ADHOC_TEXT = ("SELECT vendor_name, sum(vendor_value) AS spend, count(DISTINCT pl
               "FROM kpi_vendor_volume GROUP BY vendor_name ORDER BY spend DESC")
 
 
+ADHOC_JOIN = """
+WITH spend AS (SELECT plant, sum(purchase_value) AS spend, count(DISTINCT vendor_name) AS vendors FROM kpi_purchase_value GROUP BY plant),
+     stock AS (SELECT plant, sum(stock_value_cost) AS stock FROM kpi_stock_value GROUP BY plant)
+SELECT p.plant, p.plant_name, round(s.spend, 4) AS spend, s.vendors, round(k.stock, 4) AS stock
+FROM dim_plant p LEFT JOIN spend s ON p.plant = s.plant LEFT JOIN stock k ON p.plant = k.plant
+WHERE p.plant IN (SELECT plant FROM kpi_fill_rate WHERE ordered_qty > 0)"""
+ADHOC_CAPPED = ("SELECT material, round(sum(stock_value_cost), 4) AS stock FROM kpi_stock_value GROUP BY material "
+                "ORDER BY stock DESC, material")
+register("adhoc_sql_join")(lambda l: gen.adhoc_sql(l.spark, ADHOC_JOIN, catalogue=_wh(l)))
+register("adhoc_sql_capped")(lambda l: gen.adhoc_sql(l.spark, ADHOC_CAPPED, cap=40, catalogue=_wh(l)))
+
+
 def _adhoc(l):
-    wh = Warehouse(l)
-    gen.register_views({k: wh[k] for k in ("kpi_vendor_volume", "kpi_purchase_value", "dim_material")})
-    return gen.adhoc_sql(l.spark, ADHOC_TEXT)
+    return gen.adhoc_sql(l.spark, ADHOC_TEXT, catalogue=_wh(l))
 
 
 register("gen_query")(lambda l: gen.gen_query(Warehouse(l)["kpi_units_consumed"]))
@@ -363,6 +373,7 @@ register("cat_overview")(lambda l: cat.overview(l.spark, _wh(l)["sales_totals"],
 
 # ------------------------------------------------------------------ re-aimed helpers (RE-*)
 from carelake.operators import reaimed as re_  # noqa: E402
+from carelake.plans.pipeline import DIMS, FACT_PARTITIONS, FORECAST_TABLES, KPI_TABLES, MART_TABLES, SALES_TABLES  # noqa: E402
 from carelake.plans.registry import register_raw  # noqa: E402
 from carelake.sources.fixtures import read_table  # noqa: E402
 
@@ -397,6 +408,18 @@ def _entity_sources(l):
 
 register("entity_search")(lambda l: re_.entity_search(_entity_sources(l), "e"))
 register("item_footprint")(lambda l: re_.item_footprint(l.dim_material, {t: _wh(l)[t] for t in FOOTPRINT_TABLES}, "gear"))
+# tables of the whole catalogue, stored so that each is derived once
+ALL_TABLES = [*DIMS, *KPI_TABLES, *SALES_TABLES, *MART_TABLES, "stock_replenishment_and_aging_risk",
+              *[t for t in FORECAST_TABLES if t != "stock_replenishment_and_aging_risk"]]
+
+
+def _catalogue(l):
+    w = built_warehouse(l, ALL_TABLES)
+    return {t: w[t] for t in [*FACT_PARTITIONS, *ALL_TABLES]}
+
+
+register("item_footprint_all")(lambda l: re_.item_footprint(l.dim_material, _catalogue(l), "gear"))
+register("catalog_profile_all")(lambda l: re_.catalog_profile(l.spark, _catalogue(l)))
 register("catalog_profile")(lambda l: re_.catalog_profile(l.spark, {t: _wh(l)[t] for t in PROFILE_TABLES}))
 register("nonzero_fraction")(lambda l: re_.nonzero_fraction(_wh(l)["kpi_stock_value"]))
 
