@@ -19,6 +19,7 @@ def all_sql() -> dict:
             out[k] = with_fixtures(v)
     out["cat_inventory_expiry"] = out["cat_expiry"]      # the inventory catalogue's expiry view is the ladder
     out.update(_whole_catalogue(out))
+    out.update(_totals(out))
     for name in ("dashboard_summary", "procurement_totals", "mart_procurement"):      # the same rows, read from stored tables
         out[f"{name}_stored"] = out[name]
     return out
@@ -58,3 +59,83 @@ WHERE plant IN (SELECT plant FROM fr WHERE ordered_qty > 0)"""
     capped = f"""WITH s AS (SELECT material, round(sum(stock_value_cost), 4) AS stock FROM ({sql['kpi_stock_value']}) GROUP BY material)
 SELECT *, (SELECT count(*) > 40 FROM s) AS truncated FROM s ORDER BY stock DESC, material LIMIT 40"""
     return {"item_footprint_all": footprint, "catalog_profile_all": profile, "adhoc_sql_join": join, "adhoc_sql_capped": capped}
+
+
+def _totals(sql: dict) -> dict:
+    """Headline totals, each over the oracle of the table that it reads."""
+    from carelake.oracle.frag_text import clean_category
+    t = {k: f"({sql[k]})" for k in sql}
+
+    def s(c, name, where=None):
+        return f"round(CAST(coalesce(sum({c}){f' FILTER ({where})' if where else ''}, 0) AS DOUBLE), 4) AS {name}"
+    ex = f"""(SELECT *, dte, CASE WHEN dte <= -1 THEN 'Expired' WHEN dte <= 30 THEN '0-30d' WHEN dte <= 90 THEN '31-90d'
+        WHEN dte <= 180 THEN '91-180d' WHEN dte <= 365 THEN '181-365d' ELSE '365d+' END AS slab
+        FROM (SELECT *, date_diff('day', (SELECT max(snapshot_date) FROM {t['fact_inventory']}), expiry_date) AS dte
+              FROM {t['fact_inventory']} WHERE expiry_date IS NOT NULL AND qty > 0))"""
+    items = f"""(SELECT material, material_desc, sum(total_units) AS u, sum(consumption_cost) AS c FROM {t['kpi_units_consumed']}
+        WHERE material IS NOT NULL AND material_desc IS NOT NULL GROUP BY 1, 2)"""
+    grp = "(SELECT material_group AS g, sum(monthly_purchase_value) AS v FROM mp GROUP BY 1)"
+    mp = f"mp AS (SELECT *, year || '-' || lpad(CAST(month(strptime(month, '%B')) AS VARCHAR), 2, '0') AS ym FROM {t['kpi_monthly_purchase_value']})"
+
+    def headline(f, lo, hi):
+        return f"""WITH fs AS {t['forecast_sales']}, acc AS {t['forecast_accuracy']},
+m AS (SELECT posting_date, sum({f}) AS f, sum({lo}) AS lo, sum({hi}) AS hi FROM fs GROUP BY 1 HAVING sum({f}) > 0),
+n AS (SELECT * FROM m ORDER BY posting_date LIMIT 1), e AS (SELECT sum({f}) AS t, count(DISTINCT material_id) AS k FROM fs WHERE {f} > 0),
+h AS (SELECT count(*) AS h FROM m)
+SELECT coalesce((SELECT round(f, 4) FROM n), 0.0) AS next, coalesce((SELECT round(lo, 4) FROM n), 0.0) AS next_lower,
+       coalesce((SELECT round(hi, 4) FROM n), 0.0) AS next_upper, h AS horizon, round(coalesce(t, 0.0), 4) AS total_horizon,
+       round(CASE WHEN h > 0 THEN t / h ELSE 0.0 END, 4) AS avg_month, k AS materials,
+       (SELECT round(value, 4) FROM acc WHERE metric = 'Aggregate Forecast Accuracy %') AS accuracy,
+       (SELECT round(value, 4) FROM acc WHERE metric = 'Weighted Forecast Accuracy %') AS weighted_acc,
+       (SELECT CAST(value AS INTEGER) FROM acc WHERE metric = 'Series count') AS series FROM e, h"""
+    qty = headline("sales_quantity_forecast", "lower_bound_sales_quantity_forecast", "upper_bound_sales_quantity_forecast")
+    cash = headline("cashflow_forecast", "lower_bound_cashflow_forecast", "upper_bound_cashflow_forecast")
+    rep = t["stock_replenishment_and_aging_risk"]
+    return {
+        "stock_flow_totals": f"""SELECT {s('inflow', 'inflow')}, {s('outflow', 'outflow')}, {s('stock_change', 'net')},
+            count(DISTINCT material) AS skus, count(DISTINCT year || month) AS months FROM {t['kpi_stock_change']}""",
+        "non_moving_totals": f"""SELECT {s('closing_stock_value', 'blocked_value')}, count(*) AS blocked_skus,
+            {s('closing_stock_quantity', 'qty')} FROM {t['kpi_non_moving']}""",
+        "risk_totals": f"SELECT {s('closing_stock_value', 'total_value')}, count(*) AS total_skus FROM {t['kpi_risk_classification']}",
+        "near_expiry_totals": f"""SELECT {s('total_cost', 'exposure')}, count(*) AS skus, {s('total_cost', 'expired_value', "expiry_bucket = 'Expired'")},
+            {s('total_cost', 'urgent_value', "expiry_bucket = '0-30d'")}, {s('total_mrp', 'mrp_exposure')} FROM {t['kpi_near_expiry']}""",
+        "cat_expiry_items": f"""WITH x AS (SELECT * FROM {ex} WHERE slab = '91-180d')
+            SELECT material_desc AS name, round(CAST(total_cost AS DOUBLE), 4) AS value, CAST(dte AS INTEGER) AS days_left, expiry_date AS expiry,
+                   (SELECT {s('total_cost', 'v')} FROM x) AS band_value FROM x ORDER BY total_cost DESC, material, plant, batch, dte, sloc LIMIT 15""",
+        "cat_expiry_within": f"SELECT {s('total_cost', 'actionable')}, count(DISTINCT material) AS items FROM {ex} WHERE dte <= 180",
+        "open_po_totals": f"""SELECT {s('open_qty * net_price', 'total_value')}, count(DISTINCT po_no) AS total_pos, count(*) AS total_lines
+            FROM {t['fact_po']} WHERE open_qty > 0""",
+        "savings_totals": f"""WITH d AS (SELECT *, CAST(net_price AS DOUBLE) AS price, CAST(gr_qty AS DOUBLE) AS q FROM {t['fact_grn']}
+            WHERE net_price > 0 AND gr_qty > 0 AND material IS NOT NULL),
+            st AS (SELECT material, median(price) AS med FROM d GROUP BY 1 HAVING count(*) >= 4 AND max(price) / min(price) <= 2.5),
+            l AS (SELECT material, material_desc, sum(greatest(price - med, 0) * q) AS over, sum(price * q) AS spend
+                  FROM d JOIN st USING (material) GROUP BY 1, 2)
+            SELECT {s('over', 'opportunity', 'material_desc IS NOT NULL AND over > 0')},
+                   count(*) FILTER (material_desc IS NOT NULL AND over > 0) AS items_flagged, {s('spend', 'spend_base')} FROM l""",
+        "purchase_totals": f"""WITH {mp} SELECT {s('monthly_purchase_value', 'total')},
+            round(sum(monthly_purchase_value) / greatest(count(DISTINCT ym), 1), 4) AS avg, count(DISTINCT material) AS skus,
+            (SELECT g FROM {grp} WHERE g IS NOT NULL ORDER BY v DESC, g LIMIT 1) AS top_group FROM mp""",
+        "purchase_series": f"""WITH {mp}, top AS (SELECT g FROM {grp} ORDER BY v DESC, g NULLS LAST LIMIT 4), months AS (SELECT DISTINCT ym FROM mp)
+            SELECT g AS name, months.ym, round(coalesce(sum(monthly_purchase_value), 0), 4) AS value FROM top CROSS JOIN months
+            LEFT JOIN mp ON mp.material_group IS NOT DISTINCT FROM g AND mp.ym = months.ym GROUP BY 1, 2""",
+        "purchase_margins": f"""WITH {mp} (SELECT 'row' AS kind, g AS name, round(v, 4) AS total FROM {grp} ORDER BY v DESC, g NULLS LAST LIMIT 8)
+            UNION ALL SELECT 'month', ym, round(sum(monthly_purchase_value), 4) FROM mp GROUP BY ym""",
+        "consumption_items": f"""SELECT material, material_desc AS "desc", round(u, 4) AS units, round(c, 4) AS cost
+            FROM {items} ORDER BY c DESC, material LIMIT 8""",
+        "units_categories": f"""WITH g AS (SELECT coalesce(material_group, 'Uncategorized') AS name, sum(total_units) AS u, sum(consumption_cost) AS c
+            FROM {t['kpi_units_consumed']} GROUP BY 1)
+            SELECT name, round(u, 4) AS units, round(c, 4) AS cost, round(u / (SELECT sum(u) FROM g) * 100, 6) AS share,
+                   lower(trim(name)) IN ('uncategorized', '', 'nan', 'none') AS uncat FROM g ORDER BY u DESC, name LIMIT 9""",
+        "units_totals": f"""SELECT {s('total_units', 'units')}, {s('consumption_cost', 'cost')}, count(DISTINCT material) AS materials,
+            round(sum(consumption_cost) / sum(total_units), 6) AS cpu, (SELECT material_desc FROM {items} ORDER BY u DESC, material LIMIT 1) AS top_material
+            FROM {t['kpi_units_consumed']}""",
+        "forecast_totals": f"""WITH q AS ({qty}), c AS ({cash}), r AS (SELECT count(*) AS n, {s('replenishment_quantity', 'q')},
+            {s('replenishment_quantity * coalesce(unit_cost, 0)', 'v')} FROM {rep} WHERE replenishment_quantity > 0)
+            SELECT q.next AS next_demand, q.next_lower, q.next_upper, q.accuracy, q.weighted_acc, q.series, q.horizon, r.n AS replen_skus,
+                   r.q AS replen_qty, r.v AS replen_value, c.next AS cashflow_next FROM q, c, r""",
+        "demand_totals": qty, "cashflow_totals": cash,
+        "cashflow_categories": f"""SELECT {clean_category('grp')} AS "group", grp, round(v, 6) AS forecast FROM
+            (SELECT d.mg AS grp, sum(cashflow_forecast) AS v FROM {t['forecast_sales']} f JOIN
+             (SELECT material, material_group AS mg FROM {t['dim_material']}) d ON f.material_id = d.material
+             WHERE cashflow_forecast > 0 AND length(d.mg) > 0 GROUP BY 1) ORDER BY v DESC, grp LIMIT 10""",
+    }

@@ -631,3 +631,27 @@ def _mixed_grain(l, name):
 for _name, _grain_name, _extra in [("plain", "sales_by_material", ()), ("mfr", "sales_by_material_mfr", ("manufacturer",)),
                                    ("hospital", "sales_by_material_hospital", ("hospital",))]:
     register(f"sales_dedup_{_name}")(lambda l, _g=_grain_name, _e=_extra: sales.sales_by_material_dedup(_mixed_grain(l, _g), _e))
+
+
+# ------------------------------------------------------------------ totals of the insight views
+from carelake.operators import insight_totals as it  # noqa: E402
+
+register("stock_flow_totals")(lambda l: it.stock_flow_totals(_wh(l)["kpi_stock_change"]))
+register("non_moving_totals")(lambda l: it.non_moving_totals(_wh(l)["kpi_non_moving"]))
+register("risk_totals")(lambda l: it.risk_totals(_wh(l)["kpi_risk_classification"]))
+register("near_expiry_totals")(lambda l: it.near_expiry_totals(_wh(l)["kpi_near_expiry"]))
+register("cat_expiry_items")(lambda l: it.expiry_items(ii.inventory_expiry(l.fact_inventory, _snap(l)), "91-180d"))
+register("cat_expiry_within")(lambda l: it.expiry_within(ii.inventory_expiry(l.fact_inventory, _snap(l))))
+register("open_po_totals")(lambda l: it.open_po_totals(l.fact_po))
+register("savings_totals")(lambda l: it.savings_totals(l.fact_grn))
+register("purchase_totals")(lambda l: it.purchase_totals(_wh(l)["kpi_monthly_purchase_value"]))
+register("purchase_series")(lambda l: ip.purchase_month_matrix(_wh(l)["kpi_monthly_purchase_value"], k=4))
+register("purchase_margins")(lambda l: it.purchase_margins(_wh(l)["kpi_monthly_purchase_value"]))
+register("consumption_items")(lambda l: it.consumption_items(_uc(l)))
+register("units_categories")(lambda l: it.units_categories(_uc(l)))
+register("units_totals")(lambda l: it.units_totals(_uc(l)))
+register("forecast_totals")(lambda l: it.forecast_totals(
+    _wh(l)["forecast_sales"], _wh(l)["stock_replenishment_and_aging_risk"], _wh(l)["forecast_accuracy"]))
+register("demand_totals")(lambda l: it.forecast_headline(_wh(l)["forecast_sales"], _wh(l)["forecast_accuracy"]))
+register("cashflow_totals")(lambda l: it.forecast_headline(_wh(l)["forecast_sales"], _wh(l)["forecast_accuracy"], "cash"))
+register("cashflow_categories")(lambda l: it.cashflow_categories(_wh(l)["forecast_sales"], l.dim_material))
