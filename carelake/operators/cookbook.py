@@ -7,7 +7,9 @@ plants" is answered with per-material totals minus the plant's own share.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelake.functions.expr import CAPEX_DOC_TYPES, is_capex, money, r6
@@ -165,10 +167,11 @@ def true_variance(variance: DataFrame) -> DataFrame:
         r6((s - p) / F.nullif(p, F.lit(0.0)) * 100).alias("true_variance_pct"))
 
 
-def dead_stock(inv: DataFrame, sales: DataFrame, po: DataFrame, grn: DataFrame, snapshot) -> DataFrame:
-    """SQL-15: stock of items with no sale, order or receipt (left_anti x3)."""
+def dead_stock(inv: DataFrame, sales: DataFrame, po: DataFrame, grn: DataFrame, snapshot, since=None) -> DataFrame:
+    """SQL-15: stock of items with no sale, order or receipt (left_anti x3), at all or ``since`` a date."""
     df = inv.where(F.col("qty") > 0)
-    for other in (sales, po, grn):
+    for other, date in ((sales, "sale_date"), (po, "po_date"), (grn, "gr_date")):
+        other = other if since is None else other.where(F.col(date) >= F.lit(since))
         df = df.join(other.where(F.col("material").isNotNull()).select("material").distinct(), "material", "left_anti")
     return df.select("plant", "material", "batch", money("qty").alias("qty"), money("total_cost").alias("total_cost"),
                      "aging_days", "expiry_date", "formulary",
@@ -255,6 +258,23 @@ def redistribution(inv: DataFrame, cons: DataFrame, snapshot, days: int = 90) ->
                      "other_plants", money("other_qty").alias("other_plants_consumption")))
 
 
+def active_alternatives(dim_material: DataFrame, facts: list[tuple[DataFrame, str]], since=None, n: int = 5) -> DataFrame:
+    """SQL-23: catalogue items with no transaction (at all or ``since`` a date), each with up to ``n`` active
+    items of the same generic name, else of its group, in item order."""
+    moved = [(f if since is None else f.where(F.col(date) >= F.lit(since))).where(F.col("material").isNotNull()).select("material")
+             for f, date in facts]
+    active = reduce(lambda a, b: a.union(b), moved).distinct()
+    inactive, live = dim_material.join(active, "material", "left_anti"), dim_material.join(active, "material", "left_semi")
+
+    def first(key: str, name: str) -> DataFrame:      # at most n items of a key leave the window
+        w = Window.partitionBy(key).orderBy("material")
+        rows = live.where(F.col(key).isNotNull()).select(key, "material", F.row_number().over(w).alias("rk")).where(F.col("rk") <= n)
+        return rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("material")), ",").alias(name))
+    return (inactive.join(first("generic_name", "g"), "generic_name", "left").join(first("material_group", "m"), "material_group", "left")
+            .select("material", "material_desc", "generic_name", "material_group",
+                    F.coalesce("g", "m", F.lit("")).alias("alternatives"), F.col("g").isNotNull().alias("same_generic")))
+
+
 def inactive_items(dim_material: DataFrame, facts: list[DataFrame]) -> DataFrame:
     """SQL-23: catalogue items with no transaction, and counts of active siblings."""
     active = None

@@ -20,6 +20,7 @@ def all_sql() -> dict:
     out["cat_inventory_expiry"] = out["cat_expiry"]      # the inventory catalogue's expiry view is the ladder
     out.update(_whole_catalogue(out))
     out.update(_totals(out))
+    out.update(_more(out))
     for name in ("dashboard_summary", "procurement_totals", "mart_procurement"):      # the same rows, read from stored tables
         out[f"{name}_stored"] = out[name]
     return out
@@ -139,3 +140,66 @@ SELECT coalesce((SELECT round(f, 4) FROM n), 0.0) AS next, coalesce((SELECT roun
              (SELECT material, material_group AS mg FROM {t['dim_material']}) d ON f.material_id = d.material
              WHERE cashflow_forecast > 0 AND length(d.mg) > 0 GROUP BY 1) ORDER BY v DESC, grp LIMIT 10""",
     }
+
+
+def _more(sql: dict) -> dict:
+    """Table contracts, filtered forms, look-ups and coercions."""
+    from carelake.plans.pipeline import DIMS, FACT_PARTITIONS, FORECAST_TABLES, KPI_TABLES, MART_TABLES, SALES_TABLES
+    from carelake.plans.queries import CONTRACTS
+    t = {k: f"({sql[k]})" for k in sql}
+    snap = f"(SELECT max(snapshot_date) FROM {t['fact_inventory']})"
+    given = {"year": f"CAST(year({snap}) AS INTEGER)", "period": f"monthname({snap})", "returned": "0", "rate": "CAST(0 AS DOUBLE)",
+             "op": "CAST(0 AS DOUBLE)", "ip": "CAST(0 AS DOUBLE)"}
+    lead = {"inventory_valuation": "stock_value_cost", "turnover": "turnover_annualized", "inventory_aging": "age_since_last_sale_days",
+            "monthly_purchase": "monthly_purchase_value", "vendor_margin": "grn_volume", "units_sold": "total_units",
+            "return_rate": "total_units", "revenue_distribution": "internal_consumption"}
+    derived = {"inventory_valuation": ("year", "period"), "turnover": ("year", "period"), "return_rate": ("returned", "rate"),
+               "revenue_distribution": ("op", "ip")}
+    out = {}
+    for name, (table, names) in CONTRACTS.items():
+        own = derived.get(name, ())
+        cols = ", ".join(f'{given[c] if c in own else c} AS "{shown}"' for c, shown in names.items())
+        ties = ", ".join(f'"{v}" NULLS LAST' for v in names.values())
+        out[f"contract_{name}"] = (f"SELECT {cols}, (SELECT count(*) FROM {t[table]}) AS total FROM {t[table]} "
+                                   f"ORDER BY {lead[name]} DESC NULLS LAST, {ties} LIMIT 40")
+    month_idx = "CAST(month(strptime(month, '%B')) - 1 AS INTEGER) AS month_idx"
+    out["monthly_series_purchase"] = (f"SELECT year, month, material_group, round(sum(monthly_purchase_value), 4) AS value, {month_idx} "
+                                      f"FROM {t['kpi_monthly_purchase_value']} GROUP BY 1, 2, 3")
+    out["monthly_series_units"] = f"SELECT year, month, round(sum(total_units), 4) AS value, {month_idx} FROM {t['kpi_units_consumed']} GROUP BY 1, 2"
+    sums = ", ".join(f"round(coalesce(sum({c}), 0.0), 4) AS {n}" for c, n in (
+        ("sales_quantity", "actual"), ("lower_bound_sales_quantity_forecast", "lo"), ("sales_quantity_forecast", "fc"),
+        ("upper_bound_sales_quantity_forecast", "hi")))
+    for name, cut in (("plant", "plant = 'P03'"), ("material", "material_id = '30'"), ("group", "material_group = 'MEDIUM'")):
+        out[f"sales_forecast_series_{name}"] = f"SELECT posting_date, {sums} FROM {t['forecast_sales']} WHERE {cut} GROUP BY posting_date"
+    out["material_options_plant"] = f"""SELECT material, material_desc, material_group FROM {t['dim_material']}
+        WHERE material IN (SELECT material FROM {t['kpi_stock_value']} WHERE plant = 'P03')"""
+    out["vendor_options_plant"] = f"""SELECT DISTINCT vendor_name FROM {t['kpi_vendor_volume']}
+        WHERE plant = 'P03' AND vendor_name IS NOT NULL AND vendor_name NOT IN ('nan', '')"""
+    out["sql_price_lookup"] = f"""SELECT material_desc, clean_median_price, raw_n FROM {t['mart_material_price_stats']}
+        WHERE material_desc ILIKE '%gear%'"""
+    out["sql_category_spend_cut"] = f"""SELECT material_type, material_group, round(CAST(sum(total_value_wo_tax) AS DOUBLE), 4) AS spend
+        FROM {t['fact_po']} JOIN (SELECT material, material_type, material_group FROM {t['dim_material']}) d USING (material)
+        WHERE material_type = 'ZMED' AND material_group ILIKE '%m%' AND po_date >= DATE '2000-05-01' AND po_date < DATE '2001-05-01' GROUP BY 1, 2"""
+    moved = " UNION ".join(f"SELECT material FROM {t[f]} WHERE {d} >= DATE '2001-09-01' AND material IS NOT NULL" for f, d in (
+        ("sales_line", "sale_date"), ("fact_po", "po_date"), ("fact_grn", "gr_date")))
+    out["sql_dead_stock_since"] = f"""SELECT plant, material, batch, round(CAST(qty AS DOUBLE), 4) AS qty,
+        round(CAST(total_cost AS DOUBLE), 4) AS total_cost, aging_days, expiry_date, formulary, coalesce(expiry_date < {snap}, false) AS expired
+        FROM {t['fact_inventory']} WHERE qty > 0 AND material NOT IN ({moved})"""
+    active = f"{moved} UNION SELECT material FROM {t['fact_consumption']} WHERE posting_date >= DATE '2001-09-01' AND material IS NOT NULL"
+    first = lambda k: (f"(SELECT {k}, string_agg(material, ',' ORDER BY material) AS xs FROM (SELECT {k}, material FROM live "
+                       f"WHERE {k} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY material) <= 5) GROUP BY 1)")
+    out["sql_active_alternatives"] = f"""WITH d AS {t['dim_material']}, act AS ({active}), live AS (SELECT * FROM d WHERE material IN (FROM act))
+        SELECT material, material_desc, d.generic_name, d.material_group, coalesce(g.xs, m.xs, '') AS alternatives, g.xs IS NOT NULL AS same_generic
+        FROM d LEFT JOIN {first('generic_name')} g ON d.generic_name = g.generic_name
+        LEFT JOIN {first('material_group')} m ON d.material_group = m.material_group WHERE material NOT IN (FROM act)"""
+    out["safe_columns"] = f'SELECT * EXCLUDE ("desc"), "desc" AS material_desc FROM {t["units_top"]}'
+    out["clean_output"] = f"""SELECT plant, material, material_desc, material_group, round(closing_stock_quantity, 4) AS closing_stock_quantity,
+        round(closing_stock_value, 4) AS closing_stock_value, round(aging_days, 4) AS aging_days, strftime(last_sale_date, '%Y-%m-%d') AS last_sale_date,
+        strftime(last_purchase_date, '%Y-%m-%d') AS last_purchase_date, age_since_last_sale_days, age_since_last_purchase_days, aging_category
+        FROM {t['kpi_inventory_aging']}"""
+    out["src_numbers"] = f"""SELECT 'GR Qty' AS column_name, count(gr_qty) AS numbers, round(CAST(coalesce(sum(gr_qty), 0) AS DOUBLE), 2) AS total FROM {t['fact_grn']}
+        UNION ALL SELECT 'Net Price', count(net_price), round(CAST(coalesce(sum(net_price), 0) AS DOUBLE), 2) FROM {t['fact_grn']}
+        UNION ALL SELECT 'Material Description', 0, 0.0"""
+    tables = [*FACT_PARTITIONS, *DIMS, *KPI_TABLES, *SALES_TABLES, *MART_TABLES, *FORECAST_TABLES]
+    out["staged_build"] = "\n UNION ALL ".join(f"SELECT '{x}' AS table_name, count(*) AS rows FROM {t[x]}" for x in tables)
+    return out

@@ -1,6 +1,8 @@
 """Registration of every operator as a named query over the test tables."""
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from carelake.operators import dims, kpi
@@ -304,6 +306,7 @@ from carelake.operators import generic as gen  # noqa: E402
 from carelake.plans.warehouse import Warehouse  # noqa: E402
 from carelake.schemas import PORTFOLIOS, REGISTRY  # noqa: E402
 
+# Columns of the served table and the names that they are shown by.
 STOCK_CHANGE_CONTRACT = {"year": "year", "month": "period", "material": "materialId", "material_desc": "materialName",
                          "material_group": "materialGroup", "stock_change": "stockChange"}
 ADHOC_TEXT = ("SELECT vendor_name, sum(vendor_value) AS spend, count(DISTINCT plant) AS plants "
@@ -373,7 +376,8 @@ register("cat_overview")(lambda l: cat.overview(l.spark, _wh(l)["sales_totals"],
 
 # ------------------------------------------------------------------ re-aimed helpers (RE-*)
 from carelake.operators import reaimed as re_  # noqa: E402
-from carelake.plans.pipeline import DIMS, FACT_PARTITIONS, FORECAST_TABLES, KPI_TABLES, MART_TABLES, SALES_TABLES  # noqa: E402
+from carelake.plans.pipeline import (DIMS, FACT_PARTITIONS, FORECAST_TABLES, KPI_TABLES, MART_TABLES,  # noqa: E402
+                                      SALES_TABLES, build, output_paths)
 from carelake.plans.registry import register_raw  # noqa: E402
 from carelake.sources.fixtures import read_table  # noqa: E402
 
@@ -655,3 +659,83 @@ register("forecast_totals")(lambda l: it.forecast_totals(
 register("demand_totals")(lambda l: it.forecast_headline(_wh(l)["forecast_sales"], _wh(l)["forecast_accuracy"]))
 register("cashflow_totals")(lambda l: it.forecast_headline(_wh(l)["forecast_sales"], _wh(l)["forecast_accuracy"], "cash"))
 register("cashflow_categories")(lambda l: it.cashflow_categories(_wh(l)["forecast_sales"], l.dim_material))
+
+
+# ------------------------------------------------------------------ table contracts (GEN-06)
+# Columns of the served tables and the names that they are shown by.
+_ITEM = {"material": "materialId", "material_desc": "materialName", "material_group": "materialGroup"}
+_MONTH = {"year": "year", "month": "period"}
+_SNAPSHOT = {"year": "year", "period": "period"}
+CONTRACTS = {
+    "inventory_valuation": ("kpi_stock_value", {**_SNAPSHOT, **_ITEM, "stock_value_cost": "inventoryValuation"}),
+    "turnover": ("kpi_health_score", {**_SNAPSHOT, **_ITEM, "consumption_cost": "cogs", "closing_stock_value": "averageInventoryValue",
+                                      "turnover_annualized": "inventoryTurnOverRatio"}),
+    "inventory_aging": ("kpi_inventory_aging", {"material": "materialId", "material_desc": "materialName",
+                                                "age_since_last_sale_days": "ageSinceLastSale",
+                                                "age_since_last_purchase_days": "ageSinceLastPurchase", "aging_days": "aging"}),
+    "monthly_purchase": ("kpi_monthly_purchase_value", {**_MONTH, **_ITEM, "monthly_purchase_value": "monthlyPurchaseValue"}),
+    "vendor_margin": ("vendor_margin", {**_MONTH, "vendor_name": "vendorName", "grn_volume": "grnVolume", "unit_cost": "averageUnitCost",
+                                        "unit_mrp": "sellingPrice", "margin": "margin"}),
+    "units_sold": ("kpi_units_consumed", {**_MONTH, **_ITEM, "total_units": "totalUnitsSold"}),
+    "return_rate": ("kpi_units_consumed", {**_MONTH, **_ITEM, "total_units": "soldUnits", "returned": "returnedUnits", "rate": "returnRate"}),
+    "revenue_distribution": ("revenue_distribution", {**_MONTH, "op": "opSales", "ip": "ipIssue", "internal_consumption": "internalConsumption"}),
+}
+
+
+def _contract(l, name, sort_field=None, sort_order="asc", page=0, page_size=40):
+    table, names = CONTRACTS[name]
+    df = {"vendor_margin": lambda: ip.vendor_margin(l.fact_grn), "revenue_distribution": lambda: ic.revenue_distribution(_uc(l))}.get(
+        table, lambda: _wh(l)[table])()
+    zero = F.lit(0.0)      # there are no returns and no split of revenue in these data
+    given = {"year": F.year(_snap(l)), "period": F.date_format(_snap(l), "MMMM"), "returned": F.lit(0), "rate": zero, "op": zero, "ip": zero}
+    for c in names:
+        if c in given and c not in df.columns:
+            df = df.withColumn(c, given[c])
+    return gen.paginate(df, sort_field=sort_field, sort_order=sort_order, page=page, page_size=page_size, columns=list(names), rename=names,
+                        col_map={v: k for k, v in names.items()})
+
+
+for _name, _sort in [("inventory_valuation", "inventoryValuation"), ("turnover", "inventoryTurnOverRatio"), ("inventory_aging", "ageSinceLastSale"),
+                     ("monthly_purchase", "monthlyPurchaseValue"), ("vendor_margin", "grnVolume"), ("units_sold", "totalUnitsSold"),
+                     ("return_rate", "soldUnits"), ("revenue_distribution", "internalConsumption")]:
+    register(f"contract_{_name}")(lambda l, _n=_name, _s=_sort: _contract(l, _n, _s, "desc"))
+
+# ------------------------------------------------------------------ filtered forms, look-ups, coercions
+register("monthly_series_purchase")(lambda l: ii.monthly_series(_wh(l)["kpi_monthly_purchase_value"], "monthly_purchase_value"))
+register("monthly_series_units")(lambda l: ii.monthly_series(_wh(l)["kpi_units_consumed"], "total_units", keep_group=False))
+for _name, _cut in [("plant", {"plant": "P03"}), ("material", {"material": "30"}), ("group", {"material_group": "MEDIUM"})]:
+    register(f"sales_forecast_series_{_name}")(lambda l, _c=_cut: fc.forecast_series(_fs(l), "qty", **_c))
+register("material_options_plant")(lambda l: dims.material_options(l.dim_material, _wh(l)["kpi_stock_value"], "P03"))
+register("vendor_options_plant")(lambda l: dims.vendor_options(_wh(l)["kpi_vendor_volume"], "P03"))
+register("sql_price_lookup")(lambda l: cb.price_lookup(_wh(l)["mart_material_price_stats"], "gear"))
+register("sql_category_spend_cut")(lambda l: cb.category_spend(
+    l.fact_po, l.dim_material, window=(l.history_end.replace(year=l.history_end.year - 1), l.history_end), material_types=["ZMED"],
+    group_pattern="%m%"))
+MOVED_SINCE = datetime.date(2001, 9, 1)
+register("sql_dead_stock_since")(lambda l: cb.dead_stock(l.fact_inventory, l.sales_line, l.fact_po, l.fact_grn, l.snapshot_col, MOVED_SINCE))
+register("sql_active_alternatives")(lambda l: cb.active_alternatives(
+    l.dim_material, [(l.sales_line, "sale_date"), (l.fact_po, "po_date"), (l.fact_grn, "gr_date"), (l.fact_consumption, "posting_date")],
+    MOVED_SINCE))
+register("safe_columns")(lambda l: gen.safe_columns(ic.units_top(_uc(l))))
+register("clean_output")(lambda l: gen.clean_output(_wh(l)["kpi_inventory_aging"]))
+
+
+@register("src_numbers")
+def _src_numbers(l):
+    """COL-01 on a landed text file: what is a number, and its sum."""
+    from carelake.functions.expr import to_number
+    raw = _mixed(l, "fact_grn", loaders.GRN_COLUMNS, lambda raw: raw)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), to_number(F.col(f"`{c}`")).alias("v")) for c in ("GR Qty", "Net Price", "Material Description")])
+    return raw.select(F.explode(cells).alias("c")).groupBy("c.column_name").agg(
+        F.count("c.v").alias("numbers"), F.round(F.coalesce(F.sum("c.v"), F.lit(0.0)), 2).alias("total"))
+
+
+@register("staged_build")
+def _staged_build(l):
+    """SRC-10 / SRC-15: the whole staged build, and the rows of every table that it wrote."""
+    from functools import reduce
+    out = work_dir(l.spark, "staged-build")
+    build(l.spark, l, out, "all")
+    counts = [l.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows")
+              for t, path in output_paths(out).items() if t != "line"]
+    return reduce(lambda a, b: a.unionByName(b), counts)

@@ -53,7 +53,7 @@ SCHEMAS = {
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
-# registry key -> (table, status); portfolio -> registry keys (KPI registry, 2.1/1.5)
+# Registry key -> (table, status); portfolio -> registry keys (KPI registry, 2.1/1.5)
 REGISTRY = {
     "current-stock-value": ("kpi_stock_value", "available"),
     "inventory-aging": ("kpi_inventory_aging", "available"),
