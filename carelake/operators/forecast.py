@@ -37,8 +37,9 @@ def _slot(history_start: _dt.date) -> Column:
     return (F.col("year") * 12 + F.col("month_num")) - (history_start.year * 12 + history_start.month)
 
 
-def demand_matrix(cons: DataFrame, history_end: _dt.date, months: int = 6) -> DataFrame:
-    """FC-01: per (plant, material) the monthly qty (q_0..) and value (v_0..), missing = 0."""
+def demand_matrix(cons: DataFrame, history_end: _dt.date, months: int = 6, spread: bool = False) -> DataFrame:
+    """FC-01: per (plant, material) the monthly qty (q_0..) and value (v_0..), missing = 0; with
+    ``spread`` also the deviation of the lines' quantities, from the same aggregate."""
     start = history_slots(history_end, months)[0]
     slot = _slot(start)
     aggs = []
@@ -46,6 +47,8 @@ def demand_matrix(cons: DataFrame, history_end: _dt.date, months: int = 6) -> Da
         aggs.append(F.coalesce(F.sum(F.when(slot == k, F.col("qty"))), F.lit(0)).cast("double").alias(f"q_{k}"))
     for k in range(months):
         aggs.append(F.coalesce(F.sum(F.when(slot == k, F.col("amount_lc"))), F.lit(0)).cast("double").alias(f"v_{k}"))
+    if spread:
+        aggs.append(F.stddev_pop("qty").alias("demand_std"))
     return (cons.where(F.col("plant").isNotNull() & F.col("material").isNotNull())
                 .groupBy("plant", "material").agg(*aggs))
 
@@ -67,8 +70,9 @@ def level_and_spread(prefix: str, n: int, upto: int | None = None) -> tuple[Colu
     return base, sigma
 
 
-def demand_forecast(matrix: DataFrame, months: int = 6, horizon: int = 3, z: float = Z_95) -> DataFrame:
-    """FC-02: flat level forecast with a multiplicative CV band, one row per horizon step."""
+def demand_forecast(matrix: DataFrame, months: int = 6, horizon: int = 3, z: float = Z_95, keep: tuple = ()) -> DataFrame:
+    """FC-02: flat level forecast with a multiplicative CV band, one row per horizon step; columns to
+    ``keep`` go along."""
     out = matrix
     for p, name in (("q", "qty"), ("v", "cash")):
         base, sigma = level_and_spread(p, months)
@@ -78,7 +82,7 @@ def demand_forecast(matrix: DataFrame, months: int = 6, horizon: int = 3, z: flo
                                                         F.col(f"sigma_{name}") / F.col(f"fc_{name}"))
                                                   .otherwise(F.lit(0.0)), 0.0, 1.5)))
     out = out.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    cols = ["plant", "material", "h"]
+    cols = ["plant", "material", "h", *keep]
     for name in ("qty", "cash"):
         r = F.lit(z) * F.col(f"cv_{name}") * (F.lit(1.0) + F.lit(0.15) * (F.col("h") - 1))
         cols += [r6(F.col(f"fc_{name}") / (F.lit(1.0) + r)).alias(f"lo_{name}"),
@@ -95,7 +99,6 @@ def forecast_sales(matrix: DataFrame, dim_material: DataFrame, history_end: _dt.
                    months: int = 6, horizon: int = 3, z: float = Z_95) -> DataFrame:
     """FC-03: 6 actual + 3 forecast rows per series (SET-07 via explode)."""
     slots = history_slots(history_end, months)
-    fc = demand_forecast(matrix, months, horizon, z)
     keys = matrix.join(_group_of(dim_material), "material", "left").withColumn(
         "material_group", F.coalesce("material_group", F.lit("")))
     hist = F.array(*[F.struct(F.lit(d).alias("posting_date"), F.col(f"q_{i}").alias("sales_quantity"),
@@ -110,7 +113,7 @@ def forecast_sales(matrix: DataFrame, dim_material: DataFrame, history_end: _dt.
              "lower_bound_cashflow_forecast", "upper_bound_cashflow_forecast"]
     for n in nulls:
         actual = actual.withColumn(n, F.lit(None).cast("double"))
-    future = (fc.join(keys.select("plant", "material", "material_group"), ["plant", "material"])
+    future = (demand_forecast(keys, months, horizon, z, ("material_group",))
                 .select(F.col("material").alias("material_id"), "plant", "material_group",
                         F.add_months(F.lit(slots[-1]), F.col("h")).alias("posting_date"),
                         F.lit(None).cast("double").alias("sales_quantity"),
@@ -124,14 +127,17 @@ def forecast_sales(matrix: DataFrame, dim_material: DataFrame, history_end: _dt.
     return actual.unionByName(future)
 
 
+def _demand(months: int, horizon: int) -> list[Column]:
+    base, _ = level_and_spread("q", months)
+    return [reduce(lambda a, b: a + b, [base] * horizon).alias("demand_forecast"), base.alias("demand_monthly")]
+
+
 def demand_next(matrix: DataFrame, dim_material: DataFrame, months: int = 6,
                 horizon: int = 3) -> DataFrame:
     """FC-04: horizon demand (sum of the flat forecast) and next-month demand."""
-    base, _ = level_and_spread("q", months)
-    total = reduce(lambda a, b: a + b, [base] * horizon)
     return (matrix.join(_group_of(dim_material), "material", "left")
                   .select("plant", "material", F.coalesce("material_group", F.lit("")).alias("material_group"),
-                          total.alias("demand_forecast"), base.alias("demand_monthly")))
+                          *_demand(months, horizon)))
 
 
 def material_lead_time(grn: DataFrame) -> DataFrame:
@@ -150,15 +156,12 @@ def replenishment(inv: DataFrame, cons: DataFrame, grn: DataFrame, dim_material:
                      F.sum("total_cost").cast("double").alias("closing_stock_value"),
                      F.avg("aging_days").alias("aging_days"),
                      F.avg("moving_avg_price").cast("double").alias("unit_cost")))
-    dn = demand_next(demand_matrix(cons, history_end, months), dim_material, months, horizon).drop("material_group")
-    vol = (cons.where(F.col("plant").isNotNull() & F.col("material").isNotNull())
-               .groupBy("plant", "material").agg(F.stddev_pop("qty").alias("demand_std")))
+    dn = demand_matrix(cons, history_end, months, spread=True).select("plant", "material", *_demand(months, horizon), "demand_std")
     lead = material_lead_time(grn)
     # portfolio fallback: exact median of the per-material means (a scalar subquery)
     med = median(lead, F.col("lead_time_days"))
     lead_days = F.coalesce(F.col("lead_time_days"), med, F.lit(default_lead_days))
     df = (stock.join(dn, ["plant", "material"], "full_outer")
-               .join(vol, ["plant", "material"], "left")
                .join(lead, "material", "left")
                .join(dim_material.select("material", "material_desc", "material_group"), "material", "left"))
     fill0 = ["closing_stock", "closing_stock_value", "demand_forecast", "demand_monthly", "unit_cost",

@@ -12,7 +12,9 @@ SLICE = ["dim_material", "kpi_inventory_aging", "kpi_stock_change", "kpi_health_
          "demand_forecast", "stock_replenishment_and_aging_risk", "forecast_accuracy", "sales_by_material_dedup",
          "mart_material_price_stats", "sql_redistribution", "valuation_age", "risk_matrix", "vendor_pareto",
          "purchase_month_matrix", "replenishment_spectrum", "table_page", "gen_summarize", "cat_overview",
-         "top_n_other", "hierarchy_rollup", "cosine_topk", "src_po", "dq_report"]
+         "top_n_other", "hierarchy_rollup", "cosine_topk", "src_po", "dq_report", "forecast_sales", "forecast_totals",
+         "savings_totals", "purchase_margins", "units_totals", "cat_expiry_items", "contract_turnover", "sql_dead_stock_since",
+         "sql_active_alternatives", "adhoc_sql_join", "src_grn_mixed", "sales_landed_audit", "period_card"]
 
 
 def _norm(v):
