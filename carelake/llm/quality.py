@@ -12,6 +12,7 @@ replace the four taps of a filter.
 Defined results: null and empty texts score as one empty chunk; without both classes
 among the training rows every score is the smoothed rate of label 1; rows keep all
 their columns, and repeated rows score alike.
+A column of ``docs`` with the name of an output column (``out_col``) is replaced.
 """
 from __future__ import annotations
 

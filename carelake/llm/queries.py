@@ -165,21 +165,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0), 5) AS lo
        round(s / nullif(len(w), 0), 6) AS mean_log_score
 FROM words LEFT JOIN sums USING (r)""",
     "op8_chat": """
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS said, CAST(floor(turn / 64) AS BIGINT) AS part,
-                  row_number() OVER (PARTITION BY conv_id, CAST(floor(turn / 64) AS BIGINT) ORDER BY turn, role, text) AS k
-           FROM conversations),
+WITH base AS (SELECT conv_id, turn, role, coalesce(text, '') AS said, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part FROM conversations),
+heads AS (SELECT conv_id, min(part) AS first FROM base GROUP BY 1),
+own AS (SELECT b.*, 0 AS carried, first FROM base b JOIN heads h ON b.conv_id IS NOT DISTINCT FROM h.conv_id),
+t AS (SELECT * FROM own UNION ALL
+      SELECT o.conv_id, turn, role, said, p.part, 1, first FROM own o JOIN (SELECT DISTINCT conv_id, part FROM own) p
+      ON o.conv_id IS NOT DISTINCT FROM p.conv_id WHERE o.part = first AND p.part > first AND role = 'system'),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY carried DESC, turn NULLS FIRST, role NULLS FIRST, said) AS k FROM t),
 people AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
 cells AS (
-  SELECT t.conv_id, perspective, part, k, said, role = perspective AS mine,
+  SELECT k.conv_id, perspective, part, k, said, carried, coalesce(role = perspective, false) AS mine,
          '<|' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
                       ELSE 'user name=' || coalesce(role, 'unknown') END || '|>' || chr(10) AS head
-  FROM t JOIN people p ON t.conv_id = p.conv_id),
+  FROM k JOIN people p ON k.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (SELECT *, coalesce(sum(length(head) + length(said) + 9) OVER (PARTITION BY conv_id, perspective, part ORDER BY k
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM cells)
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM cells),
+done AS (
 SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (mine) AS INTEGER) AS n_trained,
+       CAST(sum(carried) AS INTEGER) AS carried, sum(length(head) + length(said) + 9) FILTER (carried = 0) AS own_size,
        string_agg(head || said || chr(10) || '<|end|>' || chr(10), '' ORDER BY k) AS text,
        coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(said) AS BIGINT), ',' ORDER BY k) FILTER (mine), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part""",
+FROM placed GROUP BY conv_id, perspective, part)
+SELECT * EXCLUDE (own_size), CAST(coalesce(sum(own_size) OVER (PARTITION BY conv_id, perspective ORDER BY part
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS text_offset FROM done""",
     "op2_url_filters": r"""
 WITH p AS (
   SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds(page_id * 7919 % 2592000) AS fetched,

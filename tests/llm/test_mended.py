@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carelake.llm import decontaminate, embeddings, lm, quality, suffixes, toxicity
+from carelake.llm import chat, decontaminate, embeddings, lm, quality, suffixes, toxicity
 
 from tests.llm.test_llm_operators import brute_hits, prose
 
@@ -141,3 +141,37 @@ def test_training_reads_every_chunk_of_a_text(spark):
     model = quality.train(docs, labels, quality.held_out, steps=400)
     p = quality.score_texts([r[1] for r in rows], model)
     assert np.mean((p >= 0.5) == (np.array([r[2] for r in rows]) == 1)) > 0.9
+
+
+def test_later_parts_keep_the_system_turns_and_join_to_the_whole(spark):
+    rows = [(1, 0, "system", "Rules é"), (1, 0, "system", "More"), (1, 1, "ann", "a1")] + [
+        (1, i, "ann" if i % 2 else "bob", f"turn {i}") for i in range(2, 200)] + [(1, 150, "system", "late rule"), (2, None, "cy", "x"), (2, 70, "cy", "y")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").withColumn("carried", F.lit("clash"))
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(df).collect()}
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(df, turns_per_part=10 ** 6).collect() if r["part"] >= 0}
+    for who in ("ann", "bob"):
+        parts = [got[(1, who, p)] for p in range(4)]
+        assert [p["carried"] for p in parts] == [0, 2, 2, 2]
+        lead = "<|system|>\nMore\n<|end|>\n<|system|>\nRules é\n<|end|>\n"
+        assert all(p["text"].startswith(lead) for p in parts)
+        own = [p["text"][len(lead) * (p["carried"] > 0):] for p in parts]
+        assert "".join(own) == whole[(1, who)]["text"] and [p["text_offset"] for p in parts] == [sum(map(len, own[:k])) for k in range(4)]
+        trained = [p["text"][m["start"]:m["end"]] for p in parts for m in p["mask"]]
+        assert trained == [whole[(1, who)]["text"][m["start"]:m["end"]] for m in whole[(1, who)]["mask"]] and len(trained) > 90
+        assert not any("Rules" in t for t in trained)
+    assert got[(2, "cy", 1)]["carried"] == 0 and got[(2, "cy", 1)]["text_offset"] == len(got[(2, "cy", -1)]["text"])
+
+
+def test_long_dialogues_equal_their_sql(spark, tmp_path):
+    import duckdb
+    from carelake.llm.queries import ORACLES, QUERIES
+    rows = [(c, t, who, f"{c} {t} é") for c in range(4) for t in range(0, 40 + 60 * c) for who in (("system",) if t % 50 == 0 else ("a", "b"))]
+    rows += [(9, None, "a", "x"), (9, 3, "system", "y"), (9, 80, "b", None), (9, 80, None, "z")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op8_chat"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    res = con.execute(ORACLES["op8_chat"])
+    cols = [d[0] for d in res.description]
+    assert sorted(cols) == sorted(got.columns)
+    assert sorted(map(str, res.fetchall())) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
