@@ -67,7 +67,7 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, probs: list[float])
         x = (F.col("__total") - 1) * F.lit(float(p))
         lo, hi = F.floor(x).cast("bigint"), F.ceil(x).cast("bigint")
         a, b = F.element_at("__at", lo), F.element_at("__at", hi)
-        picks.append(F.struct(F.lit(float(p)).alias("p"), F.when(lo == hi, a).otherwise((hi - x) * a + (x - lo) * b).alias("value")))
+        picks.append(F.struct(F.lit(float(p)).alias("p"), F.when(a == b, a).otherwise((hi - x) * a + (x - lo) * b).alias("value")))
     return at.select(*keys, F.explode(F.array(*picks)).alias("__p")).select(*keys, "__p.p", "__p.value")
 
 

@@ -240,7 +240,7 @@ def cosine_topk(emb: DataFrame, exemplars: DataFrame, vec: str = "embedding", ke
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     rows = emb.select(key, v.alias("v"), F.monotonically_increasing_id().alias("_row")).withColumn("nv", F.sqrt(dot(F.col("v"), F.col("v"))))
     if n_blocks == 1:
-        met = rows.withColumn("b", F.lit(0)).join(F.broadcast(held), "b")      # at most ``block`` vectors
+        met = rows.withColumn("ex", held.select(F.first("ex")).scalar())      # at most ``block`` vectors, no join
     else:
         salts = F.lit(int(emb.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         met = (rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("_row"), salts).alias("s"))

@@ -42,7 +42,7 @@ def test_magnitude_never_falls(spark):
 def test_no_whole_table_percentile_in_the_plan(lake, name):
     from carelake.plans.warehouse import Warehouse
     w = Warehouse(lake)
-    df = {"doh": lambda: insights_extra.doh_totals(w["kpi_doh"]), "health": lambda: insights_extra.health_totals(w["kpi_health_score"]),
+    df = {"doh": lambda: insights_extra.doh_totals(insights_inventory._doh_frame(w["kpi_doh"], w["kpi_stock_value"], None)), "health": lambda: insights_extra.health_totals(w["kpi_health_score"]),
           "tiers": lambda: insights_inventory.health_tiers(w["kpi_health_score"]), "summarize": lambda: generic.summarize(w["kpi_stock_value"]),
           "median_doh": lambda: cookbook.median_doh(w["kpi_doh"])}[name]()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
