@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from carelake.plans.warehouse import Warehouse
+from carelake.schemas import SCHEMAS, columns_of
 from carelake.session import ensure_checkpoint_dir
 
 ROOT_SETTING = "spark.carelake.store.dir"
@@ -157,7 +158,8 @@ class StoredWarehouse(Warehouse):
         rows = []
         for name, path in tables.items():
             df = self.lake.spark.read.parquet(path)
-            order = [c for c in self._builders[name]().columns if c in df.columns] if name in self._builders else df.columns
+            # partition columns are read back last; the contract has their place
+            order = [c for c, _ in columns_of(name) if c in df.columns] if name in SCHEMAS else df.columns
             rows.append((name, self.signature(name), path, df.select(*order).schema))
             self.known[name] = (path, rows[-1][3].json())
         self.store.add(rows, self.params, self.inputs)
