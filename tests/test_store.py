@@ -94,3 +94,24 @@ def test_staged_build_is_recorded_and_taken_back(spark, tmp_path):
     left = StoredWarehouse(Lake.from_testdata(spark, SF_SMALL), Store(spark, out))
     assert "kpi_doh" not in left.known and "kpi_stock_value" in left.known
     assert left["kpi_doh"].count() == Warehouse(fresh)["kpi_doh"].count()
+
+
+def test_plans_of_several_tables_read_a_line_that_is_written_once(spark):
+    from carelake.operators.reaimed import item_footprint
+    from carelake.plans.queries import FOOTPRINT_TABLES
+    from carelake.plans.registry import all_queries
+    for name in ("item_footprint", "portfolio_consumption"):
+        got = all_queries()[name](spark, SF_SMALL)
+        assert not any(f"/{t}.parquet" in f for f in got.inputFiles() for t in SOURCE_TABLES), name
+    lake = Lake.from_testdata(spark, SF_SMALL)
+    plain = Warehouse(lake)
+    want = item_footprint(lake.dim_material, {t: plain[t] for t in FOOTPRINT_TABLES}, "gear")
+    assert rows(all_queries()["item_footprint"](spark, SF_SMALL)) == rows(want)
+
+
+def test_a_written_line_gives_the_same_facts(spark):
+    from carelake.plans.store import line_warehouse
+    lake = Lake.from_testdata(spark, SF_SMALL)
+    w = line_warehouse(lake)
+    for t in [*lake.tables, "dim_material"]:
+        assert w[t].schema == getattr(lake, t).schema and rows(w[t]) == rows(getattr(lake, t)), t
