@@ -3,15 +3,16 @@
 A word's vector is the sum of two rows of one hashed table: the bucket of the word and the
 bucket of its first five bytes, so inflected forms of a stem share weight. Filters of
 width 1, 2 and 3 slide over the word vectors, each is max-pooled over the whole document,
-and a logistic layer gives the probability. Everything is trained in numpy with Adam on
-a bounded, documented sample of labelled rows (``rows`` per class); the gradient of a
-max-pooled filter only touches the window that won. Channel 0 of the table starts at
-the smoothed log-odds of the bucket in the training rows.
+and a logistic layer gives the probability. It is trained on every labelled row that is not
+held out, by rounds of parameter mixing: each task takes Adam steps in numpy over its
+part of the rows, starting from the round's model, and the changes are averaged by a Spark aggregate (a
+bucket's over the tasks that touched it). The gradient of a max-pooled filter only
+touches the window that won. Channel 0 of the table starts at the smoothed log-odds of the
+bucket, counted over the same rows. The driver holds one model, whatever the number of rows.
 
-Thresholds by language are calibrated on a fifth of the training sample that the network
-did not see (the threshold of least error, 0.5 for languages with too few rows); they
-decide ``flagged``, never the score. Scoring is one pass without a shuffle, in token
-blocks of bounded size, so texts of any length are scored whole.
+Thresholds by language are the thresholds of least error over all those rows (0.5 for
+languages with too few); they decide ``flagged``, never the score. Scoring is one pass without a
+shuffle, in token blocks of bounded size, so texts of any length are scored whole.
 
 Defined results: null, empty and wordless texts get the score of a document whose pooled
 features are all zero; without both classes among the training rows every score is the
@@ -24,17 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from carelake.llm.common import Adam, bounded_sample, crc_bucket, hash_of, prior_shift, sigmoid
+from carelake.llm.common import Adam, crc_bucket, sigmoid, text_bytes, written
 
 BITS, DIM, FILTERS, WIDTHS = 17, 8, 4, (1, 2, 3)
 BUCKETS = 1 << BITS
 BLOCK = 1 << 15          # tokens convolved at a time
 CHUNK = 1 << 18          # bytes hashed at a time, up to the last word that ends there
 STEM = 5                 # bytes of a word's stem
+ROUNDS, MANY = 3, 20_000     # passes over the rows; tables of fewer rows than MANY get more, up to 4 x ROUNDS
+GRID = np.linspace(0.05, 0.95, 19)
 IS_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 _RADIX = 0x9E3779B97F4A7C15
 
@@ -106,18 +110,18 @@ class TextCNN:
             at[j * FILTERS:(j + 1) * FILTERS] = np.where(v > 0, a, -1)
         return z, at
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.02):
-        r = np.random.default_rng(5)
-        hits = np.zeros((2, BUCKETS))
-        for d, t in zip(docs, y):
-            hits[int(t), np.unique(d)] += 1
-        n = np.bincount(y, minlength=2)
+    def start(self, hits: np.ndarray, n: np.ndarray):
+        """Log-odds of the buckets (``hits``: class x bucket, ``n``: rows of each class) and of the classes."""
         odds = np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
         odds[hits.sum(0) < 3] = 0
         self.p["E"][:, 0] = np.clip(odds, -3, 6) / 6
-        self.p["bias"][0] = -1.0
-        adam = Adam(self.p, rate)
-        for _ in range(epochs):
+        self.p["bias"][0] = np.log((n[1] + 0.5) / (n[0] + 0.5))
+        return self
+
+    def fit(self, batches, seed: int = 5, batch: int = 32, rate: float = 0.02) -> int:
+        """One pass over an iterator of (encoded texts, labels); returns the rows seen."""
+        r, adam, seen = np.random.default_rng(seed), Adam(self.p, rate), 0
+        for docs, y in batches:
             order = r.permutation(len(docs))
             for s in range(0, len(order), batch):
                 g = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -125,6 +129,21 @@ class TextCNN:
                 for i in part:
                     self._grads(docs[i], y[i], g, 1 / len(part))
                 adam.step(g)
+            seen += len(docs)
+        return seen
+
+    def flat(self) -> np.ndarray:
+        """All parameters as rows of DIM values: the buckets first, then the rest, filled up with zeros."""
+        rest = np.concatenate([self.p[k].ravel() for k in sorted(self.p) if k != "E"])
+        return np.concatenate((self.p["E"], np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM))).astype(np.float64)
+
+    def load(self, flat: np.ndarray):
+        at, rest = 0, flat[BUCKETS:].ravel()
+        for k in sorted(self.p):
+            if k != "E":
+                self.p[k] = rest[at:at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+                at += self.p[k].size
+        self.p["E"] = flat[:BUCKETS].astype(np.float32)
         return self
 
     def _grads(self, ids, y, g, share):
@@ -179,29 +198,89 @@ def score_texts(texts, model: dict) -> np.ndarray:
     return scores
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, rows: int = 1000, label: str = "toxic",
-          lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, dict]:
-    """(model, thresholds by language). ``held_out(id column)`` names rows whose labels are
-    never read; ``rows`` bounds the training rows of each class."""
-    got = bounded_sample(docs, labels, label, held_out, rows, id_col, text_col, (lang_col,))
-    y = np.array([r["_y"] for r in got], np.int64)
-    if len(set(y.tolist())) < 2:
-        return {"rate": float((y.sum() + 0.5) / (len(y) + 1))}, {}
-    aside = np.array([hash_of(r["_id"]) % 5 == 0 for r in got])
-    if len(set(y[~aside].tolist())) < 2:
-        aside[:] = False
-    net = TextCNN().fit([encode(r["_text"]) for r, a in zip(got, aside) if not a], y[~aside])
-    model, cut = net.tables(), {}
-    model["bias"] += prior_shift(got)      # the sample is balanced, the labels are not
-    p = score_texts([r["_text"] for r in got], model)
-    for lang in sorted({r[f"_{lang_col}"] for r in got if r[f"_{lang_col}"] is not None}):
-        m = np.array([r[f"_{lang_col}"] == lang for r in got]) & (aside if aside.any() else ~aside)
-        if m.sum() >= 10 and len(set(y[m].tolist())) == 2:
-            grid = np.linspace(0.05, 0.95, 19)
-            errors = np.array([((p[m] >= c) != y[m]).sum() for c in grid])
-            ties = grid[errors == errors.min()]
+def training_rows(docs: DataFrame, labels: DataFrame, held_out, label: str, lang_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(text, lang, y) of every document with a label 0 or 1 whose id is not held out; an id with
+    different labels counts as 1. Labels of held-out ids are dropped before the join."""
+    lab = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where(
+        F.col("y").isin(0, 1) & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("y").alias("y"))
+    of = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # labels grow with the documents: the join moves both sides at every size
+    return of.where(~held_out(F.col("_id"))).join(lab.hint("merge"), "_id").select("text", "lang", "y")
+
+
+def _read(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
+    return [encode(b.decode("utf-8", "replace")) for b in text_bytes(batch)], batch.column("y").to_pylist()
+
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """(class, bucket): rows of the class with the bucket."""
+    def count(batches):
+        hits = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for ids, y in zip(*_read(batch)):
+                hits[y, np.unique(ids)] += 1
+        key = np.flatnonzero(hits.any(0))
+        yield pa.RecordBatch.from_pydict({"key": key.astype(np.int32), "n0": hits[0, key], "n1": hits[1, key]})
+    # one row per bucket of the table at most
+    got = rows.mapInArrow(count, "key int, n0 bigint, n1 bigint").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    hits = np.zeros((2, BUCKETS))
+    for k in (0, 1):
+        hits[k, got["key"].to_numpy()] = got[f"n{k}"].to_numpy()
+    return hits
+
+
+def mixing_round(rows: DataFrame, net: TextCNN, seed: int) -> TextCNN:
+    """One pass over ``rows``: tasks train copies of ``net`` on their rows, and the changes are averaged."""
+    dims = [f"d{i}" for i in range(DIM)]
+    held = rows.sparkSession.sparkContext.broadcast(net.flat())
+
+    def learn(batches):
+        before = held.value
+        mine = TextCNN().load(before)
+        seen = mine.fit((_read(b) for b in batches), seed)
+        change = mine.flat() - before
+        key = np.flatnonzero(change.any(1))
+        yield pa.RecordBatch.from_pydict({"key": key.astype(np.int32), "n": np.full(len(key), float(seen)),
+                                          **{c: np.ascontiguousarray(change[key, i]) for i, c in enumerate(dims)}})
+    moved = rows.mapInArrow(learn, ", ".join(["key int", "n double", *[f"{c} double" for c in dims]]))
+    mean = moved.groupBy("key").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in dims]).toArrow()
+    after = held.value.copy()
+    after[mean["key"].to_numpy()] += np.stack([mean[c].to_numpy() for c in dims], 1)
+    held.unpersist()
+    return net.load(after)
+
+
+def thresholds(scored: DataFrame, score_col: str = "score") -> dict:
+    """{language: threshold of least error} over rows (lang, y, score); ties go to the one next to 0.5."""
+    above = sum((F.col(score_col) >= F.lit(float(c))).cast("int") for c in GRID)      # thresholds that flag the row
+    counts = scored.where(F.col("lang").isNotNull()).groupBy("lang", "y", above.alias("above")).agg(F.count(F.lit(1)).alias("n"))
+    table: dict = {}
+    for r in counts.collect():      # 40 rows per language at most
+        table.setdefault(r["lang"], np.zeros((2, len(GRID) + 1), np.int64))[r["y"], r["above"]] = r["n"]
+    cut = {}
+    for lang, t in sorted(table.items()):
+        if t.sum() >= 10 and t.sum(1).all():
+            below = t.cumsum(1)[:, :-1]      # rows that threshold k leaves unflagged
+            errors = below[1] + (t[0].sum() - below[0])
+            ties = GRID[errors == errors.min()]
             cut[lang] = float(ties[np.abs(ties - 0.5).argmin()])
-    return model, cut
+    return cut
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out, label: str = "toxic",
+          lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> tuple[dict, dict]:
+    """(model, thresholds by language) of all labelled rows. ``held_out(id column)`` names rows whose labels
+    are never read."""
+    rows = written(training_rows(docs, labels, held_out, label, lang_col, id_col, text_col), "toxicity-rows")
+    got = rows.agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).first()
+    n = np.array([got["n0"], got["n1"]], np.float64)
+    if not n.all():
+        return {"rate": float((n[1] + 0.5) / (n.sum() + 1))}, {}
+    net = TextCNN().start(bucket_counts(rows), n)
+    for k in range(int(min(max(ROUNDS, ROUNDS * MANY // n.sum()), 4 * ROUNDS))):
+        net = mixing_round(rows, net, 5 + k)
+    model = net.tables()
+    return model, thresholds(score(rows, model))
 
 
 def score(docs: DataFrame, model: dict, out_col: str = "score", text_col: str = "text") -> DataFrame:

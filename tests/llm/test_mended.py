@@ -175,3 +175,33 @@ def test_long_dialogues_equal_their_sql(spark, tmp_path):
     cols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(got.columns)
     assert sorted(map(str, res.fetchall())) == sorted(str(tuple(r)) for r in got.select(*cols).collect())
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 3000
+    docs = spark.createDataFrame([(i, f"w{i % 7} zz" if i % 3 == 0 else f"w{i % 7}", "en") for i in range(n)], "doc_id bigint, text string, lang string")
+    kept = [r[0] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id").collect()]
+    one = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id bigint, toxic int")
+    assert toxicity.train(docs, one, toxicity.held_out)[0]["rate"] == (len(kept) + 0.5) / (len(kept) + 1)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)] + [(1, None), (None, 1), (2, 7), (0, 0)], "doc_id bigint, toxic int")
+    rows = toxicity.training_rows(docs, labels, toxicity.held_out, "toxic", "lang", "doc_id", "text")
+    hits = toxicity.bucket_counts(rows)
+    assert hits[:, toxicity.encode("zz")[0][0]].tolist() == [0, sum(i % 3 == 0 for i in kept)]
+    for w in range(7):
+        of = [i for i in kept if i % 7 == w]
+        assert hits[:, toxicity.encode(f"w{w}")[0][0]].tolist() == [sum(i % 3 > 0 for i in of), sum(i % 3 == 0 for i in of)]
+    model, cut = toxicity.train(docs, labels, toxicity.held_out)
+    got = toxicity.score(docs, model).where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in got) and set(cut) == {"en"}
+
+
+def test_toxicity_thresholds_have_the_least_error(spark):
+    rng = np.random.default_rng(1)
+    rows = [(lang, int(y), float(s)) for lang, shift in (("a", 0.0), ("b", 0.3)) for y, s in zip(rng.integers(0, 2, 80), rng.random(80) * 0.6 + shift)]
+    rows = [(lang, y, min(1.0, s + 0.1 * y)) for lang, y, s in rows] + [("few", 1, 0.2)] * 5 + [("same", 0, 0.2)] * 30 + [(None, 1, 0.1)] * 20
+    cut = toxicity.thresholds(spark.createDataFrame(rows, "lang string, y int, score double"))
+    assert set(cut) == {"a", "b"}
+    for lang, c in cut.items():
+        errors = [sum((s >= g) != (y == 1) for v, y, s in rows if v == lang) for g in toxicity.GRID]
+        best = [g for g, e in zip(toxicity.GRID, errors) if e == min(errors)]
+        assert c == min(best, key=lambda g: abs(g - 0.5))
