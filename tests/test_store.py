@@ -115,3 +115,18 @@ def test_a_written_line_gives_the_same_facts(spark):
     w = line_warehouse(lake)
     for t in [*lake.tables, "dim_material"]:
         assert w[t].schema == getattr(lake, t).schema and rows(w[t]) == rows(getattr(lake, t)), t
+
+
+def test_forecasting_portfolio_makes_its_common_table_once(spark):
+    from glob import glob
+
+    from carelake.operators import generic as gen
+    from carelake.plans.registry import all_queries
+    from carelake.schemas import PORTFOLIOS, REGISTRY
+    from carelake.session import ensure_checkpoint_dir
+    made = lambda: glob(f"{urlparse(ensure_checkpoint_dir(spark)).path}/portfolio-forecasting-*-stock_replenishment_and_aging_risk")
+    before = len(made())
+    got, plain, keys = all_queries()["portfolio_forecasting"](spark, SF_SMALL), Warehouse(Lake.from_testdata(spark, SF_SMALL)), PORTFOLIOS["forecasting"]
+    want = gen.portfolio_summary({k: plain[REGISTRY[k][0]] for k in keys}, keys)
+    number = lambda df: sorted((r["key"], r["column_name"], r["stat"], f"{r['value']:.6g}" if r["value"] is not None else "") for r in df.collect())
+    assert number(got) == number(want) and len(made()) == before + 1
