@@ -58,3 +58,31 @@ def test_levels_read_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert plan.count("ReusedExchange") >= 2
+
+
+def test_with_median_is_percentile_of_the_counted_rows(spark):
+    from carelake.operators.order_stats import with_median
+    rows = [("a", 1.0, 2), ("a", 3.0, 1), ("a", 9.0, 1), ("b", 7.0, 1), ("b", 8.0, 0), ("c", 0.1, 1), ("c", 0.2, 1), ("d", 5.0, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, n bigint")
+    got = {(r["k"], r["v"]): r["m"] for r in with_median(df, ["k"], "v", F.col("n"), "m").collect()}
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("m")).collect()}
+    assert got == {(k, v): want[k] for k, v, _ in rows}
+
+
+def test_price_marts_clean_twice_and_move_the_prices_once(spark):
+    from decimal import Decimal
+
+    from carelake.operators import marts
+    prices = {("1", "V"): [10, 11, 11, 12, 90, 2000], ("1", "W"): [20, 30], ("2", "V"): [15], ("3", None): [40, 50], (None, "V"): [60]}
+    rows = [(m, v, Decimal(p), Decimal(2), Decimal(2 * p)) for (m, v), ps in prices.items() for p in ps] + [("4", "V", Decimal(5), Decimal(1), Decimal(5))]
+    grn = spark.createDataFrame(rows, "material string, vendor_name string, net_price decimal(18,4), gr_qty decimal(12,2), total_amount_wo_tax decimal(24,6)")
+    dm = spark.createDataFrame([("1", "one", "g")], "material string, material_desc string, material_group string")
+    pairs = marts.material_vendor_price_stats(grn, dm)
+    got = {(r["material"], r["vendor_name"]): (r["clean_median_price"], r["clean_n"], r["total_qty"]) for r in pairs.collect()}
+    assert got == {("1", "V"): (11.0, 5, 10.0), ("1", "W"): (25.0, 2, 4.0), ("2", "V"): (15.0, 1, 2.0)}
+    items = marts.material_price_stats(grn, dm)
+    got = {r["material"]: (r["clean_median_price"], r["clean_n"], r["raw_n"], r["raw_max_price"], r["clean_max_price"]) for r in items.collect()}
+    assert got == {"1": (12.0, 7, 8, 2000.0, 90.0), "2": (15.0, 1, 1, 15.0, 15.0), "3": (45.0, 2, 2, 50.0, 50.0)}
+    for df in (pairs, items):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile" not in plan and plan.count("Join") == 1      # the join of the material's name
