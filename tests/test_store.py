@@ -130,3 +130,17 @@ def test_forecasting_portfolio_makes_its_common_table_once(spark):
     want = gen.portfolio_summary({k: plain[REGISTRY[k][0]] for k in keys}, keys)
     number = lambda df: sorted((r["key"], r["column_name"], r["stat"], f"{r['value']:.6g}" if r["value"] is not None else "") for r in df.collect())
     assert number(got) == number(want) and len(made()) == before + 1
+
+
+def test_tables_of_a_catalogue_share_what_they_are_made_from(spark, source, root, monkeypatch):
+    from carelake.operators import forecast as fc
+    from carelake.operators import kpi
+    from carelake.operators import sales
+    calls = []
+    for module, name in ((fc, "demand_matrix"), (kpi, "kpi_inventory_aging"), (sales, "sales_aggregates"), (sales, "grain_aggregate")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _made=made, _name=name, **k: calls.append(_name) or _made(*a, **k))
+    names = ["kpi_inventory_aging", "kpi_non_moving", "kpi_risk_classification", "sales_totals", "sales_by_hospital",
+             "stock_replenishment_and_aging_risk", "forecast_sales", "forecast_accuracy"]
+    built_warehouse(Lake.from_testdata(spark, source), names)
+    assert sorted(calls) == ["demand_matrix", "kpi_inventory_aging", "sales_aggregates"]
