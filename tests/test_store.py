@@ -144,3 +144,26 @@ def test_tables_of_a_catalogue_share_what_they_are_made_from(spark, source, root
              "stock_replenishment_and_aging_risk", "forecast_sales", "forecast_accuracy"]
     built_warehouse(Lake.from_testdata(spark, source), names)
     assert sorted(calls) == ["demand_matrix", "kpi_inventory_aging", "sales_aggregates"]
+
+
+def test_stock_tables_share_their_items_and_receipts_need_no_materials(spark, root, monkeypatch):
+    from carelake.operators import forecast as fc
+    from carelake.operators import kpi
+    from carelake.plans.store import ITEM_TABLES, MATRIX_TABLES, line_warehouse
+    from carelake.sources.fixtures import LINE_COLUMNS
+    calls = []
+    for module, name in ((kpi, "stock_items"), (fc, "demand_matrix"), (fc, "demand_spread")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _made=made, _name=name, **k: calls.append(_name) or _made(*a, **k))
+    lake = lambda: Lake.from_testdata(spark, SF_SMALL)
+    first = built_warehouse(lake(), PROCUREMENT_TABLES)
+    assert "dim_material" not in first.known and first.stored("line").columns == LINE_COLUMNS
+    stored = built_warehouse(lake(), [*ITEM_TABLES, "kpi_non_moving"])
+    assert calls == ["stock_items"] and "dim_material" in stored.known
+    spark.conf.unset(ROOT_SETTING)
+    calls.clear()
+    lazy, plain = line_warehouse(lake(), [*ITEM_TABLES, *MATRIX_TABLES]), Warehouse(lake())
+    made = {t: lazy[t] for t in [*ITEM_TABLES, *MATRIX_TABLES]}
+    assert sorted(calls) == ["demand_matrix", "demand_spread", "stock_items"]
+    for t in ITEM_TABLES:
+        assert made[t].schema == plain[t].schema == stored[t].schema and rows(made[t]) == rows(plain[t]) == rows(stored[t]), t
