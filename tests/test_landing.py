@@ -89,3 +89,48 @@ def test_card_files_with_other_years(spark, tmp_path):
     assert got == {"A": ("2024-2025", 15.0, 10.0, 50.0), "B": ("2024-2025", 4.0, None, None), "C": ("2024-2025", 5.0, 0.0, None)}
     with pytest.raises(ValueError):
         headers.unpivot_periods(long.select("Location"), ["Location"], r"^\d{4}$")
+
+
+def test_receipts_are_landed_packed_and_load_as_from_plain_files(spark, tmp_path):
+    from glob import glob
+
+    from carelake.sources import landing
+    months = ["2026-01-31", "2026-02-28", "2026-02-01", None]
+    rows = [(f" P{i} ", "S1.0", "100.0" if i % 3 else None, "a, \"b\"", f"V{i}", "Vendor", f"PO{i}", f"{i}-1.0", "2.5000", "1.5", "-1", "", "x",
+             "12.7", "soon", None, "t", d, d, "05/30/2026") for i, d in enumerate(months)]
+    names = list(loaders.GRN_COLUMNS)
+    raw = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).select(
+        *[F.col(n).alias(loaders.GRN_COLUMNS[n][0]) for n in names], F.substring("gr_date", 1, 7).alias("ym"))
+    got = {}
+    for packed in (False, True):
+        path = landing.write_csv(raw, str(tmp_path / str(packed)), "ym", packed)
+        assert len(glob(f"{path}/ym=2026-0*/*.csv{'.gz' if packed else ''}")) >= 2
+        got[packed] = sorted(map(str, loaders.load_grn(loaders.read_raw(spark, path)).collect()))
+    assert got[True] == got[False] and len(got[True]) == 4
+    first = next(r for r in loaders.load_grn(loaders.read_raw(spark, str(tmp_path / "True"))).collect() if r["po_no"] == "PO1")
+    assert (first["plant"], first["sloc"], first["material"], first["gr_no"], first["material_desc"]) == ("P1", "S1", "100", "1-1", 'a, "b"')
+    assert (str(first["gr_qty"]), str(first["base_price"]), str(first["net_price"])) == ("2.5000", "1.500000", "-1.000000")
+    assert (first["unit_mrp"], first["total_amount_wo_tax"], first["po_to_gr_tat"], first["pr_to_gr_tat"], first["major_group"]) == (None, None, 12, None, None)
+    assert (first["gr_date"], first["month"], first["expiry_date"]) == (dt.date(2026, 2, 28), "February", dt.date(2026, 5, 30))
+
+
+def test_files_by_value_are_written_without_a_sort_and_the_setting_is_put_back(spark, tmp_path):
+    from carelake.session import open_writers
+    from carelake.sources import landing
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(key, None)
+    with open_writers(spark, 7):
+        assert spark.conf.get(key) == "7"
+    landing.write_csv(spark.range(20).selectExpr("id", "string(id % 5) AS ym"), str(tmp_path / "zone"), "ym")
+    assert spark.conf.get(key, None) == was
+    read = spark.read.option("header", True).csv(str(tmp_path / "zone"))
+    assert sorted((int(r["id"]), r["ym"]) for r in read.collect()) == [(i, i % 5) for i in range(20)]
+
+
+def test_the_receipts_loader_is_short_enough_to_be_compiled(spark, tmp_path, capsys):
+    import re
+    raw = spark.createDataFrame([tuple("x" for _ in loaders.GRN_COLUMNS)], ", ".join(f"c{i} string" for i in range(len(loaders.GRN_COLUMNS))))
+    raw.toDF(*[v[0] for v in loaders.GRN_COLUMNS.values()]).write.option("header", True).csv(str(tmp_path / "raw"))
+    loaders.load_grn(loaders.read_raw(spark, str(tmp_path / "raw"))).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000      # a longer method is interpreted
