@@ -167,3 +167,27 @@ def test_stock_tables_share_their_items_and_receipts_need_no_materials(spark, ro
     assert sorted(calls) == ["demand_matrix", "demand_spread", "stock_items"]
     for t in ITEM_TABLES:
         assert made[t].dtypes == plain[t].dtypes == stored[t].dtypes and rows(made[t]) == rows(plain[t]) == rows(stored[t]), t
+
+
+def test_a_build_makes_once_what_its_tables_share(spark, tmp_path, monkeypatch):
+    from carelake.operators import dims, kpi
+    from carelake.operators import forecast as fc
+    calls = []
+    for module, name in ((dims, "dim_material"), (dims, "dim_costcenter"), (kpi, "stock_items"), (fc, "demand_spread"), (fc, "demand_matrix")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _made=made, _name=name, **k: calls.append(_name) or _made(*a, **k))
+    out = str(tmp_path / "out")
+    build(spark, Lake.from_testdata(spark, SF_SMALL), out, "all")
+    assert sorted(calls) == ["demand_matrix", "demand_spread", "dim_costcenter", "dim_material", "stock_items"]
+    paths, plain = output_paths(out), Warehouse(Lake.from_testdata(spark, SF_SMALL))
+    for t in ("dim_material", "kpi_health_score", "stock_replenishment_and_aging_risk", "kpi_stock_change_by_group", "sales_by_material"):
+        assert rows(spark.read.parquet(paths[t]).select(*plain[t].columns)) == rows(plain[t]), t
+    assert "demand_std" not in spark.read.parquet(f"{out}/kpi/demand_matrix").columns
+
+
+def test_a_table_that_fails_fails_the_build(spark, tmp_path):
+    from carelake.plans.pipeline import write_together
+    bad = spark.range(3).selectExpr("assert_true(id < 2) AS x", "id")
+    with pytest.raises(Exception, match="id < 2"):
+        write_together({str(tmp_path / "good"): spark.range(3), str(tmp_path / "bad"): bad})
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 3
