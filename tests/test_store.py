@@ -191,3 +191,33 @@ def test_a_table_that_fails_fails_the_build(spark, tmp_path):
     with pytest.raises(Exception, match="id < 2"):
         write_together({str(tmp_path / "good"): spark.range(3), str(tmp_path / "bad"): bad})
     assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+
+
+def test_each_fact_needs_only_its_columns_of_the_line(spark):
+    from carelake.sources.fixtures import FACT_COLUMNS, LINE_COLUMNS, facts_of
+    lake = Lake.from_testdata(spark, SF_SMALL)
+    assert set().union(*FACT_COLUMNS.values()) == set(LINE_COLUMNS)
+    for name, columns in FACT_COLUMNS.items():
+        got = facts_of(lake.line.select(*columns), [name])
+        assert list(got) == [name] and got[name].schema == lake.tables[name].schema
+        assert rows(got[name]) == rows(lake.tables[name]), name
+
+
+def test_procurement_lines_are_not_shuffled_for_their_vendor(spark):
+    from carelake.operators import marts
+    lake = Lake.from_testdata(spark, SF_SMALL)
+    plain = Warehouse(lake)
+    want = rows(marts.mart_procurement(plain["fact_grn"], lake.dim_material, plain["mart_material_price_stats"], plain["kpi_vendor_lead_time"]))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "16k")      # no line and no material fits, the written vendors do
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = _mart_proc(Lake.from_testdata(spark, SF_SMALL))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert any("BroadcastHashJoin [vendor_name" in x for x in plan.splitlines())
+        assert "plant_name" not in plan and any("kpi_vendor_lead_time" in f for f in got.inputFiles())
+        assert rows(got) == want
+    finally:
+        spark.conf.set(key, was)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
