@@ -221,3 +221,17 @@ def test_procurement_lines_are_not_shuffled_for_their_vendor(spark):
     finally:
         spark.conf.set(key, was)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_catalogue_is_written_in_groups_and_later_tables_read_the_written_ones(spark, root, monkeypatch):
+    added = []
+    add = Store.add
+    monkeypatch.setattr(Store, "add", lambda self, tables, *a: added.append([t[0] for t in tables]) or add(self, tables, *a))
+    names = ["kpi_stock_change_by_group", "kpi_cycle_time", "kpi_stock_change", "dim_costcenter", "kpi_consumption_by_department", "kpi_fill_rate"]
+    w = built_warehouse(Lake.from_testdata(spark, SF_SMALL), names)
+    assert added == [["line"], ["dim_material"], ["dim_costcenter"],
+                     ["kpi_cycle_time", "kpi_stock_change", "kpi_consumption_by_department", "kpi_fill_rate"], ["kpi_stock_change_by_group"]]
+    assert set(w.known) == {"line", "dim_material", *names} and w.build(names) == []
+    plain = Warehouse(Lake.from_testdata(spark, SF_SMALL))
+    for t in names:
+        assert rows(w[t]) == rows(plain[t]), t
