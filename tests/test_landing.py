@@ -111,6 +111,8 @@ def test_receipts_are_landed_packed_and_load_as_from_plain_files(spark, tmp_path
     assert (first["plant"], first["sloc"], first["material"], first["gr_no"], first["material_desc"]) == ("P1", "S1", "100", "1-1", 'a, "b"')
     assert (str(first["gr_qty"]), str(first["base_price"]), str(first["net_price"])) == ("2.5000", "1.500000", "-1.000000")
     assert (first["unit_mrp"], first["total_amount_wo_tax"], first["po_to_gr_tat"], first["pr_to_gr_tat"], first["major_group"]) == (None, None, 12, None, None)
+    undated = next(r for r in loaders.load_grn(loaders.read_raw(spark, str(tmp_path / "True"))).collect() if r["po_no"] == "PO3")
+    assert (undated["gr_date"], undated["year"], undated["month_num"], undated["month"]) == (None, None, None, None)
     assert (first["gr_date"], first["month"], first["expiry_date"]) == (dt.date(2026, 2, 28), "February", dt.date(2026, 5, 30))
 
 
